@@ -141,8 +141,7 @@ def lock_in_months(text: Column) -> Column:
 
 
 def amenities(text: Column) -> Column:
-    """Sorted array of matching tags (the tag list is already alphabetical? no:
-    sort explicitly, like Python sorted())."""
+    """Sorted array of the tags whose pattern matches."""
     tags = F.array(*[F.when(text.rlike(ci(p)), F.lit(t)) for t, p in AMENITY_RULES])
     return F.array_sort(F.array_compact(tags))
 
@@ -171,8 +170,11 @@ _ANSWER_SCHEMA = T.StructType([
     T.StructField("negotiable", T.BooleanType()),
     T.StructField("lock_in_months", T.StringType()),
     T.StructField("amenities", T.StringType()),
-    T.StructField("_corrupt", T.StringType()),
 ])
+# Every field as text: any JSON value fits, so _corrupt is set only for
+# text that is not a JSON object at all.
+_VALIDITY_SCHEMA = T.StructType([T.StructField("tenant_pref", T.StringType()),
+                                 T.StructField("_corrupt", T.StringType())])
 
 
 def json_span(raw: Column) -> Column:
@@ -188,8 +190,10 @@ def normalize_llm_answer(raw: Column) -> Column:
     value is read as JSON text and cast; amenities must be a JSON array, are
     intersected with the tag vocabulary, de-duplicated and sorted.
     """
-    j = F.from_json(json_span(raw), _ANSWER_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    obj_ok = json_span(raw).rlike(r"^\s*\{") & j["_corrupt"].isNull()
+    span = json_span(raw)
+    v = F.from_json(span, _VALIDITY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    obj_ok = span.rlike(r"^\s*\{") & v["_corrupt"].isNull()
+    j = F.from_json(span, _ANSWER_SCHEMA)
     tenant = F.when(j["tenant_pref"].isin(*TENANT_VALUES), j["tenant_pref"])
     lock_txt = F.regexp_replace(j["lock_in_months"], r'^"|"$', "")
     lock = F.when(lock_txt.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(lock_txt).try_cast("int"))

@@ -68,14 +68,50 @@ FIRST_CHARS_LOCALITY = 400
 # ---------------------------------------------------------------------------
 
 
+def translate_pattern(p: str, digit: str | None = None, boundary: bool = False) -> str:
+    """Rewrite Python ``re`` escapes for another regex engine.
+
+    ``\\s`` becomes Python's exact whitespace set (Java's Unicode ``\\s``
+    differs on U+001C-U+001F); ``digit`` replaces ``\\d`` when given; with
+    ``boundary`` each ``\\b`` becomes a consuming Unicode word-edge test (for
+    engines whose ``\\b`` is ASCII-only; valid for match/no-match tests).
+    """
+    word = r"\pL\pM\pN_"
+    out: list[str] = []
+    i, in_cls = 0, False
+    while i < len(p):
+        c = p[i]
+        if c == "\\" and i + 1 < len(p):
+            n = p[i + 1]
+            if n == "s":
+                out.append(WS_CHARS if in_cls else WS)
+            elif n == "d" and digit:
+                out.append(digit if in_cls else f"[{digit}]")
+            elif n == "b" and boundary and not in_cls:
+                prev = "".join(out)
+                leading = prev == "" or prev.endswith(("(", "|", "(?:", "(?i)"))
+                out.append(f"(?:^|[^{word}])" if leading else f"(?:[^{word}]|$)")
+            else:
+                out.append(p[i:i + 2])
+            i += 2
+            continue
+        if c == "[" and not in_cls:
+            in_cls = True
+        elif c == "]" and in_cls:
+            in_cls = False
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def ci(p: str) -> str:
-    """Compile flag prefix for a case-insensitive Python pattern."""
-    return "(?iU)" + p
+    """Java form of a case-insensitive Python pattern."""
+    return "(?iU)" + translate_pattern(p)
 
 
 def cu(p: str) -> str:
-    """Compile flag prefix for a case-sensitive Python pattern."""
-    return "(?U)" + p
+    """Java form of a case-sensitive Python pattern."""
+    return "(?U)" + translate_pattern(p)
 
 
 def _extract(c: Column, pattern: str, idx: int = 1) -> Column:
