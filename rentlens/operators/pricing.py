@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentlens.functions import geo, text as tx
 from rentlens.operators import stats
+from rentlens.session import materialize
 from rentlens.sources import dims
 
 # FIXED VALUES: domain filter bounds, deal threshold, plausibility floor,
@@ -77,19 +78,62 @@ def in_domain(df: DataFrame) -> DataFrame:
                     & (r / a).between(RPS_MIN, RPS_MAX))
 
 
-def with_priors(df: DataFrame) -> DataFrame:
+def _stacked_stats(d: DataFrame) -> DataFrame:
+    """One ranking pass for every order statistic the features need.
+
+    Rows are stacked as (grouping, locality, bhk_int, value):
+      0 global rent/sqft, 1 per locality, 2 per (locality, bhk_int),
+      3 global deposit/rent ratio.
+    NULL localities join groupings 0 only; NULL ratios are skipped.
+    """
+    loc, bhk = F.col("locality_norm"), F.col("_bhk_int")
+    nul_s, nul_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def entry(g, l, b, v):
+        return F.struct(F.lit(g).alias("_g"), l.alias("_loc"), b.alias("_bhk"), v.cast("double").alias("_v"))
+    entries = F.array(entry(0, nul_s, nul_i, F.col("_rps")),
+                      F.when(loc.isNotNull(), entry(1, loc, nul_i, F.col("_rps"))),
+                      F.when(loc.isNotNull(), entry(2, loc, bhk, F.col("_rps"))),
+                      F.when(F.col("_ratio").isNotNull(), entry(3, nul_s, nul_i, F.col("_ratio"))))
+    long = d.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*")
+    return stats.order_stats(long, ["_g", "_loc", "_bhk"], "_v")
+
+
+def with_priors(df: DataFrame, with_ratio: bool = False) -> DataFrame:
     """Leave-one-out median rent/sqft by locality and by (locality,
     half-even bhk), falling back to locality prior, then the global median
-    (which is not leave-one-out and includes NULL-locality rows)."""
+    (which is not leave-one-out and includes NULL-locality rows).
+
+    With ``with_ratio`` also fills ``deposit_to_rent_ratio`` NULLs with the
+    global median ratio (6.0 when that is missing or zero).
+    """
     d = (df.withColumn("_rps", F.col("rent_monthly") / F.col("area_sqft"))
-           .withColumn("_bhk_int", F.rint("bhk").cast("int")))
-    gmed = stats.global_quantiles(d, "_rps", {"med": 0.5}).scalar()
-    d = stats.loo_median(d, ["locality_norm"], "_rps", "_loo_loc")
-    d = stats.loo_median(d, ["locality_norm", "_bhk_int"], "_rps", "_loo_loc_bhk")
-    loc_prior = F.coalesce(F.col("_loo_loc"), gmed)
-    return (d.withColumn("locality_median_rent_per_sqft", loc_prior)
-             .withColumn("locality_bhk_median_rent_per_sqft", F.coalesce(F.col("_loo_loc_bhk"), loc_prior))
-             .drop("_rps", "_bhk_int", "_loo_loc", "_loo_loc_bhk"))
+           .withColumn("_bhk_int", F.rint("bhk").cast("int"))
+           .withColumn("_ratio", F.col("deposit") / F.col("rent_monthly")))
+    # one row per group: bounded by the number of groups, shared by four consumers
+    st = materialize(_stacked_stats(d))
+    glob = st.where(F.col("_g").isin(0, 3)).groupBy().agg(
+        F.max(F.when(F.col("_g") == 0, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_gmed"),
+        F.max(F.when(F.col("_g") == 3, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_rmed"))
+    gmed = glob.select("_gmed").scalar()
+    by_loc = st.where(F.col("_g") == 1).select(F.col("_loc").alias("locality_norm"), F.col("_a").alias("_la"),
+                                                F.col("_b").alias("_lb"), F.col("_c").alias("_lc"),
+                                                F.col("_n").alias("_ln"))
+    by_lb = st.where(F.col("_g") == 2).select(F.col("_loc").alias("locality_norm"), F.col("_bhk").alias("_bhk_int"),
+                                               F.col("_a").alias("_ba"), F.col("_b").alias("_bb"),
+                                               F.col("_c").alias("_bc"), F.col("_n").alias("_bn"))
+    j = d.join(by_loc, "locality_norm", "left").join(by_lb, ["locality_norm", "_bhk_int"], "left")
+    v = F.col("_rps")
+    loo_loc = stats.loo_from_stats(v, F.col("_la"), F.col("_lb"), F.col("_lc"), F.col("_ln"))
+    loo_lb = stats.loo_from_stats(v, F.col("_ba"), F.col("_bb"), F.col("_bc"), F.col("_bn"))
+    loc_prior = F.coalesce(loo_loc, gmed)
+    out = (j.withColumn("locality_median_rent_per_sqft", loc_prior)
+            .withColumn("locality_bhk_median_rent_per_sqft", F.coalesce(loo_lb, loc_prior)))
+    if with_ratio:
+        rmed = glob.select("_rmed").scalar()
+        fill = F.when(rmed.isNull() | (rmed == 0), F.lit(DEFAULT_DEPOSIT_RATIO)).otherwise(rmed)
+        out = out.withColumn("deposit_to_rent_ratio", F.coalesce(F.col("_ratio"), fill))
+    return out.drop("_rps", "_bhk_int", "_ratio", "_la", "_lb", "_lc", "_ln", "_ba", "_bb", "_bc", "_bn")
 
 
 def build_features(df: DataFrame) -> DataFrame:
@@ -97,12 +141,7 @@ def build_features(df: DataFrame) -> DataFrame:
     ordered feature columns and ``log_rent`` (the target)."""
     d = in_domain(df)
     d = d.withColumn("log_area_sqft", F.log1p("area_sqft"))
-    d = with_priors(d)
-    ratio = F.col("deposit") / F.col("rent_monthly")
-    d = d.withColumn("deposit_to_rent_ratio", ratio)
-    med = stats.global_quantiles(d, "deposit_to_rent_ratio", {"med": 0.5}).scalar()
-    fill = F.when(med.isNull() | (med == 0), F.lit(DEFAULT_DEPOSIT_RATIO)).otherwise(med)
-    d = d.withColumn("deposit_to_rent_ratio", F.coalesce(F.col("deposit_to_rent_ratio"), fill))
+    d = with_priors(d, with_ratio=True)
     d = (d.withColumn("floor_num", F.coalesce(F.col("floor_num").cast("double"), F.lit(-1.0)))
           .withColumn("total_floors", F.coalesce(F.col("total_floors").cast("double"), F.lit(-1.0)))
           .withColumn("floor_ratio", F.when(F.col("total_floors") > 0, F.col("floor_num") / F.col("total_floors"))
@@ -110,13 +149,10 @@ def build_features(df: DataFrame) -> DataFrame:
     ptype = F.lower(F.coalesce(F.col("property_type"), F.lit("unknown")))
     furn = tx.furnishing_category(F.col("furnishing"))
     src = tx.source_bucket(F.col("source"))
-    for c in FURNISHING_CATS:
-        d = d.withColumn(f"furn_{c}", (furn == c).cast("int"))
-    for c in SOURCE_CATS:
-        d = d.withColumn(f"src_{c}", (src == c).cast("int"))
-    for c in PROPERTY_TYPES:
-        d = d.withColumn(f"ptype_{c}", (ptype == c).cast("int"))
-    return d.withColumn("log_rent", F.log("rent_monthly"))
+    onehots = ([(furn == c).cast("int").alias(f"furn_{c}") for c in FURNISHING_CATS]
+               + [(src == c).cast("int").alias(f"src_{c}") for c in SOURCE_CATS]
+               + [(ptype == c).cast("int").alias(f"ptype_{c}") for c in PROPERTY_TYPES])
+    return d.select("*", *onehots, F.log("rent_monthly").alias("log_rent"))
 
 
 def score(df: DataFrame, predicted: str = "predicted_rent", actual: str = "rent_monthly") -> DataFrame:

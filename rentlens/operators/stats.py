@@ -145,3 +145,23 @@ def loo_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Data
     odd = F.when(v < b, (b + c) / 2).when(v > b, (a + b) / 2).otherwise((a + c) / 2)
     res = F.when(n.isNull() | (n <= 1), F.lit(None).cast("double")).when(n % 2 == 0, even).otherwise(odd)
     return j.withColumn(out, res).drop("_a", "_b", "_c", "_n")
+
+
+def order_stats(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per group: size ``_n`` and the order statistics ``_a, _b, _c`` at ranks
+    h, h+1, h+2 (h = n // 2). Enough for the median (odd n: _b, even n:
+    (_a+_b)/2) and for the leave-one-out median of any member."""
+    r = group_rank(long.where(F.col(value).isNotNull()), keys, [F.col(value)])
+    h = F.floor(F.col("_n") / 2)
+    return pick_ranks(r, keys, value, {"_a": h, "_b": h + 1, "_c": h + 2})
+
+
+def median_of(a: Column, b: Column, n: Column) -> Column:
+    return F.when(n % 2 == 1, b).otherwise((a + b) / 2)
+
+
+def loo_from_stats(v: Column, a: Column, b: Column, c: Column, n: Column) -> Column:
+    """Leave-one-out median of member value ``v`` given its group's order stats."""
+    even = F.when(v <= a, b).otherwise(a)
+    odd = F.when(v < b, (b + c) / 2).when(v > b, (a + b) / 2).otherwise((a + c) / 2)
+    return F.when(n.isNull() | (n <= 1), F.lit(None).cast("double")).when(n % 2 == 0, even).otherwise(odd)

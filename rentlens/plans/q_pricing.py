@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from rentlens.operators import pricing as pr
 from rentlens.plans.common import shape
+from rentlens.session import materialize
 from rentlens.plans.registry import query
 from rentlens.plans.sqlgen import localities_ctes
 from rentlens.sources.fixtures import fx, fx_cte
@@ -19,8 +20,9 @@ def listings(spark, sf_dir):
 
 
 def baseline(spark, sf_dir):
-    """P10 scored listings (the deterministic predictions other reports read)."""
-    return pr.baseline_predictions(listings(spark, sf_dir), pr.localities_table(spark))
+    """P10 scored listings -- the predictions table other reports read. It is
+    written once (checkpoint) so report branches do not recompute it."""
+    return materialize(pr.baseline_predictions(listings(spark, sf_dir), pr.localities_table(spark)))
 
 
 def rounded(df, cols, as_double=()):

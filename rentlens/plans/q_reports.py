@@ -1 +1,146 @@
-"""placeholder"""
+"""BI / dashboard plans over FX-listings and the baseline predictions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rentlens.operators import pricing as pr, reports as rp
+from rentlens.plans.common import R6, shape
+from rentlens.plans.q_pricing import REG_SQL, _scored_sql, baseline, listings, regression_metrics_df
+from rentlens.plans.registry import query
+
+MODEL_VERSION = "baseline-v1"
+BHK_VALUES = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0]
+
+
+def predictions(spark, sf_dir):
+    """K5-shaped predictions table of the baseline model."""
+    return baseline(spark, sf_dir).select(
+        "listing_id", F.lit(MODEL_VERSION).alias("model_version"), "predicted_rent",
+        F.lit(None).cast("double").alias("predicted_p10"), F.lit(None).cast("double").alias("predicted_p90"),
+        "value_score", "is_deal")
+
+
+def export(spark, sf_dir):
+    return rp.export_frame(listings(spark, sf_dir), predictions(spark, sf_dir), pr.localities_table(spark),
+                           MODEL_VERSION)
+
+
+def board(spark, sf_dir):
+    return rp.board_filter(rp.board_frame(export(spark, sf_dir)), **rp.BOARD_DEFAULTS)
+
+
+EXPORT_SQL = _scored_sql() + f""",
+preds AS (SELECT listing_id, '{MODEL_VERSION}' AS model_version, predicted_rent, value_score, is_deal FROM scored),
+ex0 AS (SELECT l.*, p.predicted_rent, p.value_score, p.is_deal, loc.lat, loc.lon, loc.dist_nearest_metro_km,
+               loc.nearest_metro_station
+        FROM fx_listings l
+        LEFT JOIN preds p ON p.listing_id = l.listing_id AND p.model_version = '{MODEL_VERSION}'
+        LEFT JOIN localities loc ON loc.locality_norm = l.locality_norm
+        WHERE l.rent_monthly IS NOT NULL AND l.area_sqft IS NOT NULL AND l.bhk IS NOT NULL),
+ex AS (SELECT *, rent_monthly / area_sqft AS rent_per_sqft, round_even(value_score * 100 * 10, 0) / 10 AS save_pct
+       FROM ex0),
+brd AS (SELECT * FROM ex WHERE predicted_rent IS NOT NULL AND locality_norm <> 'outside_coverage'
+          AND rent_monthly BETWEEN 3000 AND 60000 AND area_sqft >= 400 AND is_deal = 1)"""
+
+
+@query("locality_rollup", EXPORT_SQL + f"""
+SELECT g.locality_norm, n_listings, median_rent, median_rent_per_sqft, n_deals, median_save_pct,
+       loc.display_name, loc.lat, loc.lon, loc.dist_nearest_metro_km, loc.nearest_metro_station, loc.dist_orr_km,
+       loc.dist_manyata_km, loc.dist_ecity_km, loc.dist_whitefield_km, loc.dist_orr_bellandur_km
+FROM (SELECT locality_norm, count(*) AS n_listings, {R6('median(rent_monthly)')} AS median_rent,
+             {R6('median(rent_per_sqft)')} AS median_rent_per_sqft, CAST(coalesce(sum(is_deal), 0) AS DOUBLE) AS n_deals,
+             {R6('median(save_pct)')} AS median_save_pct
+      FROM ex GROUP BY locality_norm) g
+LEFT JOIN localities loc ON loc.locality_norm = g.locality_norm
+""")
+def locality_rollup(spark, sf_dir):
+    r = rp.locality_rollup(export(spark, sf_dir), pr.localities_table(spark))
+    cols = ["locality_norm", "n_listings", "median_rent", "median_rent_per_sqft", "n_deals", "median_save_pct",
+            "display_name", "lat", "lon", "dist_nearest_metro_km", "nearest_metro_station", "dist_orr_km",
+            "dist_manyata_km", "dist_ecity_km", "dist_whitefield_km", "dist_orr_bellandur_km"]
+    return shape(r.select(*cols), ["median_rent", "median_rent_per_sqft", "median_save_pct"])
+
+
+@query("bi_measures", EXPORT_SQL + f"""
+SELECT count(*) AS total_listings, count(*) FILTER (WHERE is_deal = 1) AS total_deals,
+       {R6('avg(rent_per_sqft)')} AS avg_rent_per_sqft, {R6('median(rent_monthly)')} AS median_rent,
+       {R6('median(save_pct) FILTER (WHERE is_deal = 1)')} AS median_save_pct_deals,
+       {R6("coalesce(CAST(count(*) FILTER (WHERE is_deal = 1) AS DOUBLE) / nullif(count(*), 0), 0) * 100")} AS deal_rate_pct
+FROM ex
+""")
+def bi_measures(spark, sf_dir):
+    m = rp.bi_measures(export(spark, sf_dir))
+    return shape(m, ["avg_rent_per_sqft", "median_rent", "median_save_pct_deals", "deal_rate_pct"])
+
+
+@query("rent_histogram", EXPORT_SQL + """
+SELECT CASE WHEN rent_monthly < 15000 THEN '< 15k' WHEN rent_monthly < 25000 THEN '15-25k'
+            WHEN rent_monthly < 40000 THEN '25-40k' WHEN rent_monthly < 60000 THEN '40-60k'
+            WHEN rent_monthly < 100000 THEN '60-100k' ELSE '100k+' END AS rent_bucket, count(*) AS n_listings
+FROM ex GROUP BY 1
+""")
+def rent_histogram(spark, sf_dir):
+    return rp.rent_histogram(export(spark, sf_dir))
+
+
+@query("locality_bhk_pivot", EXPORT_SQL + ", med AS (SELECT locality_norm, bhk, median(rent_monthly) AS m FROM ex "
+       "GROUP BY locality_norm, bhk)\nSELECT locality_norm, "
+       + ", ".join(f"{R6(f'max(CASE WHEN bhk = {v!r} THEN m END)')} AS {rp.bhk_col_name(v)}" for v in BHK_VALUES)
+       + " FROM med GROUP BY locality_norm")
+def locality_bhk_pivot(spark, sf_dir):
+    p = rp.locality_bhk_pivot(export(spark, sf_dir), BHK_VALUES)
+    return shape(p, [rp.bhk_col_name(v) for v in BHK_VALUES])
+
+
+@query("property_mix", EXPORT_SQL + "SELECT property_type, count(*) AS n_listings FROM ex GROUP BY property_type")
+def property_mix(spark, sf_dir):
+    return rp.property_mix(export(spark, sf_dir))
+
+
+@query("board_kpis", EXPORT_SQL + f"""
+SELECT count(*) AS n_listings, {R6('median(value_score * 100)')} AS median_saving_pct,
+       {R6('median(rent_monthly)')} AS median_rent FROM brd
+""")
+def board_kpis(spark, sf_dir):
+    return shape(rp.board_kpis(board(spark, sf_dir)), ["median_saving_pct", "median_rent"])
+
+
+TITLE_SQL = ("array_to_string(list_transform(string_split(replace(locality_norm, '_', ' '), ' '), "
+             "lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')")
+
+
+@query("deals_board", EXPORT_SQL + f"""
+SELECT listing_id, {TITLE_SQL} AS locality, bhk, area_sqft,
+       '₹' || format('{{:,}}', CAST(trunc(rent_monthly) AS BIGINT)) AS rent_str,
+       '₹' || format('{{:,}}', CAST(trunc(predicted_rent) AS BIGINT)) AS pred_str,
+       round_even(value_score * 100 * 10, 0) / 10 AS save_pct, property_type, furnishing, {R6('value_score')} AS value_score
+FROM brd
+""")
+def deals_board(spark, sf_dir):
+    return shape(rp.deals_board(board(spark, sf_dir)), ["value_score"])
+
+
+@query("board_domain", EXPORT_SQL + """,
+b AS (SELECT * FROM ex WHERE predicted_rent IS NOT NULL AND locality_norm <> 'outside_coverage')
+SELECT DISTINCT 'locality' AS kind, locality_norm AS value_str, CAST(NULL AS DOUBLE) AS value_num FROM b WHERE locality_norm IS NOT NULL
+UNION ALL SELECT DISTINCT 'bhk', NULL, bhk FROM b WHERE bhk IS NOT NULL
+UNION ALL SELECT 'rent_min', NULL, min(rent_monthly) FROM b
+UNION ALL SELECT 'rent_max', NULL, max(rent_monthly) FROM b
+""")
+def board_domain(spark, sf_dir):
+    return rp.board_domain(rp.board_frame(export(spark, sf_dir)))
+
+
+@query("model_metrics", _scored_sql() + "," + REG_SQL.split("SELECT fold, n,")[0] + f"""
+SELECT metric, value FROM (
+  SELECT 1 AS o, 'MAPE' AS metric, {R6('coalesce(mape, 0)')} AS value FROM m WHERE fold < 0
+  UNION ALL SELECT 2, 'MAE (INR)', {R6('coalesce(mae, 0)')} FROM m WHERE fold < 0
+  UNION ALL SELECT 3, 'R^2', {R6('coalesce(r2, 0)')} FROM m WHERE fold < 0
+  UNION ALL SELECT 4, 'MAPE per-fold std', {R6('coalesce((SELECT stddev_pop(mape) FROM m WHERE fold >= 0), 0)')}
+  UNION ALL SELECT 5, 'N training rows', CAST(n AS DOUBLE) FROM m WHERE fold < 0
+  UNION ALL SELECT 6, 'N features', {float(len(pr.FEATURE_COLS))!r}) t
+""")
+def model_metrics(spark, sf_dir):
+    m = regression_metrics_df(baseline(spark, sf_dir)).where(F.col("fold") < 0)
+    return shape(rp.model_metrics_table(m, len(pr.FEATURE_COLS)), ["value"])

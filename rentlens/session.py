@@ -62,3 +62,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and return a DataFrame
+    reading it back: cuts lineage (a lost executor recomputes nothing before
+    this point) and lets several consumers share one computation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
