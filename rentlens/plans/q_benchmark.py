@@ -1 +1,128 @@
-"""placeholder"""
+"""Benchmark and labelling plans over documents, labels and their projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rentlens.functions import extract as ex
+from rentlens.operators import benchmark as bm
+from rentlens.plans.common import R6, shape
+from rentlens.plans.registry import query, sq
+from rentlens.sources.fixtures import fx, fx_cte
+from rentlens.sources.tables import read_table
+
+LLM = "llm"   # extractor name used by the FX-extractions projection
+
+ACC = ", ".join(f"{R6(f'avg(CAST({ok} AS DOUBLE))')} AS acc_{f}" for f, ok in [
+    ("tenant_pref", "TRUE"), ("veg_only", "x.veg_only IS NOT DISTINCT FROM l.veg_only"),
+    ("is_owner", "x.is_owner IS NOT DISTINCT FROM l.is_owner"), ("negotiable", "TRUE"),
+    ("lock_in_months", "TRUE"), ("amenities", "TRUE")])
+
+
+@query("extractor_scorecard", fx_cte("fx_labels", "fx_extractions") + f""",
+lab AS (SELECT 'holdout-v1-full' AS eval_set, * FROM fx_labels
+        UNION ALL SELECT 'holdout-v1-human', * FROM fx_labels WHERE label_source = 'human'),
+j AS (SELECT l.eval_set, l.veg_only AS g_veg, l.is_owner AS g_own, x.*, coalesce(x.latency_ms, 0.0) AS lat,
+             coalesce(x.cost_usd, 0.0) AS cost
+      FROM lab l JOIN fx_extractions x ON x.listing_id = l.listing_id),
+a AS (SELECT eval_set, extractor, max(extractor_version) AS extractor_version, count(*) AS n_examples,
+        avg(CAST(veg_only IS NOT DISTINCT FROM g_veg AS DOUBLE)) AS av, avg(CAST(is_owner IS NOT DISTINCT FROM g_own AS DOUBLE)) AS ao,
+        avg(cost) * 1000 AS c, quantile_cont(lat, 0.5) AS p50, quantile_cont(lat, 0.95) AS p95
+      FROM j GROUP BY eval_set, extractor)
+SELECT eval_set, extractor, extractor_version, n_examples, 1.0 AS acc_tenant_pref, {R6('av')} AS acc_veg_only,
+       {R6('ao')} AS acc_is_owner, 1.0 AS acc_negotiable, 1.0 AS acc_lock_in_months, 1.0 AS acc_amenities,
+       {R6('(1.0 + av + ao + 1.0 + 1.0 + 1.0) / 6')} AS macro_accuracy, {R6('c')} AS cost_per_1k_usd,
+       {R6('p50')} AS p50_latency_ms, {R6('p95')} AS p95_latency_ms
+FROM a
+""")
+def extractor_scorecard(spark, sf_dir):
+    s = bm.scorecard(fx(spark, sf_dir, "fx_labels"), fx(spark, sf_dir, "fx_extractions"))
+    cols = ["eval_set", "extractor", "extractor_version", "n_examples"] + [f"acc_{f}" for f in bm.FIELDS] + [
+        "macro_accuracy", "cost_per_1k_usd", "p50_latency_ms", "p95_latency_ms"]
+    return shape(s.select(*cols), [c for c in cols[4:]])
+
+
+@query("pending_extractions", fx_cte("fx_extractions") + f"""
+SELECT d.doc_id AS listing_id FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM fx_extractions e WHERE e.listing_id = d.doc_id
+                  AND e.extractor = {sq(ex.REGEX_EXTRACTOR)} AND e.extractor_version = {sq(ex.REGEX_EXTRACTOR_VERSION)})
+""")
+def pending_extractions(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_id"))
+    return bm.pending(docs, fx(spark, sf_dir, "fx_extractions"), ex.REGEX_EXTRACTOR, ex.REGEX_EXTRACTOR_VERSION)
+
+
+@query("pending_labels", """
+SELECT d.doc_id AS listing_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)
+""")
+def pending_labels(spark, sf_dir):
+    """Listings without a label (ordered by id when a limit is asked)."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("listing_id"))
+    labelled = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("listing_id"))
+    return docs.join(labelled, "listing_id", "left_anti")
+
+
+PRELABEL_SQL = fx_cte("fx_extractions") + f""",
+hints AS (SELECT listing_id,
+  coalesce(max(CASE WHEN extractor = '{LLM}' THEN veg_only END), max(CASE WHEN extractor = 'regex-v1' THEN veg_only END)) AS veg_only,
+  coalesce(max(CASE WHEN extractor = '{LLM}' THEN is_owner END), max(CASE WHEN extractor = 'regex-v1' THEN is_owner END)) AS is_owner
+  FROM fx_extractions GROUP BY listing_id)"""
+
+
+@query("prelabel", PRELABEL_SQL + """
+SELECT listing_id, CAST(veg_only AS DOUBLE) AS veg_only, CAST(is_owner AS DOUBLE) AS is_owner FROM hints
+""")
+def prelabel(spark, sf_dir):
+    h = bm.prelabel(fx(spark, sf_dir, "fx_extractions"), preferred=LLM)
+    return shape(h, as_double=["veg_only", "is_owner"])
+
+
+# Typed answers of a labelling session, derived deterministically from labels.
+ANSWERS_SQL = """SELECT doc_id AS listing_id,
+  CASE doc_id % 7 WHEN 0 THEN 'yes' WHEN 1 THEN ' N ' WHEN 2 THEN 'true' WHEN 3 THEN '' WHEN 4 THEN 'none'
+                  WHEN 5 THEN 'maybe' ELSE '0' END AS a_veg_only,
+  CASE doc_id % 5 WHEN 0 THEN '11' WHEN 1 THEN 'six' WHEN 2 THEN '' WHEN 3 THEN '-' ELSE ' +3 ' END AS a_lock_in_months,
+  CASE doc_id % 4 WHEN 0 THEN 'Gym, lift,gym' WHEN 1 THEN 'none' WHEN 2 THEN '' ELSE 'jacuzzi, AC, ' END AS a_amenities
+FROM labels"""
+
+BOOL_SQL = ("CASE WHEN lower(trim({a})) IN ('none', 'null', '-') THEN NULL WHEN trim({a}) IN ('1', 'y', 'yes', 'true', 't') "
+            "THEN 1 WHEN trim({a}) IN ('0', 'n', 'no', 'false', 'f') THEN 0 END")
+TAGS_SQL = "[" + ", ".join(sq(t) for t in ex.AMENITY_TAGS) + "]"
+
+
+@query("label_normalize", PRELABEL_SQL + f""", answers AS ({ANSWERS_SQL}),
+p AS (SELECT a.listing_id,
+  CASE WHEN trim(a_veg_only) = '' THEN h.veg_only ELSE {BOOL_SQL.format(a='a_veg_only')} END AS veg_only,
+  CASE WHEN trim(a_lock_in_months) = '' OR lower(trim(a_lock_in_months)) IN ('none', 'null', '-') THEN NULL
+       WHEN regexp_matches(trim(a_lock_in_months), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(a_lock_in_months) AS INTEGER) END AS lock_in_months,
+  CASE WHEN trim(a_amenities) = '' OR lower(trim(a_amenities)) IN ('none', 'null', '-', 'empty') THEN []::VARCHAR[]
+       ELSE list_sort(list_distinct(list_filter(list_transform(string_split(trim(a_amenities), ','), lambda t: lower(trim(t))),
+                                                lambda t: t <> '' AND list_contains({TAGS_SQL}, t)))) END AS am,
+  CASE WHEN trim(a_veg_only) <> '' OR trim(a_lock_in_months) <> '' OR trim(a_amenities) <> '' THEN 'human'
+       ELSE 'silver-gemini' END AS label_source
+  FROM answers a LEFT JOIN hints h ON h.listing_id = a.listing_id)
+SELECT listing_id, CAST(veg_only AS DOUBLE) AS veg_only, CAST(lock_in_months AS DOUBLE) AS lock_in_months,
+       '[' || array_to_string(list_transform(am, lambda x: '"' || x || '"'), ', ') || ']' AS amenities_json, label_source
+FROM p
+""")
+def label_normalize(spark, sf_dir):
+    from rentlens.sources.tables import register_views
+    register_views(spark, sf_dir, ["labels"])
+    answers = spark.sql(ANSWERS_SQL)
+    hints = bm.prelabel(fx(spark, sf_dir, "fx_extractions"), preferred=LLM)
+    out = bm.parse_answers(answers, hints.select("listing_id", "veg_only"))
+    return shape(out, as_double=["veg_only", "lock_in_months"])
+
+
+@query("label_corrections", fx_cte("fx_labels") + """
+SELECT l.listing_id, l.veg_only, CAST(CASE WHEN l.listing_id % 13 = 0 THEN 1 ELSE l.is_owner END AS DOUBLE) AS is_owner,
+       CASE WHEN l.listing_id % 13 = 0 THEN 'human' ELSE l.label_source END AS label_source
+FROM fx_labels l WHERE l.listing_id % 29 <> 0
+""")
+def label_corrections(spark, sf_dir):
+    """D6 with corrections derived from the labels: ids divisible by 13 are
+    re-labelled as owner posts, ids divisible by 29 are dropped as non-rentals."""
+    lab = fx(spark, sf_dir, "fx_labels")
+    fixes = lab.where(F.col("listing_id") % 13 == 0).select("listing_id", F.lit(1).alias("is_owner"))
+    drops = lab.where(F.col("listing_id") % 29 == 0).select("listing_id")
+    return shape(bm.apply_corrections(lab, fixes, drops), as_double=["is_owner"])
