@@ -31,4 +31,4 @@ def sq(s: str) -> str:
 
 def load_all() -> None:
     from rentlens.plans import (q_text, q_ingest, q_pricing, q_extract, q_reports,  # noqa: F401
-                                q_history, q_benchmark, q_geo, q_sources, q_model)
+                                q_history, q_benchmark, q_geo, q_sources, q_model, q_stream)
