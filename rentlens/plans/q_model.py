@@ -1 +1,61 @@
-"""placeholder"""
+"""MLlib model plans (rows-only checks: no SQL oracle can train a model).
+
+The library default follows the size-tiered schedule (up to 800 trees); the
+registered plans cap boosting at ``GBT_ITERS`` rounds so the whole query set
+runs in minutes on one machine. Everything else (features, folds, loss,
+learning rate, subsampling, depth, leaf size) is the tiered configuration.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rentlens.operators import model as md, pricing as pr
+from rentlens.plans.common import shape
+from rentlens.plans.q_pricing import listings
+from rentlens.plans.registry import query
+from rentlens.session import materialize
+
+GBT_ITERS = 10
+SEED = 42
+
+
+def frame(spark, sf_dir):
+    f = pr.build_features(pr.with_localities(pr.scorable(listings(spark, sf_dir)), pr.localities_table(spark)))
+    return materialize(md.model_frame(f))
+
+
+@query("gbt_cv_metrics")
+def gbt_cv_metrics(spark, sf_dir):
+    fr = frame(spark, sf_dir)
+    oof = md.cross_validate(fr, SEED, GBT_ITERS)
+    return shape(md.cv_metrics(oof).select("fold", "n", "mae", "mape", "r2", "mape_std"),
+                 ["mae", "mape", "r2", "mape_std"])
+
+
+@query("gbt_score")
+def gbt_score(spark, sf_dir):
+    fr = frame(spark, sf_dir)
+    m = md.fit_full(fr, SEED, GBT_ITERS)
+    s = md.score(m, fr)
+    return shape(s.select("listing_id", "predicted_rent", "value_score", "is_plausible", "is_deal"),
+                 ["predicted_rent", "value_score"])
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    fr = frame(spark, sf_dir)
+    return md.importances(md.fit_full(fr, SEED, GBT_ITERS), spark, top=8)
+
+
+@query("conformal_bounds")
+def conformal_bounds(spark, sf_dir):
+    fr = frame(spark, sf_dir)
+    oof = md.cross_validate(fr, SEED, GBT_ITERS)
+    s = md.score(md.fit_full(fr, SEED, GBT_ITERS), fr)
+    b = md.conformal_bounds(oof, s)
+    return shape(b.select("listing_id", "predicted_p10", "predicted_p90", "below_p10"),
+                 ["predicted_p10", "predicted_p90"])
+
+
+_ = F
