@@ -68,7 +68,7 @@ FIRST_CHARS_LOCALITY = 400
 # ---------------------------------------------------------------------------
 
 
-def translate_pattern(p: str, digit: str | None = None, boundary: bool = False) -> str:
+def translate_pattern(p: str, digit: str | None = None, boundary: bool = False, java: bool = False) -> str:
     """Rewrite Python ``re`` escapes for another regex engine.
 
     ``\\s`` becomes Python's exact whitespace set (Java's Unicode ``\\s``
@@ -83,7 +83,10 @@ def translate_pattern(p: str, digit: str | None = None, boundary: bool = False)
         c = p[i]
         if c == "\\" and i + 1 < len(p):
             n = p[i + 1]
-            if n == "s":
+            if n == "s" and java:
+                # Java's Unicode \s plus the four separators Python also counts
+                out.append(r"\s\x1C-\x1F" if in_cls else r"[\s\x1C-\x1F]")
+            elif n == "s":
                 out.append(WS_CHARS if in_cls else WS)
             elif n == "d" and digit:
                 out.append(digit if in_cls else f"[{digit}]")
@@ -106,12 +109,12 @@ def translate_pattern(p: str, digit: str | None = None, boundary: bool = False)
 
 def ci(p: str) -> str:
     """Java form of a case-insensitive Python pattern."""
-    return "(?iU)" + translate_pattern(p)
+    return "(?iU)" + translate_pattern(p, java=True)
 
 
 def cu(p: str) -> str:
     """Java form of a case-sensitive Python pattern."""
-    return "(?U)" + translate_pattern(p)
+    return "(?U)" + translate_pattern(p, java=True)
 
 
 def _extract(c: Column, pattern: str, idx: int = 1) -> Column:
@@ -168,16 +171,18 @@ def parse_area(text: Column) -> Column:
 
 
 def parse_inr(text: Column) -> Column:
-    """Card amount. Commas removed first; lakh, thousand, plain, near 'rent'."""
+    """Card amount. Commas removed first; lakh, thousand, plain, near 'rent'.
+    Each rule's group is non-empty exactly when the rule matches, so the first
+    non-NULL extract decides the rule (a malformed number then gives NULL)."""
     t = F.replace(text, F.lit(","), F.lit(""))
-    lakh = _extract(t, ci(INR_LAKH_RE)).try_cast("double") * 100000
-    thousand = _extract(t, ci(INR_THOUSAND_RE)).try_cast("double") * 1000
-    plain = _extract(t, ci(INR_PLAIN_RE)).try_cast("double")
-    near = _extract(t, ci(INR_NEAR_RENT_RE)).try_cast("double")
-    # first matching rule wins even when its number is malformed
-    has = lambda p: t.rlike(ci(p))
-    return (F.when(has(INR_LAKH_RE), lakh).when(has(INR_THOUSAND_RE), thousand)
-            .when(has(INR_PLAIN_RE), plain).otherwise(near))
+    lakh = _extract(t, ci(INR_LAKH_RE))
+    thousand = _extract(t, ci(INR_THOUSAND_RE))
+    plain = _extract(t, ci(INR_PLAIN_RE))
+    near = _extract(t, ci(INR_NEAR_RENT_RE))
+    return (F.when(lakh.isNotNull(), lakh.try_cast("double") * 100000)
+            .when(thousand.isNotNull(), thousand.try_cast("double") * 1000)
+            .when(plain.isNotNull(), plain.try_cast("double"))
+            .otherwise(near.try_cast("double")))
 
 
 def _scaled_amount(num: Column, suffix: Column) -> Column:
@@ -189,9 +194,8 @@ def _scaled_amount(num: Column, suffix: Column) -> Column:
 def parse_message_rent(text: Column) -> Column:
     """Rent-anchored amount in [3k, 500k], else the first currency amount in [5k, 500k]."""
     p1 = ci(MSG_RENT_RE)
-    first = F.when(text.rlike(p1), _scaled_amount(F.regexp_extract(text, p1, 1),
-                                                  F.regexp_extract(text, p1, 2)))
-    first = F.when(first.between(3000, 500000) & (first != 0), first)
+    first = _scaled_amount(F.regexp_extract(text, p1, 1), F.regexp_extract(text, p1, 2))
+    first = F.when(first.between(3000, 500000), first)
     p2 = ci(MSG_INR_ANY_RE)
     amounts = F.zip_with(F.regexp_extract_all(text, F.lit(p2), 1),
                          F.regexp_extract_all(text, F.lit(p2), 2), _scaled_amount)
@@ -226,20 +230,65 @@ def locality_pattern() -> str:
     return r"\b(" + "|".join(re.escape(n) for n in correction_names()) + r")\b"
 
 
+WORD = r"\p{L}\p{N}_"   # Python's \w on str
+
+
+def trie_alternation(words: list[str]) -> str:
+    """Regex over literal ``words`` shaped as a prefix trie. At every node the
+    longer continuation is tried before stopping, so together with a trailing
+    boundary test it accepts exactly what ``(w1|w2|...)`` with the words sorted
+    longest-first accepts, but needs about one comparison per text position."""
+    import re
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        end = "" in node
+        kids = [re.escape(ch) + build(sub) for ch, sub in sorted(node.items()) if ch != ""]
+        if not kids:
+            return ""
+        body = kids[0] if len(kids) == 1 else "(?:" + "|".join(kids) + ")"
+        return f"(?:{body})?" if end else body
+    return build(tree)
+
+
+def locality_pattern_java() -> str:
+    """Lower-case names as a trie, with explicit Unicode word edges."""
+    names = sorted({n.lower() for n in correction_names()})
+    return f"(?<![{WORD}])({trie_alternation(names)})(?![{WORD}])"
+
+
 def correct_locality(text: Column, current: Column) -> Column:
     """struct(locality, changed) from whole-word mentions in the first 400 chars."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, FIRST_CHARS_LOCALITY)
     canon = F.create_map(*[x for k, v in correction_canon().items() for x in (F.lit(k), F.lit(v))])
-    hits = F.regexp_extract_all(head, F.lit(ci(locality_pattern())), 1)
-    canon_hits = F.filter(F.transform(hits, lambda h: F.element_at(canon, F.lower(h))),
-                          lambda h: h.isNotNull())
-    keep = current.isNotNull() & F.exists(canon_hits, lambda h: F.lower(h) == F.lower(current))
-    first = F.try_element_at(canon_hits, F.lit(1))
+    # case-insensitive match = case-sensitive match on the lower-cased head
+    hits = F.regexp_extract_all(F.lower(head), F.lit(locality_pattern_java()), 1)
+    cur = F.coalesce(current, F.lit(""))
+    # one pass over the hits: first canonical hit, whether the current tag is
+    # among them, and how many there are (the hit array is computed once)
+    init = F.struct(F.lit(None).cast("string").alias("first"), F.lit(False).alias("keep"),
+                    F.lit(0).alias("n"))
+
+    def step(acc, h):
+        c = F.element_at(canon, F.lower(h))
+        return F.struct(F.coalesce(acc["first"], c).alias("first"),
+                        (acc["keep"] | (c.isNotNull() & current.isNotNull() & (F.lower(c) == F.lower(cur))))
+                        .alias("keep"),
+                        (acc["n"] + F.when(c.isNotNull(), 1).otherwise(0)).alias("n"))
+
     outside = F.lit("outside_coverage")
-    loc = (F.when(F.size(canon_hits) == 0, outside).when(keep, current).otherwise(first))
-    changed = (F.when(F.size(canon_hits) == 0, F.coalesce(current, F.lit("")) != outside)
-               .when(keep, F.lit(False)).otherwise(first != F.coalesce(current, F.lit(""))))
-    return F.struct(loc.alias("locality"), changed.alias("changed"))
+
+    def finish(acc):
+        loc = F.when(acc["n"] == 0, outside).when(acc["keep"], current).otherwise(acc["first"])
+        changed = (F.when(acc["n"] == 0, cur != outside).when(acc["keep"], F.lit(False))
+                   .otherwise(acc["first"] != cur))
+        return F.struct(loc.alias("locality"), changed.alias("changed"))
+    return F.aggregate(hits, init, step, finish)
 
 
 # T14 - T17 (card enrichment) -----------------------------------------------
@@ -259,17 +308,26 @@ def parse_deposit(text: Column) -> Column:
 
 def parse_floor(text: Column) -> Column:
     """struct(floor_num, total_floors) from the first a/b pair; valid iff 0<=a<=b<=60."""
-    p = cu(FLOOR_RE)
-    a = _extract(text, p, 1).try_cast("int")
-    b = _extract(text, p, 2).try_cast("int")
+    m = F.regexp_extract(text, cu(FLOOR_RE), 0)     # one scan of the text
+    parts = F.split(m, "/")
+    a = F.trim(F.element_at(parts, 1)).try_cast("int")
+    b = F.trim(F.element_at(parts, 2)).try_cast("int")
     ok = (a >= 0) & (a <= b) & (b <= 60)
     return F.struct(F.when(ok, a).alias("floor_num"), F.when(ok, b).alias("total_floors"))
 
 
+# AGE_RE with possessive quantifiers for the Java engine. Same first match:
+# a digit run is always followed by a non-digit token, and giving whitespace
+# back from one \s* to the next cannot change what follows, so backtracking
+# into them can never produce a match the greedy form would miss.
+AGE_RE_POSSESSIVE = r"(\d++)\s*+(?:-\s*+(\d++))?\s*+\+?\s*+(?:years?|yrs?)\b"
+
+
 def parse_age(text: Column) -> Column:
-    p = ci(AGE_RE)
-    lo = _extract(text, p, 1).try_cast("double")
-    hi = F.coalesce(_extract(text, p, 2).try_cast("double"), lo)
+    m = F.regexp_extract(text, ci(AGE_RE_POSSESSIVE), 0)    # one scan of the text
+    p = ci(AGE_RE_POSSESSIVE)
+    lo = _extract(m, p, 1).try_cast("double")
+    hi = F.coalesce(_extract(m, p, 2).try_cast("double"), lo)
     mid = (lo + hi) / 2
     return F.when((mid >= 0) & (mid <= 100), mid)
 

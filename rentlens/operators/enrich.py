@@ -18,17 +18,19 @@ FILL_COLS = ["property_type", "deposit", "floor_num", "total_floors", "age_years
 def parse_cards(cards: DataFrame, text_col: str = "raw_text", current_col: str = "locality_query") -> DataFrame:
     t = F.col(text_col)
     fl = tx.parse_floor(t)
-    loc = tx.correct_locality(t, F.col(current_col))
-    return cards.select(
+    staged = cards.select(
         "listing_id",
         tx.parse_property_type(t).alias("p_property_type"),
         tx.parse_deposit(t).alias("p_deposit"),
-        fl["floor_num"].cast("double").alias("p_floor_num"),
-        fl["total_floors"].cast("double").alias("p_total_floors"),
+        fl.alias("_fl"),
         tx.parse_age(t).alias("p_age_years"),
-        loc["locality"].alias("p_locality"),
-        loc["changed"].alias("p_changed"),
-    )
+        tx.correct_locality(t, F.col(current_col)).alias("_loc"))
+    # second projection: each struct above is computed once and then read
+    return staged.select(
+        "listing_id", "p_property_type", "p_deposit",
+        F.col("_fl.floor_num").cast("double").alias("p_floor_num"),
+        F.col("_fl.total_floors").cast("double").alias("p_total_floors"),
+        "p_age_years", F.col("_loc.locality").alias("p_locality"), F.col("_loc.changed").alias("p_changed"))
 
 
 def _enriched(listings: DataFrame, cards: DataFrame, force: bool, source: str):

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rentlens.session import materialize
+
 
 def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
     cond = None
@@ -91,7 +93,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     ``p = 0.5`` is returned as (a+b)/2 of the two middle values, like numpy.
     """
     keys = list(keys)
-    d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    # narrow (keys, value) rows written once: range sampling and the two
+    # passes of the ranking read this instead of re-running the lineage
+    d = materialize(df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()))
     r = group_rank(d, keys, [F.col("_v")])
     n = F.col("_n")
     wanted: dict[str, Column] = {}
@@ -151,7 +155,8 @@ def order_stats(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per group: size ``_n`` and the order statistics ``_a, _b, _c`` at ranks
     h, h+1, h+2 (h = n // 2). Enough for the median (odd n: _b, even n:
     (_a+_b)/2) and for the leave-one-out median of any member."""
-    r = group_rank(long.where(F.col(value).isNotNull()), keys, [F.col(value)])
+    narrow = materialize(long.where(F.col(value).isNotNull()).select(*keys, value))
+    r = group_rank(narrow, keys, [F.col(value)])
     h = F.floor(F.col("_n") / 2)
     return pick_ranks(r, keys, value, {"_a": h, "_b": h + 1, "_c": h + 2})
 

@@ -61,20 +61,27 @@ def card_fields_sql(t: str) -> str:
 
 
 def card_fields(text):
-    fl = tx.parse_floor(text)
     return {
         "bhk": tx.parse_bhk(text), "area_sqft": tx.parse_area(text), "rent_monthly": tx.parse_inr(text),
         "furnishing": tx.parse_furnishing(text), "property_type": tx.parse_property_type(text),
-        "deposit": tx.parse_deposit(text), "floor_num": fl["floor_num"].cast("double"),
-        "total_floors": fl["total_floors"].cast("double"), "age_years": tx.parse_age(text),
+        "deposit": tx.parse_deposit(text), "_floor": tx.parse_floor(text), "age_years": tx.parse_age(text),
     }
 
 
+def with_card_fields(df, text_col="raw_text"):
+    """All card fields; the floor pair is parsed once then split (staged)."""
+    staged = df.select("*", *[v.alias(k) for k, v in card_fields(F.col(text_col)).items()])
+    return staged.select(*[c for c in staged.columns if c != "_floor"],
+                         F.col("_floor.floor_num").cast("double").alias("floor_num"),
+                         F.col("_floor.total_floors").cast("double").alias("total_floors"))
+
+
 @query("parse_card_fields", fx_cte("fx_cards") + "SELECT listing_id, "
        + ", ".join(f"{v} AS {k}" for k, v in card_fields_sql("raw_text").items()) + " FROM fx_cards")
 def parse_card_fields(spark, sf_dir):
-    c = fx(spark, sf_dir, "fx_cards")
-    return c.select("listing_id", *[v.alias(k) for k, v in card_fields(F.col("raw_text")).items()])
+    c = fx(spark, sf_dir, "fx_cards").select("listing_id", "raw_text")
+    return with_card_fields(c).select("listing_id", "bhk", "area_sqft", "rent_monthly", "furnishing",
+                                      "property_type", "deposit", "floor_num", "total_floors", "age_years")
 
 
 # --- chat messages --------------------------------------------------------
@@ -180,9 +187,10 @@ SELECT listing_id, locality, CAST(changed AS INTEGER) AS changed, {NORM_LOC_SQL}
 """)
 def correct_locality(spark, sf_dir):
     c = fx(spark, sf_dir, "fx_cards")
-    r = tx.correct_locality(F.col("raw_text"), F.col("locality_query"))
-    return c.select("listing_id", r["locality"].alias("locality"), r["changed"].cast("int").alias("changed"),
-                    tx.normalize_locality(r["locality"]).alias("locality_norm"))
+    staged = c.select("listing_id", tx.correct_locality(F.col("raw_text"), F.col("locality_query")).alias("r"))
+    return staged.select("listing_id", F.col("r.locality").alias("locality"),
+                         F.col("r.changed").cast("int").alias("changed"),
+                         tx.normalize_locality(F.col("r.locality")).alias("locality_norm"))
 
 
 # --- T18 regex extractor ------------------------------------------------------
