@@ -275,7 +275,7 @@ def correct_locality(text: Column, current: Column) -> Column:
                     F.lit(0).alias("n"))
 
     def step(acc, h):
-        c = F.element_at(canon, F.lower(h))
+        c = F.try_element_at(canon, F.lower(h))
         return F.struct(F.coalesce(acc["first"], c).alias("first"),
                         (acc["keep"] | (c.isNotNull() & current.isNotNull() & (F.lower(c) == F.lower(cur))))
                         .alias("keep"),
@@ -310,8 +310,8 @@ def parse_floor(text: Column) -> Column:
     """struct(floor_num, total_floors) from the first a/b pair; valid iff 0<=a<=b<=60."""
     m = F.regexp_extract(text, cu(FLOOR_RE), 0)     # one scan of the text
     parts = F.split(m, "/")
-    a = F.trim(F.element_at(parts, 1)).try_cast("int")
-    b = F.trim(F.element_at(parts, 2)).try_cast("int")
+    a = F.trim(F.try_element_at(parts, F.lit(1))).try_cast("int")
+    b = F.trim(F.try_element_at(parts, F.lit(2))).try_cast("int")
     ok = (a >= 0) & (a <= b) & (b <= 60)
     return F.struct(F.when(ok, a).alias("floor_num"), F.when(ok, b).alias("total_floors"))
 
@@ -355,7 +355,7 @@ def furnishing_category(furnishing: Column) -> Column:
     s = F.lower(F.coalesce(furnishing, F.lit("unknown")))
     s = F.regexp_replace(F.regexp_replace(s, "[^a-z]+", "_"), "^_+|_+$", "")
     m = F.create_map(*[x for k, v in FURNISHING_VARIANTS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, s), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(m, s), F.lit("unknown"))
 
 
 # T24 (typed label answers) ---------------------------------------------------

@@ -74,5 +74,5 @@ def preview_lines(df: DataFrame, key: str, text: str, max_chars: int = 600) -> D
     parts = F.split(head, LINE_BREAK, -1)
     n = F.size(parts)
     keep = F.when(head == "", F.array().cast("array<string>")).when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+        F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
     return df.select(key, F.posexplode(keep).alias("line_no", "line"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rentlens.session import materialize
@@ -57,6 +58,9 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank
            .sortWithinPartitions(*key_cols, *order)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
+    # both consumers below (segment counts and the join back) read the same
+    # sorted slices: one range shuffle, and identical positions for tied rows
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     seg = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     part = Window.partitionBy(*key_cols) if keys else Window.partitionBy(F.lit(0))
     before = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

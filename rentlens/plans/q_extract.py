@@ -341,3 +341,18 @@ SELECT count(*) AS n_rows, CAST(count_if(has_pt) AS BIGINT) AS n_property_type,
 def coverage_stats(spark, sf_dir):
     _, cov = enrich.enrich_with_coverage(fx(spark, sf_dir, "fx_listings"), fx(spark, sf_dir, "fx_cards"))
     return cov
+
+
+@query("dry_run_sample", fx_cte("fx_cards") + f"""
+SELECT listing_id, locality_query, {card_fields_sql('raw_text')['bhk']} AS bhk,
+       {card_fields_sql('raw_text')['area_sqft']} AS area_sqft, {card_fields_sql('raw_text')['rent_monthly']} AS rent_monthly,
+       left(raw_text, 300) AS preview
+FROM fx_cards ORDER BY listing_id LIMIT 3
+""")
+def dry_run_sample(spark, sf_dir):
+    """The first three parsed cards with a 300-character preview."""
+    c = fx(spark, sf_dir, "fx_cards")
+    t = F.col("raw_text")
+    return (c.select("listing_id", "locality_query", tx.parse_bhk(t).alias("bhk"), tx.parse_area(t).alias("area_sqft"),
+                     tx.parse_inr(t).alias("rent_monthly"), F.substring(t, 1, 300).alias("preview"))
+             .orderBy("listing_id").limit(3))

@@ -8,6 +8,7 @@ from rentlens.operators import pricing as pr, reports as rp
 from rentlens.plans.common import R6, shape
 from rentlens.plans.q_pricing import REG_SQL, _scored_sql, baseline, listings, regression_metrics_df
 from rentlens.plans.registry import query
+from rentlens.sources.fixtures import fx, fx_cte
 
 MODEL_VERSION = "baseline-v1"
 BHK_VALUES = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0]
@@ -144,3 +145,27 @@ SELECT metric, value FROM (
 def model_metrics(spark, sf_dir):
     m = regression_metrics_df(baseline(spark, sf_dir)).where(F.col("fold") < 0)
     return shape(rp.model_metrics_table(m, len(pr.FEATURE_COLS)), ["value"])
+
+
+@query("source_counts", fx_cte("fx_listings") + """
+SELECT split_part(source, ':', 1) AS source_bucket, count(*) AS n_listings,
+       count(*) FILTER (WHERE source LIKE 'telegram_share:%') AS n_share_posts
+FROM fx_listings GROUP BY 1
+""")
+def source_counts(spark, sf_dir):
+    """Raw counts by source prefix and the share-post count."""
+    from rentlens.functions import text as tx
+    d = listings(spark, sf_dir)
+    return d.groupBy(tx.source_bucket(F.col("source")).alias("source_bucket")).agg(
+        F.count(F.lit(1)).alias("n_listings"),
+        F.count(F.when(F.col("source").startswith("telegram_share:"), 1)).alias("n_share_posts"))
+
+
+@query("label_source_counts", fx_cte("fx_labels") + """
+SELECT coalesce(label_source, 'unspecified') AS label_source, count(*) AS n_labels FROM fx_labels GROUP BY 1
+""")
+def label_source_counts(spark, sf_dir):
+    """Label provenance histogram."""
+    lab = fx(spark, sf_dir, "fx_labels")
+    return lab.groupBy(F.coalesce("label_source", F.lit("unspecified")).alias("label_source")).agg(
+        F.count(F.lit(1)).alias("n_labels"))

@@ -57,7 +57,7 @@ SELECT doc_id AS msg_id, source AS group_name,
          WHEN 5 THEN 'rent 15000 located near Silk Board, bachelors only - male, minimum stay 2 years. '
          WHEN 6 THEN 'Posted by broker. deposit 50000, anyone welcome, 24/7 security and cctv. '
          WHEN 7 THEN 'Preferred Tenants: All. non-negotiable. geyser, fridge, car park. '
-         WHEN 8 THEN 'hi' ELSE '' END, substr(text, 1, 80)) AS text
+         WHEN 8 THEN 'hi' ELSE '' END, text) AS text
 FROM documents
 """
 
