@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentlens.functions import geo, text as tx
 from rentlens.operators import stats
-from rentlens.session import materialize
 from rentlens.sources import dims
 
 # FIXED VALUES: domain filter bounds, deal threshold, plausibility floor,
@@ -110,8 +109,8 @@ def with_priors(df: DataFrame, with_ratio: bool = False) -> DataFrame:
     d = (df.withColumn("_rps", F.col("rent_monthly") / F.col("area_sqft"))
            .withColumn("_bhk_int", F.rint("bhk").cast("int"))
            .withColumn("_ratio", F.col("deposit") / F.col("rent_monthly")))
-    # one row per group: bounded by the number of groups, shared by four consumers
-    st = materialize(_stacked_stats(d))
+    # one row per group (written by order_stats), shared by four consumers
+    st = _stacked_stats(d)
     glob = st.where(F.col("_g").isin(0, 3)).groupBy().agg(
         F.max(F.when(F.col("_g") == 0, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_gmed"),
         F.max(F.when(F.col("_g") == 3, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_rmed"))

@@ -47,10 +47,14 @@ def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
 
 
 def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_col: str = "_rank",
-               size_col: str = "_n") -> DataFrame:
+               size_col: str = "_n", held: list | None = None) -> DataFrame:
     """Add the exact 1-based rank of each row within its key group (``rank_col``)
     and the group size (``size_col``). Ties in ``order`` get distinct, arbitrary
     ranks; pass a unique tie-breaker last when the assignment must be stable.
+
+    The sorted slices are cached (memory, spilling to disk) for the two
+    consumers; callers that write their result pass ``held`` to receive the
+    cached frame and release it afterwards.
     """
     keys = list(keys)
     key_cols = [F.col(k) for k in keys]
@@ -61,6 +65,8 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank
     # both consumers below (segment counts and the join back) read the same
     # sorted slices: one range shuffle, and identical positions for tied rows
     s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(s)
     seg = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     part = Window.partitionBy(*key_cols) if keys else Window.partitionBy(F.lit(0))
     before = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +106,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     # narrow (keys, value) rows written once: range sampling and the two
     # passes of the ranking read this instead of re-running the lineage
     d = materialize(df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()))
-    r = group_rank(d, keys, [F.col("_v")])
+    held: list = []
+    r = group_rank(d, keys, [F.col("_v")], held=held)
     n = F.col("_n")
     wanted: dict[str, Column] = {}
     for name, p in probs.items():
@@ -108,7 +115,10 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         lo = F.floor(pos) + 1
         wanted[f"_{name}_lo"] = lo
         wanted[f"_{name}_hi"] = F.least(lo + 1, n)
-    st = pick_ranks(r, keys, "_v", wanted)
+    # a few rows per group, written once; then the cached slices are released
+    st = materialize(pick_ranks(r, keys, "_v", wanted))
+    for c in held:
+        c.unpersist()
     outs = []
     for name, p in probs.items():
         lo_v, hi_v = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
@@ -160,9 +170,15 @@ def order_stats(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     h, h+1, h+2 (h = n // 2). Enough for the median (odd n: _b, even n:
     (_a+_b)/2) and for the leave-one-out median of any member."""
     narrow = materialize(long.where(F.col(value).isNotNull()).select(*keys, value))
-    r = group_rank(narrow, keys, [F.col(value)])
+    held: list = []
+    r = group_rank(narrow, keys, [F.col(value)], held=held)
     h = F.floor(F.col("_n") / 2)
-    return pick_ranks(r, keys, value, {"_a": h, "_b": h + 1, "_c": h + 2})
+    # one row per group, written once (several consumers read it); then the
+    # cached slices are released
+    out = materialize(pick_ranks(r, keys, value, {"_a": h, "_b": h + 1, "_c": h + 2}))
+    for c in held:
+        c.unpersist()
+    return out
 
 
 def median_of(a: Column, b: Column, n: Column) -> Column:
