@@ -131,7 +131,9 @@ def loo_locality_bhk_prior(spark, sf_dir):
 SELECT listing_id, {_feat_select()} FROM feat
 """)
 def feature_matrix(spark, sf_dir):
-    d = pr.build_features(pr.with_localities(pr.scorable(listings(spark, sf_dir)), pr.localities_table(spark)))
+    # the predictions table holds the P1 feature frame it scored (build_features
+    # output plus score columns); read the features from it instead of ranking again
+    d = baseline(spark, sf_dir)
     cols = pr.FEATURE_COLS + ["log_rent"]
     dbl = [c for c in cols if not c.startswith(("furn_", "src_", "ptype_"))]
     return rounded(d.select("listing_id", *[F.col(c).cast("double") if c in dbl else F.col(c) for c in cols]), dbl)
