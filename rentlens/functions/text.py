@@ -30,6 +30,8 @@ INR_LAKH_RE = r"(?:₹|rs\.?)\s*([\d.]+)\s*L"
 INR_THOUSAND_RE = r"(?:₹|rs\.?)\s*([\d.]+)\s*K"
 INR_PLAIN_RE = r"(?:₹|rs\.?)\s*([\d.]+)"
 INR_NEAR_RENT_RE = r"rent[^0-9]{0,20}([\d.]+)"
+# one hit of any of the three currency rules above (their shared prefix)
+_INR_HIT_RE = r"(?:₹|rs\.?)\s*[\d.]+\s*[LK]?"
 MSG_RENT_RE = r"(?:rent|rental)[^0-9]{0,80}(?:₹|rs\.?|inr)?\s*([\d,]+(?:\.\d+)?)\s*([KLkl])?"
 MSG_INR_ANY_RE = r"(?:₹|rs\.?)\s*([\d,]+(?:\.\d+)?)\s*([KLkl])?"
 RENT_MARKER_RE = (r"(?:\d+\s*bhk|\b(rent|deposit|rental|for\s+rent)\b|₹|rs\.?\s*\d|"
@@ -172,17 +174,35 @@ def parse_area(text: Column) -> Column:
 
 def parse_inr(text: Column) -> Column:
     """Card amount. Commas removed first; lakh, thousand, plain, near 'rent'.
-    Each rule's group is non-empty exactly when the rule matches, so the first
-    non-NULL extract decides the rule (a malformed number then gives NULL)."""
+
+    The three currency rules share their prefix, and their digit run cannot
+    give characters back to the suffix, so each rule's first match starts at
+    one of the successive matches of ``_INR_HIT_RE``. One scan collects those
+    hits; the rules then pick the first hit ending in L, in K, or the first
+    hit. A malformed number gives NULL (the rule is still decided).
+    """
     t = F.replace(text, F.lit(","), F.lit(""))
-    lakh = _extract(t, ci(INR_LAKH_RE))
-    thousand = _extract(t, ci(INR_THOUSAND_RE))
-    plain = _extract(t, ci(INR_PLAIN_RE))
-    near = _extract(t, ci(INR_NEAR_RENT_RE))
-    return (F.when(lakh.isNotNull(), lakh.try_cast("double") * 100000)
-            .when(thousand.isNotNull(), thousand.try_cast("double") * 1000)
-            .when(plain.isNotNull(), plain.try_cast("double"))
-            .otherwise(near.try_cast("double")))
+    hits = F.regexp_extract_all(t, F.lit(ci(_INR_HIT_RE)), 0)
+    plain = ci(INR_PLAIN_RE)    # on a hit it matches at the start: the hit's number
+    none = F.lit(None).cast("string")
+
+    def ends_in(h, ch):
+        return F.lower(F.substring(h, -1, 1)) == ch
+
+    def step(acc, h):   # first hit ending in L, first ending in K, first hit
+        return F.struct(F.coalesce(acc["l"], F.when(ends_in(h, "l"), h)).alias("l"),
+                        F.coalesce(acc["k"], F.when(ends_in(h, "k"), h)).alias("k"),
+                        F.coalesce(acc["p"], h).alias("p"))
+
+    def num(h):
+        return F.regexp_extract(h, plain, 1).try_cast("double")
+
+    def finish(acc):    # the near-'rent' rule runs only when no currency hit exists
+        return (F.when(acc["p"].isNull(), _extract(t, ci(INR_NEAR_RENT_RE)).try_cast("double"))
+                 .when(acc["l"].isNotNull(), num(acc["l"]) * 100000)
+                 .when(acc["k"].isNotNull(), num(acc["k"]) * 1000)
+                 .otherwise(num(acc["p"])))
+    return F.aggregate(hits, F.struct(none.alias("l"), none.alias("k"), none.alias("p")), step, finish)
 
 
 def _scaled_amount(num: Column, suffix: Column) -> Column:

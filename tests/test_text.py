@@ -1,5 +1,7 @@
 """Per-operator unit tests on inline rows (the quirks listed in FIXTURES.md)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from rentlens.functions import extract as ex, text as tx
@@ -141,3 +143,35 @@ def test_token_cost(spark):
 def test_furnishing_category(spark):
     assert many(spark, tx.furnishing_category, ["Fully Furnished", "semi-furnished", "UN FURNISHED", None, "x"]) == [
         "full", "semi", "unfurnished", "unknown", "unknown"]
+
+
+def _inr_brute(text):
+    """The four card-amount rules, each as its own first-match search."""
+    if text is None:
+        return None
+    t = text.replace(",", "")
+
+    def first(p):
+        m = re.search(p, t, re.I)
+        return m.group(1) if m else None
+
+    def num(s):
+        try:
+            return float(s)
+        except ValueError:
+            return None
+    for p, mult in ((tx.INR_LAKH_RE, 100000), (tx.INR_THOUSAND_RE, 1000), (tx.INR_PLAIN_RE, 1)):
+        g = first(p)
+        if g is not None:
+            v = num(g)
+            return None if v is None else v * mult
+    g = first(tx.INR_NEAR_RENT_RE)
+    return None if g is None else num(g)
+
+
+def test_parse_inr_single_scan_matches_rule_by_rule(spark):
+    cases = ["₹500 deposit ₹1.2L rent", "rs 900 then Rs. 25 k", "₹ 7 , ₹ 8L and ₹9K", "Rs.5000 ", "₹1.2.3 L ₹5",
+             "hours 5 rent 20000", "₹ rent 12000", "RS 40k", "₹ 12 lakh", "rent: 1.5.6", None, "", "₹₹500",
+             "₹ 3000 Rs 4000 K", "rs..5 L", "Rs 10 L, ₹ 20 K"]
+    got = many(spark, tx.parse_inr, cases)
+    assert got == [_inr_brute(c) for c in cases]
