@@ -140,7 +140,8 @@ def global_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> Data
 def loo_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Leave-one-out median of ``value`` within each key group.
 
-    Rows whose key has a NULL part, or whose group has a single row, get NULL.
+    Rows whose key has a NULL part, whose value is NULL, or whose group has a
+    single non-NULL value get NULL; NULL values are not group members.
     For group size n and h = n // 2 (1-based order statistics v[.]):
       n even: value <= v[h]  -> v[h+1]            else v[h]
       n odd : value <  v[h+1] -> (v[h+1]+v[h+2])/2
@@ -153,15 +154,10 @@ def loo_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Data
     for k in keys:
         c = F.col(k).isNotNull()
         valid = c if valid is None else valid & c
-    d = df.where(valid).select(*keys, F.col(value).alias("_v"))
-    r = group_rank(d, keys, [F.col("_v")])
-    h = F.floor(F.col("_n") / 2)
-    st = pick_ranks(r, keys, "_v", {"_a": h, "_b": h + 1, "_c": h + 2})
+    st = order_stats(df.where(valid).select(*keys, F.col(value).alias("_v")), keys, "_v")
     j = _join_on_keys(df, st, keys, "left")
-    v, a, b, c, n = F.col(value), F.col("_a"), F.col("_b"), F.col("_c"), F.col("_n")
-    even = F.when(v <= a, b).otherwise(a)
-    odd = F.when(v < b, (b + c) / 2).when(v > b, (a + b) / 2).otherwise((a + c) / 2)
-    res = F.when(n.isNull() | (n <= 1), F.lit(None).cast("double")).when(n % 2 == 0, even).otherwise(odd)
+    v = F.col(value)
+    res = F.when(v.isNotNull(), loo_from_stats(v, F.col("_a"), F.col("_b"), F.col("_c"), F.col("_n")))
     return j.withColumn(out, res).drop("_a", "_b", "_c", "_n")
 
 

@@ -35,12 +35,14 @@ def test_group_rank_is_exact_permutation(spark):
 
 
 def test_loo_median_matches_brute_force(spark):
-    rows = _rows()
+    rows = _rows() + [(20001, "a", None), (20002, "two", None)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
     got = {r.id: r.loo for r in stats.loo_median(df, ["g"], "v", "loo").collect()}
+    assert got[20001] is None and got[20002] is None
     groups = collections.defaultdict(list)
     for i, g, v in rows:
-        groups[g].append((i, v))
+        if v is not None:   # NULL values are not group members
+            groups[g].append((i, v))
     for g, items in groups.items():
         for i, v in items:
             if g is None or len(items) <= 1:
