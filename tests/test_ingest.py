@@ -58,3 +58,41 @@ def test_rerun_is_idempotent(spark):
     assert inserted.count() == 0
     assert met.first().n_new == 0
     assert _state_rows(again) == _state_rows(state)
+
+
+def test_hot_key_matches_run_by_run_brute_force(spark):
+    """One dedup key holds a third of all rows, spread over many partitions
+    (partial min_by / max_by combine); the state equals a run-by-run replay."""
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for i in range(3000):
+        hot = i % 3 == 0
+        loc = "HSR Layout" if hot else rnd.choice(["Hebbal", "Jigani", "Bellandur", "Whitefield"])
+        rent = 27000.0 if hot else float(rnd.randint(8, 60) * 1000)
+        day = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 50000))
+        rows.append((f"r{i:05d}", rnd.choice(["nobroker", "telegram:g1"]), f"h{rnd.randint(0, 1500)}", day, loc,
+                     2.0, 1100.0, rent, float(i), 1 if i < 1700 else 2))
+    raw = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    state, _, _ = ingest.ingest_runs(raw, [1, 2], "run", _order())
+    got = {r.dedup_key: (r.deposit, r.first_seen_at, r.last_seen_at, r.latest_raw_id) for r in state.collect()}
+
+    keyed = {r.raw_id: r.dedup_key for r in ingest.with_dedup_key(raw).select("raw_id", "dedup_key").collect()}
+    seen, want = set(), {}
+    for run in (1, 2):
+        batch = sorted((r for r in rows if r[9] == run), key=lambda r: (r[3], r[0]))
+        survivors = []
+        for r in batch:
+            if (r[1], r[2]) not in seen:
+                seen.add((r[1], r[2]))
+                survivors.append(r)
+        for r in survivors:   # in arrival order: first arrival fixes attributes, last moves last_seen
+            k = keyed[r[0]]
+            if k not in want:
+                want[k] = [r[8], r[3], r[3], r[0]]
+            else:
+                want[k][2], want[k][3] = r[3], r[0]
+    assert len(got) == len(want)
+    assert got == {k: tuple(v) for k, v in want.items()}
+    hot_key = max(want, key=lambda k: sum(1 for r in rows if keyed[r[0]] == k))
+    assert sum(1 for r in rows if keyed[r[0]] == hot_key) >= 1000
