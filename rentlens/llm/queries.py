@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rentlens.llm import ann, bpe, chat, exact, html, license, mixing, simhash, toxicity
+from rentlens.llm import ann, bpe, chat, exact, html, license, mixing, rindex, simhash, toxicity
 from rentlens.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,6 +67,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.canonical_turns(chat.turn_records(rows))))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 100-byte strings that also start earlier, removed."""
+    return rindex.span_digest(rindex.remove_repeats(read_table(spark, sf_dir, "documents"), length=100))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
     "op7_chat": op7_chat,
+    "op8_repeats": op8_repeats,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
 }
