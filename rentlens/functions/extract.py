@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from rentlens.functions import text as tx
 from rentlens.functions.text import ci, json_string_array
 
 # ---------------------------------------------------------------------------
@@ -168,7 +169,6 @@ _ANSWER_SCHEMA = T.StructType([
     T.StructField("veg_only", T.BooleanType()),
     T.StructField("is_owner", T.BooleanType()),
     T.StructField("negotiable", T.BooleanType()),
-    T.StructField("lock_in_months", T.StringType()),
     T.StructField("amenities", T.StringType()),
 ])
 # Every field as text: any JSON value fits, so _corrupt is set only for
@@ -180,23 +180,28 @@ _VALIDITY_SCHEMA = T.StructType([T.StructField("tenant_pref", T.StringType()),
 def json_span(raw: Column) -> Column:
     """Widest {...} span of the answer, else the stripped answer."""
     span = F.regexp_extract(raw, r"\{[\s\S]*\}", 0)
-    return F.when(span != "", span).otherwise(F.trim(raw))
+    return F.when(span != "", span).otherwise(tx.strip(raw))
 
 
 def normalize_llm_answer(raw: Column) -> Column:
     """Struct of normalised fields plus ``ok`` (False = unparseable answer).
 
     Non-boolean flags become NULL (BooleanType rejects strings). The lock-in
-    value is read as JSON text and cast; amenities must be a JSON array, are
-    intersected with the tag vocabulary, de-duplicated and sorted.
+    value converts as Python ``int`` does: numbers are truncated, true is 1, a
+    quoted whole number counts, other text does not. Amenities must be a JSON
+    array, are intersected with the tag vocabulary, de-duplicated and sorted.
     """
     span = json_span(raw)
     v = F.from_json(span, _VALIDITY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
     obj_ok = span.rlike(r"^\s*\{") & v["_corrupt"].isNull()
     j = F.from_json(span, _ANSWER_SCHEMA)
     tenant = F.when(j["tenant_pref"].isin(*TENANT_VALUES), j["tenant_pref"])
-    lock_txt = F.regexp_replace(j["lock_in_months"], r'^"|"$', "")
-    lock = F.when(lock_txt.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(lock_txt).try_cast("int"))
+    value = F.try_variant_get(F.try_parse_json(span), "$.lock_in_months", "variant")
+    kind = F.schema_of_variant(value)
+    as_text = tx.strip(F.try_variant_get(value, "$", "string"))
+    lock = (F.when(kind == "STRING", F.when(as_text.rlike(r"^[+-]?[0-9]+$"), as_text.try_cast("int")))
+            .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
+            .otherwise(F.try_variant_get(value, "$", "double").try_cast("int")))
     arr = F.when(F.trim(j["amenities"]).startswith("["), F.from_json(j["amenities"], "array<string>"))
     am = F.array_sort(F.array_distinct(F.array_intersect(F.coalesce(arr, F.array().cast("array<string>")),
                                                          F.array(*[F.lit(a) for a in AMENITY_TAGS]))))

@@ -354,6 +354,11 @@ def parse_age(text: Column) -> Column:
 
 # F1 / F2 / T21 - T23 --------------------------------------------------------
 
+def strip(c: Column) -> Column:
+    """White space of Python's ``str.strip`` removed at both ends."""
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+
+
 def looks_like_listing(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return ((F.char_length(t) >= 60) & ~t.rlike(ci(SALE_MARKER_RE)) & t.rlike(ci(RENT_MARKER_RE)))
@@ -380,26 +385,32 @@ def furnishing_category(furnishing: Column) -> Column:
 
 # T24 (typed label answers) ---------------------------------------------------
 
+def parse_choice_answer(raw: Column, allowed, default: Column) -> Column:
+    """One of ``allowed`` as typed; a null word gives NULL, anything else keeps the default."""
+    s = strip(raw)
+    return F.when(F.lower(s).isin(*NULL_WORDS), F.lit(None).cast("string")).when(s.isin(*allowed), s).otherwise(default)
+
+
 TRUE_WORDS = ("1", "y", "yes", "true", "t")
 FALSE_WORDS = ("0", "n", "no", "false", "f")
 NULL_WORDS = ("none", "null", "-")
 
 
 def parse_bool_answer(raw: Column) -> Column:
-    s = F.trim(raw)
+    s = strip(raw)
     return (F.when(F.lower(s).isin(*NULL_WORDS), F.lit(None).cast("int"))
             .when(s.isin(*TRUE_WORDS), F.lit(1)).when(s.isin(*FALSE_WORDS), F.lit(0)))
 
 
 def parse_int_answer(raw: Column) -> Column:
-    s = F.trim(raw)
+    s = strip(raw)
     return F.when(F.lower(s).isin(*NULL_WORDS), F.lit(None).cast("int")).otherwise(
         F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("int")))
 
 
 def parse_tag_answer(raw: Column, allowed: list[str]) -> Column:
-    s = F.trim(raw)
-    tags = F.transform(F.split(s, ","), lambda t: F.lower(F.trim(t)))
+    s = strip(raw)
+    tags = F.transform(F.split(s, ","), lambda t: F.lower(strip(t)))
     tags = F.filter(tags, lambda t: t != "")
     keep = F.array_sort(F.array_distinct(F.array_intersect(tags, F.array(*[F.lit(a) for a in allowed]))))
     return F.when(F.lower(s).isin("none", "null", "-", "empty"), F.array().cast("array<string>")).otherwise(keep)
@@ -413,9 +424,11 @@ def rupees(x: Column) -> Column:
 
 
 def title_words(s: Column) -> Column:
-    words = F.split(F.replace(s, F.lit("_"), F.lit(" ")), " ")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
-                                                              F.lower(F.substring(w, 2, 1 << 20)))), " ")
+    """Python ``str.title`` of the text with spaces for underscores: every run of
+    letters gets a capital, also after a digit."""
+    runs = F.regexp_extract_all(F.replace(s, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))),
+                                                             F.lower(F.substr(w, F.lit(2))))), "")
 
 
 def json_string_array(arr: Column) -> Column:

@@ -43,17 +43,27 @@ def latest_labels(labels: DataFrame, order_col: str) -> DataFrame:
                   .select("listing_id", "_l.*"))
 
 
+def latest_extractions(extractions: DataFrame, order_col: str = "extracted_at") -> DataFrame:
+    """One row per (listing, extractor), the latest by ``order_col``; ties go
+    to the largest version."""
+    keys = ["listing_id", "extractor"]
+    rest = [c for c in extractions.columns if c not in keys]
+    order = F.struct(*[F.col(c) for c in (order_col, "extractor_version") if c in rest], F.lit(0))
+    return (extractions.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_l")).select(*keys, "_l.*"))
+
+
 def scorecard(labels: DataFrame, extractions: DataFrame) -> DataFrame:
     """G4 per (eval_set, extractor): n_examples, per-field accuracy (NULL equals
-    NULL), macro accuracy, mean cost x 1000, p50/p95 latency (NULL -> 0).
-    Extractor version: the latest ``extracted_at`` when present, else the max."""
+    NULL, values compared by their type), macro accuracy, mean cost x 1000,
+    p50/p95 latency (NULL -> 0). Each listing counts its latest extraction by an
+    extractor; the version shown is the latest one among those."""
     lab = _with_fields(labels)
     slices = F.array(F.lit(EVAL_FULL), F.when(F.col("label_source") == "human", F.lit(EVAL_HUMAN)))
     lab = lab.select(F.explode(F.array_compact(slices)).alias("eval_set"), "listing_id",
                      *[F.col(f).alias(f"g_{f}") for f in FIELDS])
-    x = _with_fields(extractions)
-    x = x.select("listing_id", "extractor", "extractor_version",
-                 *([F.col("extracted_at")] if "extracted_at" in x.columns else []),
+    x = _with_fields(latest_extractions(extractions))
+    stamp = F.col("extracted_at") if "extracted_at" in x.columns else F.lit(None).cast("timestamp")
+    x = x.select("listing_id", "extractor", "extractor_version", stamp.alias("extracted_at"),
                  *[F.col(f).alias(f"p_{f}") for f in FIELDS],
                  F.coalesce(F.col("latency_ms"), F.lit(0.0)).alias("latency_ms"),
                  F.coalesce(F.col("cost_usd"), F.lit(0.0)).alias("cost_usd"))
@@ -63,10 +73,10 @@ def scorecard(labels: DataFrame, extractions: DataFrame) -> DataFrame:
         if f == "amenities":
             ok = tag_set(F.col("p_amenities")) == tag_set(F.col("g_amenities"))
         else:
-            ok = F.col(f"p_{f}").cast("string").eqNullSafe(F.col(f"g_{f}").cast("string"))
+            kind = "string" if f == "tenant_pref" else "double"
+            ok = F.col(f"p_{f}").cast(kind).eqNullSafe(F.col(f"g_{f}").cast(kind))
         hits.append(F.avg(ok.cast("double")).alias(f"acc_{f}"))
-    version = (F.max_by("extractor_version", "extracted_at") if "extracted_at" in x.columns
-               else F.max("extractor_version"))
+    version = F.max_by("extractor_version", F.struct("extracted_at", "extractor_version"))
     keys = ["eval_set", "extractor"]
     agg = j.groupBy(*keys).agg(version.alias("extractor_version"), F.count(F.lit(1)).alias("n_examples"),
                                *hits, (F.avg("cost_usd") * 1000).alias("cost_per_1k_usd"))
@@ -86,42 +96,96 @@ def pending(listings: DataFrame, extractions: DataFrame, extractor: str, version
 
 
 def prelabel(extractions: DataFrame, preferred: str = ex.LLM_EXTRACTOR, fallback: str = ex.REGEX_EXTRACTOR,
-             fields=("veg_only", "is_owner")) -> DataFrame:
-    """Per listing, the preferred extractor's value when non-NULL, else the
-    fallback's (conditional-aggregation pivot, one shuffle on listing_id)."""
-    aggs = []
-    for f in fields:
-        pv = F.max(F.when(F.col("extractor") == preferred, F.col(f)))
-        fv = F.max(F.when(F.col("extractor") == fallback, F.col(f)))
-        aggs.append(F.coalesce(pv, fv).alias(f))
-    return extractions.groupBy("listing_id").agg(*aggs)
+             fields=tuple(FIELDS)) -> DataFrame:
+    """Hints of all label fields per listing, from the latest row of each
+    extractor: the preferred one's value when non-NULL, else the fallback's.
+    Amenities come from the preferred extractor's row even when it has none."""
+    x = _with_fields(latest_extractions(extractions).where(F.col("extractor").isin(preferred, fallback)))
+    of = lambda name, c: F.max(F.when(F.col("extractor") == name, c))
+    aggs = [F.coalesce(of(preferred, F.col(f)), of(fallback, F.col(f))).alias(f) for f in fields if f != "amenities"]
+    if "amenities" in fields:
+        tags = F.coalesce("amenities", F.array().cast("array<string>"))
+        aggs.append(F.coalesce(of(preferred, tags), of(fallback, tags)).alias("amenities"))
+    return x.groupBy("listing_id").agg(*aggs)
+
+
+TENANTS = ex.TENANT_VALUES
 
 
 def parse_answers(answers: DataFrame, hints: DataFrame) -> DataFrame:
-    """T24 + D10: typed answers -> label row. Empty answer keeps the hint;
-    provenance is 'human' when any answer was typed."""
-    j = answers.join(hints, "listing_id", "left")
-    typed = [F.trim(F.col(c)) != "" for c in ("a_veg_only", "a_lock_in_months", "a_amenities")]
-    any_typed = typed[0] | typed[1] | typed[2]
-    veg = F.when(F.trim(F.col("a_veg_only")) == "", F.col("veg_only")).otherwise(tx.parse_bool_answer(F.col("a_veg_only")))
-    lock = F.when(F.trim(F.col("a_lock_in_months")) == "", F.lit(None).cast("int")).otherwise(
-        tx.parse_int_answer(F.col("a_lock_in_months")))
-    am = F.when(F.trim(F.col("a_amenities")) == "", F.array().cast("array<string>")).otherwise(
-        tx.parse_tag_answer(F.col("a_amenities"), ex.AMENITY_TAGS))
-    return j.select("listing_id", veg.alias("veg_only"), lock.alias("lock_in_months"),
-                    tx.json_string_array(am).alias("amenities_json"),
-                    F.when(any_typed, F.lit("human")).otherwise(F.lit("silver-gemini")).alias("label_source"))
+    """T24 + D10: typed answers (``a_<field>``) -> label row. An empty answer keeps
+    the hint, for every field; provenance is 'human' when any answer was typed."""
+    h = _with_fields(hints).select("listing_id", *[F.col(f).alias(f"h_{f}") for f in FIELDS])
+    j = answers.join(h, "listing_id", "left")
+    for f in FIELDS:
+        if f"a_{f}" not in j.columns:
+            j = j.withColumn(f"a_{f}", F.lit(""))
+    blank = {f: tx.strip(F.col(f"a_{f}")) == "" for f in FIELDS}
+    parsed = {"tenant_pref": tx.parse_choice_answer(F.col("a_tenant_pref"), TENANTS, F.col("h_tenant_pref")),
+              "lock_in_months": tx.parse_int_answer(F.col("a_lock_in_months")),
+              "amenities": tx.parse_tag_answer(F.col("a_amenities"), ex.AMENITY_TAGS)}
+    out = {}
+    for f in FIELDS:
+        value = parsed[f] if f in parsed else tx.parse_bool_answer(F.col(f"a_{f}"))
+        hint = F.col(f"h_{f}")
+        if f == "amenities":
+            hint = F.coalesce(hint, F.array().cast("array<string>"))
+        elif f != "tenant_pref":
+            hint = hint.cast("int")
+        out[f] = F.when(blank[f], hint).otherwise(value)
+    typed = ~blank[FIELDS[0]]
+    for f in FIELDS[1:]:
+        typed = typed | ~blank[f]
+    return j.select("listing_id", *[out[f].alias(f) for f in FIELDS if f != "amenities"],
+                    tx.json_string_array(out["amenities"]).alias("amenities_json"),
+                    F.when(typed, F.lit("human")).otherwise(F.lit("silver-gemini")).alias("label_source"))
 
 
 def apply_corrections(labels: DataFrame, fixes: DataFrame, drops: DataFrame) -> DataFrame:
-    """Drop listed ids, override fields present in ``fixes`` (non-NULL), and
-    upgrade the corrected rows' provenance to 'human'."""
+    """Drop listed ids, override the fields that a fix names, and upgrade the
+    corrected rows' provenance to 'human'.
+
+    A fix names its fields in ``fields`` (array of column names), so a field can
+    be set to NULL; without that column, the fields that are not NULL count.
+    """
     kept = labels.join(drops.select("listing_id").distinct(), "listing_id", "left_anti")
-    fcols = [c for c in fixes.columns if c != "listing_id"]
-    f = fixes.select("listing_id", *[F.col(c).alias(f"fix_{c}") for c in fcols], F.lit(True).alias("_fixed"))
-    j = kept.join(f, "listing_id", "left")
-    out = j
+    fcols = [c for c in fixes.columns if c not in ("listing_id", "fields")]
+    named = F.col("fields") if "fields" in fixes.columns else F.array_compact(
+        F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in fcols]))
+    f = fixes.select("listing_id", *[F.col(c).alias(f"fix_{c}") for c in fcols], named.alias("_named"))
+    out = kept.join(f, "listing_id", "left")
     for c in fcols:
-        out = out.withColumn(c, F.coalesce(F.col(f"fix_{c}"), F.col(c)))
-    out = out.withColumn("label_source", F.when(F.col("_fixed"), F.lit("human")).otherwise(F.col("label_source")))
-    return out.drop("_fixed", *[f"fix_{c}" for c in fcols])
+        out = out.withColumn(c, F.when(F.array_contains("_named", c), F.col(f"fix_{c}")).otherwise(F.col(c)))
+    out = out.withColumn("label_source", F.when(F.col("_named").isNotNull(), F.lit("human")).otherwise(F.col("label_source")))
+    return out.drop("_named", *[f"fix_{c}" for c in fcols])
+
+
+def correction_counts(labels: DataFrame, fixes: DataFrame, drops: DataFrame) -> DataFrame:
+    """Labels that corrections change and drop."""
+    ids = labels.select("listing_id")
+    gone = drops.select("listing_id").distinct()
+    fixed = ids.join(fixes.select("listing_id").distinct(), "listing_id", "left_semi").join(gone, "listing_id", "left_anti")
+    dropped = ids.join(gone, "listing_id", "left_semi")
+    return (fixed.select(F.lit("changed").alias("what")).unionByName(dropped.select(F.lit("dropped").alias("what")))
+            .agg(F.count(F.when(F.col("what") == "changed", 1)).alias("n_changed"),
+                 F.count(F.when(F.col("what") == "dropped", 1)).alias("n_dropped")))
+
+
+def extraction_rows(listings: DataFrame, raws: DataFrame, extractions: DataFrame, extractor: str = ex.REGEX_EXTRACTOR,
+                    version: str = ex.REGEX_EXTRACTOR_VERSION, limit: int | None = None, force: bool = False) -> DataFrame:
+    """J2 + D7 + T18: the regex extractor's rows for pending listings.
+
+    Listings find their text by ``latest_raw_id``; pending ones are taken in the
+    order of listing_id, the first ``limit`` if given (the feature). Rows carry
+    raw_id, extractor, version, extracted_at, latency and cost, and replace rows
+    with the same (listing, extractor, version) in the table (``store.replace_by_key``).
+    """
+    todo = pending(listings.select("listing_id", "latest_raw_id"), extractions, extractor, version, force=force)
+    r = raws.select(F.col("raw_id").alias("_raw"), F.col("raw_text").alias("_text"))
+    j = todo.join(r, todo["latest_raw_id"] == r["_raw"]).select("listing_id", F.col("_raw").alias("raw_id"), "_text")
+    if limit is not None:
+        j = j.orderBy("listing_id").limit(limit)
+    return j.select("listing_id", "raw_id", F.lit(extractor).alias("extractor"), F.lit(version).alias("extractor_version"),
+                    *[v.alias(k) for k, v in ex.extract_record(F.col("_text")).items()],
+                    F.current_timestamp().alias("extracted_at"), F.lit(None).cast("double").alias("latency_ms"),
+                    F.lit(0.0).alias("cost_usd"))

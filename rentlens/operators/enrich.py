@@ -34,26 +34,30 @@ def parse_cards(cards: DataFrame, text_col: str = "raw_text", current_col: str =
 
 
 def _enriched(listings: DataFrame, cards: DataFrame, force: bool, source: str):
-    parsed = parse_cards(cards)
-    base = listings.where(F.col("source") == source)
+    parsed = parse_cards(cards).withColumn("p_source", F.lit(source)).withColumnRenamed("listing_id", "p_id")
+    base = listings
     for c in FILL_COLS:
         if c not in base.columns:
-            base = base.withColumn(c, F.lit(None).cast("double"))
+            base = base.withColumn(c, F.lit(None).cast("string" if c == "property_type" else "double"))
         elif c in ("floor_num", "total_floors"):
             base = base.withColumn(c, F.col(c).cast("double"))
-    j = base.join(parsed, "listing_id")
+    if "locality" not in base.columns:
+        base = base.withColumn("locality", F.lit(None).cast("string"))
+    j = base.join(parsed, (base["listing_id"] == parsed["p_id"]) & (base["source"] == parsed["p_source"]), "left")
+    hit = F.col("p_id").isNotNull()
     for c in FILL_COLS:
         new = F.col(f"p_{c}")
-        j = j.withColumn(c, new if force else F.coalesce(F.col(c), new))
-    j = (j.withColumn("locality", F.col("p_locality"))
-          .withColumn("locality_norm", tx.normalize_locality(F.col("p_locality"))))
-    return j
+        j = j.withColumn(c, F.when(hit, new).otherwise(F.col(c)) if force else F.coalesce(F.col(c), new))
+    return (j.withColumn("locality", F.when(hit, F.col("p_locality")).otherwise(F.col("locality")))
+             .withColumn("locality_norm", F.when(hit, tx.normalize_locality(F.col("p_locality")))
+                         .otherwise(F.col("locality_norm"))))
 
 
 def enrich_listings(listings: DataFrame, cards: DataFrame, force: bool = False,
                     source: str = "nobroker") -> DataFrame:
-    """Fill NULL fields from parsed card text (``force`` overwrites); the
-    locality is always replaced by the corrected one."""
+    """Fill NULL fields of one source's listings from their parsed card text
+    (``force`` overwrites); the locality of those is always replaced by the
+    corrected one. Every other listing is kept as it is."""
     j = _enriched(listings, cards, force, source)
     return j.drop(*[c for c in j.columns if c.startswith("p_")])
 
@@ -62,7 +66,7 @@ def enrich_with_coverage(listings: DataFrame, cards: DataFrame, force: bool = Fa
                          source: str = "nobroker"):
     """(enriched listings, one-row coverage counts of what the parsers found)."""
     j = _enriched(listings, cards, force, source)
-    cov = j.agg(
+    cov = j.where("p_id IS NOT NULL").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("p_property_type").alias("n_property_type"),
         F.count("p_deposit").alias("n_deposit"),

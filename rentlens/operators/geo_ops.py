@@ -33,7 +33,7 @@ def search_frontier(localities: DataFrame, coords: DataFrame, radius_km: float =
     unknown) as base64 of a compact JSON array, percent-encoded name, radius."""
     c = coords.select(F.col("display_name").alias("locality_query"), F.col("lat").alias("_lat"),
                       F.col("lon").alias("_lon"))
-    j = localities.join(F.broadcast(c), "locality_query", "left")
+    j = localities.join(c, "locality_query", "left")
     lat = F.coalesce(F.col("_lat"), F.lit(dims.DEFAULT_CENTRE[0]))
     lon = F.coalesce(F.col("_lon"), F.lit(dims.DEFAULT_CENTRE[1]))
     payload = F.concat(F.lit('[{"lat":'), lat.cast("string"), F.lit(',"lon":'), lon.cast("string"),

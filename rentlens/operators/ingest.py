@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rentlens.functions import text as tx
+from rentlens.session import materialize
 
+DEDUP_KEYS = ("source", "content_hash")
 LISTING_ATTRS = ["source", "locality", "locality_norm", "bhk", "area_sqft", "rent_monthly", "deposit",
                  "property_type", "furnishing", "floor_num", "total_floors"]
 
@@ -86,14 +88,39 @@ def merge_listings(state: DataFrame | None, raw: DataFrame, order: Sequence[Colu
     return j.select(*cols)
 
 
+#: Columns of the run ledger (K4) besides the counts.
+LEDGER = "run_id, source, started_at, finished_at, status, error, git_sha"
+
+
+def ledger(metrics: DataFrame, source: str | None = None, started_at=None, finished_at=None, status: str = "ok",
+           error: str | None = None, git_sha: str | None = None) -> DataFrame:
+    """K4: a run's counts with its ledger columns (times default to now)."""
+    time = lambda t: F.current_timestamp() if t is None else F.lit(t).cast("timestamp")
+    text = lambda t: F.lit(t).cast("string")
+    return metrics.drop("status").withColumns({
+        "source": text(source), "started_at": time(started_at), "finished_at": time(finished_at),
+        "status": text(status), "error": text(error), "git_sha": text(git_sha)})
+
+
+def failed_run(spark, run_id, error: str, **columns) -> DataFrame:
+    """K4: the ledger row of a run that failed: no counts, status ``failed`` and its error."""
+    none = spark.range(1).select(F.lit(run_id).alias("run_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_scraped", "n_raw", "n_new")])
+    return ledger(none, status="failed", error=error, **columns)
+
+
 def ingest_run(history: DataFrame | None, state: DataFrame | None, batch: DataFrame, run_id,
-               order: Sequence[Column], dedup_keys: Sequence[str] = ("source", "content_hash")):
+               order: Sequence[Column], dedup_keys: Sequence[str] = DEDUP_KEYS):
     """One run: D1 against history and within the batch, D3 merge, K3 log, K4 ledger.
 
     ``batch`` needs raw_id, content_hash, observed_at and the listing fields.
     Returns (raw_inserted, new_state, observations, run_metrics).
     """
     inserted = insert_if_absent(history, batch, dedup_keys, order)
+    return inserted, *merge_run(state, batch, inserted, run_id, order)
+
+
+def merge_run(state: DataFrame | None, batch: DataFrame, inserted: DataFrame, run_id, order: Sequence[Column]):
+    """The run after D1: (new_state, observations, run_metrics)."""
     keyed = with_dedup_key(inserted)
     new_state = merge_listings(state, keyed, order)
     obs = keyed.select(
@@ -110,17 +137,23 @@ def ingest_run(history: DataFrame | None, state: DataFrame | None, batch: DataFr
         F.count(F.when(F.col("_k") == "raw", 1)).alias("n_raw"),
         F.count(F.when(F.col("_k") == "new", 1)).alias("n_new"),
     ).select(F.lit(run_id).alias("run_id"), "n_scraped", "n_raw", "n_new", F.lit("ok").alias("status"))
-    return inserted, new_state, obs, metrics
+    return new_state, obs, metrics
 
 
 def ingest_runs(raw: DataFrame, runs: Sequence, run_col: str, order: Sequence[Column]):
-    """Apply runs in order; returns (final_state, observations, metrics)."""
+    """Apply runs in order; returns (final_state, observations, metrics).
+
+    The inserted rows and the state of every run are written before the next
+    one reads them, so the plan of a run does not hold those of earlier runs.
+    """
     history = state = None
     obs_all = met_all = None
     for r in runs:
         batch = raw.where(F.col(run_col) == F.lit(r))
-        inserted, state, obs, met = ingest_run(history, state, batch, r, order)
-        keep = inserted.select("source", "content_hash")
+        inserted = materialize(insert_if_absent(history, batch, DEDUP_KEYS, order))
+        state, obs, met = merge_run(state, batch, inserted, r, order)
+        state = materialize(state)
+        keep = inserted.select(*DEDUP_KEYS)
         history = keep if history is None else history.unionByName(keep)
         obs_all = obs if obs_all is None else obs_all.unionByName(obs)
         met_all = met if met_all is None else met_all.unionByName(met)

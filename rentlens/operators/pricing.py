@@ -67,7 +67,7 @@ def scorable(listings: DataFrame) -> DataFrame:
 def with_localities(listings: DataFrame, localities: DataFrame) -> DataFrame:
     """Left join on locality_norm; the dimension is a fixed small table."""
     loc = localities.select("locality_norm", *GEO_COLS)
-    return listings.join(F.broadcast(loc), "locality_norm", "left")
+    return listings.join(loc, "locality_norm", "left")
 
 
 def in_domain(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def export_frame(listings: DataFrame, predictions: DataFrame, localities: DataFr
     base = listings.where(F.col("rent_monthly").isNotNull() & F.col("area_sqft").isNotNull()
                           & F.col("bhk").isNotNull())
     j = (base.join(preds, "listing_id", "left")
-             .join(F.broadcast(localities.select("locality_norm", *EXPORT_GEO)), "locality_norm", "left"))
+             .join(localities.select("locality_norm", *EXPORT_GEO), "locality_norm", "left"))
     return (j.withColumn("rent_per_sqft", F.col("rent_monthly") / F.col("area_sqft"))
              .withColumn("save_pct", F.rint(F.col("value_score") * 100 * 10) / 10)
              .withColumn("deposit_to_rent", F.rint(F.col("deposit") / F.col("rent_monthly") * 100) / 100)
@@ -78,7 +78,7 @@ def locality_rollup(export: DataFrame, localities: DataFrame) -> DataFrame:
     med = medians(export, keys, {"median_rent": "rent_monthly", "median_rent_per_sqft": "rent_per_sqft",
                                  "median_save_pct": "save_pct"})
     out = _join_null_safe(counts, med, keys)
-    return out.join(F.broadcast(localities), "locality_norm", "left")
+    return out.join(localities, "locality_norm", "left")
 
 
 def bi_measures(export: DataFrame) -> DataFrame:
@@ -108,16 +108,10 @@ def rent_histogram(export: DataFrame) -> DataFrame:
                   .agg(F.count(F.lit(1)).alias("n_listings")))
 
 
-def bhk_col_name(v: float) -> str:
-    return "bhk_" + repr(float(v)).replace(".", "_")
-
-
-def locality_bhk_pivot(export: DataFrame, bhk_values: Sequence[float], row_key: str = "locality_norm") -> DataFrame:
-    """Median rent per (row key, bhk), pivoted to one column per bhk value."""
-    med = medians(export, [row_key, "bhk"], {"median_rent": "rent_monthly"})
-    # conditional aggregation over the fixed column list (what pivot() plans)
-    return med.groupBy(row_key).agg(*[F.max(F.when(F.col("bhk") == F.lit(float(v)), F.col("median_rent")))
-                                      .alias(bhk_col_name(v)) for v in bhk_values])
+def locality_bhk_pivot(export: DataFrame, row_key: str = "locality_norm") -> DataFrame:
+    """The pivot's cells, one row per (row key, bhk) with its median rent,
+    for every bhk that the data has."""
+    return medians(export, [row_key, "bhk"], {"median_rent": "rent_monthly"})
 
 
 def property_mix(export: DataFrame) -> DataFrame:
@@ -150,7 +144,7 @@ def board_filter(board: DataFrame, localities=None, bhk=None, rent_range=(3000,
 def board_kpis(filtered: DataFrame) -> DataFrame:
     """Listings, median saving %, median rent of the filtered board."""
     d = filtered.withColumn("_k", F.lit(0)).withColumn("_save", F.col("value_score") * 100)
-    cnt = d.groupBy("_k").agg(F.count(F.lit(1)).alias("n_listings"))
+    cnt = d.agg(F.count(F.lit(1)).alias("n_listings")).withColumn("_k", F.lit(0))  # one row, also for an empty board
     med = medians(d, ["_k"], {"median_saving_pct": "_save", "median_rent": "rent_monthly"})
     return cnt.join(med, "_k", "left").drop("_k")
 

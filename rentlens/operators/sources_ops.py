@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rentlens.functions import text as tx
-from rentlens.sources import dims
 
 
 def newest_per_group(df: DataFrame, group: str, order, limit: int) -> DataFrame:
@@ -25,7 +24,7 @@ def chat_listings(messages: DataFrame, group: str, order, limit: int, cutoff_col
     d = newest_per_group(messages, group, order, limit)
     if cutoff_col is not None and cutoff is not None:
         d = d.where(F.col(cutoff_col) >= F.lit(cutoff))
-    d = d.withColumn("text", F.trim(F.col("text")))
+    d = d.withColumn("text", tx.strip(F.col("text")))
     return d.where(tx.looks_like_listing(F.col("text")))
 
 
@@ -59,8 +58,9 @@ def select_groups(groups: DataFrame, names: list[str], ids: list[int], name_col:
 
 
 def fk_violations(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, relation: str) -> DataFrame:
-    """Count of child rows whose key has no parent (left anti join)."""
-    bad = child.select(F.col(child_key).alias("_k")).join(
+    """Count of child rows whose key has no parent (left anti join). A NULL
+    key refers to nothing and is no violation."""
+    bad = child.select(F.col(child_key).alias("_k")).where("_k IS NOT NULL").join(
         parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
     return bad.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(relation).alias("relation"), "n_violations")
 
@@ -71,6 +71,3 @@ def key_set_diff(expected: DataFrame, present: DataFrame, key: str) -> DataFrame
     p = present.select(F.col(key).alias("key")).distinct()
     return (e.subtract(p).select(F.lit("missing").alias("kind"), "key")
             .unionByName(p.subtract(e).select(F.lit("unexpected").alias("kind"), "key")))
-
-
-_ = dims  # dims constants are used by callers building group lists

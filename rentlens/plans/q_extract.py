@@ -114,13 +114,14 @@ def guess_sql(t: str) -> str:
                               for n in dims.KNOWN_LOCALITIES) + " END"
 
 
-MSG_CTE = fx_cte("fx_messages") + ", msgs AS (SELECT msg_id, group_name, trim(text) AS text FROM fx_messages)\n"
+STRIP_TEXT_SQL = f"regexp_replace(text, '^{tx.WS}+|{tx.WS}+$', '', 'g')"
+MSG_CTE = fx_cte("fx_messages") + ", msgs AS (SELECT msg_id, group_name, " + STRIP_TEXT_SQL + " AS text FROM fx_messages)\n"
 
 
 def messages(spark, sf_dir):
     """Chat posts with the text stripped, as the chat reader does."""
     m = fx(spark, sf_dir, "fx_messages")
-    return m.select("msg_id", "group_name", F.trim(F.col("text")).alias("text"))
+    return m.select("msg_id", "group_name", tx.strip(F.col("text")).alias("text"))
 
 
 @query("parse_message_rent", MSG_CTE + f"""
@@ -235,7 +236,7 @@ TENANTS_SQL = ", ".join(sq(v) for v in ex.TENANT_VALUES)
 TAGS_SQL = "[" + ", ".join(sq(v) for v in ex.AMENITY_TAGS) + "]"
 LLM_CTE = fx_cte("fx_responses") + r""",
 sp AS (SELECT *, CASE WHEN regexp_extract(response, '\{[\s\S]*\}', 0) <> '' THEN regexp_extract(response, '\{[\s\S]*\}', 0)
-                      ELSE trim(response) END AS js FROM fx_responses),
+                      ELSE trim(response, chr(10) || chr(9) || ' ') END AS js FROM fx_responses),
 ok AS (SELECT * FROM sp WHERE json_valid(js) AND json_type(js) = 'OBJECT')"""
 
 
@@ -248,8 +249,11 @@ LLM_SELECT = f"""SELECT listing_id,
   CASE WHEN json_extract_string(js, '$.tenant_pref') IN ({TENANTS_SQL}) AND json_type(js, '$.tenant_pref') = 'VARCHAR'
        THEN json_extract_string(js, '$.tenant_pref') END AS tenant_pref,
   {bool_sql('veg_only')} AS veg_only, {bool_sql('is_owner')} AS is_owner, {bool_sql('negotiable')} AS negotiable,
-  CAST(CASE WHEN regexp_matches(json_extract_string(js, '$.lock_in_months'), '^\\s*[+-]?[0-9]+\\s*$')
-            THEN TRY_CAST(trim(json_extract_string(js, '$.lock_in_months')) AS INTEGER) END AS DOUBLE) AS lock_in_months,
+  CAST(CASE WHEN json_type(js, '$.lock_in_months') = 'BOOLEAN' THEN CAST(CAST(json_extract(js, '$.lock_in_months') AS BOOLEAN) AS INTEGER)
+            WHEN json_type(js, '$.lock_in_months') = 'VARCHAR' THEN
+              CASE WHEN regexp_matches(json_extract_string(js, '$.lock_in_months'), '^\\s*[+-]?[0-9]+\\s*$')
+                   THEN TRY_CAST(trim(json_extract_string(js, '$.lock_in_months')) AS INTEGER) END
+            ELSE trunc(TRY_CAST(json_extract_string(js, '$.lock_in_months') AS DOUBLE)) END AS DOUBLE) AS lock_in_months,
   '[' || array_to_string(list_transform(list_sort(list_distinct(list_filter(
       CASE WHEN json_type(js, '$.amenities') = 'ARRAY' THEN CAST(json_extract(js, '$.amenities') AS VARCHAR[]) ELSE [] END,
       lambda a: list_contains({TAGS_SQL}, a)))), lambda x: '"' || x || '"'), ', ') || ']' AS amenities_json
@@ -296,7 +300,7 @@ PROMPT_HEAD, PROMPT_TAIL = ex.PROMPT_TEMPLATE.split("{text}")
 
 @query("prompt_batch", LLM_CTE.replace("WITH ", fx_cte("fx_messages").replace("WITH ", "WITH ", 1).rstrip() + ",\n", 1)
        + f""",
-msgs AS (SELECT msg_id, trim(text) AS text FROM fx_messages)
+msgs AS (SELECT msg_id, {STRIP_TEXT_SQL} AS text FROM fx_messages)
 SELECT msg_id AS listing_id, {sq(PROMPT_HEAD)} || text || {sq(PROMPT_TAIL)} AS prompt
 FROM msgs WHERE {listing_sql('text')} AND msg_id NOT IN (SELECT listing_id FROM ok)
 """)
@@ -319,13 +323,13 @@ parsed AS (SELECT f.listing_id, f.locality, {card_fields_sql('f.raw_text')['prop
 e AS (SELECT l.listing_id, coalesce(l.property_type, p.p_type) AS property_type, coalesce(l.deposit, p.p_dep) AS deposit,
     coalesce(CAST(l.floor_num AS DOUBLE), p.p_fn) AS floor_num, coalesce(CAST(l.total_floors AS DOUBLE), p.p_tf) AS total_floors,
     p.p_age AS age_years, p.locality, p.changed,
-    p.p_type IS NOT NULL AS has_pt, p.p_dep IS NOT NULL AS has_dep, p.p_fn IS NOT NULL AS has_fl, p.p_age IS NOT NULL AS has_age
-  FROM fx_listings l JOIN parsed p ON l.listing_id = p.listing_id WHERE l.source = 'nobroker')"""
+    p.p_type IS NOT NULL AS has_pt, p.p_dep IS NOT NULL AS has_dep, p.p_fn IS NOT NULL AS has_fl, p.p_age IS NOT NULL AS has_age,
+    CASE WHEN p.listing_id IS NULL THEN l.locality_norm ELSE {NORM_LOC_SQL.replace('locality', 'p.locality')} END AS locality_norm, p.listing_id IS NOT NULL AS hit
+  FROM fx_listings l LEFT JOIN parsed p ON l.listing_id = p.listing_id AND l.source = 'nobroker')"""
 
 
 @query("enrich_fill", ENRICH_SQL + f"""
-SELECT listing_id, property_type, deposit, floor_num, total_floors, age_years, locality,
-       {NORM_LOC_SQL} AS locality_norm FROM e
+SELECT listing_id, property_type, deposit, floor_num, total_floors, age_years, locality, locality_norm FROM e
 """)
 def enrich_fill(spark, sf_dir):
     e = enrich.enrich_listings(fx(spark, sf_dir, "fx_listings"), fx(spark, sf_dir, "fx_cards"))
@@ -336,7 +340,7 @@ def enrich_fill(spark, sf_dir):
 @query("coverage_stats", ENRICH_SQL + """
 SELECT count(*) AS n_rows, CAST(count_if(has_pt) AS BIGINT) AS n_property_type, CAST(count_if(has_dep) AS BIGINT) AS n_deposit,
        CAST(count_if(has_fl) AS BIGINT) AS n_floor, CAST(count_if(has_age) AS BIGINT) AS n_age, CAST(sum(changed) AS BIGINT) AS n_locality_changed,
-       CAST(count_if(locality = 'outside_coverage') AS BIGINT) AS n_outside FROM e
+       CAST(count_if(locality = 'outside_coverage') AS BIGINT) AS n_outside FROM e WHERE hit
 """)
 def coverage_stats(spark, sf_dir):
     _, cov = enrich.enrich_with_coverage(fx(spark, sf_dir, "fx_listings"), fx(spark, sf_dir, "fx_cards"))

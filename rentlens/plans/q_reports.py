@@ -11,7 +11,6 @@ from rentlens.plans.registry import query
 from rentlens.sources.fixtures import fx, fx_cte
 
 MODEL_VERSION = "baseline-v1"
-BHK_VALUES = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0]
 
 
 def predictions(spark, sf_dir):
@@ -85,13 +84,11 @@ def rent_histogram(spark, sf_dir):
     return rp.rent_histogram(export(spark, sf_dir))
 
 
-@query("locality_bhk_pivot", EXPORT_SQL + ", med AS (SELECT locality_norm, bhk, median(rent_monthly) AS m FROM ex "
-       "GROUP BY locality_norm, bhk)\nSELECT locality_norm, "
-       + ", ".join(f"{R6(f'max(CASE WHEN bhk = {v!r} THEN m END)')} AS {rp.bhk_col_name(v)}" for v in BHK_VALUES)
-       + " FROM med GROUP BY locality_norm")
+@query("locality_bhk_pivot", EXPORT_SQL + f"""
+SELECT locality_norm, bhk, {R6('median(rent_monthly)')} AS median_rent FROM ex GROUP BY locality_norm, bhk
+""")
 def locality_bhk_pivot(spark, sf_dir):
-    p = rp.locality_bhk_pivot(export(spark, sf_dir), BHK_VALUES)
-    return shape(p, [rp.bhk_col_name(v) for v in BHK_VALUES])
+    return shape(rp.locality_bhk_pivot(export(spark, sf_dir)), ["median_rent"])
 
 
 @query("property_mix", EXPORT_SQL + "SELECT property_type, count(*) AS n_listings FROM ex GROUP BY property_type")
@@ -107,8 +104,8 @@ def board_kpis(spark, sf_dir):
     return shape(rp.board_kpis(board(spark, sf_dir)), ["median_saving_pct", "median_rent"])
 
 
-TITLE_SQL = ("array_to_string(list_transform(string_split(replace(locality_norm, '_', ' '), ' '), "
-             "lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')")
+TITLE_SQL = ("array_to_string(list_transform(regexp_extract_all(replace(locality_norm, '_', ' '), '(\\p{L}+|\\P{L}+)', 1), "
+             "lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '')")
 
 
 @query("deals_board", EXPORT_SQL + f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rentlens.functions import text as tx
 from rentlens.operators import sources_ops as so
-from rentlens.plans.q_extract import listing_sql
+from rentlens.plans.q_extract import STRIP_TEXT_SQL, listing_sql
 from rentlens.plans.registry import query
 from rentlens.sources.tables import read_table
 
@@ -17,9 +17,9 @@ WANTED_GROUP_IDS = [7]
 
 
 @query("message_topn", f"""
-SELECT conv_id, turn, trim(text) AS text FROM conversations
+SELECT conv_id, turn, {STRIP_TEXT_SQL} AS text FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {MSGS_PER_GROUP}
-  AND {listing_sql('trim(text)')}
+  AND {listing_sql(STRIP_TEXT_SQL)}
 """)
 def message_topn(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

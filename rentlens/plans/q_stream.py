@@ -5,20 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rentlens.plans.q_ingest import RAW_CTE, STATE_COLS, order
+from rentlens.plans.q_ingest import STATE_COLS, order
 from rentlens.plans.common import shape
 from rentlens.plans.registry import ORACLES, query
 from rentlens.sources.fixtures import FX_SQL
 from rentlens.sources.tables import read_table
 from rentlens.streaming import ingest_stream as st
-from rentlens.functions import text as tx  # noqa: F401
 
 SIGHTINGS_CUTOFF = "2024-01-03 00:00:00"
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    return st.stream_dedup(spark, sf_dir).select("user_id", "event_type")
+    return st.stream_dedup(spark, st.file_stream(spark, sf_dir, "events")).select("user_id", "event_type")
 
 
 @query("stream_weekly_sightings", f"""
@@ -26,7 +25,7 @@ SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, user_id, c
 FROM events WHERE ts >= TIMESTAMP '{SIGHTINGS_CUTOFF}' GROUP BY 1, 2
 """)
 def stream_weekly_sightings(spark, sf_dir):
-    w = st.weekly_sightings(spark, sf_dir, SIGHTINGS_CUTOFF)
+    w = st.weekly_sightings(spark, st.file_stream(spark, sf_dir, "events"), SIGHTINGS_CUTOFF)
     return w.select(F.to_date("week_start").cast("string").alias("week"), "user_id", "n_sightings")
 
 
@@ -52,4 +51,3 @@ def stream_upsert(spark, sf_dir):
 
 
 ORACLES["stream_upsert"] = ORACLES["listing_upsert"]
-_ = RAW_CTE

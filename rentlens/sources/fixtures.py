@@ -57,13 +57,17 @@ SELECT doc_id AS msg_id, source AS group_name,
          WHEN 5 THEN 'rent 15000 located near Silk Board, bachelors only - male, minimum stay 2 years. '
          WHEN 6 THEN 'Posted by broker. deposit 50000, anyone welcome, 24/7 security and cctv. '
          WHEN 7 THEN 'Preferred Tenants: All. non-negotiable. geyser, fridge, car park. '
-         WHEN 8 THEN 'hi' ELSE '' END, text) AS text
+         WHEN 8 THEN concat(chr(10), chr(10), 'hi', chr(9)) ELSE '' END, text, CASE WHEN doc_id % 4 = 1 THEN concat(chr(10), ' ', chr(10)) ELSE '' END) AS text
 FROM documents
 """
 
 FX_SQL["fx_responses"] = """
 SELECT doc_id AS listing_id, 400 + doc_id % 37 AS prompt_tokens, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 60 + doc_id % 13 END AS output_tokens,
-       CASE doc_id % 6
+       CASE doc_id % 10
+         WHEN 6 THEN concat(chr(10), ' {"tenant_pref":"family","lock_in_months":11.0,"amenities":["ac"]} ', chr(9))
+         WHEN 7 THEN '{"lock_in_months":6.5,"negotiable":true}'
+         WHEN 8 THEN '{"lock_in_months":true,"amenities":{"ac":1}}'
+         WHEN 9 THEN '{"lock_in_months":"6.5","veg_only":null}'
          WHEN 0 THEN '{"tenant_pref":"family","veg_only":true,"is_owner":false,"negotiable":null,"lock_in_months":11,"amenities":["lift","gym","lift"]}'
          WHEN 1 THEN 'Here you go: {"tenant_pref":"students","veg_only":"yes","is_owner":true,"lock_in_months":"6","amenities":["jacuzzi","ac"]} done'
          WHEN 2 THEN '{"tenant_pref":null,"amenities":"none"}'
@@ -74,18 +78,28 @@ FROM documents
 
 FX_SQL["fx_labels"] = """
 SELECT doc_id AS listing_id, quality AS veg_only, CASE WHEN toxic = 1 THEN NULL ELSE 1 END AS is_owner,
+       CASE doc_id % 4 WHEN 0 THEN 'family' WHEN 1 THEN 'any' WHEN 2 THEN 'bachelors' ELSE NULL END AS tenant_pref,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 1 END AS negotiable,
+       CASE WHEN doc_id % 6 = 0 THEN NULL ELSE CAST(doc_id % 12 AS INT) END AS lock_in_months,
+       CASE doc_id % 5 WHEN 0 THEN '["gym", "lift"]' WHEN 1 THEN '["lift", "gym", "lift"]' WHEN 2 THEN '[]' WHEN 3 THEN NULL ELSE '["ac"]' END AS amenities_json,
        CASE WHEN doc_id % 3 = 0 THEN 'human' ELSE 'silver-gemini' END AS label_source
 FROM labels
 """
 
 FX_SQL["fx_extractions"] = """
-SELECT l.doc_id AS listing_id, x.extractor, '1.0' AS extractor_version,
+SELECT l.doc_id AS listing_id, x.extractor, x.extractor_version,
+       CAST(CASE WHEN x.extractor_version = '1.0' THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS TIMESTAMP) AS extracted_at,
+       CASE WHEN l.doc_id % x.err = 1 THEN 'any' WHEN l.doc_id % 4 = 0 THEN 'family' WHEN l.doc_id % 4 = 2 THEN 'bachelors' ELSE NULL END AS tenant_pref,
+       CASE WHEN l.doc_id % x.err = 2 THEN 0 WHEN l.doc_id % 5 = 0 THEN NULL ELSE 1 END AS negotiable,
+       CASE WHEN l.doc_id % x.err = 3 OR l.doc_id % 6 = 0 THEN NULL ELSE CAST(l.doc_id % 12 AS DOUBLE) END AS lock_in_months,
+       CASE WHEN l.doc_id % x.err = 4 THEN '["ac"]' WHEN l.doc_id % 5 < 2 THEN '["lift", "gym"]' ELSE '[]' END AS amenities_json,
        CASE WHEN l.doc_id % x.err = 0 THEN 1 - l.quality ELSE l.quality END AS veg_only,
        CASE WHEN l.doc_id % (x.err + 2) = 0 THEN NULL ELSE 1 END AS is_owner,
        CASE WHEN l.doc_id % 17 = 0 THEN NULL ELSE CAST(l.doc_id % 101 AS DOUBLE) END AS latency_ms,
        CAST(l.doc_id % x.err AS DOUBLE) / 10000 AS cost_usd
-FROM labels l CROSS JOIN (SELECT 'regex-v1' AS extractor, 7 AS err UNION ALL SELECT 'llm' AS extractor, 5 AS err) x
-WHERE l.doc_id % (x.err * 4) <> 1
+FROM labels l CROSS JOIN (SELECT 'regex-v1' AS extractor, '1.0' AS extractor_version, 7 AS err UNION ALL SELECT 'llm', '1.0', 5
+     UNION ALL SELECT 'regex-v1', '2.0', 6) x
+WHERE l.doc_id % (x.err * 4) <> 1 AND (x.extractor_version = '1.0' OR l.doc_id % 3 = 0)
 """
 
 FX_SQL["fx_observations"] = """

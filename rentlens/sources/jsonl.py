@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rentlens.functions import text as tx
+
 LABEL_SCHEMA = T.StructType([
     T.StructField("listing_id", T.LongType()),
     T.StructField("tenant_pref", T.StringType()),
@@ -27,7 +29,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     # A file split into several partitions is read in split order, and the
     # partition index sits in the id's high bits, so (file, id) orders lines.
     t = t.withColumn("_ord", F.monotonically_increasing_id())
-    return t.where(F.trim("value") != "")
+    return t.where(tx.strip(F.col("value")) != "")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """Structured Streaming twins of the incremental ingest.
 
 R1 ``stream_upsert``      file stream -> foreachBatch(D1 -> D3 -> K3); each
-                          micro-batch is a run; listings state is a versioned
-                          parquet snapshot (never overwritten in place).
-R2 ``stream_dedup``       exact duplicate suppression on a key with bounded
-                          state (``dropDuplicatesWithinWatermark``).
+                          micro-batch is a run, published as one version.
+R2 ``stream_dedup``       exact duplicate suppression on a key that stays
+                          unique for ever (keyed state without expiry).
 R3/R4 ``weekly_sightings`` recency cutoff + 7-day tumbling event-time windows
-                          aligned to Monday, emitted in update mode and
-                          compacted to the latest value per window and key.
+                          aligned to Monday; every micro-batch adds its partial
+                          counts, which are summed by key, so sightings count
+                          however late they arrive.
 
 Every run uses ``trigger(availableNow=True)`` so a scheduled job processes what
 has landed and stops; checkpoints and outputs live under the shared
@@ -17,79 +17,134 @@ checkpoint folder, so a restarted driver resumes where it left off.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentlens.operators import ingest
-from rentlens.session import scratch_path
+from rentlens.session import materialize, scratch_path
+
+#: The listings state is kept in so many hash buckets; a run rewrites only those it touches.
+STATE_BUCKETS = 64
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Stream over one landed table's files (schema taken from the file footer)."""
-    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-
-
-def stream_dedup(spark: SparkSession, sf_dir: str, keys=("user_id", "event_type"), ts: str = "ts",
-                 delay: str = "31 days") -> DataFrame:
-    """R2: keep the first sighting of each key. State for a key is dropped once
-    the watermark passes its first event time + ``delay``."""
-    out, ck = _run_dir(spark, "dedup"), _run_dir(spark, "dedup-ck")
-    s = (file_stream(spark, sf_dir, "events")
-         .withColumn(ts, F.col(ts).cast("timestamp"))
-         .withWatermark(ts, delay)
-         .dropDuplicatesWithinWatermark(list(keys)))
-    q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").trigger(availableNow=True).start())
+def file_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 1) -> DataFrame:
+    """Stream over the files of one landed table, a single file or a folder of
+    part files (schema taken from the footers)."""
+    folder = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    # as a pattern the path may name a file as well as a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{table}[.]parquet")
+
+
+def stream_dedup(spark: SparkSession, source: DataFrame, keys: Sequence[str] = ("user_id", "event_type"),
+                 base_dir: str | None = None) -> DataFrame:
+    """R2: keep the first sighting of each key. A key is unique for ever, so its
+    state never expires; state is partitioned by key over the cluster."""
+    base = base_dir or _run_dir(spark, "dedup")
+    q = (source.dropDuplicates(list(keys)).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/_checkpoint").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(source.schema).parquet(f"{base}/out")
 
 
-def weekly_sightings(spark: SparkSession, sf_dir: str, cutoff: str, key: str = "user_id", ts: str = "ts",
-                     delay: str = "7 days") -> DataFrame:
+def weekly_sightings(spark: SparkSession, source: DataFrame, cutoff: str, key: str = "user_id", ts: str = "ts",
+                     base_dir: str | None = None) -> DataFrame:
     """R3 + R4: sightings newer than ``cutoff`` counted per Monday-aligned week
-    and key. Update-mode micro-batch outputs are appended as a changelog and
-    compacted to the latest count per (week, key)."""
-    out, ck = _run_dir(spark, "weekly"), _run_dir(spark, "weekly-ck")
-    s = (file_stream(spark, sf_dir, "events")
-         .withColumn(ts, F.col(ts).cast("timestamp"))
-         .where(F.col(ts) >= F.lit(cutoff).cast("timestamp"))
-         .withWatermark(ts, delay)
-         # epoch day 0 is a Thursday: a 4-day start offset aligns windows to Monday
-         .groupBy(F.window(ts, "7 days", "7 days", "4 days").alias("w"), F.col(key))
-         .agg(F.count(F.lit(1)).alias("n_sightings")))
+    and key. A micro-batch writes its own counts into its own folder (a replay
+    replaces them); the counts of all micro-batches are summed on reading."""
+    base = base_dir or _run_dir(spark, "weekly")
+    s = source.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts) >= F.lit(cutoff).cast("timestamp"))
+
+    def counts(batch: DataFrame) -> DataFrame:
+        # epoch day 0 is a Thursday: a 4-day start offset aligns windows to Monday
+        week = F.window(ts, "7 days", "7 days", "4 days")
+        return (batch.groupBy(week.alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("n_sightings"))
+                .select(F.col("w.start").alias("week_start"), key, "n_sightings"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("week_start"), key, "n_sightings", F.lit(batch_id).alias("batch_id"))
-              .write.mode("append").parquet(out))
+        counts(batch).write.mode("overwrite").parquet(f"{base}/counts/batch={batch_id}")
 
-    q = s.writeStream.foreachBatch(sink).option("checkpointLocation", ck).outputMode("update") \
-        .trigger(availableNow=True).start()
+    q = (s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    log = spark.read.parquet(out)
-    return (log.groupBy("week_start", key).agg(F.max_by("n_sightings", "batch_id").alias("n_sightings")))
+    if not exists(spark, f"{base}/counts"):
+        return spark.createDataFrame([], f"week_start timestamp, {key} {source.schema[key].dataType.simpleString()}, n_sightings long")
+    log = spark.read.parquet(f"{base}/counts")
+    return log.groupBy("week_start", key).agg(F.sum("n_sightings").alias("n_sightings"))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    """Highest complete ``v=N`` snapshot under ``path`` (has a _SUCCESS marker)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Highest complete ``v=N`` folder under ``path`` (has a _SUCCESS marker)."""
+    p, fs = _fs(spark, path)
     if not fs.exists(p):
         return None
-    best = None
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(n[2:])
-            best = v if best is None else max(best, v)
-    return best
+    versions = [int(n[2:]) for n in (st.getPath().getName() for st in fs.listStatus(p))
+                if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+    return max(versions, default=None)
+
+
+class Published:
+    """Tables of an ingest, published run by run.
+
+    A run writes history, observations, metrics and the state buckets that it
+    touched into folders of its own version, and last a manifest: the version
+    of every state bucket. Readers (the next run included) look at the newest
+    complete manifest only, so a run that died after any of its writes is
+    invisible, and its replay overwrites what it left.
+    """
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base
+
+    def version(self) -> int | None:
+        return latest_version(self.spark, f"{self.base}/manifest")
+
+    def table(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{name}").where(F.col("v") <= version).drop("v")
+
+    def buckets(self, version: int | None) -> dict[int, int]:
+        """Version of each non-empty state bucket (at most STATE_BUCKETS)."""
+        if version is None:
+            return {}
+        return {r["bucket"]: r["at"] for r in self.spark.read.parquet(f"{self.base}/manifest/v={version}").collect()}
+
+    def state(self, at: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.base}/state/v={v}/bucket={b}" for b, v in sorted(at.items())]
+        return self.spark.read.option("basePath", f"{self.base}/state").parquet(*paths).drop("v", "bucket") if paths else None
+
+    def publish(self, version: int, inserted: DataFrame, state: DataFrame, obs: DataFrame, metrics: DataFrame,
+                before: dict[int, int]) -> None:
+        at = lambda name: f"{self.base}/{name}/v={version}"
+        inserted.select("source", "content_hash").write.mode("overwrite").parquet(at("history"))
+        obs.write.mode("overwrite").parquet(at("observations"))
+        metrics.write.mode("overwrite").parquet(at("runs"))
+        (state.withColumn("bucket", bucket_of(F.col("dedup_key"))).repartition("bucket")
+              .write.mode("overwrite").partitionBy("bucket").parquet(at("state")))
+        folder, fs = _fs(self.spark, at("state"))
+        names = [st.getPath().getName() for st in fs.listStatus(folder)]
+        written = [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
+        manifest = before | dict.fromkeys(written, version)
+        rows = self.spark.createDataFrame(sorted(manifest.items()), "bucket int, at long")
+        rows.coalesce(1).write.mode("overwrite").parquet(at("manifest"))
+
+
+def bucket_of(key):
+    return F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
 
 
 def stream_upsert(spark: SparkSession, source: DataFrame, prepare, order_cols, name: str = "upsert",
@@ -97,33 +152,36 @@ def stream_upsert(spark: SparkSession, source: DataFrame, prepare, order_cols, n
     """Run the batch ingest on every micro-batch of ``source``.
 
     ``prepare(batch_df)`` turns landed rows into raw sightings (raw_id,
-    content_hash, observed_at, listing fields). Listings state and the
-    exact-dedup history are versioned parquet tables; each micro-batch reads the
-    latest version and writes the next one, observations are appended by run.
-    Returns (state, observations, run_metrics) DataFrames read back from disk.
+    content_hash, observed_at, listing fields). See ``Published`` for how a run
+    becomes visible. Returns (state, observations, run_metrics) DataFrames; an
+    empty stream gives empty ones.
     """
     base = base_dir or _run_dir(spark, name)
-    ck = f"{base}/_checkpoint"
+    tables = Published(spark, base)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prev = latest_version(spark, f"{base}/state")
+        prev = tables.version()
         if prev is not None and prev >= batch_id:
             return  # this run was already published (replayed micro-batch)
-        batch.persist()
-        raw = prepare(batch)
-        state = spark.read.parquet(f"{base}/state/v={prev}") if prev is not None else None
-        hist = spark.read.parquet(f"{base}/history") if prev is not None else None
-        inserted, new_state, obs, met = ingest.ingest_run(hist, state, raw, batch_id, order_cols())
-        inserted.select("source", "content_hash").write.mode("append").parquet(f"{base}/history")
-        # per-run folders written in overwrite mode: a replayed run replaces its own output
-        obs.write.mode("overwrite").parquet(f"{base}/observations/batch={batch_id}")
-        met.write.mode("overwrite").parquet(f"{base}/runs/batch={batch_id}")
-        # publishing the new state version last makes the run visible atomically
-        new_state.write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
-        batch.unpersist()
-
-    q = source.writeStream.foreachBatch(sink).option("checkpointLocation", ck).trigger(availableNow=True).start()
+        raw = materialize(prepare(batch))
+        history = tables.table("history", prev) if prev is not None else None
+        inserted = materialize(ingest.insert_if_absent(history, raw, ingest.DEDUP_KEYS, order_cols()))
+        before = tables.buckets(prev)
+        keys = ingest.with_dedup_key(inserted).select(bucket_of(F.col("dedup_key")).alias("b")).distinct()
+        touched = {r["b"] for r in keys.collect()}  # at most STATE_BUCKETS
+        state = tables.state({b: v for b, v in before.items() if b in touched})
+        new_state, obs, met = ingest.merge_run(state, raw, inserted, batch_id, order_cols())
+        tables.publish(batch_id, inserted, new_state, obs, met, before)
+
+    q = (source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    last = latest_version(spark, f"{base}/state")
-    return (spark.read.parquet(f"{base}/state/v={last}"), spark.read.parquet(f"{base}/observations"),
-            spark.read.parquet(f"{base}/runs"))
+    last = tables.version()
+    if last is None:
+        none = prepare(spark.createDataFrame([], source.schema))
+        inserted = ingest.insert_if_absent(None, none, ingest.DEDUP_KEYS, order_cols())
+        state, obs, met = ingest.merge_run(None, none, inserted, 0, order_cols())
+        return state, obs, met.where(F.lit(False))
+    state = tables.state(tables.buckets(last))
+    obs = tables.table("observations", last)
+    return obs.select("listing_id").where(F.lit(False)) if state is None else state, obs, tables.table("runs", last)
