@@ -64,7 +64,7 @@ def enrich_listings(listings: DataFrame, cards: DataFrame, force: bool = False,
 
 def enrich_with_coverage(listings: DataFrame, cards: DataFrame, force: bool = False,
                          source: str = "nobroker"):
-    """(enriched listings, one-row coverage counts of what the parsers found)."""
+    """(enriched listings, one-row coverage counts and shares in % of what the parsers found)."""
     j = _enriched(listings, cards, force, source)
     cov = j.where("p_id IS NOT NULL").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -75,4 +75,7 @@ def enrich_with_coverage(listings: DataFrame, cards: DataFrame, force: bool = Fa
         F.sum(F.col("p_changed").cast("long")).alias("n_locality_changed"),
         F.count(F.when(F.col("p_locality") == "outside_coverage", 1)).alias("n_outside"),
     )
+    counts = cov.columns[1:]
+    cov = cov.select("*", *[(F.coalesce(F.try_divide(F.col(c), F.col("n_rows")), F.lit(0.0)) * 100).alias(c.replace("n_", "pct_", 1))
+                            for c in counts])
     return j.drop(*[c for c in j.columns if c.startswith("p_")]), cov

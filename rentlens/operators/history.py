@@ -2,16 +2,17 @@
 month (W8), prediction drift between model versions (W9), expanding-window
 time splits (P8), latest runs (O3) and text preview lines (O6).
 
-Per-listing sequences use the distributed rank operator and an equi-join of
-each sighting with its predecessor (rank - 1), so a listing with a huge
-sighting history is spread over many tasks instead of one window partition.
+Per-listing sequences are cut into sorted slices by range; a sighting finds its
+predecessor inside its slice, and a slice's first sighting of a listing in a
+table of the slices' last ones, so a listing with a huge sighting history is
+spread over many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rentlens.operators import stats
+from rentlens.session import materialize
 
 # Python str.splitlines() boundaries.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -26,10 +27,21 @@ def days_on_market(obs: DataFrame, key: str = "listing_id", ts: str = "observed_
 def price_changes(obs: DataFrame, key: str = "listing_id", ts: str = "observed_at", tie: str = "obs_id",
                   value: str = "rent_monthly") -> DataFrame:
     """Sightings whose price differs from the listing's previous sighting."""
-    r = stats.group_rank(obs.select(key, ts, tie, value), [key], [F.col(ts), F.col(tie)])
-    prev = r.select(F.col(key), (F.col("_rank") + 1).alias("_rank"), F.col(value).alias("prev_value"),
-                    F.col(tie).alias("prev_" + tie))
-    j = r.join(prev, [key, "_rank"])
+    cols = [key, ts, tie, value]
+    s = materialize(obs.select(*cols).repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie)
+                    .withColumn("_pid", F.spark_partition_id()))
+    # inside a slice the predecessor is the row before; a slice's first row of a
+    # listing takes the last row of that listing in the nearest slice before
+    own = Window.partitionBy("_pid", key).orderBy(ts, tie)
+    inside = (s.withColumn("_nth", F.row_number().over(own)).withColumn("prev_value", F.lag(value).over(own))
+               .withColumn("prev_" + tie, F.lag(tie).over(own)))
+    last = s.groupBy("_pid", key).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(tie).alias("t")), F.struct(ts, tie)).alias("_last"))
+    slices = Window.partitionBy(key).orderBy("_pid")   # at most one row per slice
+    edge = (last.withColumn("_prev", F.lag("_last").over(slices)).where("_prev IS NOT NULL")
+            .select("_pid", key, "_prev", F.lit(1).alias("_nth")))
+    j = (inside.join(edge, ["_pid", key, "_nth"], "left")
+         .withColumn("prev_value", F.when(F.col("_prev").isNotNull(), F.col("_prev.v")).otherwise(F.col("prev_value")))
+         .withColumn("prev_" + tie, F.when(F.col("_prev").isNotNull(), F.col("_prev.t")).otherwise(F.col("prev_" + tie))))
     return (j.where(F.col("prev_value").isNotNull() & F.col(value).isNotNull() & (F.col(value) != F.col("prev_value")))
              .select(tie, key, ts, F.col("prev_value").alias("prev_" + value), value,
                      (F.col(value) - F.col("prev_value")).alias("delta")))

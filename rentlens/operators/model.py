@@ -1,9 +1,9 @@
-"""Boosted-tree rent model on MLlib: size-tiered parameters (P2), k-fold CV
+"""Boosted-tree rent model on MLlib: parameter sets (P2), k-fold CV
 with pooled out-of-fold metrics (P3/G5), refit and persistence (P4), feature
 importance (P5/O4), whole-flat scoring (P6) and split-conformal p10/p90 bounds
 (P9).
 
-Training rows are assembled once and cached; MLlib trains each tree with
+Training rows are written once; MLlib trains each tree with
 distributed histogram aggregation (treeAggregate), so the data never leaves
 the executors. Fold ids are a hash of the listing id, not a driver-side shuffle.
 """
@@ -15,25 +15,21 @@ import json
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rentlens.operators import pricing as pr, stats
+from rentlens.session import materialize
+from rentlens.sources import store
 
 FOLDS = 5
-# FIXED VALUES: learning rate, row/column subsampling and the size tiers.
+# FIXED VALUES: learning rate, row/column subsampling and the parameter sets.
 LEARNING_RATE = 0.05
 SUBSAMPLE = 0.85
 COLSAMPLE = "0.85"
-TIERS = [(500, dict(max_iter=200, max_depth=4, min_instances=5)),
-         (2000, dict(max_iter=500, max_depth=6, min_instances=3)),
-         (None, dict(max_iter=800, max_depth=7, min_instances=2))]
-
-
-def tier_params(n_train: int) -> dict:
-    for bound, params in TIERS:
-        if bound is None or n_train < bound:
-            return dict(params)
-    raise AssertionError
+#: Parameter sets for training sets of under 500, under 2000 and more rows; the caller chooses.
+PARAMS = {"small": dict(max_iter=200, max_depth=4, min_instances=5),
+          "medium": dict(max_iter=500, max_depth=6, min_instances=3),
+          "large": dict(max_iter=800, max_depth=7, min_instances=2)}
 
 
 def fold_of(id_col) -> F.Column:
@@ -50,42 +46,51 @@ def model_frame(features: DataFrame) -> DataFrame:
                            "locality_norm", fold_of(F.col("listing_id")).alias("fold"))
 
 
-def gbt(n_train: int, seed: int, max_iter: int | None = None) -> Pipeline:
-    p = tier_params(n_train)
+def gbt(seed: int, params: dict = PARAMS["large"]) -> Pipeline:
+    p = params
     est = GBTRegressor(featuresCol="features", labelCol="log_rent", predictionCol="pred_log",
                        lossType="absolute", stepSize=LEARNING_RATE, subsamplingRate=SUBSAMPLE,
                        featureSubsetStrategy=COLSAMPLE, maxDepth=p["max_depth"],
-                       minInstancesPerNode=p["min_instances"], maxIter=max_iter or p["max_iter"], seed=seed)
+                       minInstancesPerNode=p["min_instances"], maxIter=p["max_iter"], seed=seed)
     asm = VectorAssembler(inputCols=pr.FEATURE_COLS, outputCol="features")
     return Pipeline(stages=[asm, est])
 
 
-def cross_validate(frame: DataFrame, seed: int = 42, max_iter: int | None = None, n_rows: int | None = None):
-    """Out-of-fold predictions (union of the k held-out folds)."""
-    frame = frame.persist()
-    n = n_rows if n_rows is not None else frame.count()
+def cross_validate(frame: DataFrame, seed: int = 42, params: dict = PARAMS["large"]) -> DataFrame:
+    """Out-of-fold predictions (union of the k held-out folds), written once."""
+    frame = materialize(frame)
     oof = None
     for k in range(FOLDS):
-        train = frame.where(F.col("fold") != k)
-        model = gbt(int(n * (FOLDS - 1) / FOLDS), seed + k, max_iter).fit(train)
-        held = model.transform(frame.where(F.col("fold") == k)).drop("features")
+        model = gbt(seed + k, params).fit(frame.where(F.col("fold") != k))
+        held = materialize(model.transform(frame.where(F.col("fold") == k)).drop("features"))
         oof = held if oof is None else oof.unionByName(held)
     return oof.withColumn("predicted_rent", F.exp("pred_log"))
 
 
+def time_validate(frame: DataFrame, week: str = "week", seed: int = 42, params: dict = PARAMS["large"],
+                  predict=None) -> DataFrame:
+    """Expanding windows: for each week after the first, fit on the weeks
+    before it and score it. Returns the scored rows with their ``fold``.
+    ``predict(train, valid)`` replaces the boosted trees (it adds ``pred_log``)."""
+    weeks = [r[0] for r in frame.select(week).distinct().orderBy(week).collect()]   # one row per week
+    out = None
+    for k, w in enumerate(weeks[1:], 1):
+        train, valid = frame.where(F.col(week) < F.lit(w)), frame.where(F.col(week) == F.lit(w))
+        held = predict(train, valid) if predict else gbt(seed + k, params).fit(train).transform(valid).drop("features")
+        held = materialize(held.withColumn("fold", F.lit(k)))
+        out = held if out is None else out.unionByName(held)
+    return out.withColumn("predicted_rent", F.exp("pred_log"))
+
+
 def cv_metrics(oof: DataFrame) -> DataFrame:
     """G5 on the original scale: per fold and pooled, plus fold-MAPE std."""
-    from rentlens.plans.q_pricing import regression_aggs
-    from pyspark.sql import Window
-    m = oof.rollup("fold").agg(*regression_aggs()).withColumn("fold", F.coalesce("fold", F.lit(-1)))
+    m = oof.rollup("fold").agg(*pr.regression_aggs()).withColumn("fold", F.coalesce("fold", F.lit(-1)))
     std = F.stddev_pop(F.when(F.col("fold") >= 0, F.col("mape"))).over(Window.partitionBy(F.lit(1)))
     return m.withColumn("mape_std", F.when(F.col("fold") < 0, std))
 
 
-def fit_full(frame: DataFrame, seed: int = 42, max_iter: int | None = None, n_rows: int | None = None
-             ) -> PipelineModel:
-    n = n_rows if n_rows is not None else frame.count()
-    return gbt(n, seed, max_iter).fit(frame)
+def fit_full(frame: DataFrame, seed: int = 42, params: dict = PARAMS["large"]) -> PipelineModel:
+    return gbt(seed, params).fit(frame)
 
 
 def importances(model: PipelineModel, spark: SparkSession, top: int | None = 8) -> DataFrame:
@@ -119,9 +124,40 @@ def conformal_bounds(oof: DataFrame, scored: DataFrame, lo: float = 0.10, hi: fl
              .drop("_qlo", "_qhi"))
 
 
-def save(model: PipelineModel, path: str, metadata: dict) -> None:
-    """Model plus a metadata JSON (feature order, n, CV metrics)."""
+def save(model: PipelineModel, path: str, metadata: dict, spark: SparkSession | None = None) -> None:
+    """Model plus a metadata JSON (feature order, version, n, CV metrics)."""
     model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(metadata),)], "meta string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/metadata")
+    spark = spark or SparkSession.getActiveSession()
+    meta = {"feature_cols": list(pr.FEATURE_COLS), **metadata}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """A saved model and its metadata."""
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
+
+
+def aligned(features: DataFrame, columns: list[str]) -> DataFrame:
+    """The stored feature columns in their stored order; a column that the
+    frame lacks, or a missing value, is 0."""
+    have = set(features.columns)
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in have else F.lit(0.0).alias(c) for c in columns]
+    return features.select(*[c for c in features.columns if c not in columns], *cols)
+
+
+def score_stored(spark: SparkSession, path: str, features: DataFrame, out: str | None = None) -> DataFrame:
+    """Score a feature frame with a stored model; with ``out``, also write
+    the predictions there under the model's version (K5)."""
+    model, meta = load(spark, path)
+    scored = score(model, aligned(features, meta["feature_cols"]))
+    if out is not None:
+        store.write_predictions(scored.select("listing_id", F.lit(meta.get("version", "unversioned")).alias("model_version"),
+                                              "predicted_rent", "value_score", "is_deal"), out)
+    return scored
+
+
+def stored_predictor(spark: SparkSession, path: str):
+    """The ``predict`` hook of ``pricing.share_deals`` for a stored model."""
+    model, meta = load(spark, path)
+    return lambda features: (model.transform(aligned(features, meta["feature_cols"])).drop("features")
+                             .withColumn("predicted_rent", F.exp("pred_log")))

@@ -197,3 +197,12 @@ def top_deals(scored: DataFrame, n: int = 10, id_col: str = "listing_id") -> Dat
     """O1: top-n deals by value score (listing id breaks ties)."""
     return (scored.where(F.col("is_deal") == 1)
                   .orderBy(F.col("value_score").desc(), F.col(id_col).asc()).limit(n))
+
+
+def regression_aggs(pred: str = "predicted_rent", actual: str = "rent_monthly"):
+    """N, MAE, MAPE and R^2 as aggregates."""
+    err = F.col(pred) - F.col(actual)
+    return [F.count(F.lit(1)).alias("n"),
+            F.avg(F.abs(err)).alias("mae"),
+            F.avg(F.abs(err) / F.abs(F.col(actual))).alias("mape"),
+            (1 - F.sum(err * err) / (F.count(F.lit(1)) * F.var_pop(actual))).alias("r2")]

@@ -188,3 +188,33 @@ def model_metrics_table(pooled: DataFrame, n_features: int) -> DataFrame:
         F.struct(F.lit("N training rows").alias("metric"), F.col("n").cast("double").alias("value")),
         F.struct(F.lit("N features").alias("metric"), F.lit(float(n_features)).alias("value")),
     )).alias("e")).select("e.*")
+
+
+def deal_counts(scored: DataFrame) -> DataFrame:
+    """Scored listings, those excluded as implausible, deals and their share,
+    room-share posts and theirs (shares in %, 0 without rows)."""
+    n = F.count(F.lit(1))
+    deals, shares = F.count(F.when(F.col("is_deal") == 1, 1)), F.count(F.when(F.col("source").startswith("telegram_share:"), 1))
+    rate = lambda part: F.coalesce(F.try_divide(part, n), F.lit(0.0)) * 100
+    return scored.agg(n.alias("n_scored"), F.count(F.when(F.col("is_plausible") == 0, 1)).alias("n_suspect"), deals.alias("n_deals"),
+                      rate(deals).alias("deal_rate_pct"), shares.alias("n_share_posts"), rate(shares).alias("share_rate_pct"))
+
+
+def locality_feeds(rollup: DataFrame) -> DataFrame:
+    """Rows of the map, bar and scatter: one per known locality, with its station as legend."""
+    return rollup.where(F.col("display_name").isNotNull()).select(
+        "display_name", "nearest_metro_station", "median_rent", "median_rent_per_sqft", "n_listings", "n_deals")
+
+
+def station_feeds(export: DataFrame) -> DataFrame:
+    """G12 by station: listings, deals and median rent per square foot of the listings nearest to it."""
+    key = ["nearest_metro_station"]
+    d = export.where(F.col(key[0]).isNotNull())
+    counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n_listings"), F.coalesce(F.sum("is_deal"), F.lit(0)).cast("double").alias("n_deals"))
+    return _join_null_safe(counts, medians(d, key, {"median_rent_per_sqft": "rent_per_sqft"}), key)
+
+
+def export_tables(export: DataFrame, rollup: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
+    """K9: the four exported tables; deals are ranked by value score."""
+    deals = export.where(F.col("is_deal") == 1).orderBy(F.col("value_score").desc(), "listing_id")
+    return {"listings": export, "deals": deals, "localities": rollup, "model_metrics": metrics}

@@ -7,7 +7,11 @@ landing in a single task as ``Window.partitionBy(group)`` would. Each slice is
 sorted locally; a per-(slice, group) count table -- at most one row per
 partition per group -- turns local positions into global ranks.
 
-On top of that:
+Order statistics need no row ranks: ``value_at_ranks`` first counts equal
+(group, value) rows, which combines map-side and so splits any tie, cuts the
+distinct values into sorted slices by range, finds from the slice totals which
+slices hold a wanted rank, and adds up counts inside those slices only.
+
   * ``group_quantiles``  exact interpolated quantiles (median, p50/p95 ...)
   * ``loo_median``       leave-one-out median per group in closed form: only
                          three order statistics per group are needed, then each
@@ -25,14 +29,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rentlens.session import materialize
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on possibly-NULL keys, keeping one copy of each key column."""
     if not keys:
@@ -78,21 +74,32 @@ def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank
                .drop("_pid", "_mid", "_first", "_off"))
 
 
-def pick_ranks(ranked: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, Column],
-               rank_col: str = "_rank", size_col: str = "_n") -> DataFrame:
-    """Per group, the value found at each wanted rank (a Column of ``size_col``).
+def value_at_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, Column],
+                   size_col: str = "_n") -> DataFrame:
+    """Per group, its size and the value at each wanted rank (a Column of ``size_col``, from 1), written.
 
-    Only the few rows sitting at wanted ranks survive the filter, so the final
-    aggregation is over a handful of rows per group.
+    NULL values are not counted. A group and value shared by any share of the
+    rows is one counted row; slices are cut from distinct values.
     """
-    hit = None
+    keys = list(keys)
+    key_cols = [F.col(k) for k in keys]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    s = materialize(counted.repartitionByRange(*key_cols, "_v").withColumn("_pid", F.spark_partition_id()))
+    part = Window.partitionBy(*key_cols)
+    before = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per slice and group
+    seg = (s.groupBy("_pid", *keys).agg(F.sum("_w").alias("_cnt"))
+           .withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).withColumn(size_col, F.sum("_cnt").over(part)))
+    inside = None
     for w in wanted.values():
-        c = F.col(rank_col) == w
-        hit = c if hit is None else hit | c
-    picked = ranked.where(hit)
-    aggs = [F.max(F.when(F.col(rank_col) == w, F.col(value))).alias(name) for name, w in wanted.items()]
-    aggs.append(F.max(size_col).alias(size_col))
-    return picked.groupBy(*keys).agg(*aggs)
+        hit = (w > F.col("_off")) & (w <= F.col("_off") + F.col("_cnt"))
+        inside = hit if inside is None else inside | hit
+    near = _join_on_keys(s, seg.where(inside).drop("_cnt"), ["_pid", *keys])
+    upto = F.sum("_w").over(Window.partitionBy("_pid", *key_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_hi", F.col("_off") + upto)
+    at = lambda w: (w <= F.col("_hi")) & (w > F.col("_hi") - F.col("_w"))
+    aggs = [F.max(F.when(at(w), F.col("_v"))).alias(name) for name, w in wanted.items()]
+    return materialize(near.groupBy(*keys).agg(*aggs, F.max(size_col).alias(size_col)))
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -103,11 +110,6 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     ``p = 0.5`` is returned as (a+b)/2 of the two middle values, like numpy.
     """
     keys = list(keys)
-    # narrow (keys, value) rows written once: range sampling and the two
-    # passes of the ranking read this instead of re-running the lineage
-    d = materialize(df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()))
-    held: list = []
-    r = group_rank(d, keys, [F.col("_v")], held=held)
     n = F.col("_n")
     wanted: dict[str, Column] = {}
     for name, p in probs.items():
@@ -115,10 +117,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         lo = F.floor(pos) + 1
         wanted[f"_{name}_lo"] = lo
         wanted[f"_{name}_hi"] = F.least(lo + 1, n)
-    # a few rows per group, written once; then the cached slices are released
-    st = materialize(pick_ranks(r, keys, "_v", wanted))
-    for c in held:
-        c.unpersist()
+    st = value_at_ranks(df, keys, value, wanted)
     outs = []
     for name, p in probs.items():
         lo_v, hi_v = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
@@ -165,16 +164,8 @@ def order_stats(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per group: size ``_n`` and the order statistics ``_a, _b, _c`` at ranks
     h, h+1, h+2 (h = n // 2). Enough for the median (odd n: _b, even n:
     (_a+_b)/2) and for the leave-one-out median of any member."""
-    narrow = materialize(long.where(F.col(value).isNotNull()).select(*keys, value))
-    held: list = []
-    r = group_rank(narrow, keys, [F.col(value)], held=held)
     h = F.floor(F.col("_n") / 2)
-    # one row per group, written once (several consumers read it); then the
-    # cached slices are released
-    out = materialize(pick_ranks(r, keys, value, {"_a": h, "_b": h + 1, "_c": h + 2}))
-    for c in held:
-        c.unpersist()
-    return out
+    return value_at_ranks(long, keys, value, {"_a": h, "_b": h + 1, "_c": h + 2})
 
 
 def median_of(a: Column, b: Column, n: Column) -> Column:

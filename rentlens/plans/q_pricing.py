@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from rentlens.operators import pricing as pr
+from rentlens.operators import model as md, pricing as pr
 from rentlens.plans.common import shape
 from rentlens.session import materialize
 from rentlens.plans.registry import query
@@ -193,23 +193,13 @@ def share_deals(spark, sf_dir):
 
 # --- G5 / G15 ----------------------------------------------------------------
 
-FOLDS = 5
-
-
-def fold_of(id_col):
-    """Stable 5-way fold id from an md5 of the key (same in any engine)."""
-    return (F.conv(F.substring(F.md5(id_col), 1, 8), 16, 10).cast("bigint") % FOLDS).cast("int")
-
+FOLDS = md.FOLDS
+fold_of = md.fold_of
 
 FOLD_SQL = f"CAST(CAST(('0x' || substr(md5(listing_id), 1, 8)) AS BIGINT) % {FOLDS} AS INTEGER)"
 
 
-def regression_aggs(pred: str = "predicted_rent", actual: str = "rent_monthly"):
-    err = F.col(pred) - F.col(actual)
-    return [F.count(F.lit(1)).alias("n"),
-            F.avg(F.abs(err)).alias("mae"),
-            F.avg(F.abs(err) / F.abs(F.col(actual))).alias("mape"),
-            (1 - F.sum(err * err) / (F.count(F.lit(1)) * F.var_pop(actual))).alias("r2")]
+regression_aggs = pr.regression_aggs
 
 
 def regression_metrics_df(scored, pred="predicted_rent", actual="rent_monthly", id_col="listing_id"):

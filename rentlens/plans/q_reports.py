@@ -166,3 +166,26 @@ def label_source_counts(spark, sf_dir):
     lab = fx(spark, sf_dir, "fx_labels")
     return lab.groupBy(F.coalesce("label_source", F.lit("unspecified")).alias("label_source")).agg(
         F.count(F.lit(1)).alias("n_labels"))
+
+
+@query("deal_counts", _scored_sql() + f"""
+SELECT count(*) AS n_scored, count(*) FILTER (WHERE is_plausible = 0) AS n_suspect, count(*) FILTER (WHERE is_deal = 1) AS n_deals,
+       {R6("count(*) FILTER (WHERE is_deal = 1) / CAST(count(*) AS DOUBLE) * 100")} AS deal_rate_pct,
+       count(*) FILTER (WHERE source LIKE 'telegram_share:%') AS n_share_posts,
+       {R6("count(*) FILTER (WHERE source LIKE 'telegram_share:%') / CAST(count(*) AS DOUBLE) * 100")} AS share_rate_pct
+FROM scored
+""")
+def deal_counts(spark, sf_dir):
+    return shape(rp.deal_counts(baseline(spark, sf_dir)), ["deal_rate_pct", "share_rate_pct"])
+
+
+@query("export_deals", EXPORT_SQL + f"""
+SELECT listing_id, locality_norm, bhk, area_sqft, rent_monthly, {R6('predicted_rent')} AS predicted_rent, {R6('value_score')} AS value_score,
+       save_pct, split_part(source, ':', 1) AS source_bucket FROM ex WHERE is_deal = 1 ORDER BY ex.value_score DESC, listing_id
+""")
+def export_deals(spark, sf_dir):
+    """K9: the ranked deals table."""
+    e = export(spark, sf_dir)
+    deals = rp.export_tables(e, e, e)["deals"]
+    return shape(deals.select("listing_id", "locality_norm", "bhk", "area_sqft", "rent_monthly", "predicted_rent", "value_score",
+                              "save_pct", "source_bucket"), ["predicted_rent", "value_score"])
