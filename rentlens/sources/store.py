@@ -18,6 +18,12 @@ def write_predictions(preds: DataFrame, path: str) -> None:
           .partitionBy("model_version").parquet(path))
 
 
+def append_observations(obs: DataFrame, path: str) -> None:
+    """K3: append a run's sightings to the log, one folder per run; a run that
+    is written again replaces its own folder (dynamic partition overwrite)."""
+    (obs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+
+
 def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """K6/K7: rows of ``new`` replace rows of ``existing`` with the same key."""
     return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -103,3 +103,9 @@ def test_feeds_by_locality_and_station(spark):
     roll = spark.createDataFrame([("A", "s1", 1.0, 2.0, 3, 4.0), (None, None, 1.0, 2.0, 3, 4.0)],
                                  "display_name string, nearest_metro_station string, median_rent double, median_rent_per_sqft double, n_listings int, n_deals double")
     assert reports.locality_feeds(roll).count() == 1
+
+
+def test_sightings_append_by_run(spark, tmp_path):
+    for run, n in ((1, 3), (2, 2), (1, 3)):
+        store.append_observations(spark.range(n).withColumn("run_id", F.lit(run)), str(tmp_path / "log"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).groupBy("run_id").count().collect()} == {(1, 3), (2, 2)}
