@@ -99,8 +99,10 @@ def _pieces(ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple[l
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Stretches (h, sig, doc, at, more): ``at`` is start * 128 + windows; ``more`` packs (doc, start) of
-    equal later stretches that were met in the same piece of a batch."""
+    """Stretches (h, sig, doc, at, more): ``at`` is start * 128 + windows. Of equal stretches in the same
+    piece of a batch only the earliest is a row; the others are known repeats and travel packed, one row
+    per text with a hash of its key for ``h`` and their ``at`` in ``more``, so a common passage makes no
+    partition heavier."""
     def task():
         def each(batch: pa.RecordBatch):
             out: dict[str, list] = {c: [] for c in ("h", "sig", "doc", "at", "more")}
@@ -116,22 +118,22 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                     start = start + np.array(offsets, np.int64)[which]
                     order = np.lexsort((start, doc, sig, h))
                     same = np.r_[False, (h[order][1:] == h[order][:-1]) & (sig[order][1:] == sig[order][:-1])]
-                    first = order[~same]
-                    more: list[bytes | None] = [None] * len(first)
-                    later = np.flatnonzero(same)
-                    if len(later):
-                        group = np.cumsum(~same)[later] - 1
-                        packed = np.stack([doc[order[later]], start[order[later]]], axis=1)
-                        cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                        for g, rows in zip(group[cut].tolist(), np.split(packed, cut[1:])):
-                            more[g] = rows.tobytes()
-                    back = np.argsort(first, kind="stable")  # in text order again, which compresses better
-                    first = first[back]
+                    first = np.sort(order[~same])  # in text order again, which compresses better
+                    at = start * 128 + windows
                     out["h"].append(h[first].view(np.int64))
                     out["sig"].append(sig[first].view(np.int64))
                     out["doc"].append(doc[first])
-                    out["at"].append(start[first] * 128 + windows[first])
-                    out["more"].append(pa.array([more[b] for b in back.tolist()], pa.binary()))
+                    out["at"].append(at[first])
+                    out["more"].append(pa.nulls(len(first), pa.binary()))
+                    later = np.sort(order[same])
+                    if len(later):
+                        cut = np.flatnonzero(np.r_[True, doc[later][1:] != doc[later][:-1]])
+                        texts_of = doc[later][cut]
+                        out["h"].append((texts_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                        out["sig"].append(np.zeros(len(cut), np.int64))
+                        out["doc"].append(texts_of)
+                        out["at"].append(np.zeros(len(cut), np.int64))
+                        out["more"].append(pa.array([x.tobytes() for x in np.split(at[later], cut[1:])], pa.binary()))
             if not out["h"]:
                 return None
             return {c: pa.chunked_array(v).combine_chunks() if c == "more" else np.concatenate(v) for c, v in out.items()}
@@ -164,7 +166,14 @@ def meet(met: DataFrame) -> DataFrame:
         pending = None  # the only distinct stretch so far of the last h
         for batch in batches:
             h, sig, doc, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            packed = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            blobs = [batch.column(4)[i].as_py() for i in np.flatnonzero(packed).tolist()]
+            known_doc, known_at = np.repeat(doc[packed], [len(b) // 8 for b in blobs]), np.frombuffer(b"".join(blobs), np.int64)
+            h, sig, doc, at = h[~packed], sig[~packed], doc[~packed], at[~packed]
             if not len(h):
+                if len(known_doc):
+                    yield (np.full(len(known_doc), REPEAT, np.int32), np.zeros(len(known_doc), np.int64), known_doc,
+                           known_at // 128, known_at % 128)
                 continue
             prev_h, prev_sig = (np.r_[x[:1] if last is None else [last[i]], x[:-1]] for i, x in ((0, h), (1, sig)))
             new_h = h != prev_h
@@ -172,15 +181,8 @@ def meet(met: DataFrame) -> DataFrame:
             if last is None:
                 new_h[0] = new[0] = True
             last = (int(h[-1]), int(sig[-1]))
-            # whole repeats: later rows, and what was packed with any row
-            doc_r, at_r = [doc[~new]], [at[~new]]
-            more = batch.column(4)
-            has = np.flatnonzero(more.is_valid().to_numpy(zero_copy_only=False))
-            if len(has):
-                blobs = [more[i].as_py() for i in has.tolist()]
-                packed = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-                doc_r.append(packed[:, 0])
-                at_r.append(packed[:, 1] * 128 + np.repeat(at[has] % 128, [len(b) // 16 for b in blobs]))
+            # whole repeats: later rows, and those that came packed
+            doc_r, at_r = [doc[~new], known_doc], [at[~new], known_at]
             # distinct stretches of anchors that have several
             f = np.flatnonzero(new)
             before = np.r_[not new_h[f[0]] if len(f) else False, (h[f][1:] == h[f][:-1])][:len(f)] if len(f) else np.zeros(0, bool)
@@ -418,3 +420,25 @@ def span_digest(removed: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeats`` rows."""
     return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                           F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def digest_sql(length: int = 100) -> str:
+    """DuckDB SQL of ``span_digest`` over the table ``documents``: every window of every text."""
+    return f"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+windows AS (SELECT doc_id, i, md5(array_slice(t, i + 1, i + {length})) AS w
+            FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - {length - 1})) AS i FROM docs WHERE octet_length(t) >= {length})),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= {length} THEN 0 ELSE 1 END AS begins FROM ranked WHERE nth > 1
+           WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+         UNION ALL SELECT s.doc_id, max(b), max(octet_length(t)) FROM spans s JOIN docs USING (doc_id) GROUP BY s.doc_id),
+kept AS (SELECT g.doc_id, string_agg(hex(array_slice(t, a + 1, b)), '' ORDER BY a) FILTER (WHERE b > a) AS k FROM gaps g JOIN docs USING (doc_id)
+         GROUP BY g.doc_id),
+counts AS (SELECT doc_id, count(*) AS n_spans FROM spans GROUP BY doc_id),
+out AS (SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_spans, 0) AS n_spans,
+               CASE WHEN n_spans IS NULL THEN hex(t) ELSE coalesce(k, '') END AS k
+        FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id))
+SELECT doc_id, n_bytes, n_bytes - length(k) // 2 AS n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM out"""
