@@ -240,3 +240,25 @@ def read_back(segments: DataFrame) -> DataFrame:
 def turn_records(conversations: DataFrame) -> DataFrame:
     """The rows of a conversations table as JSON records of the ``turn_row`` layout (nulls kept)."""
     return conversations.select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def digests_sql(extra: list[tuple[int, int, str, str]]) -> str:
+    """DuckDB SQL of ``read_back`` over the table ``conversations`` and ``extra`` rows: escapes only add
+    one character for each backslash and each control string."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({c}, {n}, {quote(r)}, {quote(t)})" for c, n, r, t in extra)
+
+    def escaped(t: str) -> str:
+        times = " + ".join(f"(length({t}) - length(replace({t}, {quote(c)}, ''))) // {len(c)}" for c in ("\\", *CONTROL))
+        return f"length({t}) + {times}"
+
+    fixed, loss = len(OPEN + BODY + CLOSE), "FILTER (WHERE role = 'assistant')"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {rows}) AS extra(conv_id, turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) {loss}, 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) {loss}, '')) AS loss_sha256,
+       CAST({len(BOS + EOS)} + sum({fixed} + {escaped('role')} + {escaped('text')}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
