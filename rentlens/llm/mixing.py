@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from rentlens.llm.common import map_rows, materialize, struct_of
 
 #: Hashed word features; style features follow.
-BUCKETS = 1024
+BUCKETS = 512
 STYLE = 10
 #: Steps between two written states of the rates.
-WRITE_EVERY = 8
+WRITE_EVERY = 4
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -62,14 +62,22 @@ class Features:
 
 
 def fit_posteriors(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1e-3, rounds: int = 400) -> np.ndarray:
-    """Softmax regression weights (features x classes) by accelerated gradient descent."""
-    n = len(y)
+    """Softmax regression weights (features x classes) by accelerated gradient descent.
+
+    Needs little more memory than ``x`` itself: the step length comes from power iteration.
+    """
+    n, kind = len(y), x.dtype
     goal = np.eye(classes)[y]
-    step = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 / n + penalty)
+    v = np.ones(x.shape[1], kind)
+    for _ in range(30):
+        v /= np.linalg.norm(v)
+        v = x.T @ (x @ v)
+    step = 1 / (0.55 * float(np.linalg.norm(v)) / n + penalty)
     w = past = np.zeros((x.shape[1], classes))
     for k in range(rounds):
         at = w + k / (k + 3) * (w - past)
-        past, w = w, at - step * (x.T @ (softmax(x @ at) - goal) / n + penalty * at)
+        error = (softmax((x @ at.astype(kind)).astype(float)) - goal).astype(kind)
+        past, w = w, at - step * ((x.T @ error).astype(float) / n + penalty * at)
     return w
 
 
@@ -78,7 +86,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DataFrame:
+def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 5000) -> DataFrame:
     """doc_id, tokens (words between white space) and posteriors (array in the order of ``domains``).
 
     ``labelled`` is (doc_id, domain). The classifier is fitted on at most ``sample`` of its rows, the
@@ -99,12 +107,15 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
         return each
 
     train = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["k"]).select("t", "domain")  # at most ``sample`` ids
-    got = map_rows(train, vectors, struct_of(("x", "array<float>"), ("domain", "string"))).toPandas()
+    got = map_rows(train, vectors, struct_of(("x", "array<float>"), ("domain", "string"))).toArrow().combine_chunks()
     weights = np.zeros((BUCKETS + STYLE + 1, len(domains)))
     if len(got):
-        x, y = np.stack(got["x"].to_list()).astype(float), got["domain"].map(domains.index).to_numpy()
+        x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(got), -1)
+        y = np.array([domains.index(d) for d in got.column("domain").to_pylist()])
         order = np.lexsort((*x[:, -STYLE - 1:].T, x[:, :BUCKETS].argmax(axis=1), y))  # the fit must not depend on the rows' order
-        weights = fit_posteriors(x[order], y[order], len(domains))
+        x, y = x[order], y[order]
+        del got
+        weights = fit_posteriors(x, y, len(domains))
 
     def posteriors():
         features = Features()
@@ -129,40 +140,46 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     """``members`` (doc_id, tokens, posteriors) with a column rate, so that expected domain tokens come
     nearest to ``budget`` times the normalised ``weights`` (budget None: the present tokens).
 
-    Errors are weighted by the inverse of the domains' Gram matrix (the sum of tokens * posteriors *
-    posteriors'), in which metric a gradient step of length 1 never overshoots and meets the targets at
-    once as long as no rate is cut off at zero. Domains that cannot be told apart, or that have no mass,
-    have no weight of their own. No tokens at all: every rate is 1.
+    A gradient step is scaled by the pseudo-inverse of the Gram matrix (the sum of tokens * posteriors *
+    posteriors') of the documents whose rate isn't zero, so it never overshoots among them and meets the
+    targets at once as long as no rate is cut off at zero. One aggregation per round gives the domain
+    totals and that matrix; rounds end when the error is small or no longer falls. Domains that cannot be
+    told apart, or that have no mass, have no step of their own. No tokens at all: every rate is 1.
     """
     k = len(weights)
     state = materialize(members.withColumn("rate", F.lit(1.0)))
     p = [F.element_at("posteriors", i + 1) for i in range(k)]
-    mass = lambda rate: [F.sum(F.col("tokens") * rate * p[i]) for i in range(k)]
-    cross = [F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(i + 1)]
-    first = state.agg(F.sum("tokens"), *mass(F.lit(1.0)), *cross).first()
-    total = float(first[0] or 0)
+    rows, cols = np.tril_indices(k)
+
+    def totals(rate):
+        live = F.when(rate > 0, F.col("tokens"))
+        got = state.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * rate * x) for x in p],
+                        *[F.sum(live * p[i] * p[j]) for i, j in zip(rows, cols)]).first()
+        gram = np.zeros((k, k))
+        gram[rows, cols] = gram[cols, rows] = [float(v or 0) for v in got[k + 1:]]
+        return float(got[0] or 0), np.array([float(v or 0) for v in got[1:k + 1]]), gram
+
+    rate = F.col("rate")
+    total, now, gram = totals(rate)
     if not total:
         return state
-    now = np.array([float(v or 0) for v in first[1:k + 1]])
-    gram = np.zeros((k, k))
-    gram[np.tril_indices(k)] = [float(v or 0) for v in first[k + 1:]]
-    gram = gram + np.tril(gram, -1).T
-    weigh = np.linalg.pinv(gram, rcond=1e-7, hermitian=True)
     target = np.array(weights, float) / sum(weights) * (total if budget is None else budget)
-    rate, before = F.col("rate"), np.inf
-    for n in range(1, rounds + 1):
+    best, least = (state, rate), np.inf
+    for n in range(rounds):
         error = now - target
-        left = float(error @ weigh @ error) / total  # weighted squared error, relative to the tokens
-        if left <= tolerance ** 2 or left > before * 0.999:
+        left = float(np.linalg.norm(error)) / total
+        if left >= least * (1 - 1e-3):
+            break
+        best, least = (state, rate), left
+        if left <= tolerance:
             break
-        before = left
-        moved = rate - sum((F.lit(float(g)) * x for g, x in zip(weigh @ error, p)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), moved)
-        if n % WRITE_EVERY == 0:
+        step = np.linalg.pinv(gram, rcond=1e-7, hermitian=True) @ error
+        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(g)) * x for g, x in zip(step, p)), F.lit(0.0)))
+        if (n + 1) % WRITE_EVERY == 0:
             state = materialize(state.withColumn("rate", rate))
             rate = F.col("rate")
-        now = np.array([float(v or 0) for v in state.agg(*mass(rate)).first()])
-    return state.withColumn("rate", rate)
+        _, now, gram = totals(rate)
+    return best[0].withColumn("rate", best[1])
 
 
 def with_copies(rates: DataFrame, seed: int = 42) -> DataFrame:
@@ -172,7 +189,7 @@ def with_copies(rates: DataFrame, seed: int = 42) -> DataFrame:
     return rates.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 6000,
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 5000,
         rounds: int = 60) -> DataFrame:
     """One row per document: doc_id, tokens, posteriors, domain (the likeliest), rate, copies.
 
