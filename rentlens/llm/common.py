@@ -27,8 +27,14 @@ def struct_of(*fields: tuple[str, DataType | str]) -> StructType:
     return StructType([StructField(name, DataType.fromDDL(kind) if isinstance(kind, str) else kind) for name, kind in fields])
 
 
+#: Bytes of rows that go to a Python worker at a time. Whole texts are long, and both sides hold several batches.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application (they need not find it on a path)."""
+    """Prepare a session for Python tasks over whole texts: give the executors' workers this package, once per
+    application (they need not find it on a path), and hold the session's Arrow batches to ARROW_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_rentlens_shipped", False):
         return

@@ -27,7 +27,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode the ids, and return the digests of both."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     ids = bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.token_digests(bpe.decode(ids, path, pattern))
+    return bpe.token_digests(bpe.decode(ids, path))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact.GROUPS_SQL}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact.GROUPS_SQL,
+    "op7_chat": chat.digests_sql(EXTRA_TURNS),
+    "op8_repeats": rindex.digest_sql(100),
+}

@@ -98,13 +98,13 @@ def test_bpe_query(spark, reference):
 def test_bpe_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x y"), (3, "x y"), (3, "x y")], "doc_id bigint, text string")
     df = df.withColumn("ids", F.lit(1)).withColumn("decoded", F.lit(1))
-    got = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH, PATTERN).collect()
+    got = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH).collect()
     assert sorted(bytes(r["decoded"]) for r in got) == [b"", b"", b"x y", b"x y", b"x y"]
-    assert {r["n_tokens"] for r in bpe.token_digests(bpe.decode(bpe.encode(df.where("text is null"), PATH, PATTERN), PATH, PATTERN)).collect()} == {0}
+    assert {r["n_tokens"] for r in bpe.token_digests(bpe.decode(bpe.encode(df.where("text is null"), PATH, PATTERN), PATH)).collect()} == {0}
     assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
     bad = spark.createDataFrame([(1, [10 ** 6])], "doc_id bigint, ids array<int>")
     with pytest.raises(Exception):
-        bpe.decode(bad, PATH, PATTERN).collect()
+        bpe.decode(bad, PATH).collect()
 
 
 # ---- HTML --------------------------------------------------------------------
