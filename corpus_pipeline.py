@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes, one row per row of ``docs``."""
     path, pattern = public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN
-    return bpe.token_digests(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
+    return bpe.token_digests(bpe.decode(bpe.encode(docs, path, pattern), path))
 
 
 STAGES = [
