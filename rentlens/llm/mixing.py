@@ -3,11 +3,11 @@
 A classifier fitted on a labelled table gives every document posteriors over
 domains, so a document may belong to several. Document rates r >= 0 are fitted
 so that the expected tokens of domain d, the sum of r * tokens * posterior(d),
-match the targets in the least-squares sense (relative to the domains' present
-masses). Projected gradient steps start from r = 1: each takes one distributed
-aggregation of a vector as long as the number of domains, and every document
-updates its own rate from its posteriors. Rates become copies: the whole part,
-and one more with the probability of the fraction, drawn by a hash of the row's key.
+match the targets in the least-squares sense. The rates are the projection
+max(0, 1 - posteriors . u) of a gradient step; the vector u, as long as the
+number of domains, is fitted by Newton steps that each take one distributed
+aggregation. Rates become copies: the whole part, and one more with the
+probability of the fraction, drawn by a hash of the row's key.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from rentlens.llm.common import map_rows, materialize, struct_of
 #: Hashed word features; style features follow.
 BUCKETS = 512
 STYLE = 10
-#: Steps between two written states of the rates.
-WRITE_EVERY = 4
+#: Weight, relative to the Gram matrix, of keeping rates near 1 against meeting the targets.
+RIDGE = 1e-10
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -140,46 +140,63 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
     """``members`` (doc_id, tokens, posteriors) with a column rate, so that expected domain tokens come
     nearest to ``budget`` times the normalised ``weights`` (budget None: the present tokens).
 
-    A gradient step is scaled by the pseudo-inverse of the Gram matrix (the sum of tokens * posteriors *
-    posteriors') of the documents whose rate isn't zero, so it never overshoots among them and meets the
-    targets at once as long as no rate is cut off at zero. One aggregation per round gives the domain
-    totals and that matrix; rounds end when the error is small or no longer falls. Domains that cannot be
-    told apart, or that have no mass, have no step of their own. No tokens at all: every rate is 1.
+    Nonnegative least squares. Of the rates that come nearest, those nearest to 1 (by tokens) are
+    max(0, 1 - posteriors . u) for one vector u as long as the domains: u minimises a convex function whose
+    gradient is the error of the totals, up to RIDGE, and whose Hessian is the Gram matrix (the sum of
+    tokens * posteriors * posteriors') of the documents with a rate above zero. Newton steps on u, shortened until
+    that function falls, take one aggregation each (two with a shorter step). They end when the projected
+    gradient of the rates is at most ``tolerance``; RuntimeError if it isn't after the last round. Documents
+    without tokens change no total and keep rate 1, as does every document if there are no tokens at all.
     """
     k = len(weights)
-    state = materialize(members.withColumn("rate", F.lit(1.0)))
+    state = materialize(members)
     p = [F.element_at("posteriors", i + 1) for i in range(k)]
-    rows, cols = np.tril_indices(k)
+    pairs = list(zip(*np.tril_indices(k)))
 
-    def totals(rate):
-        live = F.when(rate > 0, F.col("tokens"))
-        got = state.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * rate * x) for x in p],
-                        *[F.sum(live * p[i] * p[j]) for i, j in zip(rows, cols)]).first()
-        gram = np.zeros((k, k))
-        gram[rows, cols] = gram[cols, rows] = [float(v or 0) for v in got[k + 1:]]
-        return float(got[0] or 0), np.array([float(v or 0) for v in got[1:k + 1]]), gram
+    def rate_at(u):
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(g)) * x for g, x in zip(u, p)), F.lit(0.0)))
 
-    rate = F.col("rate")
-    total, now, gram = totals(rate)
+    total = float(state.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return state
-    target = np.array(weights, float) / sum(weights) * (total if budget is None else budget)
-    best, least = (state, rate), np.inf
-    for n in range(rounds):
-        error = now - target
-        left = float(np.linalg.norm(error)) / total
-        if left >= least * (1 - 1e-3):
-            break
-        best, least = (state, rate), left
-        if left <= tolerance:
-            break
-        step = np.linalg.pinv(gram, rcond=1e-7, hermitian=True) @ error
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(g)) * x for g, x in zip(step, p)), F.lit(0.0)))
-        if (n + 1) % WRITE_EVERY == 0:
-            state = materialize(state.withColumn("rate", rate))
-            rate = F.col("rate")
-        _, now, gram = totals(rate)
-    return best[0].withColumn("rate", best[1])
+        return state.withColumn("rate", F.lit(1.0))
+    share = F.col("tokens") / F.lit(total)
+    target = np.array(weights, float) / sum(weights) * (1.0 if budget is None else budget / total)
+
+    def squares(u):
+        return F.sum(share * rate_at(u) * rate_at(u))
+
+    def height(u, square):
+        return square / 2 + target @ u + ridge / 2 * u @ u
+
+    def look(u):
+        """The function's value, its gradient and the Gram matrix of live documents at u."""
+        rated = state.select("posteriors", share.alias("s"), rate_at(u).alias("r"))
+        live = F.when(F.col("r") > 0, F.col("s")).otherwise(0.0)
+        got = [float(v) for v in rated.agg(F.sum(F.col("s") * F.col("r") * F.col("r")), *[F.sum(F.col("s") * F.col("r") * x) for x in p],
+                                           *[F.sum(live * p[i] * p[j]) for i, j in pairs]).first()]
+        gram = np.zeros((k, k))
+        for (i, j), v in zip(pairs, got[k + 1:]):
+            gram[i, j] = gram[j, i] = v
+        return got[0], np.array(got[1:k + 1]), gram
+
+    u, ridge = np.zeros(k), 0.0
+    square, now, gram = look(u)
+    ridge = RIDGE * float(np.linalg.eigvalsh(gram)[-1])
+    for _ in range(rounds):
+        slope = target - now + ridge * u
+        if np.linalg.norm(slope) <= tolerance:
+            return state.withColumn("rate", F.when(F.col("tokens") > 0, rate_at(u)).otherwise(F.lit(1.0)))
+        move = -np.linalg.solve(gram + ridge * np.eye(k), slope)
+        new = u + move
+        seen = look(new)
+        if (height(new, seen[0]) > height(u, square) + 1e-4 * slope @ move
+                and np.linalg.norm(target - seen[1] + ridge * new) > np.linalg.norm(slope) / 2):
+            tried = [u + move * 0.7 ** n for n in range(1, 61)]
+            got = state.agg(*[squares(v) for v in tried]).first()
+            new = min(zip(tried, got), key=lambda x: height(x[0], x[1]))[0]
+            seen = look(new)
+        u, (square, now, gram) = new, seen
+    raise RuntimeError(f"rates did not settle in {rounds} rounds: projected gradient {np.linalg.norm(slope):.3g}, wanted {tolerance:.3g}")
 
 
 def with_copies(rates: DataFrame, seed: int = 42) -> DataFrame:

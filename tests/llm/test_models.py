@@ -104,6 +104,28 @@ def test_rates_stay_nonnegative_when_a_target_is_zero(spark):
     assert {round(r["rate"], 6) for r in got if not r["doc_id"] % 2} == {0.0} and min(r["rate"] for r in got if r["doc_id"] % 2) > 1
 
 
+def test_rates_equal_nonnegative_least_squares_on_soft_posteriors(spark):
+    rows = [(i, 10, [0.6, 0.4] if i % 2 else [0.4, 0.6]) for i in range(20)]
+    got = mixing.fit_rates(spark.createDataFrame(rows, "doc_id bigint, tokens bigint, posteriors array<double>"), [160, 40]).collect()
+    # one kind alone: rate 200 * (0.6 * 160 + 0.4 * 40) / (100 * (0.36 + 0.16)) / 200 each
+    assert all(abs(r["rate"] - (112 / 52 if r["doc_id"] % 2 else 0)) < 1e-5 for r in got)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_rates_end_at_the_least_squares_optimum(spark, seed):
+    rng = np.random.default_rng(seed)
+    p, tokens = rng.dirichlet([2, 2, 2, 2], 60), rng.integers(0, 300, 60)
+    members = spark.createDataFrame([(i, int(tokens[i]), p[i].tolist()) for i in range(60)], "doc_id bigint, tokens bigint, posteriors array<double>")
+    got = mixing.fit_rates(members, [0.85, 0.05, 0.05, 0.05]).toPandas().set_index("doc_id")["rate"].sort_index().to_numpy()
+    error = (got * tokens) @ p / tokens.sum() - [0.85, 0.05, 0.05, 0.05]
+    assert (got >= 0).all() and np.linalg.norm(error) < np.linalg.norm(tokens @ p / tokens.sum() - [0.85, 0.05, 0.05, 0.05])
+    slope = (p @ error)[tokens > 0]  # zero where the rate is above zero, else not negative
+    assert abs(slope[got[tokens > 0] > 0]).max() < 1e-5 and slope.min() > -1e-5
+    assert (got[tokens == 0] == 1).all()
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(members, [0.85, 0.05, 0.05, 0.05], rounds=1)
+
+
 def test_mixing_query(spark):
     got = queries.op5_mixing(spark, SF).toPandas()
     assert len(got) == read_table(spark, SF, "documents").count()
