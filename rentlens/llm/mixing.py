@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from rentlens.llm.common import map_rows, materialize, struct_of
 
 #: Hashed word features; style features follow.
-BUCKETS = 512
+BUCKETS = 1024
 STYLE = 10
 #: Weight, relative to the Gram matrix, of keeping rates near 1 against meeting the targets.
 RIDGE = 1e-10
@@ -86,7 +86,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 5000) -> DataFrame:
+def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DataFrame:
     """doc_id, tokens (words between white space) and posteriors (array in the order of ``domains``).
 
     ``labelled`` is (doc_id, domain). The classifier is fitted on at most ``sample`` of its rows, the
@@ -103,18 +103,22 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
         features = Features()
 
         def each(batch: pa.RecordBatch):
-            return {"x": [features.of(t.as_py())[0] for t in batch.column(0)], "domain": batch.column(1)}
+            found = [features.of(t.as_py())[0] for t in batch.column(0)]
+            at = [np.flatnonzero(x).astype(np.int16) for x in found]
+            return {"at": at, "x": [x[i] for x, i in zip(found, at)], "domain": batch.column(1)}
         return each
 
     train = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["k"]).select("t", "domain")  # at most ``sample`` ids
-    got = map_rows(train, vectors, struct_of(("x", "array<float>"), ("domain", "string"))).toArrow().combine_chunks()
+    got = map_rows(train, vectors, struct_of(("at", "array<smallint>"), ("x", "array<float>"), ("domain", "string"))).toArrow().combine_chunks()
     weights = np.zeros((BUCKETS + STYLE + 1, len(domains)))
     if len(got):
-        x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(got), -1)
+        at, filled = (got.column(c).combine_chunks() for c in ("at", "x"))  # features other than 0
+        x = np.zeros((len(got), len(weights)), np.float32)
+        x[np.repeat(np.arange(len(got)), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = filled.flatten().to_numpy()
         y = np.array([domains.index(d) for d in got.column("domain").to_pylist()])
         order = np.lexsort((*x[:, -STYLE - 1:].T, x[:, :BUCKETS].argmax(axis=1), y))  # the fit must not depend on the rows' order
         x, y = x[order], y[order]
-        del got
+        del got, at, filled
         weights = fit_posteriors(x, y, len(domains))
 
     def posteriors():
@@ -206,7 +210,7 @@ def with_copies(rates: DataFrame, seed: int = 42) -> DataFrame:
     return rates.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 5000,
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 6000,
         rounds: int = 60) -> DataFrame:
     """One row per document: doc_id, tokens, posteriors, domain (the likeliest), rate, copies.
 
