@@ -93,18 +93,20 @@ def _assign(rows: DataFrame, books: tuple[np.ndarray, np.ndarray], keep_vector:
 
 def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20, k: int = 64, share: float = 0.55,
                        sample: int = 20_000, entry_block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row of ``queries`` its ``limit`` nearest found
+    """query_id, rank (from 1), vec_id, score: for each vec_id of ``queries`` its ``limit`` nearest found
     rows of ``entries`` with another vec_id, nearest first, ties to the smaller vec_id.
 
     Both sides are (vec_id, v) as ``usable`` gives them. The codebooks are fitted on at most ``sample``
     entries (the first by a hash of vec_id); every entry is indexed. A query visits cells that hold at
     least ``share`` of the index and at least ``limit`` others, or everything if there are fewer, so
     small tables are searched whole. Rows that repeat a vec_id are entries of their own, but never
-    neighbours of a query with that vec_id. Empty tables give an empty result.
+    neighbours of a query with that vec_id. Query rows that repeat a vec_id are one query: each entry counts
+    once, by its best score with any of their vectors. Empty tables give an empty result.
     """
     spark = entries.sparkSession
     ship(spark)
-    out = struct_of(("query_id", queries.schema["vec_id"].dataType), ("vec_id", entries.schema["vec_id"].dataType), ("score", "double"))
+    out = struct_of(("query_id", queries.schema["vec_id"].dataType), ("vec_id", entries.schema["vec_id"].dataType),
+                    ("entry", "long"), ("score", "double"))
     final = struct_of(("query_id", out["query_id"].dataType), ("rank", "int"), ("vec_id", out["vec_id"].dataType), ("score", "double"))
     drawn = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(drawn):
@@ -112,7 +114,8 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
     fit = np.stack(drawn.to_list())
     half = fit.shape[1] // 2
     books = (codebook(fit[:, :half], k), codebook(fit[:, half:], k))
-    indexed = materialize(_assign(entries, books))
+    indexed = materialize(_assign(entries, books).withColumn("entry", F.monotonically_increasing_id()))
+    queries = queries.select("vec_id", "v").distinct()
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in indexed.groupBy("c1", "c2").count().collect():  # at most k * k rows
         counts[r["c1"], r["c2"]] = r["count"]
@@ -148,7 +151,8 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0], "score": np.zeros(0)})
+            return pd.DataFrame({"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0], "entry": right["entry"][:0],
+                                 "score": np.zeros(0)})
         right = right.sort_values("vec_id", kind="stable")
         q, e = np.stack(left["q"].to_list()), np.stack(right["v"].to_list())
         c2, qid, eid = right["c2"].to_numpy(), left["query_id"].to_numpy(), right["vec_id"].to_numpy()
@@ -173,10 +177,12 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
         at_q, at_e, value = at_q[order], at_e[order], value[order]
         first = np.searchsorted(at_q, at_q, side="left")
         top = np.arange(len(at_q)) - first < limit
-        return pd.DataFrame({"query_id": qid[at_q[top]], "vec_id": eid[at_e[top]], "score": value[top]})
+        return pd.DataFrame({"query_id": qid[at_q[top]], "vec_id": eid[at_e[top]],
+                             "entry": right["entry"].to_numpy()[at_e[top]], "score": value[top]})
 
     keys = ("c1", "eb", "qb")
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(best, out)
+    found = found.groupBy("query_id", "entry").agg(F.max("score").alias("score"), F.first("vec_id").alias("vec_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
             .select("query_id", "rank", "vec_id", "score"))

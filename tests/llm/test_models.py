@@ -204,6 +204,23 @@ def test_ann_small_tables(spark):
     assert ann.nearest_neighbours(none, none).count() == 0
 
 
+def test_ann_repeated_query_rows_keep_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    other = rng.normal(size=6)
+    e = ann.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    asked = ann.usable(spark.createDataFrame([rows[0]] * 3 + [rows[20], rows[20], (20, other.tolist())], "vec_id bigint, embedding array<double>"))
+    got = ann.nearest_neighbours(e, asked, limit=20, share=1.0, k=8, entry_block=16, query_block=2).toPandas()
+    want = truth(np.arange(120), x, [0], 20)[0]
+    first = got[got["query_id"] == 0].sort_values("rank")
+    assert list(first["vec_id"]) == [i for i, _ in want] and list(first["rank"]) == list(range(1, 21))
+    best = np.maximum(x @ x[20], x @ other)  # two vectors of one id: an entry counts once, by the better
+    best[20] = -np.inf
+    second = got[got["query_id"] == 20].sort_values("rank")
+    assert list(second["vec_id"]) == np.argsort(-best)[:20].tolist() and np.allclose(second["score"], np.sort(best)[::-1][:20])
+
+
 # ---- pipeline ----------------------------------------------------------------
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
