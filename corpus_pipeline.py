@@ -10,19 +10,17 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rentlens.llm import bpe, exact, mixing, queries, simhash, toxicity
-from rentlens.llm.common import keep_rows, read_table
+from rentlens.llm.common import read_table
 from rentlens.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; null and empty texts stay unless it rejects them.
-    Rows that share a doc_id go together if any of them is rejected."""
-    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir, docs))
-    rejected = scored.where("predicted = 1").select(F.col("doc_id").alias("__toxic_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__toxic_id"]), "left_anti")
+    """Rows that the toxicity model rejects go, each by its own text; null and empty texts stay unless it
+    rejects them."""
+    return toxicity.keep_clean(docs, queries.toxicity_model(spark, sf_dir, docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

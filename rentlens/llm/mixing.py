@@ -86,8 +86,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def text_key(text="text"):
+    """SHA-256 of the whole text; null counts as empty. With doc_id it names a row, up to rows that are equal in both."""
+    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = 6000) -> DataFrame:
-    """doc_id, tokens (words between white space) and posteriors (array in the order of ``domains``).
+    """doc_id, text_key, tokens (words between white space) and posteriors (array in the order of ``domains``).
 
     ``labelled`` is (doc_id, domain). The classifier is fitted on at most ``sample`` of its rows, the
     first by a hash of doc_id; rows of other domains, without a document or with nulls take no part.
@@ -97,7 +102,7 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     chosen = (labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
               .toDF("k", "domain"))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), text_key().alias("text_key"))
 
     def vectors():
         features = Features()
@@ -131,12 +136,12 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
                 tokens += [n for _, n in found]
                 p.append(softmax(np.stack([f for f, _ in found]) @ weights))
             flat = np.concatenate(p)
-            return {"doc_id": batch.column(0), "tokens": tokens,
+            return {"doc_id": batch.column(0), "text_key": batch.column(2), "tokens": tokens,
                     "posteriors": pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * len(domains), flat.ravel())}
         return each
 
-    return map_rows(rows, posteriors, struct_of(("doc_id", docs.schema["doc_id"].dataType), ("tokens", "long"),
-                                                ("posteriors", "array<double>")))
+    return map_rows(rows, posteriors, struct_of(("doc_id", docs.schema["doc_id"].dataType), ("text_key", "string"),
+                                                ("tokens", "long"), ("posteriors", "array<double>")))
 
 
 def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, rounds: int = 60,
@@ -212,7 +217,7 @@ def with_copies(rates: DataFrame, seed: int = 42) -> DataFrame:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 6000,
         rounds: int = 60) -> DataFrame:
-    """One row per document: doc_id, tokens, posteriors, domain (the likeliest), rate, copies.
+    """One row per document: doc_id, text_key, tokens, posteriors, domain (the likeliest), rate, copies.
 
     ``targets`` maps domains to nonnegative weights; ``budget_share`` is the wanted number of tokens as a
     share of the present one. Rows that repeat are members of their own; an empty table gives an empty
@@ -224,14 +229,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_
     rates = with_copies(fit_rates(members, [targets[n] for n in names], total * budget_share, rounds))
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
     return rates.withColumn("domain", F.element_at(F.array(*[F.lit(n) for n in names]), best)).select(
-        "doc_id", "tokens", "posteriors", "domain", "rate", "copies")
+        "doc_id", "text_key", "tokens", "posteriors", "domain", "rate", "copies")
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents as often as their copies say, with the columns of ``docs``. Rows that repeat a
-    doc_id share its number of copies (the largest, should they differ)."""
-    n = mixed.groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__mix_id")
-    rows = docs.join(n, docs["doc_id"].eqNullSafe(n["__mix_id"]))
+    """The documents as often as their copies say, with the columns of ``docs``. Every row has copies of its
+    own, found by doc_id and text_key: rows equal in both have equal posteriors and draws."""
+    n = (mixed.groupBy("doc_id", "text_key").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+         .toDF("__mix_id", "__mix_key", "__copies"))
+    rows = docs.join(n, docs["doc_id"].eqNullSafe(n["__mix_id"]) & (text_key() == n["__mix_key"]))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

@@ -47,7 +47,7 @@ def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates and copies that bring expected domain tokens to MIX_TARGETS."""
-    return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(src, task, struct_of(("doc_id", docs.schema["doc_id"].dataType), ("score", "double"), ("predicted", "int")))
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` that the model doesn't reject (a score below 0.5), with the columns of ``docs``.
+
+    Every row is judged by its own text alone, whatever its doc_id. Null and empty texts count as in ``score``.
+    """
+    def task():
+        like = Similarities(Landmarks(model.landmarks))
+
+        def each(batch: pa.RecordBatch):
+            texts = batch.column(batch.num_columns - 1)
+            p = np.concatenate([model.probability(like.of(texts.slice(i, 256).to_pylist())) for i in range(0, batch.num_rows, 256)])
+            kept = batch.filter(pa.array(p < 0.5))
+            return {name: kept.column(i) for i, name in enumerate(docs_columns)} if kept.num_rows else None
+        return each
+
+    docs_columns = docs.columns
+    return map_rows(docs.withColumn("__toxicity_text", F.coalesce(F.col("text").cast("string"), F.lit(""))), task, docs.schema)
+
+
 def held_out(doc_id):
     """Whether a row must not be learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -261,3 +261,22 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
                 assert out.columns == table.columns
             if k:
                 assert spark.read.parquet(str(tmp_path / f"{k}-{n}")).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    made = toxic_rows()
+    df = spark.createDataFrame(made, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    rows = [(None, "you grubmuffin and snarkweed", 1), (None, "the harbour in the morning", 2), (None, None, 3),
+            (7, "you grubmuffin and snarkweed", 4), (7, "the crew sang about the sea", 5), (7, "the crew sang about the sea", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, predicted int")
+    got = toxicity.keep_clean(docs, model)
+    assert got.columns == docs.columns and sorted(r["predicted"] for r in got.collect()) == [2, 3, 5, 6]
+
+
+def test_copies_are_those_of_the_row(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "b"), (7, "a"), (7, "b"), (7, None)], "doc_id bigint, text string")
+    copies = F.when(F.col("text") == "a", 2).when(F.col("text") == "b", 0).otherwise(1).cast("long")
+    mixed = docs.select("doc_id", mixing.text_key().alias("text_key"), copies.alias("copies"))
+    got = sorted(helpers.rows(mixing.apply_mix(docs, mixed), "doc_id", "text"), key=repr)
+    assert got == sorted([(None, "a")] * 2 + [(7, "a")] * 2 + [(7, None)], key=repr)
