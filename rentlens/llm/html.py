@@ -40,13 +40,19 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+#: Before a name's last word these say what an element lacks or holds, not what it is (``no-sidebar``).
+NOT_NAMES = frozenset("no not without with has have hide hides".split())
+#: Elements whose own names say nothing about their text.
+PAGE_ELEMENTS = ("html", "body", "main")
 
 
 def _names(attributes: str) -> frozenset[str]:
+    """The last word of every class, id or role (``cookie-notice``: notice), as far as it names furniture."""
     if "=" not in attributes:
         return frozenset()
     found = (" ".join(x for x in m.groups()[1:] if x) for m in ATTRIBUTE.finditer(attributes))
-    return frozenset(w for text in found for w in NAME_WORD.findall(text.lower()))
+    words = (NAME_WORD.findall(token) for text in found for token in text.lower().split())
+    return frozenset(w[-1] for w in words if w and w[-1] in NAMES and NOT_NAMES.isdisjoint(w))
 
 
 def tokens(page: str):
@@ -76,19 +82,34 @@ def tokens(page: str):
                 end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
                 at = (end.end() if end[0][:2] == "</" else end.start()) if end else at
             continue
-        yield ("close" if m[1] else "open"), tag, (frozenset() if m[1] else _names(m[3]) & NAMES)
+        yield ("close" if m[1] else "open"), tag, (frozenset() if m[1] else _names(m[3]))
 
 
 class Page:
     """Tokens with their context: the innermost block element, whether furniture or an article encloses them.
 
-    Every open element carries what its ancestors imply, so a token costs constant time at any depth.
+    Every open element carries what its ancestors imply, so a token costs constant time at any depth. Names
+    count on no element that holds the article (the first main element, else the first article not named as
+    furniture itself), and on none at all if they left the page without a word.
     """
 
     def __init__(self, page: str):
-        self.items: list[tuple[str, str, str, bool, bool]] = []  # kind, text or tag, context, furniture, labelled
-        # tag, furniture, labelled, innermost block, whether a paragraph is open with only inline elements since
-        stack: list[tuple[str, bool, bool, str, bool]] = [("", False, False, "", False)]
+        parts = list(tokens(page))
+        mark = next((n for n, (kind, tag, _) in enumerate(parts) if kind == "open" and tag == "main"), None)
+        if mark is None:
+            mark = next((n for n, (kind, tag, names) in enumerate(parts) if kind == "open" and tag == "article" and not names), 0)
+        named = any(names for _, _, names in parts)
+        holders = self._read(parts[:mark])[1] if named else frozenset()
+        self.items, _ = self._read(parts, holders)
+        if named and not any(kind == "text" and not furniture and what.strip() for kind, what, _, furniture, _ in self.items):
+            self.items, _ = self._read([(kind, what, frozenset()) for kind, what, _ in parts])
+
+    @staticmethod
+    def _read(parts: list, holders: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, str, bool, bool]], frozenset[int]]:
+        """Items (kind, text or tag, context, furniture, labelled), and the numbers of the elements still open."""
+        items: list[tuple[str, str, str, bool, bool]] = []
+        # tag, furniture, labelled, innermost block, whether a paragraph is open with only inline elements since, number
+        stack: list[tuple[str, bool, bool, str, bool, int]] = [("", False, False, "", False, -1)]
         opened: Counter = Counter()
 
         def close(tag: str) -> None:
@@ -96,23 +117,28 @@ class Page:
                 opened[stack.pop()[0]] -= 1
             opened[stack.pop()[0]] -= 1
 
-        for kind, what, names in tokens(page):
+        for n, (kind, what, names) in enumerate(parts):
             if kind == "open" and what == "p" and stack[-1][4]:
                 close("p")
-            _, furniture, labelled, block, paragraph = stack[-1]
+            _, furniture, labelled, block, paragraph, _ = stack[-1]
             if kind == "text":
-                self.items.append((kind, what, block, furniture, labelled))
+                items.append((kind, what, block, furniture, labelled))
                 continue
             if kind == "open":
+                if n in holders or what in PAGE_ELEMENTS or what == "article" and not labelled:
+                    names = frozenset()
+                elif labelled:  # the article's own heading
+                    names -= {"header"}
                 furniture = furniture or what in FURNITURE and not (what == "header" and labelled) or bool(names)
                 labelled = labelled or what in ("article", "main")
                 if what not in VOID:
                     inline = what in INLINE
-                    stack.append((what, furniture, labelled, block if inline else what, what == "p" or inline and paragraph))
+                    stack.append((what, furniture, labelled, block if inline else what, what == "p" or inline and paragraph, n))
                     opened[what] += 1
             elif opened[what]:
                 close(what)
-            self.items.append((kind, what, what, furniture, labelled))
+            items.append((kind, what, what, furniture, labelled))
+        return items, frozenset(x[5] for x in stack)
 
 
 def learn(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
@@ -134,7 +160,9 @@ DEFAULT_WORD, DEFAULT_TAG, FURNITURE_WORD, FURNITURE_TAG = 1.0, -1.0, 0.02, -4.0
 def best_region(page: Page, weights: dict[tuple[str, str], float]) -> tuple[int, int]:
     """Bounds of the items of the largest total weight (the first of equal ones); (0, 0) if there are no words."""
     best, bounds, total, start = 0.0, (0, 0), 0.0, 0
-    for n, (kind, what, context, furniture, _) in enumerate(page.items):
+    for n, (kind, what, context, furniture, labelled) in enumerate(page.items):
+        if furniture and labelled:
+            continue  # left out of the article without a charge
         if kind == "text":
             per = FURNITURE_WORD if furniture else weights.get(("word", context), DEFAULT_WORD)
             total += per * len(what.split())

@@ -140,6 +140,26 @@ def test_html_cases(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_on_wrappers_and_widgets_inside_the_article(spark):
+    first = "The first paragraph of a story that has a number of words in it."
+    last = "The last paragraph of the story ends it with some more words."
+    widget = "<aside>" + "<p><a href='x'>link</a></p>" * 40 + "</aside>"
+    comments = "<div class='comments'><article class='comment'><p>Nice story, thank you all.</p></article></div>"
+    article = f"<article><header class='entry-header'><h1>Heading</h1></header><p>{first}</p>{{}}<p>{last}</p>{{}}</article>"
+    want = f"Heading\n\n{first}\n\n{last}"
+    plain, long = article.format("", ""), article.format(widget, comments)
+    pages = [f"<html><body class='no-sidebar comments-open single'>{plain}</body></html>",
+             f"<body class='sidebar'><div id='content-with-sidebar'>{plain}</div></body>",
+             f"<body><div class='sidebar'><p>Things</p></div><div class='layout banner'>{plain}</div></body>",
+             f"<body><div class='site-nav'><p>Menu of the site here</p></div>{long}</body>",
+             f"<body><main role='main' class='widget'>{plain}</main></body>"]
+    made = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").withColumn("url", F.lit("u"))
+    got = {r["page_id"]: r["text"] for r in html.extract(made).collect()}
+    assert got[0] == got[1] == got[3] == got[4] == want and got[2].endswith(want)
+    for source in pages:  # the default weights alone
+        assert html.main_text(source, {}).endswith(f"{first}\n\n{last}")
+
+
 # ---- chat --------------------------------------------------------------------
 
 def digest(turns):
