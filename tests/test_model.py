@@ -109,3 +109,21 @@ def test_sightings_append_by_run(spark, tmp_path):
     for run, n in ((1, 3), (2, 2), (1, 3)):
         store.append_observations(spark.range(n).withColumn("run_id", F.lit(run)), str(tmp_path / "log"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).groupBy("run_id").count().collect()} == {(1, 3), (2, 2)}
+
+
+def test_time_cv_metrics_has_weekly_folds(spark):
+    import pandas as pd
+    from rentlens.plans import q_model
+    from rentlens.plans.q_pricing import baseline
+    got = q_model.time_cv_metrics(spark, "/root/testdata/sf0.001").toPandas().set_index("fold").sort_index()
+    d = baseline(spark, "/root/testdata/sf0.001").select("first_seen_at", "rent_monthly", "area_sqft").toPandas().astype(
+        {"rent_monthly": float, "area_sqft": float})
+    day = pd.to_datetime(d["first_seen_at"]).dt.normalize()
+    d["week"] = day - pd.to_timedelta(day.dt.weekday, unit="D")
+    weeks = sorted(d["week"].dropna().unique())
+    assert len(weeks) > 50 and list(got.index) == list(range(1, len(weeks)))
+    for k, w in list(enumerate(weeks))[1:]:
+        train, valid = d[d["week"] < w], d[d["week"] == w]
+        off = (valid["area_sqft"] * (train["rent_monthly"] / train["area_sqft"]).mean() - valid["rent_monthly"]).abs()
+        assert got.loc[k, "n"] == len(valid) and abs(got.loc[k, "mae"] - off.mean()) < 1e-4
+        assert abs(got.loc[k, "mape"] - (off / valid["rent_monthly"]).mean()) < 1e-4
