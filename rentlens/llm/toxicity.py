@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks:
     """A model from at most ``sample`` labelled rows (doc_id, toxic), the first by a hash of doc_id.
 
     Rows whose label is null or that have no document take no part. Only the
-    candidate words (at most 8000) and one row of landmark similarities per
+    candidate words (at most 8000, the best by ``choose_landmarks``' score) and one row of landmark similarities per
     training text come to the driver.
     """
     chosen = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -250,31 +250,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, n_landmarks:
 
     def count():
         def each(batch: pa.RecordBatch):
-            by: Counter = Counter()
+            by = Counter(), Counter()
             for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                if y:  # what no toxic text has is of no use
-                    by.update(_candidates(t.as_py()))
-            return {"word": list(by), "t": list(by.values())} if by else None
+                by[bool(y)].update(_candidates(t.as_py()))
+            words = list(by[0] | by[1])
+            return {"word": words, "t": [by[1][w] for w in words], "c": [by[0][w] for w in words]} if words else None
         return each
 
-    def count_clean(words: frozenset):
-        def task():
-            def each(batch: pa.RecordBatch):
-                by: Counter = Counter()
-                for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                    if not y:
-                        by.update(words.intersection(_candidates(t.as_py())))
-                return {"word": list(by), "c": list(by.values())} if by else None
-            return each
-        return task
-
-    in_toxic = (map_rows(rows, count, struct_of(("word", "string"), ("t", "long")))
-                .groupBy("word").agg(F.sum("t").alias("t")).where("t >= 2").orderBy(F.desc("t"), "word").limit(8000).collect())
-    words = frozenset(r["word"] for r in in_toxic)
-    in_clean = {r["word"]: r["c"] for r in map_rows(rows, count_clean(words), struct_of(("word", "string"), ("c", "long")))
-                .groupBy("word").agg(F.sum("c").alias("c")).collect()}
-    landmarks = choose_landmarks([(r["word"], r["t"], in_clean.get(r["word"], 0)) for r in in_toxic],
-                                 sum(c for y, c in n.items() if y), n.get(0, 0), n_landmarks)
+    toxic, clean = sum(c for y, c in n.items() if y), n.get(0, 0)
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))) * F.col("t")
+    counted = (map_rows(rows, count, struct_of(("word", "string"), ("t", "long"), ("c", "long")))
+               .groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+               .where("t >= 2").orderBy(F.desc(odds), "word").limit(8000).collect())
+    landmarks = choose_landmarks([(r["word"], r["t"], r["c"]) for r in counted], toxic, clean, n_landmarks)
 
     def similar():
         like = Similarities(Landmarks(landmarks))

@@ -66,6 +66,13 @@ def test_toxicity_catches_gapped_and_inserted_characters(spark):
     assert toxicity.score(rows.limit(0), model).count() == 0
 
 
+def test_rare_insult_becomes_a_landmark_beside_many_frequent_words(spark):
+    common = [f"{a}{b}{c}" for a in "bcdfghjklmnprstvwxyz" for b in "aeiou" for c in range(100, 190)]  # 9000
+    rows = [(i, " ".join(common) + (" grubmuffin" if i < 3 else ""), int(i < 6)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    assert any(w.startswith("grub") for w in toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic")).landmarks)
+
+
 def test_toxicity_without_usable_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
