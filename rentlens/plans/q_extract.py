@@ -366,19 +366,14 @@ def dry_run_sample(spark, sf_dir):
              .orderBy("listing_id").limit(3))
 
 
-EXTRACT_LIMIT = 500
-
-
 @query("extraction_rows", f"""WITH st AS ({ORACLES['listing_upsert']}),
 cards AS ({FX_SQL['fx_cards']}),
-j AS (SELECT st.listing_id, c.listing_id AS raw_id, c.raw_text AS text FROM st JOIN cards c ON c.listing_id = st.latest_raw_id
-      ORDER BY st.listing_id LIMIT {EXTRACT_LIMIT})
+j AS (SELECT st.listing_id, c.listing_id AS raw_id, c.raw_text AS text FROM st JOIN cards c ON c.listing_id = st.latest_raw_id)
 SELECT listing_id, raw_id, {sq(ex.REGEX_EXTRACTOR)} AS extractor, {sq(ex.REGEX_EXTRACTOR_VERSION)} AS extractor_version,
        {", ".join(f"{v} AS {k}" for k, v in extract_sql("text").items())}, CAST(0 AS DOUBLE) AS cost_usd FROM j
 """)
 def extraction_rows(spark, sf_dir):
-    """J2 + D7 + T18: every pending listing of the ingested state, its latest raw text, extracted. (The SQL
-    still takes the first EXTRACT_LIMIT alone.)"""
+    """J2 + D7 + T18: every pending listing of the ingested state, its latest raw text, extracted."""
     from rentlens.operators import benchmark as bm
     from rentlens.plans.q_ingest import listing_upsert
     raws = fx(spark, sf_dir, "fx_cards").select(F.col("listing_id").alias("raw_id"), "raw_text")
