@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rentlens.llm import ann, bpe, chat, exact, html, license, mixing, rindex, sharding, simhash, toxicity
+from rentlens.llm import align, ann, bpe, chat, exact, html, license, mixing, rindex, sharding, simhash, toxicity
 from rentlens.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -88,6 +88,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a byte-level and a piece vocabulary that cover the same bytes, with the corpus's counts of id pairs."""
+    return align.alignment_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled uniformly into 24 shards whose row counts differ by one at most."""
     return sharding.digest(sharding.shard(read_table(spark, sf_dir, "documents"), n_shards=24))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
+    "op12_alignment": op12_alignment,
     "op13_sharding": op13_sharding,
 }
 
