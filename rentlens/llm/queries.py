@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rentlens.llm import align, ann, bpe, chat, exact, html, license, mixing, rindex, sharding, simhash, toxicity
+from rentlens.llm import align, ann, bpe, chat, exact, html, license, mixing, repair, rindex, sharding, simhash, toxicity
 from rentlens.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -88,6 +88,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged conversations, their faults and their cheapest repair."""
+    rows = read_table(spark, sf_dir, "conversations")
+    return repair.repair_report(rows, repair.damage(rows))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a byte-level and a piece vocabulary that cover the same bytes, with the corpus's counts of id pairs."""
     return align.alignment_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_html": op9_html,
     "op10_toxicity": op10_toxicity,
+    "op11_repair": op11_repair,
     "op12_alignment": op12_alignment,
     "op13_sharding": op13_sharding,
 }
@@ -118,4 +125,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.GROUPS_SQL,
     "op7_chat": chat.digests_sql(EXTRA_TURNS),
     "op8_repeats": rindex.digest_sql(100),
+    "op11_repair": repair.report_sql(),
 }
