@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from rentlens.llm.common import ship, struct_of
+from rentlens.llm.common import give_back, ship, struct_of
 
 #: Unicode White_Space, which ``\s`` stands for in the tokenizer's pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -76,8 +76,6 @@ class Numbers(dict):
 class Vocabulary:
     """Ranks of a rank file (one base64 token and its rank a line) and the merges that they imply."""
 
-    _loaded: dict[tuple[str, str], Vocabulary] = {}
-
     def __init__(self, path: str, pattern: str):
         ranks = self.ranks = read_ranks(path)
         self.single = [ranks[bytes([b])] for b in range(256)]
@@ -97,12 +95,6 @@ class Vocabulary:
         self.known = Numbers()
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    @classmethod
-    def load(cls, path: str, pattern: str) -> Vocabulary:
-        if (path, pattern) not in cls._loaded:
-            cls._loaded[path, pattern] = cls(path, pattern)
-        return cls._loaded[path, pattern]
-
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest rank first, the leftmost pair of that rank first."""
         whole = self.ranks.get(piece)
@@ -319,7 +311,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary.load(vocabulary, pattern)
+        vocab = Vocabulary(vocabulary, pattern)
+        try:
+            yield from encoded(vocab, batches)
+        finally:
+            del vocab
+            give_back()
+
+    def encoded(vocab: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (t for part in _slices(batch) for t in part.column(1).to_pylist())
             lo, held, size = 0, [], 0

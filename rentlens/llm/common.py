@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -50,6 +52,16 @@ def ship(spark: SparkSession) -> None:
     sc._rentlens_shipped = True
 
 
+def give_back() -> None:
+    """At the end of a Python task: what it held goes back to the system. Spark keeps its workers for later tasks, and
+    an executor's memory would otherwise hold the largest tables of every stage that has run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: StructType) -> DataFrame:
     """``mapInArrow`` with per-task state.
 
@@ -63,11 +75,16 @@ def map_rows(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], dict | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = fn()
-        for batch in batches:
-            if batch.num_rows and (cols := each(batch)) is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, (pa.Array, pa.ChunkedArray)) and c.type == f.type else pa.array(c, f.type)
-                     for c, f in ((cols[f.name], f) for f in arrow)], schema=arrow)
+        batch = cols = None
+        try:
+            for batch in batches:
+                if batch.num_rows and (cols := each(batch)) is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) and c.type == f.type else pa.array(c, f.type)
+                         for c, f in ((cols[f.name], f) for f in arrow)], schema=arrow)
+        finally:
+            del each, batch, cols
+            give_back()
 
     return df.mapInArrow(run, schema)
 

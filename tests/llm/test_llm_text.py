@@ -67,7 +67,7 @@ def reference():
 
 
 def test_bpe_equals_the_library(reference):
-    vocab = bpe.Vocabulary.load(PATH, PATTERN)
+    vocab = bpe.Vocabulary(PATH, PATTERN)
     rnd = random.Random(2)
     letters = "aab  \n\t\x0b\x1c\x1f\x85\xa0\u2003\u3000'stre'll1234,.!éß漢字🙂ÀИ\u200b\r\x00"
     for _ in range(4000):
@@ -78,7 +78,7 @@ def test_bpe_equals_the_library(reference):
 
 
 def test_bpe_of_a_text_longer_than_a_stretch(reference):
-    vocab = bpe.Vocabulary.load(PATH, PATTERN)
+    vocab = bpe.Vocabulary(PATH, PATTERN)
     text = "The word  is\n" * 120_000
     assert vocab.encode(text).tolist() == reference.encode_ordinary(text)
 
