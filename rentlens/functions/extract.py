@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 from rentlens.functions import text as tx
-from rentlens.functions.text import ci, json_string_array
+from rentlens.functions.text import cf, folded, has, json_string_array
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: extractor identity, field patterns and tag vocabulary.
@@ -106,50 +106,74 @@ LISTING TEXT:
 # ---------------------------------------------------------------------------
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
+# Literals (of a folded text) without which a pattern above cannot match, in the order of the patterns;
+# a tuple in a tuple: all of them.
+TENANT_LITERALS = [("bachelor",), ("bachelor", ("working", "women")), ("famil",), ("bachelor",),
+                   ("any", ("all", "tenants"), "restriction"), (("preferred", "tenant"),)]
+VEG_LITERALS = [("veg",), ("veg",), ("veg",)]
+NONVEG_OK_LITERALS = [(("non", "veg"),), (("any", "food"),)]
+OWNER_LITERALS = [("owner", "broker"), (("posted", "owner"),), (("owner", "details"),)]
+BROKER_LITERALS = [("broker", "agent"), ("posted",)]
+NEGOTIABLE_LITERALS = [("negotiable",), (("price", "discussed"),), ("negotiable",)]
+LOCK_IN_LITERALS = ("lock", ("minimum", "stay"))
+AMENITY_LITERALS = {
+    "lift": ("lift", "elevator"), "parking": ("park",), "gym": ("gym", "fitness"), "pool": ("pool",), "security": ("security",),
+    "power_backup": ("backup", "generator"), "water_supply": ("water", "borewell"), "clubhouse": ("club",),
+    "garden": ("garden", "lawn"), "kids_play": ("play",), "wifi": (("wi", "fi"),), "ac": (("air", "condition"), ("ac", "included"), "split"),
+    "washing_machine": ("washing",), "fridge": ("fridge", "refrigerator"), "geyser": ("geyser", "heater"), "cctv": ("cctv", "surveillance"),
+}
+
+
+def _hit(t: Column, pattern: str, literals: tuple) -> Column:
+    return has(t, *literals) & t.rlike(cf(pattern))
+
+
+def _any(t: Column, patterns: list[str], literals: list[tuple]) -> Column:
     cond = None
-    for p in patterns:
-        c = text.rlike(ci(p))
+    for p, need in zip(patterns, literals, strict=True):
+        c = _hit(t, p, need)
         cond = c if cond is None else (cond | c)
     return cond
 
 
-def tenant_pref(text: Column) -> Column:
+# The functions below take a folded text.
+
+def tenant_pref(t: Column) -> Column:
     out = F.lit(None).cast("string")
-    for p, label in reversed(TENANT_RULES):
-        out = F.when(text.rlike(ci(p)), F.lit(label)).otherwise(out)
+    for (p, label), need in reversed(list(zip(TENANT_RULES, TENANT_LITERALS, strict=True))):
+        out = F.when(_hit(t, p, need), F.lit(label)).otherwise(out)
     return out
 
 
-def veg_only(text: Column) -> Column:
-    return F.when(_any(text, VEG_RULES), F.lit(1)).when(_any(text, NONVEG_OK_RULES), F.lit(0))
+def veg_only(t: Column) -> Column:
+    return F.when(_any(t, VEG_RULES, VEG_LITERALS), F.lit(1)).when(_any(t, NONVEG_OK_RULES, NONVEG_OK_LITERALS), F.lit(0))
 
 
-def is_owner(text: Column) -> Column:
-    o, b = _any(text, OWNER_RULES), _any(text, BROKER_RULES)
+def is_owner(t: Column) -> Column:
+    o, b = _any(t, OWNER_RULES, OWNER_LITERALS), _any(t, BROKER_RULES, BROKER_LITERALS)
     return F.when(o & ~b, F.lit(1)).when(b & ~o, F.lit(0))
 
 
-def negotiable(text: Column) -> Column:
-    return F.when(_any(text, NEGOTIABLE_RULES), F.lit(1))
+def negotiable(t: Column) -> Column:
+    return F.when(_any(t, NEGOTIABLE_RULES, NEGOTIABLE_LITERALS), F.lit(1))
 
 
-def lock_in_months(text: Column) -> Column:
-    p = ci(LOCK_IN_RE)
-    n = F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("int")
-    unit = F.lower(F.regexp_extract(text, p, 2))
-    return F.when(unit.startswith("y"), n * 12).otherwise(n)
+def lock_in_months(t: Column) -> Column:
+    p = cf(LOCK_IN_RE)
+    hit = F.when(has(t, *LOCK_IN_LITERALS), F.regexp_extract(t, p, 0))  # one scan; the groups are read from the hit
+    n = F.nullif(F.regexp_extract(hit, p, 1), F.lit("")).try_cast("int")
+    return F.when(F.regexp_extract(hit, p, 2).startswith("y"), n * 12).otherwise(n)
 
 
-def amenities(text: Column) -> Column:
+def amenities(t: Column) -> Column:
     """Sorted array of the tags whose pattern matches."""
-    tags = F.array(*[F.when(text.rlike(ci(p)), F.lit(t)) for t, p in AMENITY_RULES])
+    tags = F.array(*[F.when(_hit(t, p, AMENITY_LITERALS[tag]), F.lit(tag)) for tag, p in AMENITY_RULES])
     return F.array_sort(F.array_compact(tags))
 
 
 def extract_record(text: Column) -> dict[str, Column]:
     """The six extracted fields as named columns."""
-    t = F.coalesce(text, F.lit(""))
+    t = folded(F.coalesce(text, F.lit("")))
     am = amenities(t)
     return {
         "tenant_pref": tenant_pref(t),

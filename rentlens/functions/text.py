@@ -8,6 +8,10 @@ Regex notes (Java engine):
   * ``regexp_extract`` returns '' when there is no match -> wrapped in ``nullif``.
   * Numbers are cast with ``try_cast`` so a malformed amount gives NULL
     instead of dropping the record or failing the job.
+  * Case is folded once a text (``folded``); patterns then run without the
+    case-insensitive flag, which costs a case conversion at every position.
+    A pattern runs only where ``has`` finds the literals that every match
+    must hold: a plain substring search settles most texts.
 """
 
 from __future__ import annotations
@@ -114,6 +118,32 @@ def ci(p: str) -> str:
     return "(?iU)" + translate_pattern(p, java=True)
 
 
+#: The characters other than A-Z that match an ASCII letter whatever the case, and that letter.
+FOLDS = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with everything that matches an ASCII letter case-insensitively as that letter."""
+    return F.lower(F.translate(c, *FOLDS))
+
+
+def cf(p: str) -> str:
+    """Java form of a case-insensitive Python pattern, for a ``folded`` text."""
+    small = "".join(c if k and p[k - 1] == "\\" else c.lower() for k, c in enumerate(p))
+    return "(?U)" + translate_pattern(small, java=True)
+
+
+def has(t: Column, *literals: str | tuple[str, ...]) -> Column:
+    """Whether a folded text holds one of the literals (of a tuple: all of them)."""
+    cond = None
+    for one in literals:
+        both = None
+        for word in (one,) if isinstance(one, str) else one:
+            both = t.contains(word) if both is None else both & t.contains(word)
+        cond = both if cond is None else cond | both
+    return cond
+
+
 def cu(p: str) -> str:
     """Java form of a case-sensitive Python pattern."""
     return "(?U)" + translate_pattern(p, java=True)
@@ -164,12 +194,17 @@ def dedup_key(locality_norm: Column, bhk: Column, rent: Column, area: Column) ->
 
 # T7 - T11 (card and message fields) ----------------------------------------
 
+def _found(t: Column, literals: tuple, pattern: str, idx: int = 1) -> Column:
+    """A group of a pattern's first match in a folded text that holds the literals."""
+    return F.when(has(t, *literals), _extract(t, cf(pattern), idx))
+
+
 def parse_bhk(text: Column) -> Column:
-    return _extract(text, ci(BHK_RE)).try_cast("double")
+    return _found(folded(text), ("bhk",), BHK_RE).try_cast("double")
 
 
 def parse_area(text: Column) -> Column:
-    return F.replace(_extract(text, ci(AREA_RE)), F.lit(","), F.lit("")).try_cast("double")
+    return F.replace(_found(folded(text), (("sq", "ft"),), AREA_RE), F.lit(","), F.lit("")).try_cast("double")
 
 
 def parse_inr(text: Column) -> Column:
@@ -181,13 +216,13 @@ def parse_inr(text: Column) -> Column:
     hits; the rules then pick the first hit ending in L, in K, or the first
     hit. A malformed number gives NULL (the rule is still decided).
     """
-    t = F.replace(text, F.lit(","), F.lit(""))
-    hits = F.regexp_extract_all(t, F.lit(ci(_INR_HIT_RE)), 0)
-    plain = ci(INR_PLAIN_RE)    # on a hit it matches at the start: the hit's number
+    t = F.replace(folded(text), F.lit(","), F.lit(""))
+    hits = F.when(has(t, "₹", "rs"), F.regexp_extract_all(t, F.lit(cf(_INR_HIT_RE)), 0)).otherwise(F.array().cast("array<string>"))
+    plain = cf(INR_PLAIN_RE)    # on a hit it matches at the start: the hit's number
     none = F.lit(None).cast("string")
 
     def ends_in(h, ch):
-        return F.lower(F.substring(h, -1, 1)) == ch
+        return F.substring(h, -1, 1) == ch
 
     def step(acc, h):   # first hit ending in L, first ending in K, first hit
         return F.struct(F.coalesce(acc["l"], F.when(ends_in(h, "l"), h)).alias("l"),
@@ -198,7 +233,7 @@ def parse_inr(text: Column) -> Column:
         return F.regexp_extract(h, plain, 1).try_cast("double")
 
     def finish(acc):    # the near-'rent' rule runs only when no currency hit exists
-        return (F.when(acc["p"].isNull(), _extract(t, ci(INR_NEAR_RENT_RE)).try_cast("double"))
+        return (F.when(acc["p"].isNull(), _found(t, ("rent",), INR_NEAR_RENT_RE).try_cast("double"))
                  .when(acc["l"].isNotNull(), num(acc["l"]) * 100000)
                  .when(acc["k"].isNotNull(), num(acc["k"]) * 1000)
                  .otherwise(num(acc["p"])))
@@ -207,20 +242,21 @@ def parse_inr(text: Column) -> Column:
 
 def _scaled_amount(num: Column, suffix: Column) -> Column:
     n = F.replace(num, F.lit(","), F.lit("")).try_cast("double")
-    sfx = F.lower(suffix)
-    return (F.when(sfx == "k", n * 1000).when(sfx == "l", n * 100000).otherwise(n))
+    return (F.when(suffix == "k", n * 1000).when(suffix == "l", n * 100000).otherwise(n))
 
 
 def parse_message_rent(text: Column) -> Column:
     """Rent-anchored amount in [3k, 500k], else the first currency amount in [5k, 500k]."""
-    p1 = ci(MSG_RENT_RE)
-    first = _scaled_amount(F.regexp_extract(text, p1, 1), F.regexp_extract(text, p1, 2))
+    t = folded(text)
+    hit = _found(t, ("rent",), MSG_RENT_RE, 0)  # one scan of the text; the groups are read from the hit
+    p1 = cf(MSG_RENT_RE)
+    first = _scaled_amount(F.regexp_extract(hit, p1, 1), F.regexp_extract(hit, p1, 2))
     first = F.when(first.between(3000, 500000), first)
-    p2 = ci(MSG_INR_ANY_RE)
-    amounts = F.zip_with(F.regexp_extract_all(text, F.lit(p2), 1),
-                         F.regexp_extract_all(text, F.lit(p2), 2), _scaled_amount)
+    p2 = cf(MSG_INR_ANY_RE)
+    amounts = F.transform(F.regexp_extract_all(t, F.lit(p2), 0),
+                          lambda h: _scaled_amount(F.regexp_extract(h, p2, 1), F.regexp_extract(h, p2, 2)))
     ok = F.filter(amounts, lambda v: v.between(5000, 500000))
-    return F.coalesce(first, F.try_element_at(ok, F.lit(1)))
+    return F.coalesce(first, F.when(has(t, "₹", "rs"), F.try_element_at(ok, F.lit(1))))
 
 
 def parse_furnishing(text: Column) -> Column:
@@ -313,22 +349,27 @@ def correct_locality(text: Column, current: Column) -> Column:
 
 # T14 - T17 (card enrichment) -----------------------------------------------
 
+#: What every match of a label's patterns holds.
+PROPERTY_TYPE_LITERALS = {"independent_house": ("house",), "villa": ("villa",), "pg": ("pg",), "studio": ("studio",),
+                          "apartment": ("apartment", "flat")}
+
+
 def parse_property_type(text: Column) -> Column:
-    head = F.substring(text, 1, FIRST_CHARS_PROPERTY_TYPE)
+    head = folded(F.substring(text, 1, FIRST_CHARS_PROPERTY_TYPE))
     out = F.lit(None).cast("string")
     for pat, label in reversed(PROPERTY_TYPE_RULES):
-        out = F.when(head.rlike(ci(pat)), F.lit(label)).otherwise(out)
+        out = F.when(has(head, *PROPERTY_TYPE_LITERALS[label]) & head.rlike(cf(pat)), F.lit(label)).otherwise(out)
     return out
 
 
 def parse_deposit(text: Column) -> Column:
-    v = F.replace(_extract(text, ci(DEPOSIT_RE)), F.lit(","), F.lit("")).try_cast("double")
+    v = F.replace(_found(folded(text), (("₹", "deposit"),), DEPOSIT_RE), F.lit(","), F.lit("")).try_cast("double")
     return F.when(v.between(1000, 5000000), v)
 
 
 def parse_floor(text: Column) -> Column:
     """struct(floor_num, total_floors) from the first a/b pair; valid iff 0<=a<=b<=60."""
-    m = F.regexp_extract(text, cu(FLOOR_RE), 0)     # one scan of the text
+    m = F.when(has(text, "/"), F.regexp_extract(text, cu(FLOOR_RE), 0))     # one scan of the text
     parts = F.split(m, "/")
     a = F.trim(F.try_element_at(parts, F.lit(1))).try_cast("int")
     b = F.trim(F.try_element_at(parts, F.lit(2))).try_cast("int")
@@ -344,8 +385,8 @@ AGE_RE_POSSESSIVE = r"(\d++)\s*+(?:-\s*+(\d++))?\s*+\+?\s*+(?:years?|yrs?)\b"
 
 
 def parse_age(text: Column) -> Column:
-    m = F.regexp_extract(text, ci(AGE_RE_POSSESSIVE), 0)    # one scan of the text
-    p = ci(AGE_RE_POSSESSIVE)
+    m = _found(folded(text), ("year", "yr"), AGE_RE_POSSESSIVE, 0)    # one scan of the text
+    p = cf(AGE_RE_POSSESSIVE)
     lo = _extract(m, p, 1).try_cast("double")
     hi = F.coalesce(_extract(m, p, 2).try_cast("double"), lo)
     mid = (lo + hi) / 2
@@ -360,12 +401,20 @@ def strip(c: Column) -> Column:
 
 
 def looks_like_listing(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return ((F.char_length(t) >= 60) & ~t.rlike(ci(SALE_MARKER_RE)) & t.rlike(ci(RENT_MARKER_RE)))
+    t = folded(F.coalesce(text, F.lit("")))
+    sale = has(t, "sale", ("per", "sq"), "price") & t.rlike(cf(SALE_MARKER_RE))
+    rent = has(t, *RENT_LITERALS) & t.rlike(cf(RENT_MARKER_RE))
+    return (F.char_length(F.coalesce(text, F.lit(""))) >= 60) & ~sale & rent
+
+
+#: What every match of the rent marker, and of the room-share marker, holds one of.
+RENT_LITERALS = ("bhk", "rent", "deposit", "₹", "rs", "sq", "preferred", "bachelor", "family", "owner", "broker")
+ROOM_SHARE_LITERALS = ("mate", "per", "room", "share", "looking", "paying", "pg")
 
 
 def is_room_share(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(ci(ROOM_SHARE_RE))
+    t = folded(F.coalesce(text, F.lit("")))
+    return has(t, *ROOM_SHARE_LITERALS) & t.rlike(cf(ROOM_SHARE_RE))
 
 
 def source_tag(group_name: Column, share: Column) -> Column:

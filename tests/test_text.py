@@ -175,3 +175,42 @@ def test_parse_inr_single_scan_matches_rule_by_rule(spark):
              "₹ 3000 Rs 4000 K", "rs..5 L", "Rs 10 L, ₹ 20 K"]
     got = many(spark, tx.parse_inr, cases)
     assert got == [_inr_brute(c) for c in cases]
+
+
+def test_guarded_patterns_match_like_unguarded(spark):
+    """Folding the case once and asking for literals first changes no pattern's verdict."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rentlens.functions import extract as ex, text as tx
+    phrases = ["bachelors only male", "male bachelors", "bachelor - female", "working women", "families preferred", "family", "bachelor",
+               "anyone", "all tenants", "no restriction", "preferred tenants: all", "veg only", "only vegetarian", "pure veg",
+               "no non-veg", "veg tenants only", "non veg allowed", "non-vegetarian ok", "any food", "owner direct", "no broker",
+               "posted by owner", "get owner details", "brokerage", "agent fee", "agent details", "posted by agent", "negotiable",
+               "price can be discussed", "rent is negotiable", "lift", "elevator", "parking", "car park", "gym", "fitness center",
+               "swimming pool", "24/7 security", "power backup", "generator", "dg backup", "24 7 water", "borewell", "corp water",
+               "club-house", "garden", "lawn", "kids play", "children's play", "play area", "wi-fi", "air conditioning", "ac included",
+               "split ac", "washing machine", "fridge", "refrigerator", "geyser", "water heater", "cctv", "surveillance",
+               "independent house", "villa", "pg", "studio", "apartment", "flat", "house", "for sale", "resale", "4,500 per sq ft",
+               "expected price", "flat mate", "roommate", "per head", "room available", "share the flat", "looking for a girl flatmate",
+               "paying guest", "2 bhk", "rent", "₹ 12,000", "rs. 900", "sqft", "deposit", "lock-in: 11 months", "minimum stay 2 years"]
+    rng = random.Random(4)
+    odd = {"i": "İı", "s": "ſ", "k": "K"}
+    texts = []
+    for _ in range(400):
+        t = rng.choice(["", "x", " \n"]).join(rng.sample(phrases, 3))
+        texts.append("".join(rng.choice([c, c.upper(), *odd.get(c, c)]) if rng.random() < 0.3 else c for c in t))
+    rules = [*zip([p for p, _ in ex.TENANT_RULES], ex.TENANT_LITERALS), *zip(ex.VEG_RULES, ex.VEG_LITERALS),
+             *zip(ex.NONVEG_OK_RULES, ex.NONVEG_OK_LITERALS), *zip(ex.OWNER_RULES, ex.OWNER_LITERALS),
+             *zip(ex.BROKER_RULES, ex.BROKER_LITERALS), *zip(ex.NEGOTIABLE_RULES, ex.NEGOTIABLE_LITERALS),
+             (ex.LOCK_IN_RE, ex.LOCK_IN_LITERALS), *[(p, ex.AMENITY_LITERALS[t]) for t, p in ex.AMENITY_RULES],
+             *[(p, tx.PROPERTY_TYPE_LITERALS[t]) for p, t in tx.PROPERTY_TYPE_RULES],
+             (tx.RENT_MARKER_RE, tx.RENT_LITERALS), (tx.ROOM_SHARE_RE, tx.ROOM_SHARE_LITERALS),
+             (tx.SALE_MARKER_RE, ("sale", ("per", "sq"), "price"))]
+    t = tx.folded(F.col("t"))
+    differ = [F.when(F.col("t").rlike(tx.ci(p)) != (tx.has(t, *need) & t.rlike(tx.cf(p))), F.lit(p)) for p, need in rules]
+    wrong = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.array_compact(F.array(*differ)).alias("d")).where("size(d) > 0")
+    assert wrong.collect() == []
+    hits = spark.createDataFrame([(x,) for x in phrases], "t string").select(*[F.max(tx.has(t, *need) & t.rlike(tx.cf(p))) for p, need in rules]).first()
+    assert all(hits)
