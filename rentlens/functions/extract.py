@@ -136,8 +136,15 @@ def _any(t: Column, patterns: list[str], literals: list[tuple]) -> Column:
     return cond
 
 
-# The functions below take a folded text.
+def on_folded(fn):
+    """The function on a text as it stands; ``.of`` is the function on a folded one."""
+    def on_text(text: Column) -> Column:
+        return fn(folded(text))
+    on_text.of = fn
+    return on_text
 
+
+@on_folded
 def tenant_pref(t: Column) -> Column:
     out = F.lit(None).cast("string")
     for (p, label), need in reversed(list(zip(TENANT_RULES, TENANT_LITERALS, strict=True))):
@@ -145,19 +152,23 @@ def tenant_pref(t: Column) -> Column:
     return out
 
 
+@on_folded
 def veg_only(t: Column) -> Column:
     return F.when(_any(t, VEG_RULES, VEG_LITERALS), F.lit(1)).when(_any(t, NONVEG_OK_RULES, NONVEG_OK_LITERALS), F.lit(0))
 
 
+@on_folded
 def is_owner(t: Column) -> Column:
     o, b = _any(t, OWNER_RULES, OWNER_LITERALS), _any(t, BROKER_RULES, BROKER_LITERALS)
     return F.when(o & ~b, F.lit(1)).when(b & ~o, F.lit(0))
 
 
+@on_folded
 def negotiable(t: Column) -> Column:
     return F.when(_any(t, NEGOTIABLE_RULES, NEGOTIABLE_LITERALS), F.lit(1))
 
 
+@on_folded
 def lock_in_months(t: Column) -> Column:
     p = cf(LOCK_IN_RE)
     hit = F.when(has(t, *LOCK_IN_LITERALS), F.regexp_extract(t, p, 0))  # one scan; the groups are read from the hit
@@ -165,6 +176,7 @@ def lock_in_months(t: Column) -> Column:
     return F.when(F.regexp_extract(hit, p, 2).startswith("y"), n * 12).otherwise(n)
 
 
+@on_folded
 def amenities(t: Column) -> Column:
     """Sorted array of the tags whose pattern matches."""
     tags = F.array(*[F.when(_hit(t, p, AMENITY_LITERALS[tag]), F.lit(tag)) for tag, p in AMENITY_RULES])
@@ -174,13 +186,13 @@ def amenities(t: Column) -> Column:
 def extract_record(text: Column) -> dict[str, Column]:
     """The six extracted fields as named columns."""
     t = folded(F.coalesce(text, F.lit("")))
-    am = amenities(t)
+    am = amenities.of(t)
     return {
-        "tenant_pref": tenant_pref(t),
-        "veg_only": veg_only(t),
-        "is_owner": is_owner(t),
-        "negotiable": negotiable(t),
-        "lock_in_months": lock_in_months(t),
+        "tenant_pref": tenant_pref.of(t),
+        "veg_only": veg_only.of(t),
+        "is_owner": is_owner.of(t),
+        "negotiable": negotiable.of(t),
+        "lock_in_months": lock_in_months.of(t),
         "amenities_json": json_string_array(am),
         "n_amenities": F.size(am),
     }
