@@ -77,10 +77,17 @@ def in_domain(df: DataFrame) -> DataFrame:
                     & (r / a).between(RPS_MIN, RPS_MAX))
 
 
-def _stacked_stats(d: DataFrame) -> DataFrame:
-    """One ranking pass for every order statistic the features need.
+def _with_bases(df: DataFrame) -> DataFrame:
+    """Rent per square foot, half-even bhk and deposit ratio: what the priors are made of."""
+    return (df.withColumn("_rps", F.col("rent_monthly") / F.col("area_sqft"))
+              .withColumn("_bhk_int", F.rint("bhk").cast("int"))
+              .withColumn("_ratio", F.col("deposit") / F.col("rent_monthly")))
 
-    Rows are stacked as (grouping, locality, bhk_int, value):
+
+def stacked(d: DataFrame, *extra: str) -> DataFrame:
+    """Every value that a prior needs, so that one ranking pass serves all of them.
+
+    Rows are stacked as (grouping, locality, bhk_int, value), with the columns ``extra``:
       0 global rent/sqft, 1 per locality, 2 per (locality, bhk_int),
       3 global deposit/rent ratio.
     NULL localities join groupings 0 only; NULL ratios are skipped.
@@ -94,8 +101,15 @@ def _stacked_stats(d: DataFrame) -> DataFrame:
                       F.when(loc.isNotNull(), entry(1, loc, nul_i, F.col("_rps"))),
                       F.when(loc.isNotNull(), entry(2, loc, bhk, F.col("_rps"))),
                       F.when(F.col("_ratio").isNotNull(), entry(3, nul_s, nul_i, F.col("_ratio"))))
-    long = d.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*")
-    return stats.order_stats(long, ["_g", "_loc", "_bhk"], "_v")
+    return d.select(F.explode(F.array_compact(entries)).alias("e"), *extra).select("e.*", *extra)
+
+
+GROUPING = ["_g", "_loc", "_bhk"]
+
+
+def _ratio_filled(ratio, median):
+    """A missing deposit/rent ratio is the median one (6.0 when that is missing or zero)."""
+    return F.coalesce(ratio, F.when(median.isNull() | (median == 0), F.lit(DEFAULT_DEPOSIT_RATIO)).otherwise(median))
 
 
 def with_priors(df: DataFrame, with_ratio: bool = False) -> DataFrame:
@@ -106,11 +120,9 @@ def with_priors(df: DataFrame, with_ratio: bool = False) -> DataFrame:
     With ``with_ratio`` also fills ``deposit_to_rent_ratio`` NULLs with the
     global median ratio (6.0 when that is missing or zero).
     """
-    d = (df.withColumn("_rps", F.col("rent_monthly") / F.col("area_sqft"))
-           .withColumn("_bhk_int", F.rint("bhk").cast("int"))
-           .withColumn("_ratio", F.col("deposit") / F.col("rent_monthly")))
+    d = _with_bases(df)
     # one row per group (written by order_stats), shared by four consumers
-    st = _stacked_stats(d)
+    st = stats.order_stats(stacked(d), GROUPING, "_v")
     glob = st.where(F.col("_g").isin(0, 3)).groupBy().agg(
         F.max(F.when(F.col("_g") == 0, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_gmed"),
         F.max(F.when(F.col("_g") == 3, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_rmed"))
@@ -129,18 +141,40 @@ def with_priors(df: DataFrame, with_ratio: bool = False) -> DataFrame:
     out = (j.withColumn("locality_median_rent_per_sqft", loc_prior)
             .withColumn("locality_bhk_median_rent_per_sqft", F.coalesce(loo_lb, loc_prior)))
     if with_ratio:
-        rmed = glob.select("_rmed").scalar()
-        fill = F.when(rmed.isNull() | (rmed == 0), F.lit(DEFAULT_DEPOSIT_RATIO)).otherwise(rmed)
-        out = out.withColumn("deposit_to_rent_ratio", F.coalesce(F.col("_ratio"), fill))
+        out = out.withColumn("deposit_to_rent_ratio", _ratio_filled(F.col("_ratio"), glob.select("_rmed").scalar()))
     return out.drop("_rps", "_bhk_int", "_ratio", "_la", "_lb", "_lc", "_ln", "_ba", "_bb", "_bc", "_bn")
 
 
-def build_features(df: DataFrame) -> DataFrame:
+def with_fold_priors(df: DataFrame, fold: str, folds: int, with_ratio: bool = False) -> DataFrame:
+    """W2/W3 without leaks: a row's priors are medians over the rows outside its fold only, so neither its own rent nor
+    any rent it is validated with has a part in them. All folds' medians come from one pass.
+
+    Falls back from (locality, half-even bhk) to locality to all rows outside the fold. ``with_ratio`` fills missing
+    deposit ratios in the same way. A row with a NULL fold gets no prior.
+    """
+    d = _with_bases(df)
+    st = stats.fold_out_medians(stacked(d, fold), GROUPING, "_v", fold, folds)
+
+    def prior(grouping: int, name: str, **keys: str) -> DataFrame:
+        return st.where(F.col("_g") == grouping).select(*[F.col(c).alias(k) for k, c in keys.items()], fold, F.col("median").alias(name))
+
+    j = (d.join(prior(0, "_all"), fold, "left").join(prior(1, "_by_loc", locality_norm="_loc"), ["locality_norm", fold], "left")
+          .join(prior(2, "_by_bhk", locality_norm="_loc", _bhk_int="_bhk"), ["locality_norm", "_bhk_int", fold], "left"))
+    by_loc = F.coalesce("_by_loc", "_all")
+    out = (j.withColumn("locality_median_rent_per_sqft", by_loc)
+            .withColumn("locality_bhk_median_rent_per_sqft", F.coalesce(F.col("_by_bhk"), by_loc)))
+    if with_ratio:
+        out = out.join(prior(3, "_med_ratio"), fold, "left").withColumn("deposit_to_rent_ratio", _ratio_filled(F.col("_ratio"), F.col("_med_ratio")))
+    return out.drop("_rps", "_bhk_int", "_ratio", "_all", "_by_loc", "_by_bhk", "_med_ratio")
+
+
+def build_features(df: DataFrame, priors=with_priors) -> DataFrame:
     """Domain filter, priors, ratios, sentinels, one-hots; adds the 27
-    ordered feature columns and ``log_rent`` (the target)."""
+    ordered feature columns and ``log_rent`` (the target). ``priors(frame, with_ratio=True)``
+    adds the prior columns: leave-one-out ones, or for instance those of a stored model or of other folds."""
     d = in_domain(df)
     d = d.withColumn("log_area_sqft", F.log1p("area_sqft"))
-    d = with_priors(d, with_ratio=True)
+    d = priors(d, with_ratio=True)
     d = (d.withColumn("floor_num", F.coalesce(F.col("floor_num").cast("double"), F.lit(-1.0)))
           .withColumn("total_floors", F.coalesce(F.col("total_floors").cast("double"), F.lit(-1.0)))
           .withColumn("floor_ratio", F.when(F.col("total_floors") > 0, F.col("floor_num") / F.col("total_floors"))
@@ -172,17 +206,17 @@ def baseline_predictions(listings: DataFrame, localities: DataFrame) -> DataFram
     return score(pred)
 
 
-def share_deals(listings: DataFrame, localities: DataFrame, predict=None) -> DataFrame:
+def share_deals(listings: DataFrame, localities: DataFrame, predict=None, priors=with_priors) -> DataFrame:
     """Room-share posts. Per-person rent x max(1, rint(bhk)) is priced as a
     whole flat (features recomputed on the share slice only), the prediction
     is divided back per person and compared with the asked per-person rent.
     ``predict`` maps a feature frame to one with ``predicted_rent``; default is
-    the prior baseline."""
+    the prior baseline. ``priors`` as in ``build_features``: a stored model's priors come from whole flats."""
     s = scorable(listings.where(F.col("source").startswith("telegram_share:")))
     s = (s.withColumn("bhk_int", F.greatest(F.rint("bhk"), F.lit(1.0)).cast("int"))
           .withColumn("actual_per_person", F.col("rent_monthly"))
           .withColumn("rent_monthly", F.col("rent_monthly") * F.col("bhk_int")))
-    feats = build_features(with_localities(s, localities))
+    feats = build_features(with_localities(s, localities), priors)
     if predict is None:
         pred = feats.withColumn("predicted_rent", F.col("locality_bhk_median_rent_per_sqft") * F.col("area_sqft"))
     else:

@@ -1,16 +1,10 @@
 """Exact order statistics that stay distributed when one group is huge.
 
-``group_rank`` gives every row its exact 1-based position inside its group.
-Rows are range-partitioned on (group keys, order columns), so a group holding a
-third of the data is cut into many contiguous slices, one per task, instead of
-landing in a single task as ``Window.partitionBy(group)`` would. Each slice is
-sorted locally; a per-(slice, group) count table -- at most one row per
-partition per group -- turns local positions into global ranks.
-
-Order statistics need no row ranks: ``value_at_ranks`` first counts equal
-(group, value) rows, which combines map-side and so splits any tie, cuts the
-distinct values into sorted slices by range, finds from the slice totals which
-slices hold a wanted rank, and adds up counts inside those slices only.
+No row is ranked: ``value_at_ranks`` first counts equal (group, value) rows,
+which combines map-side and so splits any tie, cuts the distinct values into
+sorted slices by range (a group holding a third of the data spans many), finds
+from the slice totals which slices hold a wanted rank, and adds up counts
+inside those slices only.
 
   * ``group_quantiles``  exact interpolated quantiles (median, p50/p95 ...)
   * ``loo_median``       leave-one-out median per group in closed form: only
@@ -23,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rentlens.session import materialize
@@ -42,38 +35,6 @@ def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def group_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_col: str = "_rank",
-               size_col: str = "_n", held: list | None = None) -> DataFrame:
-    """Add the exact 1-based rank of each row within its key group (``rank_col``)
-    and the group size (``size_col``). Ties in ``order`` get distinct, arbitrary
-    ranks; pass a unique tie-breaker last when the assignment must be stable.
-
-    The sorted slices are cached (memory, spilling to disk) for the two
-    consumers; callers that write their result pass ``held`` to receive the
-    cached frame and release it afterwards.
-    """
-    keys = list(keys)
-    key_cols = [F.col(k) for k in keys]
-    s = (df.repartitionByRange(*key_cols, *order)
-           .sortWithinPartitions(*key_cols, *order)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    # both consumers below (segment counts and the join back) read the same
-    # sorted slices: one range shuffle, and identical positions for tied rows
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    if held is not None:
-        held.append(s)
-    seg = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    part = Window.partitionBy(*key_cols) if keys else Window.partitionBy(F.lit(0))
-    before = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-              .withColumn(size_col, F.sum("_cnt").over(part))
-              .drop("_cnt"))
-    out = _join_on_keys(s, seg, ["_pid", *keys]) if keys else s.join(seg, "_pid")
-    return (out.withColumn(rank_col, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
-               .drop("_pid", "_mid", "_first", "_off"))
-
-
 def value_at_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, Column],
                    size_col: str = "_n") -> DataFrame:
     """Per group, its size and the value at each wanted rank (a Column of ``size_col``, from 1), written.
@@ -102,6 +63,43 @@ def value_at_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[
     return materialize(near.groupBy(*keys).agg(*aggs, F.max(size_col).alias(size_col)))
 
 
+def fold_out_medians(df: DataFrame, keys: Sequence[str], value: str, fold: str, folds: int) -> DataFrame:
+    """(keys, fold, median, n): per group and fold, the median of the group's rows that are not in the fold, and how
+    many they are. A group without such rows is absent for that fold. NULL values are not counted; rows with a NULL
+    fold are outside every fold.
+    """
+    keys = list(keys)
+    key_cols = [F.col(k) for k in keys]
+    ks = range(folds)
+    outside = [F.count(F.when(~F.col(fold).eqNullSafe(F.lit(f)), 1)).alias(f"_w{f}") for f in ks]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(*outside)
+    s = materialize(counted.repartitionByRange(*key_cols, "_v").withColumn("_pid", F.spark_partition_id()))
+    part = Window.partitionBy(*key_cols)
+    before = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = s.groupBy("_pid", *keys).agg(*[F.sum(f"_w{f}").alias(f"_c{f}") for f in ks])
+    seg = seg.select("*", *[F.coalesce(F.sum(f"_c{f}").over(before), F.lit(0)).alias(f"_off{f}") for f in ks],
+                     *[F.sum(f"_c{f}").over(part).alias(f"_n{f}") for f in ks])
+    # the two middle ranks of what is left of the group without fold f
+    middle = [(F.floor((F.col(f"_n{f}") + 1) / 2), F.floor(F.col(f"_n{f}") / 2) + 1) for f in ks]
+    inside = F.lit(False)
+    for f, ranks in zip(ks, middle):
+        for r in ranks:
+            inside = inside | ((r > F.col(f"_off{f}")) & (r <= F.col(f"_off{f}") + F.col(f"_c{f}")))
+    near = _join_on_keys(s, seg.where(inside).drop(*[f"_c{f}" for f in ks]), ["_pid", *keys])
+    upto = Window.partitionBy("_pid", *key_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumns({f"_hi{f}": F.col(f"_off{f}") + F.sum(f"_w{f}").over(upto) for f in ks})
+    aggs = []
+    for f, ranks in zip(ks, middle):
+        aggs.append(F.max(f"_n{f}").alias(f"_n{f}"))
+        for name, r in zip("ab", ranks):
+            at = (r <= F.col(f"_hi{f}")) & (r > F.col(f"_hi{f}") - F.col(f"_w{f}"))
+            aggs.append(F.max(F.when(at, F.col("_v"))).alias(f"_{name}{f}"))
+    wide = near.groupBy(*keys).agg(*aggs)
+    per_fold = F.array(*[F.struct(F.lit(f).alias(fold), ((F.col(f"_a{f}") + F.col(f"_b{f}")) / 2).alias("median"),
+                                  F.col(f"_n{f}").alias("n")) for f in ks])
+    return materialize(wide.select(*keys, F.explode(per_fold).alias("_e")).select(*keys, "_e.*").where("n > 0"))
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                     median_as_mean: bool = True) -> DataFrame:
     """Exact quantiles per group, NULL values skipped; position (n-1)p with

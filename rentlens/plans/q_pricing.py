@@ -3,11 +3,13 @@ deals, G5/G15 regression metrics -- over FX-listings."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
-from rentlens.operators import model as md, pricing as pr
+from rentlens.operators import model as md, pricing as pr, priors
 from rentlens.plans.common import shape
-from rentlens.session import materialize
+from rentlens.session import materialize, scratch_path
 from rentlens.plans.registry import query
 from rentlens.plans.sqlgen import localities_ctes
 from rentlens.sources.fixtures import fx, fx_cte
@@ -236,3 +238,61 @@ FROM scored GROUP BY locality_norm
 def metrics_by_locality(spark, sf_dir):
     m = baseline(spark, sf_dir).groupBy("locality_norm").agg(*regression_aggs()[:3])
     return rounded(m, ["mae", "mape"])
+
+
+# --- priors from other folds, and priors of a stored model -------------------
+
+FOLD_PRIORS_SQL = f"""q AS (SELECT *, {FOLD_SQL} AS fold FROM p),
+ks AS (SELECT DISTINCT fold AS k FROM q),
+fg AS (SELECT k, median(rps) AS m FROM ks JOIN q ON fold <> k GROUP BY k),
+fl AS (SELECT k, locality_norm, median(rps) AS m FROM ks JOIN q ON fold <> k WHERE locality_norm IS NOT NULL GROUP BY k, locality_norm),
+fb AS (SELECT k, locality_norm, bhk_int, median(rps) AS m FROM ks JOIN q ON fold <> k WHERE locality_norm IS NOT NULL GROUP BY k, locality_norm, bhk_int),
+fw AS (SELECT q.*, coalesce(fl.m, fg.m) AS by_loc, coalesce(fb.m, fl.m, fg.m) AS by_bhk
+       FROM q LEFT JOIN fg ON fg.k = q.fold LEFT JOIN fl ON fl.k = q.fold AND fl.locality_norm = q.locality_norm
+       LEFT JOIN fb ON fb.k = q.fold AND fb.locality_norm = q.locality_norm AND fb.bhk_int = q.bhk_int)"""
+
+
+def _fold_priors(spark, sf_dir):
+    d = pr.in_domain(pr.scorable(listings(spark, sf_dir))).withColumn("fold", fold_of(F.col("listing_id")))
+    return pr.with_fold_priors(d, "fold", FOLDS)
+
+
+@query("fold_out_priors", fx_cte("fx_listings") + f""", {priors_sql('fx_listings')}, {FOLD_PRIORS_SQL}
+SELECT listing_id, fold, floor(by_loc * 1000000 + 0.5) / 1000000 AS locality_median_rent_per_sqft,
+       floor(by_bhk * 1000000 + 0.5) / 1000000 AS locality_bhk_median_rent_per_sqft FROM fw
+""")
+def fold_out_priors(spark, sf_dir):
+    """W1-W3 for cross-validation: every row's priors leave its whole fold out."""
+    cols = ["locality_median_rent_per_sqft", "locality_bhk_median_rent_per_sqft"]
+    return rounded(_fold_priors(spark, sf_dir).select("listing_id", "fold", *cols), cols)
+
+
+@query("fold_out_metrics", fx_cte("fx_listings") + f""", {priors_sql('fx_listings')}, {FOLD_PRIORS_SQL},
+scored AS (SELECT listing_id, rent_monthly, by_bhk * area_sqft AS predicted_rent FROM fw),""" + REG_SQL)
+def fold_out_metrics(spark, sf_dir):
+    """G5 of the baseline without leaks: each fold priced by the other folds."""
+    d = _fold_priors(spark, sf_dir).withColumn("predicted_rent", F.col("locality_bhk_median_rent_per_sqft") * F.col("area_sqft"))
+    m = regression_metrics_df(d.drop("fold"))
+    return rounded(m.select("fold", "n", "mae", "mape", "r2", "mape_std"), ["mae", "mape", "r2", "mape_std"])
+
+
+@query("share_deals_stored", fx_cte("fx_listings") + f""", {SHARE_SRC}, {features_sql('share')},
+tr AS (SELECT locality_norm AS l, CAST(round_even(bhk, 0) AS INTEGER) AS b, rent_monthly / area_sqft AS v FROM fx_listings WHERE {DOMAIN_SQL}),
+tg AS (SELECT median(v) AS m FROM tr), tl AS (SELECT l, median(v) AS m FROM tr WHERE l IS NOT NULL GROUP BY l),
+tb AS (SELECT l, b, median(v) AS m FROM tr WHERE l IS NOT NULL GROUP BY l, b),
+pp AS (SELECT feat.*, coalesce(tb.m, tl.m, tg.m) * area_sqft / bhk_int AS predicted_per_person
+       FROM tg, feat LEFT JOIN tl ON tl.l = locality_norm LEFT JOIN tb ON tb.l = locality_norm AND tb.b = CAST(round_even(bhk, 0) AS INTEGER))
+SELECT listing_id, bhk_int, floor((actual_per_person) * 1000000 + 0.5) / 1000000 AS actual_per_person,
+       floor((predicted_per_person) * 1000000 + 0.5) / 1000000 AS predicted_per_person,
+       floor(((predicted_per_person - actual_per_person) / predicted_per_person) * 1000000 + 0.5) / 1000000 AS value_score,
+       CAST((predicted_per_person - actual_per_person) / predicted_per_person >= 0.15 AS INTEGER) AS is_deal
+FROM pp
+""")
+def share_deals_stored(spark, sf_dir):
+    """Priors fitted on all scorable listings, stored, read again, and used to price the room-share posts."""
+    path = scratch_path(spark, f"models/locality-priors-{uuid.uuid4().hex}")
+    priors.LocalityPriors().fit(listings(spark, sf_dir)).write().save(path)
+    stored = priors.LocalityPriorsModel.load(path)
+    d = pr.share_deals(listings(spark, sf_dir), pr.localities_table(spark), priors=stored.priors)
+    return rounded(d.select("listing_id", "bhk_int", "actual_per_person", "predicted_per_person", "value_score",
+                            "is_deal"), ["actual_per_person", "predicted_per_person", "value_score"])

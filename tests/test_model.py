@@ -127,3 +127,28 @@ def test_time_cv_metrics_has_weekly_folds(spark):
         off = (valid["area_sqft"] * (train["rent_monthly"] / train["area_sqft"]).mean() - valid["rent_monthly"]).abs()
         assert got.loc[k, "n"] == len(valid) and abs(got.loc[k, "mae"] - off.mean()) < 1e-4
         assert abs(got.loc[k, "mape"] - (off / valid["rent_monthly"]).mean()) < 1e-4
+
+
+def test_stored_priors_round_trip(spark, tmp_path):
+    """A fitted model, written and read, alone and in a pipeline, gives the same priors; unseen localities fall back."""
+    import numpy as np
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from rentlens.operators.priors import LocalityPriors, LocalityPriorsModel
+    train = [(f"t{i}", ["a", "b", None][i % 3], float(1 + i % 2), 1000.0, 20000.0 + 100 * i, 50000.0) for i in range(30)]
+    schema = "listing_id string, locality_norm string, bhk double, area_sqft double, rent_monthly double, deposit double"
+    new = [("n1", "a", 1.0, 900.0, 1.0, None), ("n2", "a", 5.0, 900.0, 1.0, None), ("n3", "zz", 1.0, 900.0, 1.0, None), ("n4", None, 1.0, 900.0, 1.0, 3.0)]
+    model = LocalityPriors().fit(spark.createDataFrame(train, schema))
+    model.write().save(f"{tmp_path}/m")
+    Pipeline(stages=[LocalityPriors()]).fit(spark.createDataFrame(train, schema)).write().save(f"{tmp_path}/p")
+    rps = lambda keep: float(np.median([r[4] / r[3] for r in train if keep(r)]))
+    want = {"n1": (rps(lambda r: r[1] == "a"), rps(lambda r: r[1] == "a" and r[2] == 1)),
+            "n2": (rps(lambda r: r[1] == "a"), rps(lambda r: r[1] == "a")), "n3": (rps(lambda r: True),) * 2, "n4": (rps(lambda r: True),) * 2}
+    for m in (model, LocalityPriorsModel.load(f"{tmp_path}/m"), PipelineModel.load(f"{tmp_path}/p")):
+        out = {r.listing_id: (r.locality_median_rent_per_sqft, r.locality_bhk_median_rent_per_sqft)
+               for r in m.transform(spark.createDataFrame(new, schema)).collect()}
+        assert out == want
+    filled = {r.listing_id: r.deposit_to_rent_ratio for r in model.priors(spark.createDataFrame(new, schema), with_ratio=True).collect()}
+    assert filled["n4"] == 3.0 and abs(filled["n1"] - float(np.median([r[5] / r[4] for r in train]))) < 1e-12
+    empty = LocalityPriors().fit(spark.createDataFrame([], schema)).transform(spark.createDataFrame(new, schema))
+    assert all(r.locality_median_rent_per_sqft is None for r in empty.collect())

@@ -5,7 +5,6 @@ import collections
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from rentlens.operators import stats
 
@@ -22,18 +21,6 @@ def _rows(seed=7, n=1500):
     return rows
 
 
-def test_group_rank_is_exact_permutation(spark):
-    df = spark.createDataFrame(_rows(), "id long, g string, v double")
-    r = stats.group_rank(df, ["g"], [F.col("v"), F.col("id")]).collect()
-    by = collections.defaultdict(list)
-    for row in r:
-        by[row.g].append((row.v, row.id, row._rank, row._n))
-    for g, items in by.items():
-        items.sort()
-        assert [x[2] for x in items] == list(range(1, len(items) + 1)), g
-        assert all(x[3] == len(items) for x in items)
-
-
 def test_loo_median_matches_brute_force(spark):
     rows = _rows() + [(20001, "a", None), (20002, "two", None)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
@@ -63,3 +50,17 @@ def test_group_quantiles_match_numpy(spark):
     for g, vals in groups.items():
         assert abs(q[g].p50 - np.percentile(vals, 50)) < 1e-9
         assert abs(q[g].p95 - np.percentile(vals, 95)) < 1e-9
+
+
+def test_fold_out_medians_match_brute_force(spark):
+    """Every group and fold, ties, a hot group, NULL groups, values and folds, groups that lie in one fold."""
+    rows = [(i, g, v, None if i % 50 == 0 else i % 3) for i, g, v in _rows()] + [(30000, "lone", 4.0, 1), (30001, "a", None, 2)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, fold int")
+    got = {(r.g, r.fold): (r.median, r.n) for r in stats.fold_out_medians(df, ["g"], "v", "fold", 3).collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        for f in range(3):
+            left = [v for _, h, v, k in rows if h == g and k != f and v is not None]
+            if left:
+                want[g, f] = (float(np.median(left)), len(left))
+    assert got == want and ("lone", 1) not in got
