@@ -1,4 +1,4 @@
-"""Sighting-log history: days on market (W6), price changes (W7), listing
+"""Sighting-log history: days on market and sighting spans (W6), price changes (W7), listing
 month (W8), prediction drift between model versions (W9), expanding-window
 time splits (P8), latest runs (O3) and text preview lines (O6).
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rentlens.operators.stats import _join_on_keys
 from rentlens.session import materialize
 
 # Python str.splitlines() boundaries.
@@ -24,27 +25,62 @@ def days_on_market(obs: DataFrame, key: str = "listing_id", ts: str = "observed_
                .withColumn("days_on_market", F.datediff(F.to_date("last_seen_at"), F.to_date("first_seen_at"))))
 
 
+def _slices(obs: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """The rows in order of key and time, written in sorted slices (``_pid``); a key with a third of all rows spans many."""
+    return materialize(obs.repartitionByRange(*keys, ts, tie).sortWithinPartitions(*keys, ts, tie)
+                       .withColumn("_pid", F.spark_partition_id()))
+
+
+def _with_previous(s: DataFrame, keys: list[str], ts: str, tie: str, cols: list[str]) -> DataFrame:
+    """Each row of ``_slices`` with ``_prev``, the struct of ``cols`` of its key's row before (NULL for the first).
+    Inside a slice that is the row before; a slice's first row of a key takes the key's last row in the nearest slice
+    before it."""
+    own = Window.partitionBy("_pid", *keys).orderBy(ts, tie)
+    inside = s.withColumn("_nth", F.row_number().over(own)).withColumn("_in", F.lag(F.struct(*cols)).over(own))
+    last = s.groupBy("_pid", *keys).agg(F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_pid")   # at most one row per slice
+    edge = last.withColumn("_edge", F.lag("_last").over(before)).where("_edge IS NOT NULL").withColumn("_nth", F.lit(1))
+    j = _join_on_keys(inside, edge.select("_pid", *keys, "_nth", "_edge"), ["_pid", *keys, "_nth"], "left")
+    return j.withColumn("_prev", F.coalesce("_edge", "_in")).drop("_edge", "_in", "_nth")
+
+
 def price_changes(obs: DataFrame, key: str = "listing_id", ts: str = "observed_at", tie: str = "obs_id",
                   value: str = "rent_monthly") -> DataFrame:
     """Sightings whose price differs from the listing's previous sighting."""
-    cols = [key, ts, tie, value]
-    s = materialize(obs.select(*cols).repartitionByRange(key, ts, tie).sortWithinPartitions(key, ts, tie)
-                    .withColumn("_pid", F.spark_partition_id()))
-    # inside a slice the predecessor is the row before; a slice's first row of a
-    # listing takes the last row of that listing in the nearest slice before
-    own = Window.partitionBy("_pid", key).orderBy(ts, tie)
-    inside = (s.withColumn("_nth", F.row_number().over(own)).withColumn("prev_value", F.lag(value).over(own))
-               .withColumn("prev_" + tie, F.lag(tie).over(own)))
-    last = s.groupBy("_pid", key).agg(F.max_by(F.struct(F.col(value).alias("v"), F.col(tie).alias("t")), F.struct(ts, tie)).alias("_last"))
-    slices = Window.partitionBy(key).orderBy("_pid")   # at most one row per slice
-    edge = (last.withColumn("_prev", F.lag("_last").over(slices)).where("_prev IS NOT NULL")
-            .select("_pid", key, "_prev", F.lit(1).alias("_nth")))
-    j = (inside.join(edge, ["_pid", key, "_nth"], "left")
-         .withColumn("prev_value", F.when(F.col("_prev").isNotNull(), F.col("_prev.v")).otherwise(F.col("prev_value")))
-         .withColumn("prev_" + tie, F.when(F.col("_prev").isNotNull(), F.col("_prev.t")).otherwise(F.col("prev_" + tie))))
-    return (j.where(F.col("prev_value").isNotNull() & F.col(value).isNotNull() & (F.col(value) != F.col("prev_value")))
-             .select(tie, key, ts, F.col("prev_value").alias("prev_" + value), value,
-                     (F.col(value) - F.col("prev_value")).alias("delta")))
+    j = _with_previous(_slices(obs.select(key, ts, tie, value), [key], ts, tie), [key], ts, tie, [value, tie])
+    prev = F.col(f"_prev.{value}")
+    return (j.where(prev.isNotNull() & F.col(value).isNotNull() & (F.col(value) != prev))
+             .select(tie, key, ts, prev.alias("prev_" + value), value, (F.col(value) - prev).alias("delta")))
+
+
+def sighting_spans(obs: DataFrame, keys: list[str], ts: str, tie: str, values: list[str], max_gap_days: int) -> DataFrame:
+    """Gaps and islands: (keys, values, first_at, last_at, n), one row for each run of sightings of a key with equal
+    ``values`` and at most ``max_gap_days`` (of 24 hours) between neighbours.
+
+    A span's number is the count of breaks up to it: breaks are counted inside each slice, and the counts of the
+    slices before are added from a table of one row per slice and key.
+    """
+    s = _slices(obs.select(*keys, ts, tie, *values), keys, ts, tie)
+    j = _with_previous(s, keys, ts, tie, [ts, *values])
+    breaks = F.col("_prev").isNull() | (F.col(ts) > F.col(f"_prev.{ts}") + F.make_dt_interval(F.lit(max_gap_days)))
+    for v in values:
+        breaks = breaks | ~F.col(v).eqNullSafe(F.col(f"_prev.{v}"))
+    j = materialize(j.withColumn("_break", F.coalesce(breaks, F.lit(False)).cast("long")).drop("_prev"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = (j.groupBy("_pid", *keys).agg(F.sum("_break").alias("_breaks"))
+           .select("_pid", *keys, F.coalesce(F.sum("_breaks").over(before), F.lit(0)).alias("_off")))
+    own = Window.partitionBy("_pid", *keys).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    j = _join_on_keys(j.withColumn("_nth", F.sum("_break").over(own)), seg, ["_pid", *keys])
+    return (j.groupBy(*keys, (F.col("_nth") + F.col("_off")).alias("_span"), *values)
+             .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("n"))
+             .drop("_span"))
+
+
+def days_on_market_spans(spans: DataFrame, key: str = "listing_id") -> DataFrame:
+    """W6 over spans (first_at, last_at, n) instead of single sightings."""
+    return (spans.groupBy(key).agg(F.min("first_at").alias("first_seen_at"), F.max("last_at").alias("last_seen_at"),
+                                   F.sum("n").alias("n_sightings"))
+                 .withColumn("days_on_market", F.datediff(F.to_date("last_seen_at"), F.to_date("first_seen_at"))))
 
 
 def listing_month(obs: DataFrame, key: str = "listing_id", ts: str = "observed_at") -> DataFrame:

@@ -1,5 +1,5 @@
 """Incremental ingest: exact dedup, insert-if-absent, upsert merge, sighting log
-and run ledger (D1-D5, K1-K4).
+and repeated sightings (D1-D5, K1-K4; the run ledger is ``operators/ledger.py``).
 
 Every per-key decision is an associative aggregate (``min_by`` / ``max_by`` on a
 struct ordering key), so Spark combines map-side before the shuffle and a hot
@@ -10,6 +10,8 @@ one partial row per map task before it reaches the reducer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,26 +90,6 @@ def merge_listings(state: DataFrame | None, raw: DataFrame, order: Sequence[Colu
     return j.select(*cols)
 
 
-#: Columns of the run ledger (K4) besides the counts.
-LEDGER = "run_id, source, started_at, finished_at, status, error, git_sha"
-
-
-def ledger(metrics: DataFrame, source: str | None = None, started_at=None, finished_at=None, status: str = "ok",
-           error: str | None = None, git_sha: str | None = None) -> DataFrame:
-    """K4: a run's counts with its ledger columns (times default to now)."""
-    time = lambda t: F.current_timestamp() if t is None else F.lit(t).cast("timestamp")
-    text = lambda t: F.lit(t).cast("string")
-    return metrics.drop("status").withColumns({
-        "source": text(source), "started_at": time(started_at), "finished_at": time(finished_at),
-        "status": text(status), "error": text(error), "git_sha": text(git_sha)})
-
-
-def failed_run(spark, run_id, error: str, **columns) -> DataFrame:
-    """K4: the ledger row of a run that failed: no counts, status ``failed`` and its error."""
-    none = spark.range(1).select(F.lit(run_id).alias("run_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_scraped", "n_raw", "n_new")])
-    return ledger(none, status="failed", error=error, **columns)
-
-
 def ingest_run(history: DataFrame | None, state: DataFrame | None, batch: DataFrame, run_id,
                order: Sequence[Column], dedup_keys: Sequence[str] = DEDUP_KEYS):
     """One run: D1 against history and within the batch, D3 merge, K3 log, K4 ledger.
@@ -140,21 +122,44 @@ def merge_run(state: DataFrame | None, batch: DataFrame, inserted: DataFrame, ru
     return new_state, obs, metrics
 
 
-def ingest_runs(raw: DataFrame, runs: Sequence, run_col: str, order: Sequence[Column]):
-    """Apply runs in order; returns (final_state, observations, metrics).
+def repeat_spans(batch: DataFrame, inserted: DataFrame, known: DataFrame, run_id, max_gap_days: int) -> DataFrame:
+    """W6/D4, the option ``observe_repeats``: the run's repeated sightings as spans.
 
-    The inserted rows and the state of every run are written before the next
-    one reads them, so the plan of a run does not hold those of earlier runs.
+    A row that insert-if-absent did not insert is another sighting of the raw row it repeats. Equal sightings are
+    compressed before they meet their listing: (source, content_hash, first_at, last_at, n), a new span wherever more
+    than ``max_gap_days`` lie between neighbours. ``known`` is (source, content_hash, listing_id) of all raw rows,
+    this run's included.
+    """
+    from rentlens.operators.history import sighting_spans
+    repeats = batch.join(inserted.select(F.col("raw_id").alias("_in")), F.col("raw_id") == F.col("_in"), "left_anti")
+    spans = sighting_spans(repeats, list(DEDUP_KEYS), "observed_at", "raw_id", [], max_gap_days)
+    k = known.toDF("_source", "_hash", "listing_id")
+    spans = spans.join(k, F.col("source").eqNullSafe(F.col("_source")) & F.col("content_hash").eqNullSafe(F.col("_hash")))
+    return spans.select(F.lit(run_id).alias("run_id"), "listing_id", "content_hash", "first_at", "last_at", "n")
+
+
+def ingest_runs(raw: DataFrame, runs: Sequence, run_col: str, order: Sequence[Column], ledger=None,
+                observe_repeats: bool = False, max_gap_days: int = 7, source: str | None = None, git_sha: str | None = None):
+    """Apply runs in order; returns (final_state, observations, metrics), and with ``observe_repeats`` also the
+    spans of the sightings that were not inserted.
+
+    The inserted rows, the state and the counts of every run are written before
+    the next one reads them, so the plan of a run does not hold those of earlier
+    runs. With ``ledger`` (a RunLedger) every run writes its ledger rows there.
     """
     history = state = None
-    obs_all = met_all = None
+    outs: list[list[DataFrame]] = []
     for r in runs:
-        batch = raw.where(F.col(run_col) == F.lit(r))
-        inserted = materialize(insert_if_absent(history, batch, DEDUP_KEYS, order))
-        state, obs, met = merge_run(state, batch, inserted, r, order)
-        state = materialize(state)
-        keep = inserted.select(*DEDUP_KEYS)
-        history = keep if history is None else history.unionByName(keep)
-        obs_all = obs if obs_all is None else obs_all.unionByName(obs)
-        met_all = met if met_all is None else met_all.unionByName(met)
-    return state, obs_all, met_all
+        with ledger.run(r, source, git_sha) if ledger else nullcontext() as entry:
+            batch = raw.where(F.col(run_col) == F.lit(r))
+            inserted = materialize(insert_if_absent(history, batch, DEDUP_KEYS, order))
+            state, obs, met = merge_run(state, batch, inserted, r, order)
+            state = materialize(state)
+            keyed = with_dedup_key(inserted)
+            keep = keyed.select(*DEDUP_KEYS, listing_id_of(F.col("dedup_key")).alias("listing_id"))
+            history = keep if history is None else history.unionByName(keep)
+            outs.append([obs, met] + ([repeat_spans(batch, inserted, history, r, max_gap_days)] if observe_repeats else []))
+            if entry is not None:
+                met = outs[-1][1] = materialize(met)
+                entry.record(met)
+    return state, *[reduce(DataFrame.unionByName, frames) for frames in zip(*outs)]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rentlens.functions import text as tx
-from rentlens.operators import ingest
+from rentlens.operators import history, ingest
+from rentlens.operators.ledger import RunLedger
 from rentlens.plans.common import shape
 from rentlens.plans.registry import query
+from rentlens.session import scratch_path
 from rentlens.sources.fixtures import fx, fx_cte
 
 # Runs: sightings before the cutoff form run 1, the rest run 2.
@@ -107,3 +111,53 @@ FROM keyed
 def observations(spark, sf_dir):
     _, obs, _ = _ingest(spark, sf_dir)
     return obs
+
+
+@query("run_ledger", RAW_CTE + """,
+firsts AS (SELECT dedup_key, min(run_id) AS run_id FROM keyed GROUP BY dedup_key)
+SELECT CAST(r.run_id AS VARCHAR) AS run_id, 0 AS attempt, 'cards' AS source, r.n_scraped, i.n_raw, coalesce(n.n_new, 0) AS n_new,
+       'ok' AS status, CAST(NULL AS VARCHAR) AS error, 'unknown' AS git_sha, true AS ended
+FROM (SELECT run_id, count(*) AS n_scraped FROM raw GROUP BY run_id) r
+JOIN (SELECT run_id, count(*) AS n_raw FROM ins GROUP BY run_id) i ON r.run_id = i.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n_new FROM firsts GROUP BY run_id) n ON r.run_id = n.run_id
+""")
+def run_ledger(spark, sf_dir):
+    """The ledger that the two runs write while they ingest."""
+    ledger = RunLedger(spark, scratch_path(spark, f"ledger-{uuid.uuid4().hex}"))
+    ingest.ingest_runs(raw_sightings(spark, sf_dir), [1, 2], "run_id", order(), ledger=ledger, source="cards", git_sha="unknown")
+    rows = ledger.rows().withColumn("ended", F.col("finished_at") >= F.col("started_at"))
+    return rows.drop("started_at", "finished_at")
+
+
+REPEAT_GAP_DAYS = 7
+
+
+@query("repeat_spans", RAW_CTE + f""",
+rep AS (SELECT r.*, k.dedup_key AS kept_key FROM raw r JOIN keyed k ON k.source = r.source AND k.content_hash = r.content_hash
+        WHERE r.raw_id <> k.raw_id),
+lagged AS (SELECT *, lag(observed_at) OVER (PARTITION BY run_id, source, content_hash ORDER BY observed_at, raw_id) AS before FROM rep),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR observed_at > before + INTERVAL {REPEAT_GAP_DAYS} DAY THEN 1 ELSE 0 END)
+             OVER (PARTITION BY run_id, source, content_hash ORDER BY observed_at, raw_id) AS span FROM lagged)
+SELECT run_id, substr(sha256(kept_key), 1, 16) AS listing_id, content_hash, min(observed_at) AS first_at, max(observed_at) AS last_at,
+       count(*) AS n FROM numbered GROUP BY run_id, source, content_hash, kept_key, span
+""")
+def repeat_spans(spark, sf_dir):
+    """W6/D4 with observe_repeats: the sightings that insert-if-absent leaves out, as spans."""
+    *_, spans = ingest.ingest_runs(raw_sightings(spark, sf_dir), [1, 2], "run_id", order(), observe_repeats=True,
+                                   max_gap_days=REPEAT_GAP_DAYS)
+    return spans
+
+
+@query("days_on_market_repeats", RAW_CTE + """,
+seen AS (SELECT r.observed_at, k.dedup_key FROM raw r JOIN keyed k ON k.source = r.source AND k.content_hash = r.content_hash)
+SELECT substr(sha256(dedup_key), 1, 16) AS listing_id, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at,
+       count(*) AS n_sightings,
+       CAST(datediff('day', CAST(min(observed_at) AS DATE), CAST(max(observed_at) AS DATE)) AS INTEGER) AS days_on_market
+FROM seen GROUP BY dedup_key
+""")
+def days_on_market_repeats(spark, sf_dir):
+    """W6 with observe_repeats: inserted sightings and the spans of repeated ones."""
+    _, obs, _, spans = ingest.ingest_runs(raw_sightings(spark, sf_dir), [1, 2], "run_id", order(), observe_repeats=True,
+                                          max_gap_days=REPEAT_GAP_DAYS)
+    single = obs.select("listing_id", F.col("observed_at").alias("first_at"), F.col("observed_at").alias("last_at"), F.lit(1).cast("long").alias("n"))
+    return history.days_on_market_spans(single.unionByName(spans.select("listing_id", "first_at", "last_at", "n")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rentlens.plans import q_history  # noqa: F401  (registers price_changes)
 from rentlens.plans.q_ingest import STATE_COLS, order
 from rentlens.plans.common import shape
 from rentlens.plans.registry import ORACLES, query
@@ -51,3 +52,14 @@ def stream_upsert(spark, sf_dir):
 
 
 ORACLES["stream_upsert"] = ORACLES["listing_upsert"]
+
+
+@query("stream_price_changes")
+def stream_price_changes(spark, sf_dir):
+    """R4 + W7: the sightings stream in; equals the batch query."""
+    st.file_stream(spark, sf_dir, "events").createOrReplaceTempView("events_stream")
+    src = spark.sql(FX_SQL["fx_observations"].replace("FROM events", "FROM events_stream"))
+    return shape(st.stream_price_changes(spark, src)[0], ["delta"])
+
+
+ORACLES["stream_price_changes"] = ORACLES["price_changes"]

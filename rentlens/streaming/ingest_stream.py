@@ -8,6 +8,9 @@ R3/R4 ``weekly_sightings`` recency cutoff + 7-day tumbling event-time windows
                           aligned to Monday; every micro-batch adds its partial
                           counts, which are summed by key, so sightings count
                           however late they arrive.
+R4/W7 ``stream_price_changes``  price series: the last sighting of every
+                          listing is kept as keyed state; each micro-batch is
+                          compared with it, late rows go to a table of their own.
 
 Every run uses ``trigger(availableNow=True)`` so a scheduled job processes what
 has landed and stops; checkpoints and outputs live under the shared
@@ -18,10 +21,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentlens.operators import ingest
+from rentlens.operators.history import price_changes
+from rentlens.operators.ledger import RunLedger
 from rentlens.session import materialize, scratch_path
 
 #: The listings state is kept in so many hash buckets; a run rewrites only those it touches.
@@ -99,11 +105,11 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
 
 
 class Published:
-    """Tables of an ingest, published run by run.
+    """Tables of a stream, published run by run.
 
-    A run writes history, observations, metrics and the state buckets that it
-    touched into folders of its own version, and last a manifest: the version
-    of every state bucket. Readers (the next run included) look at the newest
+    A run writes its rows of every table and the state buckets that it touched
+    into folders of its own version, and last a manifest: the version of every
+    state bucket. Readers (the next run included) look at the newest
     complete manifest only, so a run that died after any of its writes is
     invisible, and its replay overwrites what it left.
     """
@@ -127,13 +133,11 @@ class Published:
         paths = [f"{self.base}/state/v={v}/bucket={b}" for b, v in sorted(at.items())]
         return self.spark.read.option("basePath", f"{self.base}/state").parquet(*paths).drop("v", "bucket") if paths else None
 
-    def publish(self, version: int, inserted: DataFrame, state: DataFrame, obs: DataFrame, metrics: DataFrame,
-                before: dict[int, int]) -> None:
+    def publish(self, version: int, tables: dict[str, DataFrame], state: DataFrame, key: str, before: dict[int, int]) -> None:
         at = lambda name: f"{self.base}/{name}/v={version}"
-        inserted.select("source", "content_hash").write.mode("overwrite").parquet(at("history"))
-        obs.write.mode("overwrite").parquet(at("observations"))
-        metrics.write.mode("overwrite").parquet(at("runs"))
-        (state.withColumn("bucket", bucket_of(F.col("dedup_key"))).repartition("bucket")
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(at(name))
+        (state.withColumn("bucket", bucket_of(F.col(key))).repartition("bucket")
               .write.mode("overwrite").partitionBy("bucket").parquet(at("state")))
         folder, fs = _fs(self.spark, at("state"))
         names = [st.getPath().getName() for st in fs.listStatus(folder)]
@@ -142,13 +146,37 @@ class Published:
         rows = self.spark.createDataFrame(sorted(manifest.items()), "bucket int, at long")
         rows.coalesce(1).write.mode("overwrite").parquet(at("manifest"))
 
+    def touched(self, rows: DataFrame, key: str, before: dict[int, int]) -> DataFrame | None:
+        """The state of the buckets that the rows' keys lie in."""
+        hit = {r["b"] for r in rows.select(bucket_of(F.col(key)).alias("b")).distinct().collect()}  # at most STATE_BUCKETS
+        return self.state({b: v for b, v in before.items() if b in hit})
+
 
 def bucket_of(key):
     return F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)).cast("int")
 
 
+def _run(source: DataFrame, sink, base: str, tables: Published, ledger: RunLedger | None, name: str) -> int | None:
+    """Runs ``sink(batch, batch_id) -> run metrics or None`` on every micro-batch that is not published yet; returns
+    the newest version. With a ledger every micro-batch is a run in it, whatever becomes of it."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        prev = tables.version()
+        if prev is not None and prev >= batch_id:
+            return  # this run was already published (replayed micro-batch)
+        with ledger.run(f"{name}-{batch_id}", source=name) if ledger else nullcontext() as entry:
+            metrics = sink(batch, batch_id, prev)
+            if entry is not None and metrics is not None:
+                entry.record(metrics)
+
+    q = (source.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return tables.version()
+
+
 def stream_upsert(spark: SparkSession, source: DataFrame, prepare, order_cols, name: str = "upsert",
-                  base_dir: str | None = None):
+                  base_dir: str | None = None, ledger: RunLedger | None = None):
     """Run the batch ingest on every micro-batch of ``source``.
 
     ``prepare(batch_df)`` turns landed rows into raw sightings (raw_id,
@@ -159,24 +187,19 @@ def stream_upsert(spark: SparkSession, source: DataFrame, prepare, order_cols, n
     base = base_dir or _run_dir(spark, name)
     tables = Published(spark, base)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        prev = tables.version()
-        if prev is not None and prev >= batch_id:
-            return  # this run was already published (replayed micro-batch)
+    def sink(batch: DataFrame, batch_id: int, prev: int | None) -> DataFrame:
         raw = materialize(prepare(batch))
         history = tables.table("history", prev) if prev is not None else None
         inserted = materialize(ingest.insert_if_absent(history, raw, ingest.DEDUP_KEYS, order_cols()))
         before = tables.buckets(prev)
-        keys = ingest.with_dedup_key(inserted).select(bucket_of(F.col("dedup_key")).alias("b")).distinct()
-        touched = {r["b"] for r in keys.collect()}  # at most STATE_BUCKETS
-        state = tables.state({b: v for b, v in before.items() if b in touched})
+        state = tables.touched(ingest.with_dedup_key(inserted), "dedup_key", before)
         new_state, obs, met = ingest.merge_run(state, raw, inserted, batch_id, order_cols())
-        tables.publish(batch_id, inserted, new_state, obs, met, before)
+        met = materialize(met)
+        tables.publish(batch_id, {"history": inserted.select("source", "content_hash"), "observations": obs, "runs": met},
+                       new_state, "dedup_key", before)
+        return met
 
-    q = (source.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    last = tables.version()
+    last = _run(source, sink, base, tables, ledger, name)
     if last is None:
         none = prepare(spark.createDataFrame([], source.schema))
         inserted = ingest.insert_if_absent(None, none, ingest.DEDUP_KEYS, order_cols())
@@ -185,3 +208,41 @@ def stream_upsert(spark: SparkSession, source: DataFrame, prepare, order_cols, n
     state = tables.state(tables.buckets(last))
     obs = tables.table("observations", last)
     return obs.select("listing_id").where(F.lit(False)) if state is None else state, obs, tables.table("runs", last)
+
+
+def stream_price_changes(spark: SparkSession, source: DataFrame, key: str = "listing_id", ts: str = "observed_at",
+                         tie: str = "obs_id", value: str = "rent_monthly", base_dir: str | None = None,
+                         ledger: RunLedger | None = None) -> tuple[DataFrame, DataFrame]:
+    """R4 + W7: (price changes, late rows) of a stream of sightings.
+
+    State is one row per listing, its last sighting. A micro-batch's rows and the state rows of their listings go
+    through the batch operator together, so a listing with a third of all sightings is cut into slices as there, and
+    the first new sighting meets the last published one. Late rows, those not after their listing's last published
+    sighting by (``ts``, ``tie``) or without a time, have no place in a series that is already out: they are kept
+    apart and change nothing. Over files in time order the result equals ``history.price_changes`` of all of them.
+    """
+    base = base_dir or _run_dir(spark, "prices")
+    tables = Published(spark, base)
+    cols = [key, ts, tie, value]
+    place = F.struct(ts, tie)
+
+    def sink(batch: DataFrame, batch_id: int, prev: int | None) -> None:
+        rows = materialize(batch.select(*cols))
+        before = tables.buckets(prev)
+        state = tables.touched(rows, key, before)
+        state = rows.where(F.lit(False)) if state is None else state.select(*cols)
+        last = state.select(F.col(key).alias("_key"), F.struct(ts, tie).alias("_last"))
+        j = rows.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+        late = F.col(ts).isNull() | F.coalesce(place <= F.col("_last"), F.lit(False))
+        marked = materialize(j.select(*cols, late.alias("_late")))
+        both = marked.where("NOT _late").select(*cols).unionByName(state)
+        rest = F.struct(*[c for c in cols if c != key])
+        new_state = both.groupBy(key).agg(F.max_by(rest, place).alias("_l")).select(key, "_l.*")
+        tables.publish(batch_id, {"changes": price_changes(both, key, ts, tie, value), "late": marked.where("_late").select(*cols)},
+                       new_state, key, before)
+
+    last = _run(source, sink, base, tables, ledger, "prices")
+    if last is None:
+        none = spark.createDataFrame([], source.schema).select(*cols)
+        return price_changes(none, key, ts, tie, value), none
+    return tables.table("changes", last), tables.table("late", last)
