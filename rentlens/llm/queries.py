@@ -97,7 +97,7 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a byte-level and a piece vocabulary that cover the same bytes, with the corpus's counts of id pairs."""
     return align.alignment_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                                  public_tokenizers.path("piece_bpe_32k.model"))
+                                  public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

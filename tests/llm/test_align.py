@@ -1,6 +1,7 @@
 """Alignment against the two tokenizer libraries and a brute-force count of overlapping tokens."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -93,14 +94,14 @@ def test_edge_rows(spark):
     """Empty, null and odd texts, lost bytes, very long words, repeated rows and ids, a null id, clashing columns."""
     docs = [(n // 2 if n % 5 else None, t) for n, t in enumerate(NASTY)] * 2
     df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id bigint, text string, row int, pairs string").repartition(5)
-    assert rows_of(align.alignment_counts(df, BYTE_LEVEL, PIECES)) == brute(docs)
+    assert rows_of(align.alignment_counts(df, BYTE_LEVEL, public_tokenizers.PATTERN, PIECES)) == brute(docs)
 
 
 @pytest.mark.parametrize("texts", [[], [""], [None, "▁"]])
 def test_without_tokens(spark, texts):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert rows_of(align.alignment_counts(df, BYTE_LEVEL, PIECES)) == brute(docs)
+    assert rows_of(align.alignment_counts(df, BYTE_LEVEL, public_tokenizers.PATTERN, PIECES)) == brute(docs)
 
 
 def test_slices_and_tree(spark, monkeypatch):
@@ -109,16 +110,27 @@ def test_slices_and_tree(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
     for name, value in (("BUCKET_KEYS", 500), ("SLICE_BUCKETS", 3), ("FAN", 2), ("BLOCK", 64)):
         monkeypatch.setattr(align, name, value)
-    assert rows_of(align.alignment_counts(df, BYTE_LEVEL, PIECES)) == brute(docs)
-
-
-def test_forgetting(monkeypatch):
-    monkeypatch.setattr(align, "ENTRIES", 3)
-    memo, lib = align.Memo(align.ByteLevel(BYTE_LEVEL)), Brute()
-    for text in ("one two three four one", "five six one", "seven"):
-        ids, counts, right = memo.encode([" " + text, " " + text])
-        want = [i for i, _ in lib.tokens(text)[0]]
-        assert ids.tolist() == want * 2 and counts.tolist() == [len(want)] * 2 and right.all()
+    assert rows_of(align.alignment_counts(df, BYTE_LEVEL, public_tokenizers.PATTERN, PIECES)) == brute(docs)
+
+
+def test_byte_level_equals_the_library():
+    """tiktoken over the file's vocabulary, on joined tokens, random bytes and characters, and long blanks."""
+    rng = random.Random(1)
+    mine, lib = align.ByteLevel(BYTE_LEVEL, public_tokenizers.PATTERN), Brute().a
+    assert mine.fast is not None
+    tokens = [bytes(mine.raw[s:s + n]).decode("utf-8", "replace") for s, n in zip(mine.starts, mine.sizes)]
+    for k in range(4000):
+        some = rng.choices(tokens, k=rng.randint(1, 8))
+        if k % 3 == 0:
+            some += [chr(rng.choice([rng.randint(1, 0x250), rng.randint(0x2000, 0x2100), 32, 10])) for _ in range(9)]
+        if k % 5 == 0:
+            some += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 60)))]
+        rng.shuffle(some)
+        text = " " + "".join(some)
+        assert list(mine.ids(text)) == lib.encode(text, add_special_tokens=False).ids, text
+    for text in (" " * 30_000 + "a", "\n" * 20_000, "x" * 20_000, "  ab " * 3000):
+        ids, counts, right = mine.encode([text])
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and right.all()
 
 
 def test_perfect_hash():
