@@ -10,10 +10,14 @@ operator.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, functions as F
 
 from rentlens.functions import extract as ex, text as tx
 from rentlens.operators import stats
+from rentlens.session import materialize
+from rentlens.sources import store
 
 FIELDS = ["tenant_pref", "veg_only", "is_owner", "negotiable", "lock_in_months", "amenities"]
 EVAL_HUMAN, EVAL_FULL = "holdout-v1-human", "holdout-v1-full"
@@ -178,7 +182,8 @@ def extraction_rows(listings: DataFrame, raws: DataFrame, extractions: DataFrame
     Listings find their text by ``latest_raw_id``; pending ones are taken in the
     order of listing_id, the first ``limit`` if given (the feature). Rows carry
     raw_id, extractor, version, extracted_at, latency and cost, and replace rows
-    with the same (listing, extractor, version) in the table (``store.replace_by_key``).
+    with the same (listing, extractor, version) in the table (``run_extraction``). The latency is for the job
+    to fill in: a row's own time has no meaning inside a compiled stage.
     """
     todo = pending(listings.select("listing_id", "latest_raw_id"), extractions, extractor, version, force=force)
     r = raws.select(F.col("raw_id").alias("_raw"), F.col("raw_text").alias("_text"))
@@ -189,3 +194,27 @@ def extraction_rows(listings: DataFrame, raws: DataFrame, extractions: DataFrame
                     *[v.alias(k) for k, v in ex.extract_record(F.col("_text")).items()],
                     F.current_timestamp().alias("extracted_at"), F.lit(None).cast("double").alias("latency_ms"),
                     F.lit(0.0).alias("cost_usd"))
+
+
+EXTRACTION_KEY = ["listing_id", "extractor", "extractor_version"]
+
+
+def run_extraction(listings: DataFrame, raws: DataFrame, path: str, extractor: str = ex.REGEX_EXTRACTOR,
+                   version: str = ex.REGEX_EXTRACTOR_VERSION, limit: int | None = None, force: bool = False) -> int:
+    """The extraction job (T18, K6): extracts what is pending against the table at ``path`` (with ``force``: every
+    listing again) and replaces those rows there, bucket by bucket. Every row's latency is the batch's wall time over
+    its rows. Returns the number of rows written.
+    """
+    spark = listings.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    id_type = listings.schema["listing_id"].dataType.simpleString()
+    done = (store.read_buckets(spark, path).select(*EXTRACTION_KEY) if there else
+            spark.createDataFrame([], f"listing_id {id_type}, extractor string, extractor_version string"))
+    began = time.monotonic()
+    rows = materialize(extraction_rows(listings, raws, done, extractor, version, limit, force))
+    n = rows.count()
+    if n:
+        each = (time.monotonic() - began) * 1000 / n
+        store.replace_in_buckets(rows.withColumn("latency_ms", F.lit(each)), path, EXTRACTION_KEY)
+    return n

@@ -11,7 +11,10 @@ the executors. Fold ids are a hash of the listing id, not a driver-side shuffle.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -56,15 +59,33 @@ def gbt(seed: int, params: dict = PARAMS["large"]) -> Pipeline:
     return Pipeline(stages=[asm, est])
 
 
-def cross_validate(frame: DataFrame, seed: int = 42, params: dict = PARAMS["large"]) -> DataFrame:
-    """Out-of-fold predictions (union of the k held-out folds), written once."""
+def leak_free_frame(listings: DataFrame, localities: DataFrame) -> DataFrame:
+    """The model frame for cross-validation: every row's priors leave its whole fold out (``pricing.with_fold_priors``),
+    so a held-out rent has no part in any feature of the rows that it is predicted with."""
+    def priors(d: DataFrame, with_ratio: bool) -> DataFrame:
+        return pr.with_fold_priors(d.withColumn("fold", fold_of(F.col("listing_id"))), "fold", FOLDS, with_ratio)
+
+    return model_frame(pr.build_features(pr.with_localities(pr.scorable(listings), localities), priors))
+
+
+def cross_validate(frame: DataFrame, seed: int = 42, params: dict = PARAMS["large"], parallelism: int = FOLDS) -> DataFrame:
+    """Out-of-fold predictions (union of the k held-out folds), written once.
+
+    The folds' fits run side by side, ``parallelism`` at a time, each in a scheduler pool of its own: a boosted tree
+    is a long chain of small jobs, which leave most of a cluster idle one fold at a time. Fits do not depend on each
+    other, so the result is the same for any parallelism.
+    """
     frame = materialize(frame)
-    oof = None
-    for k in range(FOLDS):
+    spark = frame.sparkSession
+
+    def fold(k: int) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{k}")
         model = gbt(seed + k, params).fit(frame.where(F.col("fold") != k))
-        held = materialize(model.transform(frame.where(F.col("fold") == k)).drop("features"))
-        oof = held if oof is None else oof.unionByName(held)
-    return oof.withColumn("predicted_rent", F.exp("pred_log"))
+        return materialize(model.transform(frame.where(F.col("fold") == k)).drop("features"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        held = [pool.submit(inheritable_thread_target(spark)(fold), k) for k in range(FOLDS)]
+        return reduce(DataFrame.unionByName, [h.result() for h in held]).withColumn("predicted_rent", F.exp("pred_log"))
 
 
 def time_validate(frame: DataFrame, week: str = "week", seed: int = 42, params: dict = PARAMS["large"],

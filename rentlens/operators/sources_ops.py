@@ -71,3 +71,18 @@ def key_set_diff(expected: DataFrame, present: DataFrame, key: str) -> DataFrame
     p = present.select(F.col(key).alias("key")).distinct()
     return (e.subtract(p).select(F.lit("missing").alias("kind"), "key")
             .unionByName(p.subtract(e).select(F.lit("unexpected").alias("kind"), "key")))
+
+
+def catalog_check(spark, expected: dict[str, list[str]], database: str | None = None) -> DataFrame:
+    """The session catalog against the expected tables: (table_name, present, missing_columns).
+
+    ``expected`` maps table names to the columns that they must have. A table of the catalog that is not expected is
+    no finding. The catalog lists a few rows per database, whatever the tables hold.
+    """
+    found = {t.name.lower() for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())}
+    rows = []
+    for name, columns in expected.items():
+        there = name.lower() in found
+        have = {c.lower() for c in spark.table(f"{database}.{name}" if database else name).columns} if there else set()
+        rows.append((name, there, ",".join(c for c in columns if c.lower() not in have) if there else None))
+    return spark.createDataFrame(rows, "table_name string, present boolean, missing_columns string")

@@ -5,6 +5,8 @@ enrichment update-fill (K8) and its coverage report (G6)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rentlens.functions import extract as ex, text as tx
@@ -12,7 +14,8 @@ from rentlens.operators import enrich
 from rentlens.plans.common import R6, r6, shape
 from rentlens.plans import q_ingest  # noqa: F401  (registers listing_upsert)
 from rentlens.plans.registry import ORACLES, query, sq
-from rentlens.sources import dims
+from rentlens.session import scratch_path
+from rentlens.sources import dims, jsonl, store
 from rentlens.sources.fixtures import FX_SQL, fx, fx_cte
 
 
@@ -380,3 +383,33 @@ def extraction_rows(spark, sf_dir):
     none = spark.createDataFrame([], "listing_id string, extractor string, extractor_version string")
     rows = bm.extraction_rows(listing_upsert(spark, sf_dir), raws, none)
     return shape(rows.drop("extracted_at", "latency_ms"), as_double=EXTRACT_INT_COLS)
+
+
+@query("llm_quarantine", LLM_CTE + """
+SELECT sp.listing_id, sp.response, 'no JSON object' AS reason, t.n_read, t.n_kept
+FROM sp, (SELECT (SELECT count(*) FROM sp) AS n_read, (SELECT count(*) FROM ok) AS n_kept) t
+WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.listing_id = sp.listing_id)
+""")
+def llm_quarantine(spark, sf_dir):
+    """The answers that leave no extraction, with the reason, and what the pass counted."""
+    rows = fx(spark, sf_dir, "fx_responses").select("listing_id", "response", ex.normalize_llm_answer(F.col("response")).alias("n"))
+    done = jsonl.quarantined(rows, F.when(~F.coalesce(F.col("n.ok"), F.lit(False)), NO_OBJECT), [NO_OBJECT], ["listing_id", "response"])
+    return done.quarantine.select("*", *[F.lit(done.counts[c]).cast("bigint").alias(f"n_{c}") for c in ("read", "kept")])
+
+
+NO_OBJECT = "no JSON object"
+EXTRACTION_KEY = ["listing_id", "extractor", "extractor_version"]
+
+
+@query("extraction_replace", fx_cte("fx_extractions") + """
+SELECT listing_id, extractor, extractor_version, tenant_pref,
+       CASE WHEN listing_id % 3 = 0 AND extractor = 'regex-v1' THEN cost_usd + 1 ELSE cost_usd END AS cost_usd FROM fx_extractions
+""")
+def extraction_replace(spark, sf_dir):
+    """K6: extractions of one extractor made again for some listings replace theirs in the stored table."""
+    path = scratch_path(spark, f"extractions-{uuid.uuid4().hex}")
+    rows = fx(spark, sf_dir, "fx_extractions").select(*EXTRACTION_KEY, "tenant_pref", "cost_usd")
+    store.replace_in_buckets(rows, path, EXTRACTION_KEY)
+    again = rows.where("listing_id % 3 = 0 AND extractor = 'regex-v1'").withColumn("cost_usd", F.col("cost_usd") + 1)
+    store.replace_in_buckets(again, path, EXTRACTION_KEY)
+    return store.read_buckets(spark, path)

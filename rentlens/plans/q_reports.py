@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rentlens.operators import pricing as pr, reports as rp
+from rentlens.operators import pricing as pr, reports as rp, sketches
 from rentlens.plans.common import R6, shape
 from rentlens.plans.q_pricing import REG_SQL, _scored_sql, baseline, listings, regression_metrics_df
 from rentlens.plans.registry import query
@@ -189,3 +189,24 @@ def export_deals(spark, sf_dir):
     deals = rp.export_tables(e, e, e)["deals"]
     return shape(deals.select("listing_id", "locality_norm", "bhk", "area_sqft", "rent_monthly", "predicted_rent", "value_score",
                               "save_pct", "source_bucket"), ["predicted_rent", "value_score"])
+
+
+@query("sketch_quantiles", fx_cte("fx_listings") + """
+SELECT locality_norm, count(rent_monthly) AS n, true AS p50_within, true AS p95_within FROM fx_listings
+WHERE rent_monthly IS NOT NULL GROUP BY locality_norm
+""")
+def sketch_quantiles(spark, sf_dir):
+    """G2/G3, the approximate option: weekly sketches by locality, merged over all weeks, and whether the rank of each
+    quantile lies within the sketch's error bound of the exact one."""
+    probs = {"p50": 0.5, "p95": 0.95}
+    rows = listings(spark, sf_dir).select("locality_norm", "rent_monthly", "first_seen_at")
+    week = F.date_trunc("week", "first_seen_at")
+    q = sketches.quantiles(sketches.period_sketches(rows, week, ["locality_norm"], "rent_monthly"), ["locality_norm"], probs)
+    q = q.select(F.col("locality_norm").alias("loc"), "n", *probs)
+    j = rows.where("rent_monthly IS NOT NULL").join(q, F.col("locality_norm").eqNullSafe(F.col("loc")))
+    ranks = j.groupBy("locality_norm").agg(
+        F.max("n").alias("n"), *[F.avg((F.col("rent_monthly") < F.col(c)).cast("double")).alias(f"{c}_below") for c in probs],
+        *[F.avg((F.col("rent_monthly") <= F.col(c)).cast("double")).alias(f"{c}_upto") for c in probs])
+    bound = sketches.rank_error()
+    within = [((F.col(f"{c}_below") - bound <= p) & (F.col(f"{c}_upto") + bound >= p)).alias(f"{c}_within") for c, p in probs.items()]
+    return ranks.select("locality_norm", "n", *within)

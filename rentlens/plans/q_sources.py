@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rentlens.functions import text as tx
 from rentlens.operators import sources_ops as so
 from rentlens.plans.q_extract import STRIP_TEXT_SQL, listing_sql
-from rentlens.plans.registry import query
-from rentlens.sources.tables import read_table
+from rentlens.plans.registry import query, sq
+from rentlens.sources.tables import read_table, register_views
 
 MSGS_PER_GROUP = 4
 CARDS_PER_SEARCH = 30
@@ -86,3 +86,23 @@ def set_catalog(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"))
     return so.key_set_diff(orders, items, "key")
+
+
+#: Tables that a warehouse must have, with the columns that its queries read. The last is declared and never written.
+CATALOG = {"documents": ["doc_id", "text", "source"], "events": ["event_id", "user_id", "ts", "value", "channel"],
+           "labels": ["doc_id", "quality", "toxic"], "lineitem": ["l_orderkey", "l_partkey"], "scrape_runs": ["run_id"]}
+
+
+@query("catalog_check", "WITH want(table_name, column_name) AS (VALUES "
+       + ", ".join(f"({sq(t)}, {sq(c)})" for t, cs in CATALOG.items() for c in cs) + """),
+have AS (SELECT DISTINCT table_name FROM information_schema.columns),
+lost AS (SELECT table_name, string_agg(column_name, ',') AS missing FROM want w
+         WHERE NOT EXISTS (SELECT 1 FROM information_schema.columns c WHERE c.table_name = w.table_name AND c.column_name = w.column_name)
+         GROUP BY table_name)
+SELECT w.table_name, h.table_name IS NOT NULL AS present, CASE WHEN h.table_name IS NOT NULL THEN coalesce(l.missing, '') END AS missing_columns
+FROM (SELECT DISTINCT table_name FROM want) w LEFT JOIN have h ON h.table_name = w.table_name LEFT JOIN lost l ON l.table_name = w.table_name
+""")
+def catalog_check(spark, sf_dir):
+    """The registered tables against the expected ones."""
+    register_views(spark, sf_dir)
+    return so.catalog_check(spark, CATALOG)

@@ -1,4 +1,4 @@
-"""JSON-lines readers (S5, S6) and the model-metadata reader.
+"""JSON-lines readers (S5, S6) with quarantine, and the model-metadata reader.
 
 Files are read by Spark with an explicit schema; line order is recovered from
 the file position so "last line wins" stays exact without a driver loop.
@@ -6,9 +6,12 @@ the file position so "last line wins" stays exact without a driver loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from rentlens.functions import text as tx
+from rentlens.session import scratch_path
 
 LABEL_SCHEMA = T.StructType([
     T.StructField("listing_id", T.LongType()),
@@ -51,6 +54,51 @@ def read_labeled_ids(spark: SparkSession, path: str) -> DataFrame:
     return ids.where(F.col("listing_id").isNotNull()).distinct()
 
 
+#: Why a line is in quarantine.
+NOT_JSON, NO_ID = "not a JSON object", "no integer listing_id"
+
+
+class Sorted:
+    """What one pass over landed lines made of them: ``kept`` rows, ``quarantine`` (file, line, value, reason), and
+    ``counts`` (read, kept, quarantined and one number per reason), observed while the pass wrote both."""
+
+    def __init__(self, kept: DataFrame, quarantine: DataFrame, counts: dict[str, int]):
+        self.kept, self.quarantine, self.counts = kept, quarantine, counts
+
+
+def quarantined(rows: DataFrame, reason: Column, reasons: list[str], carry: list[str]) -> Sorted:
+    """Splits ``rows`` by ``reason`` (NULL: kept). Both parts are written in one pass, as one table partitioned by
+    whether a row is kept; quarantine keeps the columns ``carry`` and the reason."""
+    spark = rows.sparkSession
+    seen = Observation(f"quarantine-{uuid.uuid4().hex}")
+    marked = rows.withColumn("_reason", reason)
+    named = {f"r{n}": F.count(F.when(F.col("_reason") == r, 1)) for n, r in enumerate(reasons)}
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("read"), F.count("_reason").alias("quarantined"),
+                            *[c.alias(n) for n, c in named.items()])
+    path = scratch_path(spark, f"sorted-{uuid.uuid4().hex}")
+    marked.withColumn("_kept", F.col("_reason").isNull()).write.partitionBy("_kept").parquet(path)
+    table = spark.read.schema(marked.schema.add("_kept", "boolean")).parquet(path)
+    got = seen.get
+    counts = {"read": got["read"], "kept": got["read"] - got["quarantined"], "quarantined": got["quarantined"]}
+    counts |= {r: got[f"r{n}"] for n, r in enumerate(reasons)}
+    return Sorted(table.where("_kept").drop("_kept", "_reason"),
+                  table.where("NOT _kept").select(*carry, F.col("_reason").alias("reason")), counts)
+
+
+def sort_label_lines(spark: SparkSession, path: str) -> Sorted:
+    """S6 with nothing lost: label lines with an integer id are kept (file, ord, listing_id, value), all other
+    non-blank lines go to quarantine with a reason."""
+    t = _lines(spark, path)
+    j = F.from_json("value", "listing_id string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = t.withColumn("_j", j).select(F.col("_file").alias("file"), F.col("_ord").alias("ord"), "value",
+                                        F.trim(F.col("_j.listing_id")).try_cast("long").alias("listing_id"),
+                                        F.col("_j._corrupt").isNotNull().alias("_bad"))
+    reason = F.when(F.col("_bad"), NOT_JSON).when(F.col("listing_id").isNull(), NO_ID)
+    done = quarantined(rows, reason, [NOT_JSON, NO_ID], ["file", "ord", "value"])
+    done.kept = done.kept.drop("_bad")
+    return done
+
+
 def read_model_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Model metadata JSON -> tidy (metric, value) rows; missing -> 0,
     N features = length of the feature list."""

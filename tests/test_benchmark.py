@@ -34,3 +34,22 @@ def test_corrections_and_prelabel(spark):
                                "listing_id long, extractor string, veg_only int")
     h = {r.listing_id: r.veg_only for r in bm.prelabel(ex, preferred="llm", fields=("veg_only",)).collect()}
     assert h == {1: 0, 2: 1}
+
+
+def test_extraction_job(spark, tmp_path):
+    """Pending listings only, all of them again with force; latency is the batch's time over its rows."""
+    listings = spark.createDataFrame([(i, f"r{i}") for i in range(40)], "listing_id long, latest_raw_id string")
+    raws = spark.createDataFrame([(f"r{i}", "by owner, gym" if i % 2 else "family only") for i in range(40)], "raw_id string, raw_text string")
+    path = str(tmp_path / "extractions")
+    run = lambda rows, **k: bm.run_extraction(rows, raws, path, **k)
+    table = lambda: {r.listing_id: r for r in bm.store.read_buckets(spark, path).collect()}
+    assert run(listings.where("listing_id < 25")) == 25
+    first = table()
+    assert len(first) == 25 and {r.latency_ms for r in first.values()} == {first[0].latency_ms} and first[0].latency_ms > 0
+    assert run(listings) == 15 and run(listings) == 0
+    after = table()
+    assert len(after) == 40 and all(after[k].extracted_at == first[k].extracted_at for k in first)
+    assert after[1].n_amenities == 1 and after[0].tenant_pref == "family" and after[1].is_owner == 1
+    assert run(listings.where("listing_id = 3"), force=True) == 1
+    again = table()
+    assert len(again) == 40 and [k for k in again if again[k].extracted_at != after[k].extracted_at] == [3]

@@ -28,6 +28,32 @@ def test_folds_cover_every_row_once(frame):
     assert all(r["mape"] < 2 for r in m.collect())
 
 
+def test_parallel_folds_equal_folds_one_by_one(spark, frame):
+    rows = lambda n: {r["listing_id"]: r["predicted_rent"] for r in md.cross_validate(frame, params=FEW, parallelism=n).collect()}
+    assert rows(1) == rows(md.FOLDS)
+
+
+def test_leak_free_frame_ignores_the_rows_fold(spark):
+    """Changing every rent of one fold changes no prior of that fold's rows."""
+    from rentlens.plans.q_pricing import listings
+    base, loc = listings(spark, SF), pr.localities_table(spark)
+    one = md.fold_of(F.col("listing_id")) == 1
+    other = base.withColumn("rent_monthly", F.when(one, F.col("area_sqft") * 20).otherwise(F.col("rent_monthly")))
+    cols = ["locality_median_rent_per_sqft", "locality_bhk_median_rent_per_sqft"]
+    got = [{r["listing_id"]: (r[cols[0]], r[cols[1]]) for r in md.leak_free_frame(b, loc).where("fold = 1").collect()} for b in (base, other)]
+    both = got[0].keys() & got[1].keys()
+    assert len(both) > 100 and all(got[0][k] == got[1][k] for k in both)
+
+
+def test_importances(spark, frame):
+    model = md.fit_full(frame, params=FEW)
+    rows = md.importances(model, spark, top=None).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, len(pr.FEATURE_COLS) + 1)) and {r["feature"] for r in rows} == set(pr.FEATURE_COLS)
+    values = [r["importance"] for r in rows]
+    assert values == sorted(values, reverse=True) and abs(sum(values) - 1) < 1e-9 and values[0] > 0
+    assert [r["feature"] for r in md.importances(model, spark, top=3).orderBy("rank").collect()] == [r["feature"] for r in rows[:3]]
+
+
 def test_stored_model_scores_alike(spark, frame, tmp_path):
     model = md.fit_full(frame, params=FEW)
     md.save(model, str(tmp_path / "m"), {"version": "gbt-1", "n_total": frame.count()}, spark)

@@ -64,3 +64,29 @@ def test_fold_out_medians_match_brute_force(spark):
             if left:
                 want[g, f] = (float(np.median(left)), len(left))
     assert got == want and ("lone", 1) not in got
+
+
+def test_merged_sketches_keep_the_rank_bound(spark):
+    """Weekly sketches of a hot group and small ones, merged over a span, against exact ranks of the span's values."""
+    from pyspark.sql import functions as F
+
+    from rentlens.operators import sketches
+    rnd = random.Random(11)
+    rows = [(w, "hot" if i % 3 else f"g{i % 4}", None if i % 17 == 0 else rnd.lognormvariate(9, 1)) for w in range(8) for i in range(3000)]
+    df = spark.createDataFrame(rows, "week int, g string, v double")
+    stored = sketches.period_sketches(df, F.col("week"), ["g"], "v", k=200)
+    probs = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    for first, last in ((None, None), (2, 5), (7, 7)):
+        got = {r.g: r for r in sketches.quantiles(stored, ["g"], probs, first, last).collect()}
+        groups = collections.defaultdict(list)
+        for w, g, v in rows:
+            if v is not None and (first is None or first <= w <= last):
+                groups[g].append(v)
+        assert set(got) == set(groups)
+        for g, values in groups.items():
+            assert got[g].n == len(values)
+            for name, p in probs.items():
+                below, upto = sum(v < got[g][name] for v in values) / len(values), sum(v <= got[g][name] for v in values) / len(values)
+                # one-sided bound at 99 %; three sigma of the same error are about 1.3 times it
+                assert below - 1.5 * sketches.rank_error(200) <= p <= upto + 1.5 * sketches.rank_error(200)
+    assert sketches.quantiles(stored, ["g"], probs, 100, 200).collect() == []
