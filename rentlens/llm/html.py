@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 from rentlens.llm.common import map_rows, struct_of
 
 # ---- fixed values of HTML ----------------------------------------------------
-#: Elements that carry no text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title",
-       "select", "textarea", "button")
+#: Elements whose content is text, not markup, up to their own end tag (or, as in browsers, the end of the page).
+RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "head")
+#: Elements whose content is no text of the page, from start to end tag. One that is never closed hides nothing.
+HIDDEN = ("noscript", "template", "svg", "object", "canvas", "math", "select", "button")
 #: Elements that are page furniture.
 FURNITURE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -36,30 +37,67 @@ NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
 navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices gdpr popup modal overlay
 comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe signup login
 widget pagination pager toolbar search complementary contentinfo skip""".split())
+#: A quote opens a value only behind an equals sign; elsewhere it is a character like others.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-NAME_WORD = re.compile(r"[a-z]+")
-#: Before a name's last word these say what an element lacks or holds, not what it is (``no-sidebar``).
-NOT_NAMES = frozenset("no not without with has have hide hides".split())
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Beside a name these say what an element lacks or holds, or in what state it is, not what it is (``no-sidebar``).
+NOT_NAMES = frozenset("no not without with has have hide hides layout open closed enabled disabled active".split())
+#: Words that name furniture as a name's first word too (``comments-area``), and what they are written together with.
+LEADING = frozenset("comment comments sidebar nav cookie cookies related share sharing".split())
+RUN_TOGETHER = re.compile("(?:comments?|sidebar|nav|cookies?|related|shar(?:e|ing))(?:list|area|section|box|bar|wrap|wrapper|container|form"
+                          "|block|widget|posts|articles|links|buttons|banner|notice|thread|menu|left|right)"
+                          "|(?:left|right|main|top|bottom|site|page|primary|secondary|user|reader)(?:comments|sidebar|nav|share)")
 #: Elements whose own names say nothing about their text.
 PAGE_ELEMENTS = ("html", "body", "main")
 
 
 def _names(attributes: str) -> frozenset[str]:
-    """The last word of every class, id or role (``cookie-notice``: notice), as far as it names furniture."""
+    """What every class, id or role says by its last word (``cookie-notice``: notice) or its first one
+    (``comments-area``: comments), as far as that names furniture."""
     if "=" not in attributes:
         return frozenset()
-    found = (" ".join(x for x in m.groups()[1:] if x) for m in ATTRIBUTE.finditer(attributes))
-    words = (NAME_WORD.findall(token) for text in found for token in text.lower().split())
-    return frozenset(w[-1] for w in words if w and w[-1] in NAMES and NOT_NAMES.isdisjoint(w))
+    out = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        for token in " ".join(x for x in m.groups()[1:] if x).split():
+            words = [w.lower() for w in NAME_WORD.findall(token)]
+            if not words or not NOT_NAMES.isdisjoint(words):
+                continue
+            if words[-1] in NAMES:
+                out.add(words[-1])
+            elif words[0] in LEADING:
+                out.add(words[0])
+            else:
+                out.update(w for w in (words[0], words[-1]) if RUN_TOGETHER.fullmatch(w))
+    return frozenset(out)
+
+
+def _visible(parts: list) -> list:
+    """Parts outside hidden elements. An end tag belongs to the last open start tag of its name, so elements nest."""
+    opened: dict[str, list[int]] = {tag: [] for tag in HIDDEN}
+    skip_to: dict[int, int] = {}
+    for n, (kind, what, _) in enumerate(parts):
+        if kind == "open" and what in opened:
+            opened[what].append(n)
+        elif kind == "close" and what in opened and opened[what]:
+            skip_to[opened[what].pop()] = n
+    out, n = [], 0
+    while n < len(parts):
+        kind, what, _ = parts[n]
+        if n in skip_to:
+            n = skip_to[n]
+        elif kind == "text" or what not in opened:
+            out.append(parts[n])
+        n += 1
+    return out
 
 
 def tokens(page: str):
     """("text", text) and ("open" | "close", tag, furniture names) in page order.
 
     Comments, declarations and the content of raw elements are left out; markup
-    that the page's end cuts off counts as markup.
+    that the page's end cuts off counts as markup. Hidden elements are still there.
     """
     at, n = 0, len(page)
     while at < n:
@@ -73,7 +111,9 @@ def tokens(page: str):
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag in RAW and tag != "head" and not m[1] and not m[3].endswith("/"):
+        if tag in HIDDEN and m[3].endswith("/"):
+            continue
+        if tag in RAW and tag != "head" and not m[1]:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -94,7 +134,7 @@ class Page:
     """
 
     def __init__(self, page: str):
-        parts = list(tokens(page))
+        parts = _visible(list(tokens(page)))
         mark = next((n for n, (kind, tag, _) in enumerate(parts) if kind == "open" and tag == "main"), None)
         if mark is None:
             mark = next((n for n, (kind, tag, names) in enumerate(parts) if kind == "open" and tag == "article" and not names), 0)
@@ -221,9 +261,8 @@ def learn_weights(pages: DataFrame, sample: int = 2000) -> dict[tuple[str, str],
 
     counts = map_rows(chosen.select("html").where("html IS NOT NULL"), task,
                       struct_of(("kind", "string"), ("context", "string"), ("inside", "boolean"), ("n", "long")))
-    # element names are few; odd ones beyond the commonest thousand keep the default weight
-    top = counts.groupBy("kind", "context", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "context", "inside").limit(1000)
-    return learn({(r.kind, r.context, r.inside): r.n for r in top.collect()})
+    total = counts.groupBy("kind", "context", "inside").agg(F.sum("n").alias("n"))  # element names of the sample's pages
+    return learn({(r.kind, r.context, r.inside): r.n for r in total.collect()})
 
 
 def extract(pages: DataFrame, sample: int = 2000) -> DataFrame:

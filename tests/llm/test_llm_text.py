@@ -221,3 +221,30 @@ def test_chat_layouts(spark):
     formatted = chat.format_turns(chat.canonical_turns(df))
     spans = {(r["conv_id"], r["nth"]): r["segment"][r["loss_start"]:r["loss_start"] + r["loss_length"]] for r in formatted.collect()}
     assert spans[0, 1] == "a" and spans[0, 0] == ""
+
+
+def test_html_unclosed_elements_quotes_and_comment_names():
+    """Markup that ordinary pages hold: unclosed and nested hidden elements, quotes in bare values, names of comments
+    and sidebars by their first word or written together."""
+    one, two = "The first paragraph has quite a few words in it.", "The second one goes on about the same things."
+    inner = f"<p>{one}</p>%s<p>{two}</p>"
+    want = f"{one}\n\n{two}"
+    for odd in ("<button>", "<svg><path d='M0'>", "<select>", "<object><object>x</object>y</object>", "<svg><g><svg>a</svg>b</g></svg>",
+                "<button>Read more</button>", "<template><p>no</p></template>", "<noscript><img src=x></noscript>", "<svg/>",
+                "<div class='comments-area'><p>I say no.</p><p>Me too.</p><p>All of us say so.</p></div>",
+                "<ol id=comment-list><li>I say no.</li><li>Me too, all the time.</li></ol>", "<div class='CommentList'><p>I say no.</p></div>",
+                "<div id='leftsidebar'><p>Other things here</p></div>", "<div class='related-articles'><p>Read this one</p></div>",
+                "<div class='sharebar'>Share this page</div>", "<div class=cookieBanner><p>We set cookies.</p></div>",
+                "<textarea>my draft <p></textarea>", "<script>if (a<b) '</p>'</script>"):
+        page = f"<html><body><article>{inner % odd}</article></body></html>"
+        assert html.main_text(page, {}) == want, odd
+    assert html.main_text(f"<body><article><p data-x=don't>{one}</p><p title = \"a > 'b'\">{two}</p></article></body>", {}) == want
+    assert html.main_text(f"<body><article><p a=1 'b>{one}</p><p>{two}</p></article></body>", {}) == want
+    # wrappers that hold the article, words that only begin alike, states, and other attributes ending in id
+    for attribute in ("class='sidebar-layout'", "class='comments-enabled'", "class='navy shareholders commentary'", "data-id='comments'",
+                      "id='content-with-sidebar'", "class='related-content'"):
+        assert html.main_text(f"<body><div {attribute}><article>{inner % ''}</article></div></body>", {}) == want, attribute
+    for attribute in ("class='navy'", "class='shareholders'", "class='commentary'", "data-id='comments'"):
+        assert html.main_text(f"<body><article><div {attribute}>{inner % ''}</div></article></body>", {}) == want, attribute
+    long = "<p a='" + "x" * 200_000 + f"'>{one}</p>" + "<b " * 20_000
+    assert html.main_text(long, {}) == one
