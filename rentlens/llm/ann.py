@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rentlens.llm.common import map_rows, materialize, ship, struct_of
 
+#: Queries that a task walks through the cells.
+WALK_ROWS = 256
+
 
 def usable(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v) of the vectors that take part: neither null nor zero, without null or non-finite
@@ -101,11 +104,12 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
     least ``share`` of the index and at least ``limit`` others, or everything if there are fewer, so
     small tables are searched whole. Rows that repeat a vec_id are entries of their own, but never
     neighbours of a query with that vec_id. Query rows that repeat a vec_id are one query: each entry counts
-    once, by its best score with any of their vectors. Empty tables give an empty result.
+    once, by its best score with any of their vectors. An entry without a vec_id is a neighbour whose vec_id is null
+    (last among equal scores); a query without one is no query. Empty tables give an empty result.
     """
     spark = entries.sparkSession
     ship(spark)
-    out = struct_of(("query_id", queries.schema["vec_id"].dataType), ("vec_id", entries.schema["vec_id"].dataType),
+    out = struct_of(("query_id", queries.schema["vec_id"].dataType), ("vec_id", entries.schema["vec_id"].dataType), ("unnamed", "boolean"),
                     ("entry", "long"), ("score", "double"))
     final = struct_of(("query_id", out["query_id"].dataType), ("rank", "int"), ("vec_id", out["vec_id"].dataType), ("score", "double"))
     drawn = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
@@ -115,14 +119,15 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
     half = fit.shape[1] // 2
     books = (codebook(fit[:, :half], k), codebook(fit[:, half:], k))
     indexed = materialize(_assign(entries, books).withColumn("entry", F.monotonically_increasing_id()))
-    queries = queries.select("vec_id", "v").distinct()
+    queries = materialize(queries.where("vec_id IS NOT NULL").select("vec_id", "v").distinct())
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in indexed.groupBy("c1", "c2").count().collect():  # at most k * k rows
         counts[r["c1"], r["c2"]] = r["count"]
     total = int(counts.sum())
     enough = max(int(np.ceil(share * total)), limit + 1)
     blocks = [max(1, -(-int(n) // entry_block)) for n in counts.sum(1)]
-    n_query_blocks = max(1, -(-queries.count() // query_block))
+    n_queries = queries.count()
+    n_query_blocks = max(1, -(-n_queries // query_block))
 
     def walk():
         def each(batch: pa.RecordBatch):
@@ -143,17 +148,22 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
 
     of_block = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
     n_blocks = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("c1") + 1)
-    asked = map_rows(queries.select("vec_id", "v"), walk,
+    # the walk's tasks grow with the queries
+    asked = map_rows(queries.repartition(max(1, -(-n_queries // WALK_ROWS)), "vec_id").select("vec_id", "v"), walk,
                      struct_of(("query_id", out["query_id"].dataType), ("q", "array<double>"), ("c1", "int"), ("cells", "array<int>")))
-    asked = asked.withColumn("qb", of_block("query_id", F.lit(n_query_blocks))).withColumn("eb", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    held = (indexed.withColumn("eb", of_block("vec_id", n_blocks))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
+    asked = materialize(asked.withColumn("qb", of_block("query_id", F.lit(n_query_blocks))))
+    visited = asked.select(F.col("c1").alias("visited"), F.col("qb").alias("qb")).distinct()  # query blocks that visit a centroid of the first half
+    asked = asked.withColumn("eb", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    # an entry's block hangs on its own number, so rows that repeat a vec_id spread; pandas has no null whole numbers
+    no_id = F.lit(0).cast(out["vec_id"].dataType)
+    held = (indexed.withColumn("eb", of_block("entry", n_blocks)).withColumn("unnamed", F.col("vec_id").isNull())
+            .withColumn("vec_id", F.coalesce("vec_id", no_id)).join(visited, F.col("c1") == F.col("visited")).drop("visited"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0], "entry": right["entry"][:0],
-                                 "score": np.zeros(0)})
-        right = right.sort_values("vec_id", kind="stable")
+            return pd.DataFrame({"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0], "unnamed": right["unnamed"][:0],
+                                 "entry": right["entry"][:0], "score": np.zeros(0)})
+        right = right.sort_values(["unnamed", "vec_id"], kind="stable")
         q, e = np.stack(left["q"].to_list()), np.stack(right["v"].to_list())
         c2, qid, eid = right["c2"].to_numpy(), left["query_id"].to_numpy(), right["vec_id"].to_numpy()
         scores = np.full((len(q), len(e)), -np.inf)
@@ -165,7 +175,8 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
             if int(c) in visits:
                 rows, cols = np.array(visits[int(c)]), np.flatnonzero(c2 == c)
                 scores[rows[:, None], cols[None, :]] = ordered_dot(q[rows], e[cols])
-        scores[qid[:, None] == eid[None, :]] = -np.inf
+        unnamed = right["unnamed"].to_numpy(dtype=bool)
+        scores[(qid[:, None] == eid[None, :]) & ~unnamed] = -np.inf
         if len(e) > limit:
             floor = np.partition(scores, len(e) - limit, axis=1)[:, len(e) - limit]
             good = (scores >= floor[:, None]) & (scores > -np.inf)
@@ -177,12 +188,13 @@ def nearest_neighbours(entries: DataFrame, queries: DataFrame, limit: int = 20,
         at_q, at_e, value = at_q[order], at_e[order], value[order]
         first = np.searchsorted(at_q, at_q, side="left")
         top = np.arange(len(at_q)) - first < limit
-        return pd.DataFrame({"query_id": qid[at_q[top]], "vec_id": eid[at_e[top]],
+        return pd.DataFrame({"query_id": qid[at_q[top]], "vec_id": eid[at_e[top]], "unnamed": unnamed[at_e[top]],
                              "entry": right["entry"].to_numpy()[at_e[top]], "score": value[top]})
 
     keys = ("c1", "eb", "qb")
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(best, out)
+    found = found.withColumn("vec_id", F.when(~F.col("unnamed"), F.col("vec_id")))
     found = found.groupBy("query_id", "entry").agg(F.max("score").alias("score"), F.first("vec_id").alias("vec_id"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
             .select("query_id", "rank", "vec_id", "score"))

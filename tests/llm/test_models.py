@@ -228,6 +228,22 @@ def test_ann_repeated_query_rows_keep_their_neighbours(spark):
     assert list(second["vec_id"]) == np.argsort(-best)[:20].tolist() and np.allclose(second["score"], np.sort(best)[::-1][:20])
 
 
+def test_ann_entries_without_an_id_and_large_ids(spark):
+    """A null vec_id is a neighbour whose id is null, never a query; ids above 2^53 come back exactly."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    big = (1 << 60) // 20 * 20
+    ids = [None if i % 7 == 3 else big + i for i in range(60)]
+    e = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>"))
+    rows = ann.nearest_neighbours(e, e.where("vec_id IS NULL OR vec_id % 20 = 0"), limit=20, share=1.0, k=4, entry_block=16, query_block=2).collect()
+    asked = [k for k, i in enumerate(ids) if i is not None and i % 20 == 0]
+    assert len(rows) == 20 * len(asked) and {r["query_id"] for r in rows} == {ids[k] for k in asked}
+    for k in asked:
+        order = sorted((j for j in range(60) if j != k), key=lambda j: -float(x[k] @ x[j]))[:20]
+        mine = sorted((r for r in rows if r["query_id"] == ids[k]), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == [ids[j] for j in order]
+
+
 # ---- pipeline ----------------------------------------------------------------
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
