@@ -3,11 +3,11 @@
 A classifier fitted on a labelled table gives every document posteriors over
 domains, so a document may belong to several. Document rates r >= 0 are fitted
 so that the expected tokens of domain d, the sum of r * tokens * posterior(d),
-match the targets in the least-squares sense. The rates are the projection
-max(0, 1 - posteriors . u) of a gradient step; the vector u, as long as the
-number of domains, is fitted by Newton steps that each take one distributed
-aggregation. Rates become copies: the whole part, and one more with the
-probability of the fraction, drawn by a hash of the row's key.
+match the targets in the least-squares sense, by distributed projected gradient
+descent: every document steps against its own gradient, posteriors . error of
+the totals, and is cut off at zero; one pass over the documents is one aggregation of a few numbers
+a domain. Rates become copies: the whole part, and one more
+with the probability of the fraction, drawn by a hash of the row's key.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from rentlens.llm.common import map_rows, materialize, struct_of
 #: Hashed word features; style features follow.
 BUCKETS = 1024
 STYLE = 10
-#: Weight, relative to the Gram matrix, of keeping rates near 1 against meeting the targets.
-RIDGE = 1e-10
+#: Rounds after which the rates are written, so that later rounds do not repeat the steps before.
+WRITE_ROUNDS = 16
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -144,79 +144,137 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
                                                 ("tokens", "long"), ("posteriors", "array<double>")))
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, rounds: int = 60,
-              tolerance: float = 1e-6) -> DataFrame:
+def stepped(p: np.ndarray, scale: np.ndarray, rate: np.ndarray, before: np.ndarray,
+            steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates, rates of the round before, where the last step began) after projected gradient steps (momentum, error
+    times step length) from ``rate``; posteriors, scale and rates are those of some documents."""
+    at = rate
+    for momentum, error in steps:
+        at = rate + momentum * (rate - before)
+        before, rate = rate, np.maximum(0.0, at - scale * (p @ error))
+    return rate, before, at
+
+
+def descend(look, write, start: tuple, target: np.ndarray, step: float, tolerance: float) -> list[tuple[float, np.ndarray]]:
+    """Steps to the least-squares rates, from rates of 1; those since the last ``write(steps)``.
+
+    ``look(steps)`` gives (totals after the steps, totals one step before, Gram matrix of the documents with a rate
+    above zero, norm of the last step's projected gradient); ``start`` is what it would give for no step. Steps are
+    accelerated (Nesterov). While no rate reaches or leaves zero, the Gram matrix tells the totals of the next rounds,
+    so one pass may take several of them; it counts only if the totals that it finds have a smaller error, else fewer
+    rounds are tried, down to a single one, whose gradient is exact. A single accelerated step that would raise the
+    error is taken back too, and the momentum starts anew, so the error never rises. It ends where the projected
+    gradient of a single step is at most ``tolerance``, or where a plain step, which lowers the error by theory, no
+    longer does in double precision.
+    """
+    steps: list[tuple[float, np.ndarray]] = []
+    now, past, gram, _ = start
+    error = float(((now - target) ** 2).sum())
+    k, ahead = 0, 1
+    while True:
+        tried, t, before = list(steps), now, past
+        for j in range(k, k + ahead):
+            momentum = j / (j + 3)
+            at = t + momentum * (t - before)
+            tried.append((momentum, step * (at - target)))
+            before, t = t, at - step * gram @ (at - target)
+        new, new_past, new_gram, gradient = look(tried)
+        after = float(((new - target) ** 2).sum())
+        if ahead == 1 and gradient <= tolerance and after <= error:
+            return tried
+        if after >= error * (1 - 1e-14):
+            if ahead > 1:
+                ahead //= 4
+                ahead = max(ahead, 1)
+            elif not k:
+                return steps
+            else:
+                past, k = now, 0
+            continue
+        steps, now, past, gram, error, k = tried, new, new_past, new_gram, after, k + ahead
+        ahead = 1 if gradient <= tolerance else min(2 * ahead, WRITE_ROUNDS)
+        if len(steps) >= WRITE_ROUNDS:
+            write(steps)
+            steps = []
+
+
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = 2e-7) -> DataFrame:
     """``members`` (doc_id, tokens, posteriors) with a column rate, so that expected domain tokens come
     nearest to ``budget`` times the normalised ``weights`` (budget None: the present tokens).
 
-    Nonnegative least squares. Of the rates that come nearest, those nearest to 1 (by tokens) are
-    max(0, 1 - posteriors . u) for one vector u as long as the domains: u minimises a convex function whose
-    gradient is the error of the totals, up to RIDGE, and whose Hessian is the Gram matrix (the sum of
-    tokens * posteriors * posteriors') of the documents with a rate above zero. Newton steps on u, shortened until
-    that function falls, take one aggregation each (two with a shorter step). They end when the projected
-    gradient of the rates is at most ``tolerance``; RuntimeError if it isn't after the last round. Documents
-    without tokens change no total and keep rate 1, as does every document if there are no tokens at all.
+    Nonnegative least squares by projected gradient (``descend``), totals as shares of all tokens. A document's step
+    is as much longer as its domains are rare (posteriors / domain shares, added up), which is a gradient step in
+    another metric and lets rare domains settle as fast as common ones; the common step length is the inverse of the
+    largest eigenvalue of the Gram matrix in that metric. A pass reads the written posteriors and rates and adds up
+    as many numbers as there are domains and pairs of them. Documents without tokens change no total and keep rate 1, as does every document if there
+    are no tokens at all.
     """
     k = len(weights)
-    state = materialize(members)
-    p = [F.element_at("posteriors", i + 1) for i in range(k)]
-    pairs = list(zip(*np.tril_indices(k)))
-
-    def rate_at(u):
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(g)) * x for g, x in zip(u, p)), F.lit(0.0)))
-
-    total = float(state.agg(F.sum("tokens")).first()[0] or 0)
+    total = float(members.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return state.withColumn("rate", F.lit(1.0))
-    share = F.col("tokens") / F.lit(total)
+        return members.withColumn("rate", F.lit(1.0))
     target = np.array(weights, float) / sum(weights) * (1.0 if budget is None else budget / total)
-
-    def squares(u):
-        return F.sum(share * rate_at(u) * rate_at(u))
-
-    def height(u, square):
-        return square / 2 + target @ u + ridge / 2 * u @ u
-
-    def look(u):
-        """The function's value, its gradient and the Gram matrix of live documents at u."""
-        rated = state.select("posteriors", share.alias("s"), rate_at(u).alias("r"))
-        live = F.when(F.col("r") > 0, F.col("s")).otherwise(0.0)
-        got = [float(v) for v in rated.agg(F.sum(F.col("s") * F.col("r") * F.col("r")), *[F.sum(F.col("s") * F.col("r") * x) for x in p],
-                                           *[F.sum(live * p[i] * p[j]) for i, j in pairs]).first()]
-        gram = np.zeros((k, k))
-        for (i, j), v in zip(pairs, got[k + 1:]):
-            gram[i, j] = gram[j, i] = v
-        return got[0], np.array(got[1:k + 1]), gram
-
-    u, ridge = np.zeros(k), 0.0
-    square, now, gram = look(u)
-    ridge = RIDGE * float(np.linalg.eigvalsh(gram)[-1])
-    for _ in range(rounds):
-        slope = target - now + ridge * u
-        if np.linalg.norm(slope) <= tolerance:
-            return state.withColumn("rate", F.when(F.col("tokens") > 0, rate_at(u)).otherwise(F.lit(1.0)))
-        move = -np.linalg.solve(gram + ridge * np.eye(k), slope)
-        new = u + move
-        seen = look(new)
-        if (height(new, seen[0]) > height(u, square) + 1e-4 * slope @ move
-                and np.linalg.norm(target - seen[1] + ridge * new) > np.linalg.norm(slope) / 2):
-            tried = [u + move * 0.7 ** n for n in range(1, 61)]
-            got = state.agg(*[squares(v) for v in tried]).first()
-            new = min(zip(tried, got), key=lambda x: height(x[0], x[1]))[0]
-            seen = look(new)
-        u, (square, now, gram) = new, seen
-    raise RuntimeError(f"rates did not settle in {rounds} rounds: projected gradient {np.linalg.norm(slope):.3g}, wanted {tolerance:.3g}")
+    state = materialize(members.withColumns({"__rate": F.lit(1.0), "__before": F.lit(1.0)}))
+    share = F.col("tokens") / F.lit(total)
+    p = [F.element_at("posteriors", i + 1) for i in range(k)]
+    totals = np.array([float(x) for x in state.agg(*[F.sum(share * x) for x in p]).first()])
+    inverse = 1 / np.maximum(totals, 1e-12)
+    scale = sum((F.lit(float(c)) * x for c, x in zip(inverse, p)), F.lit(0.0))
+    pairs = list(zip(*np.tril_indices(k)))
+    gram = np.zeros((k, k))
+    for (i, j), v in zip(pairs, state.agg(*[F.sum(share * scale * p[i] * p[j]) for i, j in pairs]).first()):
+        gram[i, j] = gram[j, i] = float(v)
+    step = 1 / float(np.linalg.eigvalsh(gram)[-1])
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        m = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, k)
+        return m, m @ inverse, *(np.asarray(batch.column(n)) for n in (1, 2))
+
+    def look(steps):
+        def task():
+            def each(batch: pa.RecordBatch):
+                m, longer, rate, before = arrays(batch)
+                rate, before, at = stepped(m, longer, rate, before, steps)
+                s = np.asarray(batch.column(3)) / total
+                live = (m * (s * longer * (rate > 0))[:, None]).T @ m
+                gradient = (s * ((rate - at) / (step * longer)) ** 2).sum()
+                return {"sums": [np.concatenate([m.T @ (s * rate), m.T @ (s * before), live.ravel(), [gradient]])]}
+            return each
+
+        got = map_rows(state.select("posteriors", "__rate", "__before", "tokens"), task, struct_of(("sums", "array<double>")))
+        got = np.array(got.agg(*[F.sum(F.element_at("sums", n + 1)) for n in range(2 * k + k * k + 1)]).first(), float)
+        return got[:k], got[k:2 * k], got[2 * k:-1].reshape(k, k), float(np.sqrt(got[-1]))
+
+    def moved(rows: DataFrame, steps) -> DataFrame:
+        """The rows with the rates after the steps."""
+        names = ["posteriors", "__rate", "__before", *[c for c in rows.columns if c not in ("posteriors", "__rate", "__before")]]
+
+        def task():
+            def each(batch: pa.RecordBatch):
+                rate, before, _ = stepped(*arrays(batch), steps)
+                return {c: batch.column(n) for n, c in enumerate(names)} | {"__rate": rate, "__before": before}
+            return each
+
+        return map_rows(rows.select(*names), task, rows.select(*names).schema)
+
+    def write(steps) -> None:
+        nonlocal state
+        state = materialize(moved(state, steps))
+
+    steps = descend(look, write, (totals, totals, gram, 0.0), target, step, tolerance)
+    out = moved(state, steps) if steps else state
+    return out.select(*members.columns, F.when(F.col("tokens") > 0, F.col("__rate")).otherwise(1.0).alias("rate"))
 
 
 def with_copies(rates: DataFrame, seed: int = 42) -> DataFrame:
-    """Adds copies: the rate's whole part, and one more if a hash of doc_id falls below its fraction."""
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """Adds copies: the rate's whole part, and one more if a hash of the row's key (doc_id and text_key) falls below
+    its fraction."""
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_key"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     whole = F.floor("rate")
     return rates.withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 6000,
-        rounds: int = 60) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_share: float = 1.0, sample: int = 6000) -> DataFrame:
     """One row per document: doc_id, text_key, tokens, posteriors, domain (the likeliest), rate, copies.
 
     ``targets`` maps domains to nonnegative weights; ``budget_share`` is the wanted number of tokens as a
@@ -226,7 +284,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget_
     names = sorted(targets)
     members = materialize(domain_posteriors(docs, labelled, names, sample))
     total = members.agg(F.sum("tokens")).first()[0] or 0
-    rates = with_copies(fit_rates(members, [targets[n] for n in names], total * budget_share, rounds))
+    rates = with_copies(fit_rates(members, [targets[n] for n in names], total * budget_share))
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
     return rates.withColumn("domain", F.element_at(F.array(*[F.lit(n) for n in names]), best)).select(
         "doc_id", "text_key", "tokens", "posteriors", "domain", "rate", "copies")
