@@ -5,10 +5,10 @@ token-cost arithmetic. All native Column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rentlens.functions import text as tx
-from rentlens.functions.text import cf, folded, has, json_string_array
+from rentlens.functions.text import cf, folded, has, json_string_array, on_folded
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: extractor identity, field patterns and tag vocabulary.
@@ -136,14 +136,6 @@ def _any(t: Column, patterns: list[str], literals: list[tuple]) -> Column:
     return cond
 
 
-def on_folded(fn):
-    """The function on a text as it stands; ``.of`` is the function on a folded one."""
-    def on_text(text: Column) -> Column:
-        return fn(folded(text))
-    on_text.of = fn
-    return on_text
-
-
 @on_folded
 def tenant_pref(t: Column) -> Column:
     out = F.lit(None).cast("string")
@@ -183,10 +175,15 @@ def amenities(t: Column) -> Column:
     return F.array_sort(F.array_compact(tags))
 
 
-def extract_record(text: Column) -> dict[str, Column]:
-    """The six extracted fields as named columns."""
-    t = folded(F.coalesce(text, F.lit("")))
-    am = amenities.of(t)
+def with_record(df: DataFrame, text: str) -> DataFrame:
+    """The frame with the six extracted fields and the number of amenities; the text is folded once, in a
+    projection of its own, and the amenities are looked for once."""
+    d = df.withColumn("_folded", folded(F.coalesce(F.col(text), F.lit(""))))
+    d = d.withColumn("_tags", amenities.of(F.col("_folded")))
+    return d.select(*df.columns, *[c.alias(k) for k, c in _record(F.col("_folded"), F.col("_tags")).items()])
+
+
+def _record(t: Column, am: Column) -> dict[str, Column]:
     return {
         "tenant_pref": tenant_pref.of(t),
         "veg_only": veg_only.of(t),

@@ -16,6 +16,8 @@ Regex notes (Java engine):
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from rentlens.sources.dims import KNOWN_LOCALITIES, correction_canon, correction_names
@@ -124,7 +126,23 @@ FOLDS = ("\u0130\u0131\u017f\u212a", "iisk")
 
 def folded(c: Column) -> Column:
     """Lower case, with everything that matches an ASCII letter case-insensitively as that letter."""
-    return F.lower(F.translate(c, *FOLDS))
+    odd = reduce(Column.__or__, [c.contains(x) for x in FOLDS[0]])
+    return F.lower(F.when(odd, F.translate(c, *FOLDS)).otherwise(c))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is read there."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def on_folded(fn):
+    """A function of a folded text as one of a text as it stands, which is folded once (a bound variable: the optimizer
+    would copy the fold into every place that reads it). ``.of`` takes a text that is folded already."""
+    def on_text(text: Column) -> Column:
+        return let(folded(text), fn)
+    on_text.of = fn
+    on_text.__doc__ = fn.__doc__
+    return on_text
 
 
 def cf(p: str) -> str:
@@ -149,10 +167,6 @@ def cu(p: str) -> str:
     return "(?U)" + translate_pattern(p, java=True)
 
 
-def _extract(c: Column, pattern: str, idx: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, idx), F.lit(""))
-
-
 # T1 / T2 -------------------------------------------------------------------
 
 def normalize_text(c: Column) -> Column:
@@ -195,19 +209,22 @@ def dedup_key(locality_norm: Column, bhk: Column, rent: Column, area: Column) ->
 # T7 - T11 (card and message fields) ----------------------------------------
 
 def _found(t: Column, literals: tuple, pattern: str, idx: int = 1) -> Column:
-    """A group of a pattern's first match in a folded text that holds the literals."""
-    return F.when(has(t, *literals), _extract(t, cf(pattern), idx))
+    """A group of a pattern's first match in a folded text that holds the literals ('' without a match)."""
+    return F.when(has(t, *literals), F.regexp_extract(t, cf(pattern), idx))
 
 
-def parse_bhk(text: Column) -> Column:
-    return _found(folded(text), ("bhk",), BHK_RE).try_cast("double")
+@on_folded
+def parse_bhk(t: Column) -> Column:
+    return _found(t, ("bhk",), BHK_RE).try_cast("double")
 
 
-def parse_area(text: Column) -> Column:
-    return F.replace(_found(folded(text), (("sq", "ft"),), AREA_RE), F.lit(","), F.lit("")).try_cast("double")
+@on_folded
+def parse_area(t: Column) -> Column:
+    return F.replace(_found(t, (("sq", "ft"),), AREA_RE), F.lit(","), F.lit("")).try_cast("double")
 
 
-def parse_inr(text: Column) -> Column:
+@on_folded
+def parse_inr(t: Column) -> Column:
     """Card amount. Commas removed first; lakh, thousand, plain, near 'rent'.
 
     The three currency rules share their prefix, and their digit run cannot
@@ -216,7 +233,7 @@ def parse_inr(text: Column) -> Column:
     hits; the rules then pick the first hit ending in L, in K, or the first
     hit. A malformed number gives NULL (the rule is still decided).
     """
-    t = F.replace(folded(text), F.lit(","), F.lit(""))
+    t = F.replace(t, F.lit(","), F.lit(""))
     hits = F.when(has(t, "₹", "rs"), F.regexp_extract_all(t, F.lit(cf(_INR_HIT_RE)), 0)).otherwise(F.array().cast("array<string>"))
     plain = cf(INR_PLAIN_RE)    # on a hit it matches at the start: the hit's number
     none = F.lit(None).cast("string")
@@ -245,13 +262,13 @@ def _scaled_amount(num: Column, suffix: Column) -> Column:
     return (F.when(suffix == "k", n * 1000).when(suffix == "l", n * 100000).otherwise(n))
 
 
-def parse_message_rent(text: Column) -> Column:
+@on_folded
+def parse_message_rent(t: Column) -> Column:
     """Rent-anchored amount in [3k, 500k], else the first currency amount in [5k, 500k]."""
-    t = folded(text)
     hit = _found(t, ("rent",), MSG_RENT_RE, 0)  # one scan of the text; the groups are read from the hit
     p1 = cf(MSG_RENT_RE)
-    first = _scaled_amount(F.regexp_extract(hit, p1, 1), F.regexp_extract(hit, p1, 2))
-    first = F.when(first.between(3000, 500000), first)
+    first = let(hit, lambda h: _scaled_amount(F.regexp_extract(h, p1, 1), F.regexp_extract(h, p1, 2)))
+    first = let(first, lambda v: F.when(v.between(3000, 500000), v))
     p2 = cf(MSG_INR_ANY_RE)
     amounts = F.transform(F.regexp_extract_all(t, F.lit(p2), 0),
                           lambda h: _scaled_amount(F.regexp_extract(h, p2, 1), F.regexp_extract(h, p2, 2)))
@@ -354,27 +371,33 @@ PROPERTY_TYPE_LITERALS = {"independent_house": ("house",), "villa": ("villa",),
                           "apartment": ("apartment", "flat")}
 
 
-def parse_property_type(text: Column) -> Column:
-    head = folded(F.substring(text, 1, FIRST_CHARS_PROPERTY_TYPE))
+@on_folded
+def parse_property_type(t: Column) -> Column:
+    head = F.substring(t, 1, FIRST_CHARS_PROPERTY_TYPE)  # folding keeps the number of characters
     out = F.lit(None).cast("string")
     for pat, label in reversed(PROPERTY_TYPE_RULES):
         out = F.when(has(head, *PROPERTY_TYPE_LITERALS[label]) & head.rlike(cf(pat)), F.lit(label)).otherwise(out)
     return out
 
 
-def parse_deposit(text: Column) -> Column:
-    v = F.replace(_found(folded(text), (("₹", "deposit"),), DEPOSIT_RE), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(v.between(1000, 5000000), v)
+@on_folded
+def parse_deposit(t: Column) -> Column:
+    v = F.replace(_found(t, (("₹", "deposit"),), DEPOSIT_RE), F.lit(","), F.lit("")).try_cast("double")
+    return let(v, lambda v: F.when(v.between(1000, 5000000), v))
 
 
 def parse_floor(text: Column) -> Column:
     """struct(floor_num, total_floors) from the first a/b pair; valid iff 0<=a<=b<=60."""
     m = F.when(has(text, "/"), F.regexp_extract(text, cu(FLOOR_RE), 0))     # one scan of the text
-    parts = F.split(m, "/")
-    a = F.trim(F.try_element_at(parts, F.lit(1))).try_cast("int")
-    b = F.trim(F.try_element_at(parts, F.lit(2))).try_cast("int")
-    ok = (a >= 0) & (a <= b) & (b <= 60)
-    return F.struct(F.when(ok, a).alias("floor_num"), F.when(ok, b).alias("total_floors"))
+
+    def pair(parts):
+        return F.struct(F.trim(F.try_element_at(parts, F.lit(1))).try_cast("int").alias("a"),
+                        F.trim(F.try_element_at(parts, F.lit(2))).try_cast("int").alias("b"))
+
+    def judged(f):
+        ok = (f.a >= 0) & (f.a <= f.b) & (f.b <= 60)
+        return F.struct(F.when(ok, f.a).alias("floor_num"), F.when(ok, f.b).alias("total_floors"))
+    return let(let(F.split(m, "/"), pair), judged)
 
 
 # AGE_RE with possessive quantifiers for the Java engine. Same first match:
@@ -384,13 +407,14 @@ def parse_floor(text: Column) -> Column:
 AGE_RE_POSSESSIVE = r"(\d++)\s*+(?:-\s*+(\d++))?\s*+\+?\s*+(?:years?|yrs?)\b"
 
 
-def parse_age(text: Column) -> Column:
-    m = _found(folded(text), ("year", "yr"), AGE_RE_POSSESSIVE, 0)    # one scan of the text
+@on_folded
+def parse_age(t: Column) -> Column:
     p = cf(AGE_RE_POSSESSIVE)
-    lo = _extract(m, p, 1).try_cast("double")
-    hi = F.coalesce(_extract(m, p, 2).try_cast("double"), lo)
-    mid = (lo + hi) / 2
-    return F.when((mid >= 0) & (mid <= 100), mid)
+    hit = _found(t, ("year", "yr"), AGE_RE_POSSESSIVE, 0)    # one scan of the text; the groups are read from the hit
+    ends = let(hit, lambda m: F.struct(F.regexp_extract(m, p, 1).try_cast("double").alias("lo"),
+                                       F.regexp_extract(m, p, 2).try_cast("double").alias("hi")))
+    mid = let(ends, lambda e: (e.lo + F.coalesce(e.hi, e.lo)) / 2)
+    return let(mid, lambda v: F.when((v >= 0) & (v <= 100), v))
 
 
 # F1 / F2 / T21 - T23 --------------------------------------------------------
@@ -400,11 +424,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
-def looks_like_listing(text: Column) -> Column:
-    t = folded(F.coalesce(text, F.lit("")))
+@on_folded
+def looks_like_listing(t: Column) -> Column:
+    t = F.coalesce(t, F.lit(""))
     sale = has(t, "sale", ("per", "sq"), "price") & t.rlike(cf(SALE_MARKER_RE))
     rent = has(t, *RENT_LITERALS) & t.rlike(cf(RENT_MARKER_RE))
-    return (F.char_length(F.coalesce(text, F.lit(""))) >= 60) & ~sale & rent
+    return (F.char_length(t) >= 60) & ~sale & rent
 
 
 #: What every match of the rent marker, and of the room-share marker, holds one of.
@@ -412,8 +437,9 @@ RENT_LITERALS = ("bhk", "rent", "deposit", "₹", "rs", "sq", "preferred", "bach
 ROOM_SHARE_LITERALS = ("mate", "per", "room", "share", "looking", "paying", "pg")
 
 
-def is_room_share(text: Column) -> Column:
-    t = folded(F.coalesce(text, F.lit("")))
+@on_folded
+def is_room_share(t: Column) -> Column:
+    t = F.coalesce(t, F.lit(""))
     return has(t, *ROOM_SHARE_LITERALS) & t.rlike(cf(ROOM_SHARE_RE))
 
 

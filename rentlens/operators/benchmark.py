@@ -190,8 +190,9 @@ def extraction_rows(listings: DataFrame, raws: DataFrame, extractions: DataFrame
     j = todo.join(r, todo["latest_raw_id"] == r["_raw"]).select("listing_id", F.col("_raw").alias("raw_id"), "_text")
     if limit is not None:
         j = j.orderBy("listing_id").limit(limit)
-    return j.select("listing_id", "raw_id", F.lit(extractor).alias("extractor"), F.lit(version).alias("extractor_version"),
-                    *[v.alias(k) for k, v in ex.extract_record(F.col("_text")).items()],
+    d = ex.with_record(j, "_text")
+    fields = [c for c in d.columns if c not in j.columns]
+    return d.select("listing_id", "raw_id", F.lit(extractor).alias("extractor"), F.lit(version).alias("extractor_version"), *fields,
                     F.current_timestamp().alias("extracted_at"), F.lit(None).cast("double").alias("latency_ms"),
                     F.lit(0.0).alias("cost_usd"))
 

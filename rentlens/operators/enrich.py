@@ -16,15 +16,14 @@ FILL_COLS = ["property_type", "deposit", "floor_num", "total_floors", "age_years
 
 
 def parse_cards(cards: DataFrame, text_col: str = "raw_text", current_col: str = "locality_query") -> DataFrame:
-    t = F.col(text_col)
-    fl = tx.parse_floor(t)
-    staged = cards.select(
+    t = F.col("_folded")  # folded once, in a projection of its own
+    staged = cards.select("listing_id", text_col, current_col, tx.folded(F.col(text_col)).alias("_folded")).select(
         "listing_id",
-        tx.parse_property_type(t).alias("p_property_type"),
-        tx.parse_deposit(t).alias("p_deposit"),
-        fl.alias("_fl"),
-        tx.parse_age(t).alias("p_age_years"),
-        tx.correct_locality(t, F.col(current_col)).alias("_loc"))
+        tx.parse_property_type.of(t).alias("p_property_type"),
+        tx.parse_deposit.of(t).alias("p_deposit"),
+        tx.parse_floor(t).alias("_fl"),
+        tx.parse_age.of(t).alias("p_age_years"),
+        tx.correct_locality(F.col(text_col), F.col(current_col)).alias("_loc"))
     # second projection: each struct above is computed once and then read
     return staged.select(
         "listing_id", "p_property_type", "p_deposit",

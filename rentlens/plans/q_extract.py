@@ -64,17 +64,19 @@ def card_fields_sql(t: str) -> str:
     }
 
 
-def card_fields(text):
+def card_fields(t):
+    """The fields of a folded card text."""
     return {
-        "bhk": tx.parse_bhk(text), "area_sqft": tx.parse_area(text), "rent_monthly": tx.parse_inr(text),
-        "furnishing": tx.parse_furnishing(text), "property_type": tx.parse_property_type(text),
-        "deposit": tx.parse_deposit(text), "_floor": tx.parse_floor(text), "age_years": tx.parse_age(text),
+        "bhk": tx.parse_bhk.of(t), "area_sqft": tx.parse_area.of(t), "rent_monthly": tx.parse_inr.of(t),
+        "furnishing": tx.parse_furnishing(t), "property_type": tx.parse_property_type.of(t),
+        "deposit": tx.parse_deposit.of(t), "_floor": tx.parse_floor(t), "age_years": tx.parse_age.of(t),
     }
 
 
 def with_card_fields(df, text_col="raw_text"):
-    """All card fields; the floor pair is parsed once then split (staged)."""
-    staged = df.select("*", *[v.alias(k) for k, v in card_fields(F.col(text_col)).items()])
+    """All card fields; the text is folded once and the floor pair is parsed once, then split (staged)."""
+    staged = df.withColumn("_folded", tx.folded(F.col(text_col)))
+    staged = staged.select(*df.columns, *[v.alias(k) for k, v in card_fields(F.col("_folded")).items()])
     return staged.select(*[c for c in staged.columns if c != "_floor"],
                          F.col("_floor.floor_num").cast("double").alias("floor_num"),
                          F.col("_floor.total_floors").cast("double").alias("total_floors"))
@@ -229,8 +231,7 @@ EXTRACT_INT_COLS = ["veg_only", "is_owner", "negotiable", "lock_in_months"]
        + ", ".join(f"{v} AS {k}" for k, v in extract_sql("text").items()) + " FROM msgs")
 def regex_extract_record(spark, sf_dir):
     m = messages(spark, sf_dir)
-    rec = ex.extract_record(F.col("text"))
-    d = m.select(F.col("msg_id").alias("listing_id"), *[v.alias(k) for k, v in rec.items()])
+    d = ex.with_record(m.select(F.col("msg_id").alias("listing_id"), "text"), "text").drop("text")
     return shape(d, as_double=EXTRACT_INT_COLS)
 
 

@@ -112,9 +112,8 @@ def test_owner_and_negotiable_quirks(spark):
 
 
 def test_amenities_and_lock_in(spark):
-    rec = ex.extract_record(F.col("t"))
     df = spark.createDataFrame([("lifting weights, gym, 24/7 security, lock-in: 2 years, pure veg",)], "t string")
-    r = df.select(*[v.alias(k) for k, v in rec.items()]).first()
+    r = ex.with_record(df, "t").first()
     assert r.amenities_json == '["gym", "lift", "security"]'
     assert (r.lock_in_months, r.veg_only, r.n_amenities) == (24, 1, 3)
 
