@@ -36,6 +36,8 @@ POSITION_BITS = 24
 BLOCK = 1 << 22
 #: Distinct stretches of one anchor from which its windows are hashed instead.
 HOT_STRETCHES = 20_000
+#: A stretch's start and its number of windows travel as one number; it has fewer windows than this.
+WINDOWS = 1 << 12
 
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << POSITION_BITS) - 1)
@@ -99,7 +101,7 @@ def _pieces(ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple[l
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """Stretches (h, sig, doc, at, more): ``at`` is start * 128 + windows. Of equal stretches in the same
+    """Stretches (h, sig, doc, at, more): ``at`` is start * WINDOWS + windows. Of equal stretches in the same
     piece of a batch only the earliest is a row; the others are known repeats and travel packed, one row
     per text with a hash of its key for ``h`` and their ``at`` in ``more``, so a common passage makes no
     partition heavier."""
@@ -119,7 +121,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                     order = np.lexsort((start, doc, sig, h))
                     same = np.r_[False, (h[order][1:] == h[order][:-1]) & (sig[order][1:] == sig[order][:-1])]
                     first = np.sort(order[~same])  # in text order again, which compresses better
-                    at = start * 128 + windows
+                    at = start * WINDOWS + windows
                     out["h"].append(h[first].view(np.int64))
                     out["sig"].append(sig[first].view(np.int64))
                     out["doc"].append(doc[first])
@@ -173,7 +175,7 @@ def meet(met: DataFrame) -> DataFrame:
             if not len(h):
                 if len(known_doc):
                     yield (np.full(len(known_doc), REPEAT, np.int32), np.zeros(len(known_doc), np.int64), known_doc,
-                           known_at // 128, known_at % 128)
+                           known_at // WINDOWS, known_at % WINDOWS)
                 continue
             prev_h, prev_sig = (np.r_[x[:1] if last is None else [last[i]], x[:-1]] for i, x in ((0, h), (1, sig)))
             new_h = h != prev_h
@@ -205,7 +207,7 @@ def meet(met: DataFrame) -> DataFrame:
             if n + m:
                 at_all = np.r_[at_r, at_o]
                 yield (np.r_[np.full(n, REPEAT), np.full(m, OPEN)].astype(np.int32), np.r_[np.zeros(n, np.int64), h_o],
-                       np.r_[doc_r, doc_o], at_all // 128, at_all % 128)
+                       np.r_[doc_r, doc_o], at_all // WINDOWS, at_all % WINDOWS)
 
     return _over(met.repartition("h").sortWithinPartitions("h", "sig", "doc", "at"), rows, struct_of(*FOUND))
 
@@ -383,8 +385,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT_STRETCHES)
     doc_id and text are one document and get equal results; rows that repeat a doc_id with another text
     are documents of their own (see ``keyed``). An empty table gives an empty result.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be at least {GRAM}")
+    if not GRAM <= length < WINDOWS:
+        raise ValueError(f"length must be from {GRAM} to {WINDOWS - 1}")
     rows, one = keyed(docs)
     spans = materialize(repeated_spans(one, length, hot))
     per_doc = spans.groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("start", "end")).alias("cut"))

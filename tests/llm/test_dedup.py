@@ -151,3 +151,16 @@ def test_empty_tables(spark):
     assert exact.exact_groups(none).count() == 0 and exact.exact_dedup(none).columns == none.columns
     assert simhash.near_duplicates(none).count() == 0 and simhash.near_dedup(none).columns == none.columns
     assert rindex.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("length", [159, 200])
+def test_repeats_of_long_strings(spark, length):
+    """Stretches of more than 128 windows."""
+    import random
+    rng = random.Random(length)
+    base = ["".join(rng.choices("abcdefg ", k=n)) for n in (700, 450, 300, length, length - 1)]
+    made = [(k, "".join(rng.choice([b, b[: rng.randint(1, len(b))], "x" * rng.randint(0, 9)]) for b in rng.choices(base, k=4))) for k in range(25)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3)
+    assert set(helpers.rows(rindex.span_digest(rindex.remove_repeats(df, length)), *REPEATS)) == helpers.repeats(made, length)
+    with pytest.raises(ValueError):
+        rindex.remove_repeats(df, rindex.WINDOWS)
