@@ -85,7 +85,7 @@ def scorecard(labels: DataFrame, extractions: DataFrame) -> DataFrame:
     agg = j.groupBy(*keys).agg(version.alias("extractor_version"), F.count(F.lit(1)).alias("n_examples"),
                                *hits, (F.avg("cost_usd") * 1000).alias("cost_per_1k_usd"))
     agg = agg.withColumn("macro_accuracy", sum(F.col(f"acc_{f}") for f in FIELDS) / len(FIELDS))
-    lat = stats.group_quantiles(j, keys, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95},
+    lat = stats.group_quantiles(materialize(j.select(*keys, "latency_ms")), keys, "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95},
                                 median_as_mean=False)
     return agg.join(lat, keys, "left")
 

@@ -133,7 +133,7 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
 def conformal_bounds(oof: DataFrame, scored: DataFrame, lo: float = 0.10, hi: float = 0.90) -> DataFrame:
     """Split-conformal bounds from out-of-fold log residuals, per locality
     with a global fallback (exact quantiles); a deal is actual < p10."""
-    res = oof.withColumn("_r", F.col("log_rent") - F.col("pred_log"))
+    res = materialize(oof.select("locality_norm", (F.col("log_rent") - F.col("pred_log")).alias("_r")))
     per = stats.group_quantiles(res, ["locality_norm"], "_r", {"_qlo": lo, "_qhi": hi}, median_as_mean=False)
     glob = stats.global_quantiles(res, "_r", {"_glo": lo, "_ghi": hi})
     j = stats._join_on_keys(scored, per, ["locality_norm"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentlens.functions import geo, text as tx
 from rentlens.operators import stats
+from rentlens.session import materialize
 from rentlens.sources import dims
 
 # FIXED VALUES: domain filter bounds, deal threshold, plausibility floor,
@@ -67,7 +68,7 @@ def scorable(listings: DataFrame) -> DataFrame:
 def with_localities(listings: DataFrame, localities: DataFrame) -> DataFrame:
     """Left join on locality_norm; the dimension is a fixed small table."""
     loc = localities.select("locality_norm", *GEO_COLS)
-    return listings.join(loc, "locality_norm", "left")
+    return listings.join(F.broadcast(loc), "locality_norm", "left")
 
 
 def in_domain(df: DataFrame) -> DataFrame:
@@ -84,6 +85,10 @@ def _with_bases(df: DataFrame) -> DataFrame:
               .withColumn("_ratio", F.col("deposit") / F.col("rent_monthly")))
 
 
+#: What ``stacked`` reads; ranking passes read it from a written table, not from the joins behind the listings.
+BASES = ["locality_norm", "_bhk_int", "_rps", "_ratio"]
+
+
 def stacked(d: DataFrame, *extra: str) -> DataFrame:
     """Every value that a prior needs, so that one ranking pass serves all of them.
 
@@ -122,7 +127,7 @@ def with_priors(df: DataFrame, with_ratio: bool = False) -> DataFrame:
     """
     d = _with_bases(df)
     # one row per group (written by order_stats), shared by four consumers
-    st = stats.order_stats(stacked(d), GROUPING, "_v")
+    st = stats.order_stats(stacked(materialize(d.select(*BASES))), GROUPING, "_v")
     glob = st.where(F.col("_g").isin(0, 3)).groupBy().agg(
         F.max(F.when(F.col("_g") == 0, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_gmed"),
         F.max(F.when(F.col("_g") == 3, stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")))).alias("_rmed"))
@@ -179,13 +184,13 @@ def build_features(df: DataFrame, priors=with_priors) -> DataFrame:
           .withColumn("total_floors", F.coalesce(F.col("total_floors").cast("double"), F.lit(-1.0)))
           .withColumn("floor_ratio", F.when(F.col("total_floors") > 0, F.col("floor_num") / F.col("total_floors"))
                       .otherwise(F.lit(-1.0))))
-    ptype = F.lower(F.coalesce(F.col("property_type"), F.lit("unknown")))
-    furn = tx.furnishing_category(F.col("furnishing"))
-    src = tx.source_bucket(F.col("source"))
-    onehots = ([(furn == c).cast("int").alias(f"furn_{c}") for c in FURNISHING_CATS]
-               + [(src == c).cast("int").alias(f"src_{c}") for c in SOURCE_CATS]
-               + [(ptype == c).cast("int").alias(f"ptype_{c}") for c in PROPERTY_TYPES])
-    return d.select("*", *onehots, F.log("rent_monthly").alias("log_rent"))
+    # categories in a projection of their own: each is worked out once a row and then compared
+    d = d.select("*", tx.furnishing_category(F.col("furnishing")).alias("_furn"), tx.source_bucket(F.col("source")).alias("_src"),
+                 F.lower(F.coalesce(F.col("property_type"), F.lit("unknown"))).alias("_ptype"))
+    onehots = ([(F.col("_furn") == c).cast("int").alias(f"furn_{c}") for c in FURNISHING_CATS]
+               + [(F.col("_src") == c).cast("int").alias(f"src_{c}") for c in SOURCE_CATS]
+               + [(F.col("_ptype") == c).cast("int").alias(f"ptype_{c}") for c in PROPERTY_TYPES])
+    return d.select("*", *onehots, F.log("rent_monthly").alias("log_rent")).drop("_furn", "_src", "_ptype")
 
 
 def score(df: DataFrame, predicted: str = "predicted_rent", actual: str = "rent_monthly") -> DataFrame:

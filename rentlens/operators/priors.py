@@ -24,7 +24,7 @@ class LocalityPriors(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     domain of the training filter. An empty frame gives a model whose priors are NULL."""
 
     def _fit(self, dataset: DataFrame) -> LocalityPriorsModel:
-        rows = pr.stacked(pr._with_bases(pr.in_domain(pr.scorable(dataset))))
+        rows = pr.stacked(materialize(pr._with_bases(pr.in_domain(pr.scorable(dataset))).select(*pr.BASES)))
         st = stats.order_stats(rows, pr.GROUPING, "_v")
         medians = st.select(F.col("_g").alias("grouping"), F.col("_loc").alias("locality_norm"), F.col("_bhk").alias("bhk_int"),
                             stats.median_of(F.col("_a"), F.col("_b"), F.col("_n")).alias("median"), F.col("_n").alias("n"))

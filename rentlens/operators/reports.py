@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rentlens.functions import text as tx
 from rentlens.operators import stats
+from rentlens.session import materialize
 
 # FIXED VALUES: histogram bucket edges and labels, board defaults.
 RENT_BUCKETS: list[tuple[float, str]] = [
@@ -38,7 +39,7 @@ def export_frame(listings: DataFrame, predictions: DataFrame, localities: DataFr
     base = listings.where(F.col("rent_monthly").isNotNull() & F.col("area_sqft").isNotNull()
                           & F.col("bhk").isNotNull())
     j = (base.join(preds, "listing_id", "left")
-             .join(localities.select("locality_norm", *EXPORT_GEO), "locality_norm", "left"))
+             .join(F.broadcast(localities.select("locality_norm", *EXPORT_GEO)), "locality_norm", "left"))
     return (j.withColumn("rent_per_sqft", F.col("rent_monthly") / F.col("area_sqft"))
              .withColumn("save_pct", F.rint(F.col("value_score") * 100 * 10) / 10)
              .withColumn("deposit_to_rent", F.rint(F.col("deposit") / F.col("rent_monthly") * 100) / 100)
@@ -51,7 +52,8 @@ def medians(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFra
     """Exact medians of several columns per group in one ranking pass.
 
     ``cols`` maps output name -> input column. Groups keep NULL keys; a metric
-    with no non-NULL value in a group comes back NULL.
+    with no non-NULL value in a group comes back NULL. ``df`` is read twice: pass a
+    written table of the columns, not the joins behind an export.
     """
     keys = list(keys)
     entries = F.array(*[F.struct(F.lit(name).alias("m"), F.col(c).cast("double").alias("v"))
@@ -72,6 +74,7 @@ def locality_rollup(export: DataFrame, localities: DataFrame) -> DataFrame:
     """Per locality (NULL key kept): counts, medians, deal count; then
     the localities attributes (left merge)."""
     keys = ["locality_norm"]
+    export = materialize(export.select(*keys, "rent_monthly", "rent_per_sqft", "save_pct", "is_deal"))
     counts = export.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_listings"),
         F.coalesce(F.sum("is_deal"), F.lit(0)).cast("double").alias("n_deals"))
@@ -84,6 +87,7 @@ def locality_rollup(export: DataFrame, localities: DataFrame) -> DataFrame:
 def bi_measures(export: DataFrame) -> DataFrame:
     """Total Listings, Total Deals, Deal Rate %, Median Rent, Median Save %
     on Deals, Avg Rent per Sqft (divide-by-zero gives 0)."""
+    export = materialize(export.select("rent_monthly", "rent_per_sqft", "save_pct", "is_deal"))
     base = export.agg(F.count(F.lit(1)).alias("total_listings"),
                       F.count(F.when(F.col("is_deal") == 1, 1)).alias("total_deals"),
                       F.avg("rent_per_sqft").alias("avg_rent_per_sqft")).withColumn("_k", F.lit(0))
@@ -111,7 +115,7 @@ def rent_histogram(export: DataFrame) -> DataFrame:
 def locality_bhk_pivot(export: DataFrame, row_key: str = "locality_norm") -> DataFrame:
     """The pivot's cells, one row per (row key, bhk) with its median rent,
     for every bhk that the data has."""
-    return medians(export, [row_key, "bhk"], {"median_rent": "rent_monthly"})
+    return medians(materialize(export.select(row_key, "bhk", "rent_monthly")), [row_key, "bhk"], {"median_rent": "rent_monthly"})
 
 
 def property_mix(export: DataFrame) -> DataFrame:
@@ -143,7 +147,7 @@ def board_filter(board: DataFrame, localities=None, bhk=None, rent_range=(3000,
 
 def board_kpis(filtered: DataFrame) -> DataFrame:
     """Listings, median saving %, median rent of the filtered board."""
-    d = filtered.withColumn("_k", F.lit(0)).withColumn("_save", F.col("value_score") * 100)
+    d = materialize(filtered.select("rent_monthly", (F.col("value_score") * 100).alias("_save"))).withColumn("_k", F.lit(0))
     cnt = d.agg(F.count(F.lit(1)).alias("n_listings")).withColumn("_k", F.lit(0))  # one row, also for an empty board
     med = medians(d, ["_k"], {"median_saving_pct": "_save", "median_rent": "rent_monthly"})
     return cnt.join(med, "_k", "left").drop("_k")
@@ -209,7 +213,7 @@ def locality_feeds(rollup: DataFrame) -> DataFrame:
 def station_feeds(export: DataFrame) -> DataFrame:
     """G12 by station: listings, deals and median rent per square foot of the listings nearest to it."""
     key = ["nearest_metro_station"]
-    d = export.where(F.col(key[0]).isNotNull())
+    d = materialize(export.where(F.col(key[0]).isNotNull()).select(*key, "rent_per_sqft", "is_deal"))
     counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n_listings"), F.coalesce(F.sum("is_deal"), F.lit(0)).cast("double").alias("n_deals"))
     return _join_null_safe(counts, medians(d, key, {"median_rent_per_sqft": "rent_per_sqft"}), key)
 

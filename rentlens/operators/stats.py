@@ -1,10 +1,11 @@
 """Exact order statistics that stay distributed when one group is huge.
 
-No row is ranked: ``value_at_ranks`` first counts equal (group, value) rows,
-which combines map-side and so splits any tie, cuts the distinct values into
-sorted slices by range (a group holding a third of the data spans many), finds
-from the slice totals which slices hold a wanted rank, and adds up counts
-inside those slices only.
+No row is ranked: ``value_at_ranks`` first counts rows by group and step (1 %
+of the value), which combines map-side to a few hundred rows per group, and
+keeps the rows of the steps that hold a wanted rank, a hundredth of the data or
+so. Those are counted by value, which splits any tie, and cut into sorted slices
+by range (a step holding a third of the data spans many); the slice totals tell
+which slices hold a wanted rank, and counts are added up inside those only.
 
   * ``group_quantiles``  exact interpolated quantiles (median, p50/p95 ...)
   * ``loo_median``       leave-one-out median per group in closed form: only
@@ -35,28 +36,45 @@ def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _step(v: Column) -> Column:
+    """A whole number that never falls where ``v`` rises: steps of 1 %, for values near 0 of about 1e-8; NaN last."""
+    d = v.cast("double")
+    return F.when(F.isnan(d), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(d) * F.log1p(F.abs(d) * 1e6) * 92))
+
+
 def value_at_ranks(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, Column],
                    size_col: str = "_n") -> DataFrame:
     """Per group, its size and the value at each wanted rank (a Column of ``size_col``, from 1), written.
 
-    NULL values are not counted. A group and value shared by any share of the
-    rows is one counted row; slices are cut from distinct values.
+    NULL values are not counted. ``df`` is read twice (write it first if it is dear): once to count rows by group and
+    step, once for the rows of the steps that hold a wanted rank. Of those, a group and value shared by any share of
+    the rows is one counted row, and slices are cut from distinct values, however many lie in one step.
     """
     keys = list(keys)
-    key_cols = [F.col(k) for k in keys]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    s = materialize(counted.repartitionByRange(*key_cols, "_v").withColumn("_pid", F.spark_partition_id()))
-    part = Window.partitionBy(*key_cols)
-    before = part.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per slice and group
-    seg = (s.groupBy("_pid", *keys).agg(F.sum("_w").alias("_cnt"))
-           .withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).withColumn(size_col, F.sum("_cnt").over(part)))
-    inside = None
-    for w in wanted.values():
-        hit = (w > F.col("_off")) & (w <= F.col("_off") + F.col("_cnt"))
-        inside = hit if inside is None else inside | hit
-    near = _join_on_keys(s, seg.where(inside).drop("_cnt"), ["_pid", *keys])
-    upto = F.sum("_w").over(Window.partitionBy("_pid", *key_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), _step(F.col(value)).alias("_b"))
+
+    def holding(seg: DataFrame) -> DataFrame:
+        inside = F.lit(False)
+        for w in wanted.values():
+            inside = inside | ((w > F.col("_off")) & (w <= F.col("_off") + F.col("_cnt")))
+        return seg.where(inside).drop("_cnt")
+
+    def before(by: list[str], step: str):
+        return Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+
+    # one row per group and step, however many rows there are
+    steps = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    steps = (steps.withColumn("_off", F.coalesce(F.sum("_cnt").over(before(keys, "_b")), F.lit(0)))
+             .withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*keys))))
+    near = _join_on_keys(rows, materialize(holding(steps)), [*keys, "_b"])
+    by = [*keys, "_b"]
+    counted = near.groupBy(*by, "_v", "_off", size_col).agg(F.count(F.lit(1)).alias("_w"))
+    s = materialize(counted.repartitionByRange(*[F.col(k) for k in by], "_v").withColumn("_pid", F.spark_partition_id()))
+    # one row per slice, group and step
+    seg = (s.groupBy("_pid", *by).agg(F.sum("_w").alias("_cnt"), F.max("_off").alias("_start"), F.max(size_col).alias(size_col))
+           .withColumn("_off", F.col("_start") + F.coalesce(F.sum("_cnt").over(before(by, "_pid")), F.lit(0))).drop("_start"))
+    near = _join_on_keys(s.drop("_off", size_col), holding(seg), ["_pid", *by])
+    upto = F.sum("_w").over(Window.partitionBy("_pid", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("_hi", F.col("_off") + upto)
     at = lambda w: (w <= F.col("_hi")) & (w > F.col("_hi") - F.col("_w"))
     aggs = [F.max(F.when(at(w), F.col("_v"))).alias(name) for name, w in wanted.items()]

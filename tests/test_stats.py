@@ -90,3 +90,40 @@ def test_merged_sketches_keep_the_rank_bound(spark):
                 # one-sided bound at 99 %; three sigma of the same error are about 1.3 times it
                 assert below - 1.5 * sketches.rank_error(200) <= p <= upto + 1.5 * sketches.rank_error(200)
     assert sketches.quantiles(stored, ["g"], probs, 100, 200).collect() == []
+
+
+def test_ranks_among_extreme_values(spark):
+    """Values of one step, on both sides of 0, infinite and not a number; the rows that are counted by value are a small
+    share of a spread-out group."""
+    inf, nan = float("inf"), float("nan")
+    groups = {"tiny": [1e-9 * i for i in range(50)], "signs": [-5.0, -1e-3, -0.0, 0.0, 1e-3, 5.0], "ends": [-inf, -1.0, 2.0, inf, nan],
+              "tied": [7.0] * 40 + [7.0000001], "one": [3.5]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("none", None)], "g string, v double")
+    got = {r.g: r for r in stats.order_stats(df, ["g"], "v").collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (v != v, v))
+        at = lambda k: vs[k - 1] if 1 <= k <= len(vs) else None  # noqa: E731, B023
+        h, r = len(vs) // 2, got[g]
+        assert r["_n"] == len(vs)
+        assert all(a == b or a != a and b != b for a, b in zip((r["_a"], r["_b"], r["_c"]), (at(h), at(h + 1), at(h + 2)))), (g, r)
+
+
+def test_only_rows_near_the_ranks_are_sorted(spark, monkeypatch):
+    written, write = [], stats.materialize
+
+    def spy(df):
+        written.append(write(df))
+        return written[-1]
+    monkeypatch.setattr(stats, "materialize", spy)
+    df = spark.range(20000).selectExpr("id % 2 AS g", "CAST(12 + (id * 7919 % 20000) / 150 AS double) AS v")
+    assert {r.g: r.m for r in stats.group_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}.keys() == {0, 1}
+    assert max(t.count() for t in written) < 1000   # was every distinct value of every group
+
+
+def test_seeded_localities_shuffle_no_listing(spark):
+    """The localities dimension is broadcast: the joins with it do not send the listings by locality."""
+    from rentlens.operators import pricing as pr
+    rows = spark.range(50).selectExpr("CAST(id AS string) AS listing_id", "'hebbal' AS locality_norm")
+    plan = pr.with_localities(rows, pr.localities_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan or "strategy=broadcast" in plan
