@@ -213,3 +213,14 @@ def test_guarded_patterns_match_like_unguarded(spark):
     assert wrong.collect() == []
     hits = spark.createDataFrame([(x,) for x in phrases], "t string").select(*[F.max(tx.has(t, *need) & t.rlike(tx.cf(p))) for p, need in rules]).first()
     assert all(hits)
+
+
+def test_strip_equals_python(spark):
+    from pyspark.sql import functions as F
+
+    from rentlens.functions import text as tx
+    assert set(tx.WS_LITERAL) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    texts = ["", " ", "a", *(f"{c}x {c}y\n{c}" for c in tx.WS_LITERAL), "​x ", "\n\r\n a₹ 　\u0085"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.strip(F.col("t")).alias("s"))
+    assert all(r.s == r.t.strip() for r in df.collect())
+    assert "regexp" not in df._jdf.queryExecution().analyzed().toString()   # a pattern was tried at every blank of the text
