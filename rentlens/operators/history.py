@@ -40,7 +40,8 @@ def _with_previous(s: DataFrame, keys: list[str], ts: str, tie: str, cols: list[
     last = s.groupBy("_pid", *keys).agg(F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_last"))
     before = Window.partitionBy(*keys).orderBy("_pid")   # at most one row per slice
     edge = last.withColumn("_edge", F.lag("_last").over(before)).where("_edge IS NOT NULL").withColumn("_nth", F.lit(1))
-    j = _join_on_keys(inside, edge.select("_pid", *keys, "_nth", "_edge"), ["_pid", *keys, "_nth"], "left")
+    # slices are sorted by key, so at most one key goes on from a slice into the next: one row per slice
+    j = _join_on_keys(inside, F.broadcast(edge.select("_pid", *keys, "_nth", "_edge")), ["_pid", *keys, "_nth"], "left")
     return j.withColumn("_prev", F.coalesce("_edge", "_in")).drop("_edge", "_in", "_nth")
 
 

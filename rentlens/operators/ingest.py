@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from contextlib import nullcontext
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rentlens.functions import text as tx
 from rentlens.session import materialize
@@ -29,20 +29,42 @@ def listing_id_of(dedup_key: Column) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row per key under ``order`` (first arrival wins)."""
+    """The first row per key under ``order`` (first arrival wins).
+
+    A row travels once, its order columns in front: the smallest of them is the first row.
+    """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    by = df.select(*order).columns
+    if not set(by) <= set(rest) or any(isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) for c in rest):
+        picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    else:
+        picked = df.groupBy(*keys).agg(F.min(F.struct(*by, *[c for c in rest if c not in by])).alias("_first"))
     return picked.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
+def _packed(c: Column) -> Column:
+    """A text as bytes, lower-case hex digits (a hash) as half as many; ``_unpacked`` gives it back. Differs wherever the texts do."""
+    raw = F.unhex(c)
+    return F.when(F.lower(F.hex(raw)) == c, F.concat(F.lit(b"\x01"), raw)).otherwise(F.concat(F.lit(b"\x00"), c.cast("binary")))
+
+
+def _unpacked(c: Column) -> Column:
+    rest = F.substring(c, 2, 2**31 - 1)
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def insert_if_absent(history: DataFrame | None, batch: DataFrame, keys: Sequence[str],
                      order: Sequence[Column]) -> DataFrame:
-    """K1: rows of ``batch`` whose key is new, first arrival per key."""
-    first = first_per_key(batch, keys, order)
-    if history is None:
-        return first
-    return first.join(history.select(*keys).distinct(), list(keys), "left_anti")
+    """K1: rows of ``batch`` whose key is new, first arrival per key. Text keys travel packed; a history that holds a
+    key twice leaves it out once, so it is not made distinct first."""
+    keys = list(keys)
+    text = [k for k in keys if batch.schema[k].dataType.typeName() == "string"]
+    pack = {k: _packed(F.col(k)) for k in text}
+    first = first_per_key(batch.withColumns(pack), keys, order)
+    if history is not None:
+        first = first.join(history.select(*keys).withColumns(pack), keys, "left_anti")
+    return first.withColumns({k: _unpacked(F.col(k)) for k in text})
 
 
 def with_dedup_key(df: DataFrame) -> DataFrame:
@@ -132,10 +154,12 @@ def repeat_spans(batch: DataFrame, inserted: DataFrame, known: DataFrame, run_id
     """
     from rentlens.operators.history import sighting_spans
     repeats = batch.join(inserted.select(F.col("raw_id").alias("_in")), F.col("raw_id") == F.col("_in"), "left_anti")
+    repeats = repeats.withColumn("content_hash", _packed(F.col("content_hash")))
     spans = sighting_spans(repeats, list(DEDUP_KEYS), "observed_at", "raw_id", [], max_gap_days)
-    k = known.toDF("_source", "_hash", "listing_id")
+    k = known.toDF("_source", "_hash", "listing_id").withColumn("_hash", _packed(F.col("_hash")))
     spans = spans.join(k, F.col("source").eqNullSafe(F.col("_source")) & F.col("content_hash").eqNullSafe(F.col("_hash")))
-    return spans.select(F.lit(run_id).alias("run_id"), "listing_id", "content_hash", "first_at", "last_at", "n")
+    return spans.select(F.lit(run_id).alias("run_id"), "listing_id", _unpacked(F.col("content_hash")).alias("content_hash"),
+                        "first_at", "last_at", "n")
 
 
 def ingest_runs(raw: DataFrame, runs: Sequence, run_col: str, order: Sequence[Column], ledger=None,

@@ -96,3 +96,23 @@ def test_hot_key_matches_run_by_run_brute_force(spark):
     assert got == {k: tuple(v) for k, v in want.items()}
     hot_key = max(want, key=lambda k: sum(1 for r in rows if keyed[r[0]] == k))
     assert sum(1 for r in rows if keyed[r[0]] == hot_key) >= 1000
+
+
+def test_packed_keys_come_back(spark):
+    """Hashes and any other texts, also those that look alike once packed."""
+    texts = ["ab12", "AB12", "", "abc", "0" * 64, "f" * 64, "₹ x", "\x01ab", "zz", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.u, bytes(r.p) if r.p is not None else None) for r in
+           df.select("i", ingest._packed(F.col("t")).alias("p")).withColumn("u", ingest._unpacked(F.col("p"))).collect()}
+    assert [got[i][0] for i in range(len(texts))] == texts
+    assert len({p for _, p in got.values()}) == len(texts) and len(got[4][1]) == 33
+
+
+def test_first_row_travels_once(spark):
+    """The order columns are not sent beside the row that holds them, and a hash is sent as its bytes."""
+    raw = _raw(spark)
+    plan = ingest.insert_if_absent(None, raw, ingest.DEDUP_KEYS, _order())._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "unhex" in plan
+    hist = raw.where("run = 1").select("source", "content_hash")
+    got = ingest.insert_if_absent(hist.unionAll(hist), raw, ingest.DEDUP_KEYS, _order())
+    assert sorted((r.source, r.content_hash, r.raw_id) for r in got.collect()) == [("nobroker", "h5", "r5"), ("nobroker", "h6", "r6")]
