@@ -62,9 +62,11 @@ def words_of(text: str) -> set[str]:
     """Distinct lower-cased words between white space, without the punctuation around them; runs of
     single characters count as one more word (``i d i o t``)."""
     text = text.lower()
-    out = set(text.split())
-    for run in _SPACED.finditer(text):
-        out.add("".join(run[0].split()))
+    words = text.split()
+    out = set(words)
+    if b"\1\1\1" in bytes([len(w) == 1 for w in words]):  # no run without three single characters in a row
+        for run in _SPACED.finditer(text):
+            out.add("".join(run[0].split()))
     return out
 
 
@@ -76,28 +78,38 @@ def sequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, code, weight) of every letter sequence of every word, repeats included."""
     text = START + (GAP + START).join(words) + GAP
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], 27 + points % 4)
+    codes = CODES[np.minimum(points, len(CODES) - 1)]
+    far = points >= len(CODES)
+    codes[far] = 27 + points[far] % 4
     codes[points == 0] = 0
     codes[points == 1] = START_CODE
     which = np.repeat(np.arange(len(words)), [len(w) + len(GAP) + 1 for w in words])
     ids, found, weights = [], [], []
     n = len(codes) - 4
+    letter = codes > 0
+    first, second = codes[:n] << 10, codes << 5
     for a, b, skipped in SPANS:
-        x, y, z = codes[:n], codes[a:n + a], codes[b:n + b]
-        at = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
+        at = np.flatnonzero(letter[:n] & letter[a:n + a] & letter[b:n + b])
         ids.append(which[at])
-        found.append(x[at] << 10 | y[at] << 5 | z[at])
+        found.append(first[at] | second[at + a] | codes[at + b])
         weights.append(np.full(len(at), DECAY ** skipped))
     return np.concatenate(ids), np.concatenate(found), np.concatenate(weights)
 
 
 def embed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, code, value) with one row per distinct sequence of a word, of unit length per word."""
-    ids, codes, weights = sequences(words)
-    key, inverse = np.unique(ids << 15 | codes, return_inverse=True)
-    value = np.bincount(inverse, weights, minlength=len(key))
-    ids, codes = key >> 15, key & 32767
-    norm = np.sqrt(np.bincount(ids, value * value, minlength=len(words)))
+    return _unit(*sequences(words), len(words))
+
+
+def _unit(ids: np.ndarray, codes: np.ndarray, weights: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences as ``embed`` returns them. A weight is a power of DECAY, packed below the key for a plain sort."""
+    skips = np.round(np.log2(weights) / np.log2(DECAY)).astype(np.int64)
+    packed = np.sort(ids << 17 | codes << 2 | skips)
+    key, weights = packed >> 2, DECAY ** (packed & 3)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[:len(key)]
+    value = np.add.reduceat(weights, starts) if len(key) else weights
+    ids, codes = key[starts] >> 15, key[starts] & 32767
+    norm = np.sqrt(np.bincount(ids, value * value, minlength=n_words))
     return ids, codes, value / norm[ids]
 
 
@@ -110,6 +122,11 @@ class Landmarks:
         ids, codes, value = embed(words)
         self.table[codes, ids] = value
         self.largest = self.table.max(axis=1) if words else np.zeros(1 << 15)
+        # the landmarks that hold a sequence, sequence by sequence: few hold any one
+        at, self.holders = np.nonzero(self.table)
+        self.held = self.table[at, self.holders]
+        self.counts = np.bincount(at, minlength=1 << 15)
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words that are like any landmark, their similarities above FLOOR, one row each)."""
@@ -121,12 +138,21 @@ class Landmarks:
         maybe = np.flatnonzero(most > FLOOR * np.maximum(least, 1e-9))
         if not len(maybe):
             return maybe, np.zeros((0, len(self.words)))
-        ids, codes, value = embed([words[i] for i in maybe])
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        near = np.add.reduceat(value[:, None] * self.table[codes], starts)
+        place = np.full(n, -1)
+        place[maybe] = np.arange(len(maybe))
+        ids = place[ids]
+        inside = ids >= 0
+        ids, codes, value = _unit(ids[inside], codes[inside], weights[inside], len(maybe))
+        shared = self.counts[codes] > 0
+        ids, codes, value = ids[shared], codes[shared], value[shared]
+        times = self.counts[codes]
+        at = np.repeat(self.starts[codes] - (np.cumsum(times) - times), times)
+        at += np.arange(len(at))
+        near = np.bincount(np.repeat(ids * len(self.words), times) + self.holders[at], np.repeat(value, times) * self.held[at],
+                           minlength=len(maybe) * len(self.words)).reshape(len(maybe), -1)
         near = np.maximum(near - FLOOR, 0) / (1 - FLOOR)
         some = near.max(axis=1) > 0
-        return maybe[ids[starts]][some], near[some]
+        return maybe[some], near[some]
 
 
 class Similarities:
@@ -134,31 +160,46 @@ class Similarities:
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.zeros((1 << 10, len(self.landmarks.words)))
+        self.n_rows = 0
+
+    def keep(self, rows: np.ndarray) -> int:
+        """Appends rows; the number of the first."""
+        first, self.n_rows = self.n_rows, self.n_rows + len(rows)
+        if self.n_rows > len(self.rows):
+            grown = np.zeros((max(self.n_rows, 2 * len(self.rows)), self.rows.shape[1]))
+            grown[:first] = self.rows[:first]
+            self.rows = grown
+        self.rows[first:self.n_rows] = rows
+        return first
 
     def of(self, texts: list[str]) -> np.ndarray:
         sets = [words_of(t) for t in texts]
         if len(self.known) > KNOWN_WORDS:
-            self.known, self.rows = {}, []
+            self.forget()
         known = self.known
         new = list(set().union(*(s.difference(known) for s in sets)))
         pieces = [(p, n) for n, w in enumerate(new) for p in _pieces(w)]
         known.update(dict.fromkeys(new, -1))
         for at in range(0, len(pieces), 20_000):
             some = pieces[at:at + 20_000]
-            for i, row in zip(*self.landmarks.kernel([p for p, _ in some])):
+            which, near = self.landmarks.kernel([p for p, _ in some])
+            first = self.keep(near)
+            for k, i in enumerate(which.tolist(), first):
                 w = new[some[i][1]]
                 if known[w] < 0:
-                    known[w] = len(self.rows)
-                    self.rows.append(row)
-                else:
-                    self.rows[known[w]] = np.maximum(self.rows[known[w]], row)
+                    known[w] = k
+                else:  # a further piece of a long word
+                    self.rows[known[w]] = np.maximum(self.rows[known[w]], self.rows[k])
         out = np.zeros((len(texts), POOLS, len(self.landmarks.words)))
         for n, s in enumerate(sets):
-            hits = sorted(k for k in map(known.__getitem__, s) if k >= 0)
+            hits = [k for k in map(known.__getitem__, s) if k >= 0]
             if hits:
-                found = np.array([self.rows[k] for k in hits])
+                found = self.rows[hits]
                 total = np.sort(found, axis=0).sum(axis=0)  # the same sum in whatever order words were met
                 out[n] = found.max(axis=0), np.log1p(total), total / np.sqrt(len(s))
         return out.reshape(len(texts), -1)

@@ -40,6 +40,25 @@ def test_string_kernel_equals_its_definition():
     assert full[0, 1] > 0 and full[0, 2] > 0.1 and full[0, 3] > 0.99 and full[0, 4] == 0
 
 
+def test_kernel_reads_only_the_landmarks_that_hold_a_sequence():
+    """The same similarities without the dense table, for words that share nothing, something or everything."""
+    marks = toxicity.Landmarks(["idiot", "harbour", "aaaa", "stupid"])
+    words = ["idiot", "zzzz", "id1otic", "", "\0\1", "harbours", "aaaaaaaaa", "sstupidd", "é漢字"] + [f"word{n}" for n in range(300)]
+    ids, codes, value = toxicity.embed(words)
+    full = np.zeros((len(words), 4))
+    np.add.at(full, ids, value[:, None] * marks.table[codes])
+    full = np.maximum(full - toxicity.FLOOR, 0) / (1 - toxicity.FLOOR)
+    marks.table = None
+    at, got = marks.kernel(words)
+    assert at.tolist() == np.flatnonzero(full.max(axis=1)).tolist() and np.allclose(got, full[at])
+
+
+def test_runs_of_single_characters_are_words():
+    for text, run in (("a b c", "abc"), ("x i\td\ni o t y z", "xidiotyz"), ("an i d i", "idi")):
+        assert run in toxicity.words_of(text)
+    assert toxicity.words_of("a b cc d e") == {"a", "b", "cc", "d", "e"} == toxicity.words_of("a  b cc d  e")
+
+
 def toxic_rows():
     calm = "the ship left the harbour in the morning and the crew sang about the weather and the sea".split()
     out = []
