@@ -45,6 +45,10 @@ FAN, BLOCK = 16, 1 << 16
 GROUP_CHARS = 1 << 18
 #: Runs of white space on which tiktoken's pattern engine may give up.
 LONG_BLANK = re.compile(r"\s{10000}")
+#: The pattern of the plain byte-level pre-tokenizer.
+GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A task forgets the words whose ids it knows when they are so many, or hold so many characters.
+KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 1 << 22
 #: A task forgets the pairs that it has handed on when they are so many (they may then be handed on again).
 SEEN_PAIRS = 1 << 22
 #: Bits of the hash's first level for each pair of a bucket.
@@ -59,6 +63,10 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 class Tokenizer:
     """Ids of texts, and the bytes that every id stands for."""
 
+    #: Whether no token crosses a space between two characters that are neither white space nor "▁", and what stands
+    #: on its other side changes no token: then a text's tokens are those of its stretches between such spaces.
+    by_words = False
+
     def __init__(self, raw: list[bytes]):
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.sizes = np.array([len(x) for x in raw], np.int64)
@@ -72,11 +80,90 @@ class Tokenizer:
         ids = [np.array(self.ids(t), np.int32) for t in texts]
         counts = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate(ids)
+        return flat, counts, self.spells(flat, counts, texts)
+
+    def spells(self, flat: np.ndarray, counts: np.ndarray, texts: list[str]) -> np.ndarray:
         spelled = [t.encode() for t in texts]
         to = np.concatenate([[0], np.cumsum(self.sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])]
         joined = _gather(self.raw, self.starts[flat], self.sizes[flat]).tobytes()
-        right = [joined[lo:hi] == want for lo, hi, want in zip(to, to[1:], spelled)]
-        return flat, counts, np.array(right, bool)
+        return np.array([joined[lo:hi] == want for lo, hi, want in zip(to, to[1:], spelled)], bool)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode`` of words with a space before each, none with white space or "▁" at an end: as one text if that
+        can be cut into them again."""
+        text = " " + " ".join(words)
+        flat, _, (right,) = self.encode([text])
+        if right:
+            spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+            to = np.concatenate([[0], np.cumsum(self.sizes[flat])])
+            at = np.searchsorted(to, spaces)
+            if np.array_equal(to[at], spaces):
+                return flat, np.diff(at, append=len(flat)), np.ones(len(words), bool)
+        return self.encode([" " + w for w in words])
+
+
+class Words:
+    """Texts encoded by several tokenizers, each word once while it is remembered."""
+
+    def __init__(self, *sides: Tokenizer):
+        self.sides = sides
+        self.by_words = all(s.by_words for s in sides)
+        self.forget()
+
+    def forget(self) -> None:
+        #: number of each known word; -1: one that is not cut off its neighbours
+        self.known: dict[str, int] = {}
+        self.n_words = self.n_chars = 0
+        #: of each side: ids of the known words one after the other, number of ids of each, whether their bytes are the word's
+        self.held = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)) for _ in self.sides]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``Tokenizer.encode`` of each side. Every text starts with a space."""
+        if not self.by_words or not texts:
+            return [s.encode(texts) for s in self.sides]
+        if len(self.known) > KNOWN_WORDS or self.n_chars > KNOWN_CHARS:
+            self.forget()
+        split = [t[1:].split(" ") for t in texts]
+        words = [w for s in split for w in s]
+        self.learn(list(set(words).difference(self.known)))
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        n_words = np.array([len(s) for s in split])
+        first = np.cumsum(n_words) - n_words
+        cut = np.ones(len(words), bool)
+        cut[1:] = (number[1:] >= 0) & (number[:-1] >= 0)
+        cut[first] = True
+        units = np.flatnonzero(cut)  # the first word of every stretch
+        ends = np.append(units[1:], len(words))
+        odd = np.flatnonzero((number[units] < 0) | (ends - units > 1))
+        stretches = [" " + " ".join(words[units[k]:ends[k]]) for k in odd]
+        number, first = number[units], np.searchsorted(units, first)
+        number[odd] = self.n_words + np.arange(len(odd))
+        return [self._joined(s, held, stretches, number, first, texts) for s, held in zip(self.sides, self.held)]
+
+    @staticmethod
+    def _joined(side: Tokenizer, held: tuple, stretches: list[str], number: np.ndarray, first: np.ndarray, texts: list[str]):
+        if stretches:
+            held = tuple(map(np.concatenate, zip(held, side.encode(stretches))))
+        store, counts, right = held
+        sizes = counts[number]
+        flat, n_ids = _gather(store, (np.cumsum(counts) - counts)[number], sizes), np.add.reduceat(sizes, first)
+        good = np.logical_and.reduceat(right[number], first)
+        if not good.all():  # the bytes of such a text as a whole decide
+            bad = np.flatnonzero(~good)
+            good[bad] = side.spells(flat[np.repeat(~good, n_ids)], n_ids[bad], [texts[k] for k in bad])
+        return flat, n_ids, good
+
+    def learn(self, words: list[str]) -> None:
+        whole = [w for w in words if w and w.strip() == w]
+        if "▁" in "".join(whole):
+            whole = [w for w in whole if w.strip("▁") == w]
+        if len(whole) < len(words):
+            self.known.update(dict.fromkeys(words, -1))
+        if whole:
+            self.known.update(zip(whole, range(self.n_words, self.n_words + len(whole))))
+            self.n_words += len(whole)
+            self.held = [tuple(map(np.concatenate, zip(held, s.encode_words(whole)))) for s, held in zip(self.sides, self.held)]
+        self.n_chars += sum(map(len, words))
 
 
 class ByteLevel(Tokenizer):
@@ -101,6 +188,7 @@ class ByteLevel(Tokenizer):
             import tiktoken
             ranks = {table[i]: i for t, i in made["model"]["vocab"].items()}
             self.fast = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.by_words = pattern == GPT2_PATTERN  # a space is a match's first character or in a run of white space
 
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and not LONG_BLANK.search(text):
@@ -131,6 +219,15 @@ class Pieces(Tokenizer):
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         super().__init__([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        from sentencepiece import sentencepiece_model_pb2
+        made = sentencepiece_model_pb2.ModelProto.FromString(m.serialized_model_proto())
+        train, norm, kind = made.trainer_spec, made.normalizer_spec, made.SentencePiece
+        # merges only, nothing normalised, and a space only ever before a piece's other characters
+        self.by_words = (train.model_type == train.BPE and train.byte_fallback and not train.treat_whitespace_as_suffix
+                         and not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces
+                         and not norm.remove_extra_whitespaces and not made.denormalizer_spec.precompiled_charsmap
+                         and all(p.type in (kind.NORMAL, kind.BYTE, kind.UNKNOWN, kind.CONTROL) for p in made.pieces)
+                         and not any("▁" in p.lstrip("▁") for p in pieces))
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text[1:])
@@ -152,12 +249,12 @@ def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray)
 
 
 class Decimal:
-    """Decimal ids, each with a character behind it, as rows of bytes."""
+    """Decimal ids, each with a character behind it, as rows of bytes filled up with zero bytes."""
 
     def __init__(self, n: int):
         width = len(str(n)) + 1
         text = [f"{i},".encode() for i in range(n)]
-        self.rows = np.frombuffer(b"".join(x.ljust(width) for x in text), np.uint8).reshape(n, width)
+        self.rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in text), np.uint8).reshape(n, width)
         self.sizes = np.array([len(x) for x in text], np.int64)
 
     def groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -166,11 +263,11 @@ class Decimal:
         ids = np.empty(len(a) + len(b), np.int64)
         ids[np.arange(len(a)) + np.repeat(last_b - size_b, size_a)] = a
         ids[np.arange(len(b)) + np.repeat(last_a, size_b)] = b
-        rows, sizes = self.rows[ids], self.sizes[ids]
+        rows, sizes = self.rows.take(ids, axis=0), self.sizes.take(ids)
         end = last_a + last_b - 1
         rows[end - size_b, sizes[end - size_b] - 1] = ord("|")
         rows[end, sizes[end] - 1] = ord(";")
-        return rows[np.arange(rows.shape[1]) < sizes[:, None]].tobytes(), np.cumsum(sizes)[end]
+        return rows.tobytes().translate(None, b"\0"), np.cumsum(sizes)[end]
 
 
 def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str) -> DataFrame:
@@ -205,12 +302,12 @@ def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str) -> DataFr
         one, two = ByteLevel(byte_level, pattern), Pieces(pieces)
         decimal = Decimal(max(len(one.sizes), len(two.sizes)))
         base, seen = len(two.sizes), np.zeros(0, np.int64)
+        words = Words(one, two)
 
         def group(texts: list[str]) -> list[tuple]:
             nonlocal seen
             spaced = [" " + t for t in texts]
-            a, n_a, right_a = one.encode(spaced)
-            b, n_b, right_b = two.encode(spaced)
+            (a, n_a, right_a), (b, n_b, right_b) = words.encode(spaced)
             good = right_a & right_b & np.array([bool(t) for t in texts])
             a, n_a = a[np.repeat(good, n_a)], np.where(good, n_a, 0)
             b, n_b = b[np.repeat(good, n_b)], np.where(good, n_b, 0)
@@ -222,8 +319,8 @@ def align(docs: DataFrame, byte_level: str, pattern: str, pieces: str) -> DataFr
             last_a, last_b = ia[last] + 1, ib[last] + 1
             spelled, ends = decimal.groups(a, b, last_a, last_b) if len(a) else (b"", np.zeros(0, np.int64))
             to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
-            of = np.searchsorted(to_a, ia, "right")  # the text of each link
-            n_links, n_groups = np.bincount(of, minlength=len(texts)), np.bincount(of[last], minlength=len(texts))
+            to_link = np.searchsorted(ia, to_a)  # links up to the end of each text
+            n_links, n_groups = np.diff(to_link, prepend=0), np.diff(np.searchsorted(last_a, to_a, "right"), prepend=0)
             stop = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_groups)])]
             out = []
             for k in range(len(texts)):
@@ -335,11 +432,26 @@ def hash_parts(pairs: DataFrame, buckets: int) -> DataFrame:
 # --- counts -------------------------------------------------------------------
 
 def _pairs_of(batch: pa.RecordBatch, a: int, b: int, size_a, size_b, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, row of the batch) of every link of a batch with id columns number ``a`` and ``b``."""
+    """(code of every link, links up to the end of every row) of a batch with id columns number ``a`` and ``b``."""
     ids = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (a, b)]
     ia, ib, _ = links(*ids, size_a, size_b)
     ends = np.cumsum(np.diff(batch.column(a).offsets.to_numpy()))
-    return ids[0][ia].astype(np.int64) * base + ids[1][ib], np.searchsorted(ends, ia, "right")
+    return ids[0][ia].astype(np.int64) * base + ids[1][ib], np.searchsorted(ia, ends)
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct codes, the place of every code among them). Codes are below 2^34: with a place of their own below
+    them they sort as plain numbers."""
+    bits = len(codes).bit_length()
+    if bits > 29:
+        return np.unique(codes, return_inverse=True)
+    packed = np.sort(codes << bits | np.arange(len(codes)))
+    codes, at = packed >> bits, packed & ((1 << bits) - 1)
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    of = np.empty(len(codes), np.int64)
+    of[at] = np.cumsum(new) - 1
+    return codes[new], of
 
 
 def tally(aligned: DataFrame, held, in_slice, sizes) -> DataFrame:
@@ -352,7 +464,8 @@ def tally(aligned: DataFrame, held, in_slice, sizes) -> DataFrame:
         total = np.zeros(len(table.keys), np.int64)
         for batch in batches:
             codes, _ = _pairs_of(batch, 0, 1, size_a, size_b, len(size_b))
-            total += np.bincount(table.find(in_slice(codes)), minlength=len(total))
+            some, n = np.unique(in_slice(codes), return_counts=True)
+            total[table.find(some)] += n
         leaf = TaskContext.get().partitionId()
         for block in range(0, len(total) if total.any() else 0, BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([block // BLOCK], pa.int64()),
@@ -454,16 +567,19 @@ def _looked_up(aligned: DataFrame, held, vector, best, sizes, buckets: int, firs
     def start():
         def each(batch: pa.RecordBatch) -> dict:
             size_a, size_b = sizes.value
-            codes, of = _pairs_of(batch, 1, 2, size_a, size_b, len(size_b))
+            codes, ends = _pairs_of(batch, 1, 2, size_a, size_b, len(size_b))
             if buckets > SLICE_BUCKETS:
                 bucket = bucket_of(codes, buckets)
                 inside = (bucket >= first) & (bucket < first + SLICE_BUCKETS)
-                codes, of = codes[inside], of[inside]
-            counts = vector.value[held.value.find(codes)]
-            top = counts == best.value[codes % len(size_b)]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=batch.num_rows))])
-            return {"row": batch.column(0), "n_best": pa.array(np.bincount(of[top], minlength=batch.num_rows)),
-                    "count_sum": pa.array(np.diff(np.concatenate([[0], np.cumsum(counts)])[ends]))}
+                codes, ends = codes[inside], np.concatenate([[0], np.cumsum(inside)])[ends]
+            some, of = _distinct(codes)
+            counts = vector.value[held.value.find(some)]
+            top = counts == best.value[some % len(size_b)]
+
+            def summed(values: np.ndarray) -> pa.Array:
+                return pa.array(np.diff(np.concatenate([[0], np.cumsum(values[of], dtype=np.int64)])[ends], prepend=0))
+
+            return {"row": batch.column(0), "n_best": summed(top), "count_sum": summed(counts)}
         return each
 
     return map_rows(aligned.select("row", "a", "b"), start, struct_of(("row", "bigint"), ("n_best", "bigint"), ("count_sum", "bigint")))

@@ -145,3 +145,33 @@ def test_perfect_hash():
     other = other[np.isin(align.bucket_of(other, buckets), range(2, 6))]
     with pytest.raises(ValueError):
         table.find(other)
+
+
+def test_words_are_encoded_once_and_give_the_ids_of_whole_texts(monkeypatch):
+    """Texts cut at spaces have the ids of whole texts, whatever stands around a space; a known word is not encoded again."""
+    rng = random.Random(3)
+    sides = align.ByteLevel(BYTE_LEVEL, public_tokenizers.PATTERN), align.Pieces(PIECES)
+    assert all(s.by_words for s in sides)
+    tokens = [bytes(s.raw[a:a + n]).decode("utf-8", "replace") for s in sides for a, n in zip(s.starts, s.sizes)]
+    between = [" ", " ", "  ", "   ", "\n", "\n ", " \n", "\t \n", "▁", "▁ ", " ▁", "\x1c", " \x1c", "\xa0 ", "　 ", "'s", "' s", ""]
+    monkeypatch.setattr(align, "KNOWN_WORDS", 500)
+    words = align.Words(*sides)
+    for _ in range(80):
+        texts = [" " + (t or "") for t in rng.sample(NASTY, 3)]
+        texts += [" " + "".join(rng.choice(tokens) + rng.choice(between) for _ in range(rng.randint(0, 12))) for _ in range(15)]
+        for side, got in zip(sides, words.encode(texts)):
+            for x, y in zip(got, side.encode(texts)):
+                assert x.tolist() == y.tolist()
+    words.forget()
+    words.encode([" the ship left", " the harbour"])
+    read = []
+    monkeypatch.setattr(align.Tokenizer, "encode", lambda self, texts: read.append(texts))
+    assert [[x.tolist() for x in got[1:]] for got in words.encode([" left the", " harbour"])] and not read
+
+
+def test_lookups_ask_for_each_pair_once():
+    """The hash is asked for the distinct pairs of a batch, not for every link."""
+    codes = np.array([7, 5, 7, 7, 5, 1 << 33])
+    some, of = align._distinct(codes)
+    assert some.tolist() == [5, 7, 1 << 33] and some[of].tolist() == codes.tolist()
+    assert [len(x) for x in align._distinct(codes[:0])] == [0, 0]
