@@ -16,20 +16,12 @@ FILL_COLS = ["property_type", "deposit", "floor_num", "total_floors", "age_years
 
 
 def parse_cards(cards: DataFrame, text_col: str = "raw_text", current_col: str = "locality_query") -> DataFrame:
-    t = F.col("_folded")  # folded once, in a projection of its own
-    staged = cards.select("listing_id", text_col, current_col, tx.folded(F.col(text_col)).alias("_folded")).select(
-        "listing_id",
-        tx.parse_property_type.of(t).alias("p_property_type"),
-        tx.parse_deposit.of(t).alias("p_deposit"),
-        tx.parse_floor(t).alias("_fl"),
-        tx.parse_age.of(t).alias("p_age_years"),
-        tx.correct_locality(F.col(text_col), F.col(current_col)).alias("_loc"))
-    # second projection: each struct above is computed once and then read
-    return staged.select(
-        "listing_id", "p_property_type", "p_deposit",
-        F.col("_fl.floor_num").cast("double").alias("p_floor_num"),
-        F.col("_fl.total_floors").cast("double").alias("p_total_floors"),
-        "p_age_years", F.col("_loc.locality").alias("p_locality"), F.col("_loc.changed").alias("p_changed"))
+    staged = tx.with_card_fields(cards.select("listing_id", text_col, current_col), text_col,
+                                 ["property_type", "deposit", "floor", "age_years"])
+    staged = staged.withColumn("_loc", tx.correct_locality(F.col(text_col), F.col(current_col)))
+    # second projection: the struct above is computed once and then read
+    return staged.select("listing_id", *[F.col(c).alias(f"p_{c}") for c in FILL_COLS],
+                         F.col("_loc.locality").alias("p_locality"), F.col("_loc.changed").alias("p_changed"))
 
 
 def _enriched(listings: DataFrame, cards: DataFrame, force: bool, source: str):

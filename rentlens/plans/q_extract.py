@@ -64,30 +64,16 @@ def card_fields_sql(t: str) -> str:
     }
 
 
-def card_fields(t):
-    """The fields of a folded card text."""
-    return {
-        "bhk": tx.parse_bhk.of(t), "area_sqft": tx.parse_area.of(t), "rent_monthly": tx.parse_inr.of(t),
-        "furnishing": tx.parse_furnishing(t), "property_type": tx.parse_property_type.of(t),
-        "deposit": tx.parse_deposit.of(t), "_floor": tx.parse_floor(t), "age_years": tx.parse_age.of(t),
-    }
-
-
-def with_card_fields(df, text_col="raw_text"):
-    """All card fields; the text is folded once and the floor pair is parsed once, then split (staged)."""
-    staged = df.withColumn("_folded", tx.folded(F.col(text_col)))
-    staged = staged.select(*df.columns, *[v.alias(k) for k, v in card_fields(F.col("_folded")).items()])
-    return staged.select(*[c for c in staged.columns if c != "_floor"],
-                         F.col("_floor.floor_num").cast("double").alias("floor_num"),
-                         F.col("_floor.total_floors").cast("double").alias("total_floors"))
+CARD_FIELDS = ["bhk", "area_sqft", "rent_monthly", "furnishing", "property_type", "deposit", "floor", "age_years"]
 
 
 @query("parse_card_fields", fx_cte("fx_cards") + "SELECT listing_id, "
        + ", ".join(f"{v} AS {k}" for k, v in card_fields_sql("raw_text").items()) + " FROM fx_cards")
 def parse_card_fields(spark, sf_dir):
     c = fx(spark, sf_dir, "fx_cards").select("listing_id", "raw_text")
-    return with_card_fields(c).select("listing_id", "bhk", "area_sqft", "rent_monthly", "furnishing",
-                                      "property_type", "deposit", "floor_num", "total_floors", "age_years")
+    return tx.with_card_fields(c, "raw_text", CARD_FIELDS).select(
+        "listing_id", "bhk", "area_sqft", "rent_monthly", "furnishing",
+        "property_type", "deposit", "floor_num", "total_floors", "age_years")
 
 
 # --- chat messages --------------------------------------------------------

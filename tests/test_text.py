@@ -224,3 +224,26 @@ def test_strip_equals_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.strip(F.col("t")).alias("s"))
     assert all(r.s == r.t.strip() for r in df.collect())
     assert "regexp" not in df._jdf.queryExecution().analyzed().toString()   # a pattern was tried at every blank of the text
+
+
+def test_card_fields_in_stages_equal_the_single_parsers(spark):
+    """Masking the currency sign, and reading amounts from the hits alone, changes no field; no per-row fold of hits."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rentlens.plans.q_extract import CARD_FIELDS
+    parts = ["1", "23", "456", "1.5", "2.3.4", ",", ".", "/", " / ", "\n", " ", "\x1c", "\xa0", "₹", "rs", "Rs.", "RS", "ſ", "K", "\u212a", "L",
+             "bhk", "bHK", "sqft", "sq. ft", "Deposit", "depositx", "years", "yr", "+", "-", "rent", "rrs", "\x01", "\x02", "|", "İ", "ı", "Σ",
+             "é", "٣", "house", "Villa", "pg", "semi furnished", "UNFURNISHED", "5-10 Years", "₹ 12,000\nDeposit", "₹1.2L", "12/20", "x" * 190]
+    rng = random.Random(3)
+    texts = [None, "", "|"] + ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.col("t")
+    single = rows.select("i", tx.parse_bhk(t), tx.parse_area(t), tx.parse_inr(t), tx.parse_furnishing(tx.folded(t)), tx.parse_property_type(t),
+                         tx.parse_deposit(t), tx.parse_floor(t)["floor_num"].cast("double"), tx.parse_floor(t)["total_floors"].cast("double"),
+                         tx.parse_age(t))
+    staged = tx.with_card_fields(rows, "t", CARD_FIELDS).drop("t")
+    assert "aggregate(" not in staged._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, staged.collect()))
+    assert got == sorted(map(tuple, single.collect())) and all(any(r[k] is not None for r in got) for k in range(len(got[0])))
